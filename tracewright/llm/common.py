@@ -6,6 +6,7 @@ import uuid
 from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -43,7 +44,7 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
 def slices(texts: pa.Array, limit: int = 2 << 20) -> Iterator[tuple[int, int]]:
     """Row ranges of at most `limit` bytes of text each (one row at least): bounds the scratch memory of a batch."""
     begin = size = 0
-    for i, n in enumerate(pa.compute.binary_length(texts).to_pylist()):
+    for i, n in enumerate(pc.binary_length(texts).to_pylist()):
         n = n or 0
         if i > begin and size + n > limit:
             yield begin, i

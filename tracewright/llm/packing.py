@@ -24,7 +24,6 @@ from bisect import bisect_right
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -256,16 +255,20 @@ def pack_block(lengths: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarr
 # --- all blocks --------------------------------------------------------------------------------------------------
 
 
-def assign(rows: DataFrame, capacity: int, n_pieces: int, seed: int = 11) -> DataFrame:
+def assign(rows: DataFrame, capacity: int, seed: int = 11) -> DataFrame:
     """rows (doc_id, piece, start, length, ids_crc32, ...) with sequence_id and offset. Sequence ids are the block's
-    number times 2^32 plus a number in the block."""
-    blocks = max(1, round(n_pieces / BLOCK_PIECES))
-    dealt = rows.withColumn("block", F.pmod(F.xxhash64(F.lit(seed), "doc_id", "piece", "ids_crc32"), F.lit(blocks)))
-
-    def pack(block: pd.DataFrame) -> pd.DataFrame:
-        block = block.sort_values(["doc_id", "piece", "ids_crc32"], ignore_index=True)
-        sequence, offset = pack_block(block["length"].to_numpy(), capacity)
-        return block.assign(sequence_id=(block["block"].astype("int64") << 32) + sequence, offset=offset)
+    number times 2^32 plus a number in the block; full pieces are sequences of their own and are never gathered."""
+    loose = F.col("length") < capacity
+    n_loose = rows.where(loose).count()
+    blocks = max(1, round(n_loose / BLOCK_PIECES))
+    dealt = rows.where(loose).withColumn("block", F.pmod(F.xxhash64(F.lit(seed), "doc_id", "piece", "ids_crc32"), F.lit(blocks)))
+
+    def pack(block: pa.Table) -> pa.Table:
+        block = block.sort_by([("doc_id", "ascending"), ("piece", "ascending"), ("ids_crc32", "ascending")])
+        sequence, offset = pack_block(block.column("length").to_numpy(), capacity)
+        first = block.column("block")[0].as_py() << 32
+        return block.append_column("sequence_id", pa.array(first + sequence)).append_column("offset", pa.array(offset))
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in dealt.schema.fields) + ", sequence_id long, offset long"
-    return dealt.groupBy("block").applyInPandas(pack, schema).drop("block")
+    full = rows.where(~loose).withColumn("sequence_id", -1 - F.monotonically_increasing_id()).withColumn("offset", F.lit(0).cast("long"))
+    return dealt.groupBy("block").applyInArrow(pack, schema).drop("block").unionByName(full)

@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tracewright.llm import chat, exact_dedup, mixing, sharding
-from tracewright.llm.common import table
+from tracewright.llm import chat, exact_dedup, mixing, packing, sharding, simhash
+from tracewright.llm.common import materialize, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -135,3 +135,34 @@ FROM (
   FROM documents
 )
 """
+
+
+# --- 6 -----------------------------------------------------------------------------------------------------------
+
+CAPACITY = 1024
+
+
+def tokenizer() -> dict:
+    """Where the byte-level BPE lies; the package that ships it is asked, nothing is copied."""
+    import public_tokenizers as public
+
+    return {"path": public.path("byte_bpe_50k.json"), "pattern": public.PATTERN, "ranks_path": public.path("byte_bpe_50k.tiktoken")}
+
+
+def packed(docs: DataFrame) -> DataFrame:
+    rows = materialize(packing.pieces(docs, tokenizer(), CAPACITY), "pieces")
+    return packing.assign(rows, CAPACITY)
+
+
+@query
+def op6_bin_completion(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packed(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+# --- 9 -----------------------------------------------------------------------------------------------------------
+
+
+@query
+def op9_gray_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = simhash.near_groups(table(spark, sf_dir, "documents").select("doc_id", "text"), width=3, max_bits=3, seed=42)
+    return out.select("doc_id", simhash.hex16().alias("fingerprint"), "component_id")
