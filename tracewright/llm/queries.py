@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tracewright.llm import chat, exact_dedup, mixing, packing, sharding, simhash
+from tracewright.llm import chat, exact_dedup, mixing, packing, sharding, simhash, urlfilter, vafile
 from tracewright.llm.common import materialize, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -28,8 +28,7 @@ SHARDS = 40
 def op2_external_shuffle(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     out = sharding.external_shuffle(docs, SHARDS)
-    checksum = F.crc32(F.coalesce(F.col("text"), F.lit("")).cast("binary"))
-    return out.select("doc_id", "size", checksum.alias("text_crc32"), F.lit("key").alias("law"), "shard", "slot", "grown_shard")
+    return out.select("doc_id", "size", "text_crc32", F.lit("key").alias("law"), "shard", "slot", "grown_shard")
 
 
 # --- 4 -----------------------------------------------------------------------------------------------------------
@@ -166,3 +165,37 @@ def op6_bin_completion(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op9_gray_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = simhash.near_groups(table(spark, sf_dir, "documents").select("doc_id", "text"), width=3, max_bits=3, seed=42)
     return out.select("doc_id", simhash.hex16().alias("fingerprint"), "component_id")
+
+
+# --- 3 -----------------------------------------------------------------------------------------------------------
+
+
+@query
+def op3_va_file(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    return vafile.top_k(rows, F.col("vec_id") % 50 == 0, 5)
+
+
+SQL["op3_va_file"] = """
+WITH v AS (
+  SELECT vec_id, list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS v FROM embeddings
+  WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), s AS (
+  SELECT q.vec_id AS query_id, c.vec_id, CAST(list_inner_product(q.v, c.v) AS BIGINT) AS score
+  FROM v q JOIN v c ON q.vec_id <> c.vec_id AND len(q.v) = len(c.v) WHERE q.vec_id % 50 = 0
+)
+SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score
+FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s) WHERE rank <= 5
+"""
+
+
+# --- 8 -----------------------------------------------------------------------------------------------------------
+
+#: (verdict, host, path)
+URL_RULES = [("allow", "com", "/"), ("block", "example.com", "/en/"), ("allow", "www.example.com", "/en/"), ("block", "net", "/es/"), ("block", "net", "/fr/")]
+
+
+@query
+def op8_char_ratio(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages").select("page_id", "url")
+    return urlfilter.judge(pages, URL_RULES).select("page_id", "host", "path", "rule", "verdict")
