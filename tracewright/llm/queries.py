@@ -199,3 +199,11 @@ URL_RULES = [("allow", "com", "/"), ("block", "example.com", "/en/"), ("allow",
 def op8_char_ratio(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = table(spark, sf_dir, "pages").select("page_id", "url")
     return urlfilter.judge(pages, URL_RULES).select("page_id", "host", "path", "rule", "verdict")
+
+
+# --- 1 -----------------------------------------------------------------------------------------------------------
+
+
+@query
+def op1_weak_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.classify(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "labels"))

@@ -15,17 +15,16 @@ tie only between equal records; an empty table gives no rows; other columns trav
 
 from __future__ import annotations
 
-import zlib
-
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tracewright.llm.common import text_bytes
 
 RECORD_OVERHEAD = 16
-BUCKET_BYTES = 32 << 20
+BUCKET_BYTES = 8 << 20
 
 
 def rendezvous(key: Column, shards: int, seed: int) -> Column:
@@ -35,7 +34,8 @@ def rendezvous(key: Column, shards: int, seed: int) -> Column:
 
 def place(docs: DataFrame, shards: int, seed: int, bucket_bytes: int) -> DataFrame:
     """docs with shard, grown_shard and bucket. The number of buckets per shard follows from one counted pass."""
-    sized = docs.withColumn("size", text_bytes() + RECORD_OVERHEAD)
+    checksum = F.crc32(F.coalesce(F.col("text"), F.lit("")).cast("binary"))
+    sized = docs.withColumn("size", text_bytes() + RECORD_OVERHEAD).withColumn("text_crc32", checksum)
     key = F.coalesce(F.col("doc_id").cast("string"), F.lit("null"))
     best = rendezvous(key, shards, seed)
     sized = sized.withColumn("__best", best).withColumn("shard", F.col("__best.shard").cast("int"))
@@ -43,11 +43,11 @@ def place(docs: DataFrame, shards: int, seed: int, bucket_bytes: int) -> DataFra
     sized = sized.withColumn("grown_shard", F.when(extra > F.col("__best.weight"), F.lit(shards)).otherwise(F.col("shard")).cast("int")).drop("__best")
     largest = sized.groupBy("shard").agg(F.sum("size").alias("n")).agg(F.max("n")).first()[0] or 0
     per_shard = max(1, -(-int(largest) // bucket_bytes))
-    return sized.withColumn("bucket", F.col("shard").cast("long") * per_shard + F.pmod(F.xxhash64(F.lit(seed + 1), key, F.coalesce(F.crc32(F.col("text").cast("binary")), F.lit(0))), F.lit(per_shard)))
+    return sized.withColumn("bucket", F.col("shard").cast("long") * per_shard + F.pmod(F.xxhash64(F.lit(seed + 1), key, "text_crc32"), F.lit(per_shard)))
 
 
 def external_shuffle(docs: DataFrame, shards: int, seed: int = 7, bucket_bytes: int = BUCKET_BYTES) -> DataFrame:
-    """docs plus size, shard, grown_shard, bucket and slot; each record moves once."""
+    """docs plus size, text_crc32, shard, grown_shard, bucket and slot; each record moves once."""
     placed = place(docs, shards, seed, bucket_bytes)
     counts = placed.groupBy("shard", "bucket").agg(F.count("*").alias("n"))
     before = Window.partitionBy("shard").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
@@ -57,11 +57,8 @@ def external_shuffle(docs: DataFrame, shards: int, seed: int = 7, bucket_bytes:
     def shuffle(records: pa.Table, offset: pa.Table) -> pa.Table:
         if not records.num_rows:
             return records.append_column("slot", pa.array([], pa.int64()))
-        checksums = [zlib.crc32((t or "").encode()) for t in records.column("text").to_pylist()]
-        ids = records.column("doc_id").to_pylist()
-        start = sorted(range(len(ids)), key=lambda i: (ids[i] is not None, ids[i] or 0, checksums[i]))
+        order = pc.sort_indices(records, [("doc_id", "ascending"), ("text_crc32", "ascending"), ("size", "ascending")]).to_numpy().copy()
         bucket = records.column("bucket")[0].as_py()
-        order = np.array(start)
         np.random.Generator(np.random.PCG64([seed, bucket])).shuffle(order)  # Fisher-Yates
         first = offset.column("first_slot")[0].as_py()
         return records.take(pa.array(order)).append_column("slot", pa.array(np.arange(first, first + len(order), dtype=np.int64)))
