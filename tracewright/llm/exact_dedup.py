@@ -21,7 +21,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tracewright.llm.common import as_bytes, slices, utf8
+from tracewright.llm.common import as_bytes, checkpoint, materialize, slices, utf8
 
 WINDOW = 32
 MIN_CHUNK, MASK_BITS, MAX_CHUNK = 512, 11, 16384
@@ -109,11 +109,14 @@ def chunk_store(docs: DataFrame) -> DataFrame:
 def groups(docs: DataFrame) -> DataFrame:
     """One row per row of docs: doc_id, n_bytes, text_sha256, keep_id, group_size, kept.
 
-    Copies are counted before the shuffle; the join back puts one row per distinct text beside the narrow rows, so a
-    group that holds a third of the corpus is split by AQE's skew join rather than gathered in a window."""
-    rows = recipes(docs)
-    by_text = rows.groupBy("recipe", "n_bytes").agg(F.max("doc_id").alias("keep_id"), F.count("*").alias("group_size"))
-    out = rows.join(by_text, ["recipe", "n_bytes"])
+    Copies are counted before the shuffle; the join back puts one row per text that has copies beside the narrow rows.
+    Both sides are read from the shared folder, so AQE can broadcast the small one or split a group that holds a third
+    of the corpus, which a window over the recipe could not."""
+    rows = materialize(recipes(docs), "recipes")
+    copies = rows.groupBy("recipe", "n_bytes").agg(F.max("doc_id").alias("keep_id"), F.count("*").alias("group_size")).where("group_size > 1")
+    out = rows.join(checkpoint(copies), ["recipe", "n_bytes"], "left")
+    keep_id = F.when(F.col("group_size").isNull(), F.col("doc_id")).otherwise(F.col("keep_id"))
+    out = out.withColumn("keep_id", keep_id).withColumn("group_size", F.coalesce("group_size", F.lit(1).cast("long")))
     return out.select("doc_id", "n_bytes", "text_sha256", "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"))
 
 
