@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tracewright.llm import chat, exact_dedup, mixing, packing, sharding, simhash, urlfilter, vafile
+from tracewright.llm import chat, exact_dedup, mixing, packing, quality, sharding, simhash, urlfilter, vafile
 from tracewright.llm.common import materialize, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
