@@ -68,3 +68,23 @@ def mix(docs: DataFrame, weights: list[int], budget_percent: int = 150, max_epoc
 def expand(mixed: DataFrame) -> DataFrame:
     """Each row as many times as it is taken."""
     return mixed.where("repeats > 0").withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("repeats")))).drop("__copy")
+
+
+def sample(docs: DataFrame, weights: list[int], budget_percent: int = 150, max_epochs: int = 2, seed: str = "mix") -> DataFrame:
+    """The mixed rows with the columns of docs, each as often as it is taken. The mix is worked out on narrow rows; texts
+    move once, to meet their repeats by (doc_id, digest of the text)."""
+    key = F.xxhash64("text", F.lit(0)).alias("__text")
+    narrow = docs.select("doc_id", "source", "text")
+    mixed = mix(narrow.withColumn("__text", key), weights, budget_percent, max_epochs, seed)
+    taken = mixed.where("repeats > 0").select(F.col("doc_id").alias("__id"), "__text", F.col("source").alias("__source"), F.col("repeats").alias("__repeats"))
+    # rows that repeat in full share their repeats: dealt out evenly over them, what is left over to the first
+    shared = taken.groupBy("__id", "__text", "__source").agg(F.sum("__repeats").alias("__total"))
+    keyed = docs.withColumn("__key", F.xxhash64("text", F.lit(0)))
+    same = F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("__key") == F.col("__text")) & F.col("source").eqNullSafe(F.col("__source"))
+    found = keyed.join(shared, same)
+    among = Window.partitionBy("__id", "__text", "__source")
+    n = F.count("*").over(among)
+    nth = F.row_number().over(among.orderBy(F.lit(0)))
+    times = F.floor(F.col("__total") / n) + F.when(nth <= F.col("__total") % n, 1).otherwise(0)
+    out = found.withColumn("__times", times.cast("int")).where("__times > 0")
+    return out.withColumn("__copy", F.explode(F.sequence(F.lit(1), "__times"))).select(*docs.columns)
