@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tracewright.llm import chat, exact_dedup, mixing, packing, quality, sharding, simhash, urlfilter, vafile
+from tracewright.llm import chat, exact_dedup, mixing, packing, quality, sharding, simhash, suffix_dedup, urlfilter, vafile
 from tracewright.llm.common import materialize, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -207,3 +207,12 @@ def op8_char_ratio(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op1_weak_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.classify(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "labels"))
+
+
+# --- 5 -----------------------------------------------------------------------------------------------------------
+
+
+@query
+def op5_two_stage_suffixes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = suffix_dedup.remove_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return out.select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
