@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 
 from tracewright.llm.common import as_bytes, materialize, slices, utf8
 
-MAX_LABELLED, MAX_TRAIN, SAMPLE_BYTES = 12000, 8000, 24 << 20
+MAX_LABELLED, MAX_TRAIN, SAMPLE_BYTES = 12000, 6000, 20 << 20
 #: Share of the held-out good documents that may be rejected.
 MAX_FALSE = 0.002
 BITS = 18
@@ -159,6 +159,18 @@ def patterns(p: Pieces, lexicons: Lexicons) -> np.ndarray:
     return (votes.astype(np.int64) << np.arange(len(LABELLERS))[:, None]).sum(0)
 
 
+def chunks(texts: list[bytes], limit: int = 1 << 20) -> Iterator[tuple[int, int]]:
+    """Ranges of texts of about `limit` bytes."""
+    begin = size = 0
+    for i, text in enumerate(texts):
+        if i > begin and size + len(text) > limit:
+            yield begin, i
+            begin, size = i, 0
+        size += len(text)
+    if begin < len(texts):
+        yield begin, len(texts)
+
+
 def distinct_texts(p: Pieces) -> np.ndarray:
     """Marks the first of documents whose three smallest word hashes agree: copies and near copies count once."""
     order = np.lexsort((p.words, p.doc))
@@ -173,22 +185,35 @@ def learn_lexicons(texts: list[bytes], bad: np.ndarray) -> Lexicons:
     """Pieces of at least SUPPORT rejected documents of a fold, PURITY of the documents they are in being rejected.
     With a fifth of the documents rejected, six agreeing by chance is a matter of one piece in 15,000, and the linear
     scorer has to confirm it."""
-    found: dict[tuple[int, str], list[np.ndarray]] = {}
-    for at in range(0, len(texts), 256):
-        p = Pieces(texts[at : at + 256])
-        keep, fold = distinct_texts(p), np.arange(p.n) % 2
-        for kind, doc, values in (("word", p.doc, p.words), ("beginning", p.prefix_doc, p.prefixes)):
-            pairs = np.unique(np.stack([doc.astype(np.uint64), values], 1), axis=0) if len(doc) else np.zeros((0, 2), np.uint64)
-            doc, values = pairs[:, 0].astype(np.int64), pairs[:, 1]
-            for f in (0, 1):
-                own = keep[doc] & (fold[doc] == f)
-                found.setdefault((f, kind), []).append(np.stack([values[own], bad[at + doc[own]].astype(np.uint64)], 1))
+    held: dict[tuple[int, str], list[np.ndarray]] = {}
+
+    def collect(only_bad: bool, wanted: dict) -> None:
+        """Per fold and kind, the pieces of bad documents; or of good ones, those that bad ones have as well."""
+        for begin, end in chunks(texts):
+            p = Pieces(texts[begin:end])
+            own_bad = bad[begin:end] > 0
+            keep, fold = distinct_texts(p) & (own_bad == only_bad), np.arange(p.n) % 2
+            for kind, doc, values in (("word", p.doc, p.words), ("beginning", p.prefix_doc, p.prefixes)):
+                for f in (0, 1):
+                    use = keep[doc] & (fold[doc] == f)
+                    if not only_bad:
+                        at = np.minimum(np.searchsorted(wanted[f, kind], values), max(len(wanted[f, kind]) - 1, 0))
+                        use &= (wanted[f, kind][at] == values) if len(wanted[f, kind]) else False
+                    pairs = np.unique(np.stack([doc[use].astype(np.uint64), values[use]], 1), axis=0)
+                    held.setdefault((f, kind), []).append(pairs[:, 1])
+
+    collect(True, {})
+    seen = {k: np.unique(np.concatenate(v), return_counts=True) for k, v in held.items()}
+    seen = {k: (values[n >= SUPPORT], n[n >= SUPPORT]) for k, (values, n) in seen.items()}
+    held = {}
+    collect(False, {k: v for k, (v, _) in seen.items()})
 
     def pure(fold: int, kind: str) -> np.ndarray:
-        rows = np.concatenate(found.get((fold, kind), [np.zeros((0, 2), np.uint64)]))
-        values, where = np.unique(rows[:, 0], return_inverse=True)
-        n, k = np.bincount(where, minlength=len(values)), np.bincount(where, rows[:, 1].astype(float), len(values))
-        return values[(k >= SUPPORT) & (k >= PURITY * n)]
+        values, k = seen[fold, kind]
+        good, n = np.unique(np.concatenate(held[fold, kind]), return_counts=True)
+        among = k.copy()
+        among[np.searchsorted(values, good)] += n
+        return values[k >= PURITY * among]
 
     return Lexicons(pure(0, "word"), pure(1, "word"), np.union1d(pure(0, "beginning"), pure(1, "beginning")))
 
@@ -236,20 +261,22 @@ def fit_linear(doc: np.ndarray, bucket: np.ndarray, target: np.ndarray, epochs:
     known = np.flatnonzero(support >= MIN_SUPPORT)
     n, out = len(target), np.zeros(1 << BITS)
     for r in range(rounds):
-        use = np.isin(bucket, known)
-        d, column = doc[use], np.searchsorted(known, bucket[use])
+        column_of = np.full(1 << BITS, -1, np.int32)
+        column_of[known] = np.arange(len(known))
+        column = column_of[bucket]
+        doc, bucket, column = doc[column >= 0], bucket[column >= 0], column[column >= 0]
         w, bias = np.zeros(len(known)), 0.0
         square, bias_square = np.full(len(known), 1e-6), 1e-6
         for _ in range(epochs):
-            z = np.bincount(d, w[column], n) + bias
+            z = np.bincount(doc, w[column], n) + bias
             error = 1 / (1 + np.exp(-np.clip(z, -30, 30))) - target
-            gradient = np.bincount(column, error[d], len(known)) / n + 1e-4 * w
+            gradient = np.bincount(column, error[doc], len(known)) / n + 1e-4 * w
             square += gradient**2
             w -= 0.5 * gradient / np.sqrt(square)
             bias_square += error.mean() ** 2
             bias -= 0.5 * error.mean() / np.sqrt(bias_square)
         if r + 1 < rounds:
-            known = known[np.abs(w) > 0.1 * np.abs(w).max(initial=0)]
+            known = known[np.abs(w) > 0.2 * np.abs(w).max(initial=0)]
     out[known] = w
     return out, bias
 
@@ -285,14 +312,19 @@ def _each(run, names: list[str]):
 
 
 def fetch(rows: DataFrame, chosen: list) -> list:
-    """The texts of the chosen rows (doc_id, n_bytes, mark), in that order, as far as SAMPLE_BYTES reach: [(text, mark)]."""
+    """The texts of the chosen rows (doc_id, n_bytes, mark), in that order, as far as SAMPLE_BYTES reach, texts of over a
+    64th of that passed over: [(text, mark)]."""
     ids, total = {}, 0
     for r in chosen:
-        if r.doc_id not in ids and total + r.n_bytes <= SAMPLE_BYTES:
+        if r.n_bytes > SAMPLE_BYTES // 64:
+            continue
+        if total + r.n_bytes > SAMPLE_BYTES:
+            break
+        if r.doc_id not in ids:
             ids[r.doc_id] = (len(ids), r[2])
             total += r.n_bytes
     wanted = rows.sparkSession.createDataFrame([(k,) for k in ids], "doc_id long")
-    found = {r.doc_id: r.text for r in rows.join(wanted, "doc_id").collect()}
+    found = {r.doc_id: r.text for r in rows.join(F.broadcast(wanted), "doc_id").collect()}  # at most MAX_LABELLED ids
     return [(found[k].encode(), mark) for k, (_, mark) in ids.items() if k in found]
 
 
@@ -320,17 +352,16 @@ def train(docs: DataFrame, labels: DataFrame, seed: int = 5) -> Model:
     sides = [voted.where(side & F.col("doc_id").isNotNull()).orderBy(order, "doc_id", "pattern").limit(MAX_TRAIN // 2).collect() for side in (is_bad, ~is_bad)]
     chosen = [r for pair in zip_longest(*sides) for r in pair if r is not None]
     taken = fetch(rows, chosen)
-    docs_, buckets, at = [], [], 0
-    for i in range(0, len(taken), 256):
-        doc, bucket = Pieces([t for t, _ in taken[i : i + 256]]).hashed()
-        docs_.append(doc + at)
-        buckets.append(bucket)
-        at += len(taken[i : i + 256])
+    texts, docs_, buckets = [t for t, _ in taken], [], []
+    for begin, end in chunks(texts):
+        doc, bucket = Pieces(texts[begin:end]).hashed()
+        docs_.append((doc + begin).astype(np.int32))
+        buckets.append(bucket.astype(np.int32))
     weights, bias = fit_linear(np.concatenate(docs_), np.concatenate(buckets), posterior[[k for _, k in taken]]) if taken else (np.zeros(1 << BITS), 0.0)
     model = Model(lexicons, posterior, estimates, weights, bias, 0.0)
     good = [t for t, bad in held if not bad]
     if good:
-        scores = np.sort(np.concatenate([model.score(Pieces(good[i : i + 256])) for i in range(0, len(good), 256)]))
+        scores = np.sort(np.concatenate([model.score(Pieces(good[a:b])) for a, b in chunks(good)]))
         model.threshold = max(0.0, float(scores[-1 - int(MAX_FALSE * len(scores))]) + 1e-9)
     return model
 
