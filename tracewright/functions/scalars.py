@@ -16,10 +16,11 @@ def words(text: Column) -> Column:
 
 
 def trigrams(text: Column) -> Column:
-    """The set of three-character windows of the lower-cased text; empty for shorter texts."""
-    low = F.lower(text)
-    windows = F.transform(F.sequence(F.lit(1), F.greatest(F.length(low) - 2, F.lit(1))), lambda i: F.substring(low, i, F.lit(3)))
-    return F.when(F.length(low) >= 3, F.array_distinct(windows)).otherwise(F.array().cast("array<string>"))
+    """The set of three-character windows of the lower-cased text; empty for shorter texts. Made by zipping the characters
+    with themselves, in time proportional to the length."""
+    chars = F.split(F.lower(text), "")
+    pairs = F.zip_with(chars, F.slice(chars, F.lit(2), F.size(chars)), lambda a, b: F.concat(a, b))
+    return F.array_distinct(F.array_compact(F.zip_with(pairs, F.slice(chars, F.lit(3), F.size(chars)), lambda a, b: F.concat(a, b))))
 
 
 def jaccard_ppm(shared: Column, left: Column, right: Column) -> Column:
@@ -121,7 +122,7 @@ def is_normalized_set(values: Column) -> Column:
 
 def micros(value: Column) -> Column:
     """Decimal string to millionths, halves up; null if it is no number in [0, 1]."""
-    number = F.expr("x").cast("decimal(38,18)") if value is None else value.try_cast("decimal(38,18)")
+    number = value.try_cast("decimal(38,18)")
     return F.when((number >= 0) & (number <= 1), F.round(number * PPM, 0).cast("long"))
 
 
@@ -196,10 +197,15 @@ def hash_bucket(digest: Column, buckets: int = PPM, offset: int = 0) -> Column:
 YEAR_ONE = 62_135_596_800
 
 
-def window_start(at: Column, seconds: int) -> Column:
-    """Start of the tumbling window, windows being aligned to the beginning of year 1."""
-    unix = F.unix_timestamp(at.cast("timestamp")) + YEAR_ONE
-    return (unix - F.pmod(unix, F.lit(seconds)) - YEAR_ONE).cast("long")
+def window_start(unix: Column, seconds: int) -> Column:
+    """Start of the tumbling window a time (seconds from 1970) is in; windows are aligned to the beginning of year 1."""
+    since = unix + YEAR_ONE
+    return (since - F.pmod(since, F.lit(seconds)) - YEAR_ONE).cast("long")
+
+
+def unix_seconds(at: str) -> Column:
+    """Seconds from 1970 of a timestamp without time zone."""
+    return F.expr(f"timestampdiff(SECOND, TIMESTAMP_NTZ'1970-01-01 00:00:00', `{at}`)").cast("long")
 
 
 def backoff_seconds(attempt: Column, most: int) -> Column:

@@ -1,8 +1,8 @@
 """Candidate channels: queries against documents, scored in integers, the best of each query ranked.
 
 Common shape: `docs` has version_id, `queries` has query_id; a channel returns query_id, channel, version_id, score,
-rank, ordered by score (descending) and version_id. Pairs are found by equality joins on what the two sides share, so
-only pairs that score at all are made; which side is broadcast is left to the optimizer's size check. Ranking is a
+rank, ordered by score (descending) and version_id. Where few pairs share anything, pairs are found by
+equality joins on what they share; which side is broadcast is left to the optimizer's size check. Ranking is a
 window with a limit, which Spark applies before the shuffle as well."""
 
 from __future__ import annotations
@@ -19,12 +19,18 @@ def ranked(hits: DataFrame, channel: str, limit: int) -> DataFrame:
     return best.select("query_id", F.lit(channel).alias("channel"), "version_id", F.col("score").cast("long").alias("score"), F.col("rank").cast("long").alias("rank"))
 
 
-def set_similarity(docs: DataFrame, queries: DataFrame, members, doc_text: str, query_text: str) -> DataFrame:
-    """query_id, version_id, score: integer Jaccard of two sets, through an inverted index."""
-    d = docs.select("version_id", members(F.col(doc_text)).alias("m")).select("version_id", F.size("m").alias("nd"), F.explode("m").alias("member"))
-    q = queries.select("query_id", members(F.col(query_text)).alias("m")).select("query_id", F.size("m").alias("nq"), F.explode("m").alias("member"))
-    shared = d.join(q, "member").groupBy("query_id", "version_id").agg(F.count("*").alias("shared"), F.first("nd").alias("nd"), F.first("nq").alias("nq"))
-    return shared.select("query_id", "version_id", S.jaccard_ppm(F.col("shared"), F.col("nd"), F.col("nq")).alias("score"))
+def set_similarity(docs: DataFrame, queries: DataFrame, members, doc_text: str, query_text: str, indexed: bool = False) -> DataFrame:
+    """query_id, version_id, score: integer Jaccard of two sets. A stated batch of queries meets every document where it
+    lies, and only what scores is kept; Spark broadcasts the batch while it is under its size threshold and pairs blocks
+    of both sides above it. For members that few documents share, `indexed` finds pairs by joining on the members."""
+    d = docs.select("version_id", members(F.col(doc_text)).alias("dm"))
+    q = queries.select("query_id", members(F.col(query_text)).alias("qm"))
+    if indexed:
+        d, q = (t.select(i, F.size(m).alias(f"n{m}"), F.explode(m).alias("member")) for t, i, m in ((d, "version_id", "dm"), (q, "query_id", "qm")))
+        shared = d.join(q, "member").groupBy("query_id", "version_id").agg(F.count("*").alias("shared"), F.first("ndm").alias("ndm"), F.first("nqm").alias("nqm"))
+    else:
+        shared = q.crossJoin(d).select("query_id", "version_id", F.size(F.array_intersect("qm", "dm")).alias("shared"), F.size("dm").alias("ndm"), F.size("qm").alias("nqm"))
+    return shared.select("query_id", "version_id", S.jaccard_ppm(F.col("shared"), F.col("ndm"), F.col("nqm")).alias("score"))
 
 
 def lexical(docs: DataFrame, queries: DataFrame, limit: int) -> DataFrame:

@@ -8,6 +8,7 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -105,7 +106,7 @@ def _state(p: Planner, by_id: dict, edges: list[dict], goals: set, satisfied: se
     strength = max(0, min(c["evidence_strength"] for c in chosen) - bridges * p.novelty_penalty - unseen * p.edge_penalty)
     covered = goals & {g for c in chosen for g in c["goals"]}
     gaps = sorted([("uncovered_goal", "", "", g) for g in goals - covered] + [("unsatisfied_requirement", c["version_id"], r, "") for c in chosen for r in c["requirements"] if r not in met])
-    plan = {"nodes": order, "edges": sorted(f"{e['source']}>{e['target']}" for e in inside), "goals": sorted(covered), "gaps": ["|".join(g) for g in gaps]}
+    plan = {"nodes": order, "edges": sorted(f"{e['source']}>{e['target']}" for e in inside), "goals": sorted(covered), "gaps": ["|".join(map(str, g)) for g in gaps]}
     risk, observed = sum(c["risk_cost"] for c in chosen), all(c["observed"] for c in chosen)
     digest = canonical.identity(plan)
     rank = (bool(gaps), -len(covered), -strength, not observed, -len(met), risk, tools, len(order), digest)
@@ -188,14 +189,23 @@ def schedule_groups(order: list, before: dict, clash: set) -> list[list]:
 
 
 def schedule(nodes: DataFrame) -> DataFrame:
-    """nodes(plan_id, ordinal, version_id, predecessors, conflicting) -> plan_id, version_id, level."""
-
-    def run(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values("ordinal")
-        before = {r.version_id: list(r.predecessors) for r in rows.itertuples()}
-        clash = {(min(r.version_id, c), max(r.version_id, c)) for r in rows.itertuples() for c in r.conflicting}
-        groups = schedule_groups(rows["version_id"].tolist(), before, clash)
-        return pd.DataFrame([{"plan_id": rows["plan_id"].iloc[0], "version_id": v, "level": g} for g, members in enumerate(groups) for v in members])
-
-    kind = dict(nodes.dtypes)
-    return nodes.groupBy("plan_id").applyInPandas(run, f"plan_id {kind['plan_id']}, version_id {kind['version_id']}, level long")
+    """nodes(plan_id, ordinal, version_id, predecessors, conflicting) -> plan_id, version_id, level. A plan becomes one
+    row; plans go to Python in batches, not one call each."""
+    kind = dict(nodes.dtypes)["version_id"]
+    one = F.array_sort(F.collect_list(F.struct("ordinal", "version_id", "predecessors", "conflicting")))
+    plans = nodes.groupBy("plan_id").agg(one.alias("n"))
+
+    def run(batches):
+        for batch in batches:
+            levels = []
+            for rows in batch.column("n").to_pylist():
+                before = {r["version_id"]: r["predecessors"] for r in rows}
+                clash = {(min(r["version_id"], c), max(r["version_id"], c)) for r in rows for c in r["conflicting"]}
+                groups = schedule_groups([r["version_id"] for r in rows], before, clash)
+                levels.append([{"version_id": v, "level": g} for g, members in enumerate(groups) for v in members])
+            fields = batch.column("n").type.value_type
+            out = pa.list_(pa.struct([fields.field("version_id"), pa.field("level", pa.int64())]))
+            yield pa.RecordBatch.from_arrays([batch.column("plan_id"), pa.array(levels, out)], names=["plan_id", "levels"])
+
+    schema = f"plan_id {dict(nodes.dtypes)['plan_id']}, levels array<struct<version_id:{kind},level:bigint>>"
+    return plans.mapInArrow(run, schema).select("plan_id", F.inline("levels"))

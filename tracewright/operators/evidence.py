@@ -210,7 +210,7 @@ def assign(requests: DataFrame, e: Experiment) -> DataFrame:
     rows = rows.withColumn("version_id", F.when(c("challenger"), pick).otherwise(e.champion))
     rows = rows.withColumn("reasons", F.when(c("challenger"), F.array(F.lit("challenger_bucket"))).otherwise(c("reasons")))
     start = S.window_start(c("assigned_at"), e.window_seconds)
-    ends = F.least(F.unix_timestamp(c("assigned_at").cast("timestamp")) + e.ttl_seconds, start + e.window_seconds)
+    ends = F.least(c("assigned_at") + e.ttl_seconds, start + e.window_seconds)
     return rows.withColumn("window_start", start).withColumn("expires_at", ends)
 
 

@@ -29,7 +29,7 @@ class Policy:
 
 def rejection(code: str, subject: Column | str, name: str, expected: str | Column, observed: str | Column) -> Column:
     as_col = lambda x: x if isinstance(x, Column) else F.lit(x)
-    return F.struct(F.lit(code).alias("code"), F.coalesce(as_col(subject), F.lit("")).alias("subject"), F.lit(name).alias("field"), as_col(expected).alias("expected"), as_col(observed).alias("observed"))
+    return F.struct(F.lit(code).alias("code"), F.coalesce(as_col(subject).cast("string"), F.lit("")).alias("subject"), F.lit(name).alias("field"), as_col(expected).alias("expected"), as_col(observed).alias("observed"))
 
 
 def _if(test: Column, what: Column) -> Column:
