@@ -32,14 +32,14 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tracewright.llm.common import as_bytes, checkpoint, materialize, slices, utf8
+from tracewright.llm.common import as_bytes, checkpoint, materialize, releasing, slices, utf8
 
 WINDOW, K = 100, 24
 SPAN = WINDOW - K + 1
 #: Bytes of text that are looked at together: bounds a task's scratch memory; longer texts are cut, overlapping.
-PIECE = 1 << 20
+PIECE = 1 << 19
 #: Bytes of segments that are suffix-sorted together.
-SORT_BYTES = 1 << 20
+SORT_BYTES = 1 << 19
 
 _P = 0x9E3779B97F4A7C15
 _TABLE = np.random.Generator(np.random.PCG64(5)).integers(0, 1 << 63, 256, dtype=np.uint64)
@@ -145,13 +145,13 @@ def anchor_table(docs: DataFrame, buckets: int) -> DataFrame:
                 for found in records(utf8(texts.slice(a, b - a).to_pylist()), ids[a:b], tags[a:b]):
                     held.append(found)
                     n += len(found)
-                    if n >= 400_000:
+                    if n >= 200_000:
                         yield flush()
                         held, n = [], 0
         if n:
             yield flush()
 
-    return docs.select("did", "tag", "text").mapInArrow(run, "bucket long, records binary")
+    return docs.select("did", "tag", "text").mapInArrow(releasing(run), "bucket long, records binary")
 
 
 # --- 2: equal segments -------------------------------------------------------------------------------------------
@@ -189,7 +189,7 @@ def matched(anchors: DataFrame) -> DataFrame:
                     columns = [rows["doc"], rows["tag"].astype(np.int32), at - rows["lo"], at - rows["hi"], at, np.full(len(rows), compare)]
                     yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(c)) for c in columns], names=["did", "tag", "first", "last", "at", "compare"])
 
-    return anchors.repartition("bucket").mapInArrow(run, "did long, tag int, first long, last long, at long, compare boolean")
+    return anchors.repartition("bucket").mapInArrow(releasing(run), "did long, tag int, first long, last long, at long, compare boolean")
 
 
 # --- 3: two-stage suffix sorting ---------------------------------------------------------------------------------
@@ -340,7 +340,7 @@ def compared(docs: DataFrame, open_segments: DataFrame) -> DataFrame:
 
     items = open_segments.groupBy("did", "tag").agg(F.collect_list(F.struct("first", "last", "at")).alias("items"))
     pairs = docs.select("did", "tag", "text").dropna(subset=["text"]).join(items, ["did", "tag"])
-    return pairs.mapInArrow(texts, "kmer long, did long, tag int, first long, segment binary").repartition("kmer").mapInArrow(sort, "did long, tag int, first long, last long")
+    return pairs.mapInArrow(releasing(texts), "kmer long, did long, tag int, first long, segment binary").repartition("kmer").mapInArrow(releasing(sort), "did long, tag int, first long, last long")
 
 
 # --- 4: texts ----------------------------------------------------------------------------------------------------
@@ -405,4 +405,4 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
                 names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept", "kept_sha256"],
             )
 
-    return joined.select("doc_id", "text", "nth", "firsts", "lasts").mapInArrow(run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary, kept_sha256 string")
+    return joined.select("doc_id", "text", "nth", "firsts", "lasts").mapInArrow(releasing(run), "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary, kept_sha256 string")
