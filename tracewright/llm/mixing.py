@@ -3,7 +3,8 @@
 Every source asks for its weight's share of the budget but may be repeated at most `max_epochs` times. Clamping the
 sources above their cap and handing their excess to the others by weight, until none is above, ends at one water level:
 target = min(cap, level * weight). The level needs no loop: with sources in order of cap / weight, the clamped ones are
-a prefix, and the first prefix after which `rest of budget / rest of weight` stays under the next cap / weight is it.
+a prefix, and the first prefix after which `rest of budget / rest of weight` stays under the next cap / weight is it
+(clamping more sources than that only lowers the quotient, so it is the greatest that stays under).
 
 A target is met by whole repetitions plus a seeded fraction: a source's rows are put in the order of a seeded digest,
 and rows are taken while the middle of their size interval lies under fraction * source size. The running sum is made
@@ -41,7 +42,7 @@ def targets(sizes: DataFrame, weights: list[int], budget_percent: int, max_epoch
     s = s.withColumn("cap_before", F.coalesce(F.sum("cap").over(by_ratio.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
     s = s.withColumn("weight_left", F.sum("weight").over(by_ratio.rowsBetween(0, Window.unboundedFollowing)))
     level = (F.col("budget") - F.col("cap_before")) / F.col("weight_left")
-    s = s.withColumn("level", F.min(F.when(level * F.col("weight") <= F.col("cap"), level)).over(everything))
+    s = s.withColumn("level", F.max(F.when(level * F.col("weight") <= F.col("cap"), level)).over(everything))
     water = F.col("level") * F.col("weight")
     return s.select("source", "source_size", "weight", "cap", F.when(F.col("level").isNull() | (water > F.col("cap")), F.col("cap").cast("double")).otherwise(water).alias("target"))
 

@@ -103,7 +103,7 @@ WITH d AS (
     sum(weight) OVER (ORDER BY CAST(cap AS DOUBLE) / weight, source IS NULL, source ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS weight_left
   FROM w
 ), v AS (
-  SELECT *, min(CASE WHEN (budget - cap_before) / weight_left * weight <= cap THEN (budget - cap_before) / weight_left END) OVER () AS level FROM l
+  SELECT *, max(CASE WHEN (budget - cap_before) / weight_left * weight <= cap THEN (budget - cap_before) / weight_left END) OVER () AS level FROM l
 ), t AS (
   SELECT source, source_size, CASE WHEN level IS NULL OR level * weight > cap THEN CAST(cap AS DOUBLE) ELSE level * weight END AS target FROM v
 ), r AS (
