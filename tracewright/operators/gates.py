@@ -38,7 +38,10 @@ def _if(test: Column, what: Column) -> Column:
 
 
 def risk_name(ordinal: Column) -> Column:
-    return F.coalesce(F.element_at(F.array(*map(F.lit, RISKS)), F.when(ordinal.between(1, 4), ordinal)), F.lit("unknown"))
+    out = F.lit("unknown")
+    for i, name in enumerate(RISKS):
+        out = F.when(ordinal == i + 1, name).otherwise(out)
+    return out
 
 
 def single_gates(policy: Policy) -> list[Column]:
