@@ -53,11 +53,13 @@ def corpus(seed):
     return rows
 
 
-@pytest.mark.parametrize("seed", [1, 2, 3])
+@pytest.mark.parametrize("seed", [1, 2, 3, 4])
 def test_against_every_window(spark, seed, monkeypatch):
     if seed == 2:  # small pieces: long texts are cut
         monkeypatch.setattr(sd, "PIECE", 700)
         monkeypatch.setattr(sd, "SORT_BYTES", 500)
+    if seed == 3:  # some anchors count as hot
+        monkeypatch.setattr(sd, "HOT_SEGMENTS", 4)
     rows = corpus(seed)
     df = spark.createDataFrame([(*r, "a", 1) for r in rows], "doc_id long, text string, did string, tag int").repartition(3)
     got = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in sd.remove_repeats(df).collect()}

@@ -13,7 +13,8 @@ in WINDOW bytes, and such suffixes can be brought together first:
    Left are anchors with different segments: where passages start, end or were edited. Only these go on, as text.
 3. Segments of the same anchors are joined into one buffer and suffix-sorted in two stages: suffixes smaller than their
    successors are sorted directly, the others are induced by one scan over the buckets of first bytes. Adjacent common
-   prefixes of at least WINDOW bytes make groups of equal windows, of which the first is kept.
+   prefixes of at least WINDOW bytes make groups of equal windows, of which the first is kept. An anchor with
+   HOT_SEGMENTS different segments or more would fill one task: its windows meet by a 128-bit digest instead.
 4. The removed ranges meet their texts.
 
 Defined cases: null text is empty; texts shorter than WINDOW lose nothing; a null doc_id is smaller than any; rows with
@@ -38,6 +39,11 @@ WINDOW, K = 100, 24
 SPAN = WINDOW - K + 1
 #: Bytes of text that are looked at together: bounds a task's scratch memory; longer texts are cut, overlapping.
 PIECE = 1 << 19
+#: Different segments of one anchor from which on its windows are spread over all tasks instead of sorted in one. So many
+#: are 2.8 MB of text, for which sorting takes some 200 MB of a worker; fewer are better sorted where they are.
+HOT_SEGMENTS = 20_000
+#: Added to a record's `lo` if an earlier segment in the same task is equal: repeated, whatever other tasks hold.
+SETTLED = 128
 #: Bytes of segments that are suffix-sorted together.
 SORT_BYTES = 1 << 19
 
@@ -131,7 +137,14 @@ def anchor_table(docs: DataFrame, buckets: int) -> DataFrame:
 
         def flush() -> pa.RecordBatch:
             found = np.concatenate(held)
-            bucket = (found["h"] >> np.uint64(32)) % np.uint64(buckets)
+            found = found[np.lexsort((found["at"], found["tag"], found["doc"], found["s"], found["h"]))]
+            same = (found["h"][1:] == found["h"][:-1]) & (found["s"][1:] == found["s"][:-1])
+            twice = same & (found["doc"][1:] == found["doc"][:-1]) & (found["tag"][1:] == found["tag"][:-1]) & (found["at"][1:] == found["at"][:-1])
+            again = np.concatenate(([False], same))
+            found["lo"][again] |= SETTLED
+            by = np.where(again, _mix(found["doc"].view(np.uint64)), found["h"])  # what is settled need not meet its like
+            keep = np.concatenate(([True], ~twice))
+            found, bucket = found[keep], ((by >> np.uint64(32)) % np.uint64(buckets))[keep]
             order = np.argsort(bucket, kind="stable")
             found, bucket = found[order], bucket[order]
             stops = np.flatnonzero(np.diff(bucket)) + 1
@@ -157,25 +170,29 @@ def anchor_table(docs: DataFrame, buckets: int) -> DataFrame:
 # --- 2: equal segments -------------------------------------------------------------------------------------------
 
 
-def match(found: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(records repeated as a whole, records that have to be compared): all records of an anchor are in `found`."""
+def match(found: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(records repeated as a whole, records that have to be compared, those of them whose anchor has very many
+    segments): all records of an anchor that are not settled are in `found`."""
+    if not len(found):
+        return found, found, np.zeros(0, bool)
     found = found[np.argsort(found["h"], kind="stable")]
     change = np.concatenate(([True], np.diff(found["h"]) != 0, [True]))
     found = found[~(change[:-1] & change[1:])]  # anchors seen once
     order = np.lexsort((found["at"], found["tag"], found["doc"], found["s"], found["h"]))
     found = found[order]
     if not len(found):
-        return found, found
+        return found, found, np.zeros(0, bool)
     found = found[np.concatenate(([True], found[1:] != found[:-1]))]  # rows that repeat in full
     anchor = np.concatenate(([True], np.diff(found["h"]) != 0))
     kind = anchor | np.concatenate(([True], np.diff(found["s"]) != 0))
     group = np.cumsum(anchor) - 1
-    several = np.bincount(group, kind)[group] > 1
-    return found[~kind], found[kind & several]
+    segments_of = np.bincount(group, kind)[group]
+    compare = kind & (segments_of > 1)
+    return found[~kind], found[compare], segments_of[compare] >= HOT_SEGMENTS
 
 
 def matched(anchors: DataFrame) -> DataFrame:
-    """did, tag, first, last, at, compare: first..last are window starts; compare says whether they are still open."""
+    """did, tag, first, last, at, compare, hot: first..last are window starts; compare says whether they are still open."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         by_bucket: dict[int, list] = {}
@@ -183,13 +200,19 @@ def matched(anchors: DataFrame) -> DataFrame:
             for bucket, blob in zip(batch.column("bucket").to_pylist(), batch.column("records").to_pylist(), strict=True):
                 by_bucket.setdefault(bucket, []).append(np.frombuffer(blob, RECORD))
         for parts in by_bucket.values():
-            for rows, compare in zip(match(np.concatenate(parts)), (False, True), strict=True):
+            found = np.concatenate(parts)
+            settled = found["lo"] >= SETTLED
+            repeated, compare, hot = match(found[~settled])
+            settled = found[settled]
+            settled["lo"] -= SETTLED
+            for rows, open_, many in ((settled, False, None), (repeated, False, None), (compare, True, hot)):
                 if len(rows):
                     at = rows["at"].astype(np.int64)
-                    columns = [rows["doc"], rows["tag"].astype(np.int32), at - rows["lo"], at - rows["hi"], at, np.full(len(rows), compare)]
-                    yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(c)) for c in columns], names=["did", "tag", "first", "last", "at", "compare"])
+                    flags = [np.full(len(rows), open_), np.zeros(len(rows), bool) if many is None else many]
+                    columns = [rows["doc"], rows["tag"].astype(np.int32), at - rows["lo"], at - rows["hi"], at, *flags]
+                    yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(c)) for c in columns], names=["did", "tag", "first", "last", "at", "compare", "hot"])
 
-    return anchors.repartition("bucket").mapInArrow(releasing(run), "did long, tag int, first long, last long, at long, compare boolean")
+    return anchors.repartition("bucket").mapInArrow(releasing(run), "did long, tag int, first long, last long, at long, compare boolean, hot boolean")
 
 
 # --- 3: two-stage suffix sorting ---------------------------------------------------------------------------------
@@ -338,9 +361,31 @@ def compared(docs: DataFrame, open_segments: DataFrame) -> DataFrame:
             columns = [did[own][seg[a]], tag[own][seg[a]], start[a], start[b]]
             yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["did", "tag", "first", "last"])
 
-    items = open_segments.groupBy("did", "tag").agg(F.collect_list(F.struct("first", "last", "at")).alias("items"))
-    pairs = docs.select("did", "tag", "text").dropna(subset=["text"]).join(items, ["did", "tag"])
-    return pairs.mapInArrow(releasing(texts), "kmer long, did long, tag int, first long, segment binary").repartition("kmer").mapInArrow(releasing(sort), "did long, tag int, first long, last long")
+    def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """One row per window of a hot segment: a 128-bit digest of its bytes, and where it starts."""
+        for batch in batches:
+            for row in batch.to_pylist():
+                data = row["text"].encode()
+                for item in row["items"]:
+                    starts = list(range(item["first"], item["last"] + 1))
+                    digests = np.frombuffer(b"".join(hashlib.blake2b(data[s : s + WINDOW], digest_size=16).digest() for s in starts), np.int64).reshape(-1, 2)
+                    n = len(starts)
+                    columns = [pa.array(np.ascontiguousarray(digests[:, 0])), pa.array(np.ascontiguousarray(digests[:, 1])), pa.array([row["did"]] * n, pa.int64()), pa.array([row["tag"]] * n, pa.int32()), pa.array(starts, pa.int64())]
+                    yield pa.RecordBatch.from_arrays(columns, names=["a", "b", "did", "tag", "first"])
+
+    def texts_of(segments_: DataFrame) -> DataFrame:
+        items = segments_.groupBy("did", "tag").agg(F.collect_list(F.struct("first", "last", "at")).alias("items"))
+        return docs.select("did", "tag", "text").dropna(subset=["text"]).join(items, ["did", "tag"])
+
+    cold = texts_of(open_segments.where("NOT hot")).mapInArrow(releasing(texts), "kmer long, did long, tag int, first long, segment binary")
+    found = cold.repartition("kmer").mapInArrow(releasing(sort), "did long, tag int, first long, last long")
+    if open_segments.where("hot").isEmpty():
+        return found
+    # an anchor in a large part of all documents: its windows meet by digest, partial minima first, so no task gets them all
+    windows = checkpoint(texts_of(open_segments.where("hot")).mapInArrow(releasing(spread), "a long, b long, did long, tag int, first long").distinct())
+    earliest = windows.groupBy("a", "b").agg(F.min(F.struct("did", "tag", "first")).alias("m"), F.count("*").alias("n")).where("n > 1")
+    again = windows.join(checkpoint(earliest), ["a", "b"]).where(F.struct("did", "tag", "first") != F.col("m"))
+    return found.unionByName(again.select("did", "tag", "first", F.col("first").alias("last")))
 
 
 # --- 4: texts ----------------------------------------------------------------------------------------------------
