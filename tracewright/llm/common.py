@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import ctypes
+import re
 import uuid
 from collections.abc import Iterable, Iterator
 
@@ -80,8 +81,16 @@ def release() -> None:
         pass
 
 
-def releasing(run):
-    """A mapInArrow function that gives memory back when its input ends."""
+#: Bytes of an Arrow batch that goes to a Python worker; with `slices` it bounds what a worker holds.
+BATCH_BYTES = 8 << 20
+
+
+def arrow(df: DataFrame, run, schema: str) -> DataFrame:
+    """df.mapInArrow in batches of bounded bytes (a setting of the session, lowered here), by workers that give memory
+    back when their input ends."""
+    conf = df.sparkSession.conf
+    if int(re.sub(r"\D", "", conf.get("spark.sql.execution.arrow.maxBytesPerBatch")) or 0) > BATCH_BYTES:
+        conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
 
     def go(batches):
         try:
@@ -89,4 +98,4 @@ def releasing(run):
         finally:
             release()
 
-    return go
+    return df.mapInArrow(go, schema)

@@ -21,7 +21,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tracewright.llm.common import as_bytes, checkpoint, materialize, slices, utf8
+from tracewright.llm.common import arrow, as_bytes, checkpoint, materialize, slices, utf8
 
 WINDOW = 32
 MIN_CHUNK, MASK_BITS, MAX_CHUNK = 512, 11, 16384
@@ -87,9 +87,8 @@ def _recipes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def recipes(docs: DataFrame) -> DataFrame:
     """doc_id, n_bytes, text_sha256, recipe (concatenated chunk identifiers), one row per row of docs."""
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(
-        _recipes, "doc_id long, n_bytes long, text_sha256 string, recipe binary"
-    )
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    return arrow(rows, _recipes, "doc_id long, n_bytes long, text_sha256 string, recipe binary")
 
 
 def chunk_store(docs: DataFrame) -> DataFrame:
@@ -102,7 +101,7 @@ def chunk_store(docs: DataFrame) -> DataFrame:
                 parts = [p for _, ps in chunks(utf8(texts.slice(a, b - a).to_pylist())) for p in ps]
                 yield pa.RecordBatch.from_arrays([pa.array([hashlib.sha256(p).digest() for p in parts], pa.binary()), pa.array(parts, pa.binary())], names=["chunk_id", "bytes"])
 
-    distinct = docs.select(F.col("text").cast("string").alias("text")).mapInArrow(explode, "chunk_id binary, bytes binary").groupBy("chunk_id", "bytes").agg(F.count("*").alias("n_uses"))
+    distinct = arrow(docs.select(F.col("text").cast("string").alias("text")), explode, "chunk_id binary, bytes binary").groupBy("chunk_id", "bytes").agg(F.count("*").alias("n_uses"))
     return distinct.withColumn("variant", F.row_number().over(Window.partitionBy("chunk_id").orderBy("bytes")))
 
 
@@ -123,10 +122,16 @@ def groups(docs: DataFrame) -> DataFrame:
 def drop_copies(docs: DataFrame, order: Column | None = None) -> DataFrame:
     """docs with one row of each group of equal texts, that with the largest doc_id; all columns stay.
 
-    The keepers' (doc_id, digest) find their rows again in one join; rows that repeat both are cut to one."""
-    keep = groups(docs).where("kept").select(F.col("doc_id").alias("__id"), F.col("text_sha256").alias("__sha")).distinct()
+    What goes is named by (doc_id, digest) in a written table: where that is small, Spark broadcasts it and no text
+    moves; else the two meet in one join. Only if kept rows repeat in full are they numbered to cut them to one."""
+    key = [F.col("doc_id").alias("__id"), F.col("text_sha256").alias("__sha")]
+    found = materialize(groups(docs).select(*key, "kept"), "kept")
+    gone = materialize(found.where("NOT kept").select("__id", "__sha").distinct(), "copies")
     columns = docs.columns
-    tagged = docs.withColumn("__sha", F.sha2(F.coalesce(F.col("text"), F.lit("")).cast("binary"), 256))
-    found = tagged.alias("d").join(keep.alias("k"), F.col("d.doc_id").eqNullSafe(F.col("k.__id")) & (F.col("d.__sha") == F.col("k.__sha")), "left_semi")
-    nth = F.row_number().over(Window.partitionBy("doc_id", "__sha").orderBy(order if order is not None else F.lit(0)))
-    return found.withColumn("__n", nth).where("__n = 1").select(*columns)
+    tagged = docs.withColumn("__digest", F.sha2(F.coalesce(F.col("text"), F.lit("")).cast("binary"), 256))
+    same = F.col("doc_id").cast("long").eqNullSafe(F.col("__id")) & (F.col("__digest") == F.col("__sha"))
+    left = tagged.join(gone, same, "left_anti")
+    if not found.where("kept").groupBy("__id", "__sha").count().where("count > 1").isEmpty():
+        nth = F.row_number().over(Window.partitionBy("doc_id", "__digest").orderBy(order if order is not None else F.lit(0)))
+        left = left.withColumn("__n", nth).where("__n = 1")
+    return left.select(*columns)

@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tracewright.llm.common import slices
+from tracewright.llm.common import arrow, slices
 
 BLOCK_PIECES = 20_000
 NODE_BUDGET = 400
@@ -88,7 +88,7 @@ def pieces(docs: DataFrame, tokenizer: dict, capacity: int, with_ids: bool = Fal
                 yield pa.RecordBatch.from_arrays(arrays, names=names)
 
     schema = "doc_id long, piece int, start long, length long, ids_crc32 long" + (", ids binary" if with_ids else "")
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, schema)
+    return arrow(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")), run, schema)
 
 
 # --- one block ---------------------------------------------------------------------------------------------------

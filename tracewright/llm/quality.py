@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tracewright.llm.common import as_bytes, materialize, slices, utf8
+from tracewright.llm.common import arrow, as_bytes, materialize, release, slices, utf8
 
 MAX_LABELLED, MAX_TRAIN, SAMPLE_BYTES = 12000, 6000, 20 << 20
 #: Share of the held-out good documents that may be rejected.
@@ -338,7 +338,7 @@ def train(docs: DataFrame, labels: DataFrame, seed: int = 5) -> Model:
     held, taught = curated[::3], [x for i, x in enumerate(curated) if i % 3]
     lexicons = learn_lexicons([t for t, _ in taught], np.array([bad for _, bad in taught], float)) if taught else Lexicons(*[np.zeros(0, np.uint64)] * 3)
 
-    voting = rows.mapInArrow(_each(lambda p: [np.diff(p.doc_start) - 1, patterns(p, lexicons)], ["n_bytes", "pattern"]), "doc_id long, n_bytes long, pattern long")
+    voting = arrow(rows, _each(lambda p: [np.diff(p.doc_start) - 1, patterns(p, lexicons)], ["n_bytes", "pattern"]), "doc_id long, n_bytes long, pattern long")
     voted = materialize(voting, "votes")
     counts = voted.groupBy("pattern").agg(F.count("*").alias("n")).collect()  # at most 2^labellers rows
     pattern, n = np.array([r.pattern for r in counts], np.int64), np.array([r.n for r in counts], float)
@@ -374,7 +374,7 @@ def classify(docs: DataFrame, labels: DataFrame, model: Model | None = None) ->
         pattern, score = patterns(p, model.lexicons), model.score(p)
         return [np.bitwise_count(pattern).astype(np.int32), model.posterior[pattern], score, score <= model.threshold]
 
-    return _narrow(docs).mapInArrow(_each(run, ["n_votes", "posterior", "score", "kept"]), "doc_id long, n_votes int, posterior double, score double, kept boolean")
+    return arrow(_narrow(docs), _each(run, ["n_votes", "posterior", "score", "kept"]), "doc_id long, n_votes int, posterior double, score double, kept boolean")
 
 
 def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:
@@ -387,6 +387,7 @@ def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:
         out, column = [], pa.array(texts, pa.string()).cast(pa.binary())
         for a, b in slices(column, 1 << 20):
             out.append(model.score(Pieces(utf8(column.slice(a, b - a).to_pylist()))) <= model.threshold)
+        release()
         return pd.Series(np.concatenate(out) if out else np.zeros(0, bool))
 
     return docs.where(kept(F.coalesce(F.col("text"), F.lit(""))))

@@ -29,7 +29,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tracewright.llm.common import as_bytes, materialize, slices, utf8
+from tracewright.llm.common import arrow, as_bytes, checkpoint, materialize, slices, utf8
 from tracewright.llm.graph import components
 
 LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
@@ -91,7 +91,7 @@ def fingerprints(docs: DataFrame, width: int, seed: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(fps.view(np.int64))], names=["doc_id", "fp"])
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return rows.mapInArrow(run, "doc_id long, fp long")
+    return arrow(rows, run, "doc_id long, fp long")
 
 
 # --- the index ---------------------------------------------------------------------------------------------------
@@ -215,7 +215,7 @@ def links(distinct: DataFrame, max_bits: int) -> DataFrame:
         yield pa.RecordBatch.from_arrays([pa.array(fp[labels[other]].view(np.int64)), pa.array(fp[other].view(np.int64))], names=["a", "b"])
 
     dealt = distinct.select("fp", F.inline(F.array(*keys))).repartition("block", "key")
-    return dealt.mapInArrow(run, "a long, b long")
+    return arrow(dealt, run, "a long, b long")
 
 
 # --- documents ---------------------------------------------------------------------------------------------------
@@ -226,12 +226,20 @@ def near_groups(docs: DataFrame, width: int = 3, max_bits: int = 3, seed: int =
     rows = materialize(fingerprints(docs, width, seed), "fingerprints")
     distinct = rows.groupBy("fp").agg(F.min("doc_id").alias("first_id"))
     roots = components(links(distinct, max_bits))
-    labelled = distinct.join(roots, F.col("fp") == F.col("node"), "left").select("fp", "first_id", F.coalesce("root", "fp").alias("root"))
-    smallest = labelled.groupBy("root").agg(F.min("first_id").alias("component_id"))
-    by_fp = labelled.join(smallest, "root").select("fp", "component_id")
+    by_fp = smallest_of(distinct, "fp", roots)
     return rows.join(by_fp, "fp").select("doc_id", "fp", "component_id")
 
 
+def smallest_of(distinct: DataFrame, key: str, roots: DataFrame) -> DataFrame:
+    """key, component_id: the smallest first_id of each component. Only what has links is joined with its component, and
+    with one row per component on the other side, so a large component is split and not gathered."""
+    linked = distinct.join(roots.select(F.col("node").alias("__node"), F.col("root").alias("__root")), F.col(key) == F.col("__node")).select(key, "first_id", "__root")
+    linked = checkpoint(linked)
+    smallest = checkpoint(linked.groupBy("__root").agg(F.min("first_id").alias("__least")))
+    found = linked.join(smallest, "__root").select(F.col(key).alias("__key"), "__least")
+    return distinct.join(found, F.col(key) == F.col("__key"), "left").select(key, F.coalesce("__least", "first_id").alias("component_id"))
+
+
 def hex16(fp: str = "fp"):
     return F.lower(F.lpad(F.hex(fp), 16, "0"))
 
@@ -312,18 +320,18 @@ def wide_groups(docs: DataFrame, width: int = 5, similarity: float = 0.8, seed:
 
     limit = wide_limit(similarity)
     narrow = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    rows = materialize(narrow.mapInArrow(run, "doc_id long, fp binary").withColumn("node", F.xxhash64("fp")), "wide-fingerprints")
+    rows = materialize(arrow(narrow, run, "doc_id long, fp binary").withColumn("node", F.xxhash64("fp")), "wide-fingerprints")
     distinct = rows.groupBy("node").agg(F.min("doc_id").alias("first_id"))
-    dealt = rows.groupBy("node").agg(F.first("fp").alias("fp")).mapInArrow(deal, "key int, node long, fp binary").repartition("key")
-    roots = components(dealt.mapInArrow(meet, "a long, b long")).withColumnRenamed("node", "__node")
-    labelled = distinct.join(roots, F.col("node") == F.col("__node"), "left").select("node", "first_id", F.coalesce("root", "node").alias("root"))
-    smallest = labelled.groupBy("root").agg(F.min("first_id").alias("component_id"))
-    by_node = labelled.join(smallest, "root").select("node", "component_id")
+    dealt = arrow(rows.groupBy("node").agg(F.first("fp").alias("fp")), deal, "key int, node long, fp binary").repartition("key")
+    by_node = smallest_of(distinct, "node", components(arrow(dealt, meet, "a long, b long")))
     return rows.join(by_node, "node").select("doc_id", "component_id")
 
 
 def drop_near_copies(docs: DataFrame, width: int = 5, similarity: float = 0.8, seed: int = 42) -> DataFrame:
-    """docs without the rows of a near-copy group but those with its smallest doc_id; all columns stay. Only ids meet
-    the texts."""
-    keep = wide_groups(docs, width, similarity, seed).where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("__id")).distinct()
-    return docs.join(keep, F.col("doc_id").cast("long").eqNullSafe(F.col("__id")), "left_semi")
+    """docs without the rows of a near-copy group but those with its smallest doc_id; all columns stay. What goes is named
+    by id in a written table: where that is small, Spark broadcasts it and no text moves. Rows that share a doc_id stay
+    if any of them does."""
+    other = ~F.col("doc_id").eqNullSafe(F.col("component_id"))
+    found = wide_groups(docs, width, similarity, seed).groupBy("doc_id").agg(F.bool_and(other).alias("gone"))
+    gone = materialize(found.where("gone").select(F.col("doc_id").alias("__id")), "near-copies")
+    return docs.join(gone, F.col("doc_id").cast("long").eqNullSafe(F.col("__id")), "left_anti")

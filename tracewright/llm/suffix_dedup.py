@@ -33,7 +33,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tracewright.llm.common import as_bytes, checkpoint, materialize, releasing, slices, utf8
+from tracewright.llm.common import arrow, as_bytes, checkpoint, materialize, slices, utf8
 
 WINDOW, K = 100, 24
 SPAN = WINDOW - K + 1
@@ -164,7 +164,7 @@ def anchor_table(docs: DataFrame, buckets: int) -> DataFrame:
         if n:
             yield flush()
 
-    return docs.select("did", "tag", "text").mapInArrow(releasing(run), "bucket long, records binary")
+    return arrow(docs.select("did", "tag", "text"), run, "bucket long, records binary")
 
 
 # --- 2: equal segments -------------------------------------------------------------------------------------------
@@ -212,7 +212,7 @@ def matched(anchors: DataFrame) -> DataFrame:
                     columns = [rows["doc"], rows["tag"].astype(np.int32), at - rows["lo"], at - rows["hi"], at, *flags]
                     yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(c)) for c in columns], names=["did", "tag", "first", "last", "at", "compare", "hot"])
 
-    return anchors.repartition("bucket").mapInArrow(releasing(run), "did long, tag int, first long, last long, at long, compare boolean, hot boolean")
+    return arrow(anchors.repartition("bucket"), run, "did long, tag int, first long, last long, at long, compare boolean, hot boolean")
 
 
 # --- 3: two-stage suffix sorting ---------------------------------------------------------------------------------
@@ -377,12 +377,12 @@ def compared(docs: DataFrame, open_segments: DataFrame) -> DataFrame:
         items = segments_.groupBy("did", "tag").agg(F.collect_list(F.struct("first", "last", "at")).alias("items"))
         return docs.select("did", "tag", "text").dropna(subset=["text"]).join(items, ["did", "tag"])
 
-    cold = texts_of(open_segments.where("NOT hot")).mapInArrow(releasing(texts), "kmer long, did long, tag int, first long, segment binary")
-    found = cold.repartition("kmer").mapInArrow(releasing(sort), "did long, tag int, first long, last long")
+    cold = arrow(texts_of(open_segments.where("NOT hot")), texts, "kmer long, did long, tag int, first long, segment binary")
+    found = arrow(cold.repartition("kmer"), sort, "did long, tag int, first long, last long")
     if open_segments.where("hot").isEmpty():
         return found
     # an anchor in a large part of all documents: its windows meet by digest, partial minima first, so no task gets them all
-    windows = checkpoint(texts_of(open_segments.where("hot")).mapInArrow(releasing(spread), "a long, b long, did long, tag int, first long").distinct())
+    windows = checkpoint(arrow(texts_of(open_segments.where("hot")), spread, "a long, b long, did long, tag int, first long").distinct())
     earliest = windows.groupBy("a", "b").agg(F.min(F.struct("did", "tag", "first")).alias("m"), F.count("*").alias("n")).where("n > 1")
     again = windows.join(checkpoint(earliest), ["a", "b"]).where(F.struct("did", "tag", "first") != F.col("m"))
     return found.unionByName(again.select("did", "tag", "first", F.col("first").alias("last")))
@@ -450,4 +450,4 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
                 names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept", "kept_sha256"],
             )
 
-    return joined.select("doc_id", "text", "nth", "firsts", "lasts").mapInArrow(releasing(run), "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary, kept_sha256 string")
+    return arrow(joined.select("doc_id", "text", "nth", "firsts", "lasts"), run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary, kept_sha256 string")

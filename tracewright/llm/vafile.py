@@ -25,6 +25,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tracewright.llm.common import arrow
+
 CELLS = 64
 VECTOR_BLOCK, QUERY_BLOCK = 4096, 512
 SCALE = 256.0
@@ -78,7 +80,7 @@ def pack(rows: DataFrame, row_id: str, vector: str, block: int, prefix: str, app
 
     names = [f"{prefix}_{n}" for n in ("width", "ids", "exact", "codes", "bounds")]
     narrow = rows.select(F.col(row_id).cast("long").alias("id"), F.col(vector).cast("array<double>").alias("vector"))
-    return narrow.mapInArrow(run, ", ".join(f"{n} {'int' if n.endswith('width') else 'binary'}" for n in names))
+    return arrow(narrow, run, ", ".join(f"{n} {'int' if n.endswith('width') else 'binary'}" for n in names))
 
 
 def search_block(q_ids: np.ndarray, queries: np.ndarray, ids: np.ndarray, exact: np.ndarray, codes: np.ndarray, bounds: np.ndarray, k: int) -> tuple[list, int]:
@@ -136,6 +138,6 @@ def top_k(rows: DataFrame, is_query: Column, k: int, row_id: str = "vec_id", vec
 
     # blocks against blocks: Spark broadcasts the query blocks only while they are under its size threshold
     pairs = vectors.crossJoin(queries).where("v_width = q_width")
-    best = pairs.mapInArrow(run, f"query_id long, `{row_id}` long, score long")
+    best = arrow(pairs, run, f"query_id long, `{row_id}` long, score long")
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), row_id))
     return best.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", row_id, "score")
