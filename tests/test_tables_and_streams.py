@@ -21,6 +21,16 @@ def test_catalog_epochs(spark, tmp_path):
     assert c.erase("t", "tenant", "a") == 2 and [r.id for r in c.read("t").collect()] == [2]
 
 
+def test_migrations(spark, tmp_path):
+    c = tables.Catalog(spark, str(tmp_path))
+    first = [(1, "a", "x INT"), (2, "b", "y STRING")]
+    assert c.migrate(first) == [1, 2] and c.migrate(first) == [] and c.migrate([*first, (3, "a", "x INT, z INT")]) == [3]
+    with pytest.raises(ValueError):
+        c.migrate([(1, "a", "x BIGINT"), *first[1:]])
+    with pytest.raises(ValueError):
+        c.migrate([(2, "b", "y STRING")])
+
+
 def test_archive(spark, tmp_path):
     body = lambda s: (s, hashlib.sha256(s.encode()).hexdigest())
     df = lambda *x: spark.createDataFrame([("acme", "v1", h, b) for b, h in x], "tenant_id string, schema_version string, content_hash string, body string")

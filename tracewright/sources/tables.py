@@ -92,6 +92,26 @@ class Catalog:
             return self.spark.createDataFrame([], (schema or T.StructType()).add("epoch", "long"))
         return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
 
+    def migrate(self, migrations: list[tuple[int, str, str]]) -> list[int]:
+        """Apply migrations (version, table, DDL) in order, each once. A migration that was applied must still have the
+        text it was applied with; numbers must be 1, 2, ..."""
+        if [m[0] for m in migrations] != list(range(1, len(migrations) + 1)):
+            raise ValueError("migrations must be numbered from 1 without gaps")
+        rows = self.read("_migrations", schema=T.StructType.fromDDL("version INT, checksum STRING"))
+        done = {r.version: r.checksum for r in rows.collect()}  # one row per migration
+        fresh = []
+        for version, table, ddl in migrations:
+            checksum = canonical.identity({"ddl": ddl, "table": table, "version": version})
+            T.StructType.fromDDL(ddl)
+            if version in done:
+                if done[version] != checksum:
+                    raise ValueError(f"migration {version} was changed after it was applied")
+            else:
+                fresh.append((version, checksum))
+        if fresh:
+            self.append("_migrations", self.spark.createDataFrame(fresh, "version INT, checksum STRING"))
+        return [v for v, _ in fresh]
+
     def erase(self, table: str, column: str, value: str) -> int:
         """Rewrite a table without one tenant's rows as a new history of one epoch; the number of rows that went."""
         rows = self.read(table)
