@@ -162,3 +162,15 @@ def test_character_model_is_a_distribution():
     for context in ("", "a", "ab", "zz", "\x02\x02"):
         seen = sum(np.exp(model.log(context, c)) for c in "abc\x03")
         assert 0 < seen <= 1 + 1e-9
+
+
+# --- shared folder -----------------------------------------------------------------------------------------------
+
+
+def test_written_tables_can_be_forgotten(spark):
+    from tracewright.llm import common
+
+    common.forget(spark)
+    df = common.materialize(spark.range(5).toDF("x"), "five")
+    assert df.count() == 5 and common.forget(spark) == 1
+    assert common.forget(spark) == 0
