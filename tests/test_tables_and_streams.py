@@ -43,6 +43,16 @@ def test_archive(spark, tmp_path):
     assert [r.body for r in tables.archive_get(spark, str(tmp_path), wanted, 4).collect()] == ["one"]
 
 
+def test_wipe_and_journal(spark, tmp_path):
+    rows = [(t, "v1", hashlib.sha256(t.encode()).hexdigest(), t) for t in ("acme", "other")]
+    tables.archive_put(spark.createDataFrame(rows, "tenant_id string, schema_version string, content_hash string, body string"), str(tmp_path / "a")).count()
+    assert tables.archive_wipe(spark, str(tmp_path / "a"), "acme") and tables.archive_wipe(spark, str(tmp_path / "a"), "acme")
+    assert [r.body for r in spark.read.parquet(str(tmp_path / "a/canonical")).collect()] == ["other"]
+    assert tables.journal(spark, str(tmp_path / "j"), "erase-acme", {"tenant": "acme"}) and not tables.journal(spark, str(tmp_path / "j"), "erase-acme", {"tenant": "acme"})
+    with pytest.raises(ValueError):
+        tables.journal(spark, str(tmp_path / "j"), "erase-acme", {"tenant": "x"})
+
+
 def test_strict_json(spark, tmp_path):
     (tmp_path / "q.json").write_text('{"job_id": "a", "attempts": 1}\n')
     assert tables.load_json(spark, str(tmp_path / "q.json"), "queue").first().job_id == "a"

@@ -126,3 +126,19 @@ def alert_windows(samples: DataFrame, seconds: int, value: str, bad: str, thresh
     g = samples.groupBy(start).agg(F.count("*").alias("n"), F.count_if(bad).alias("n_bad"), F.expr(f"percentile_disc(0.95) WITHIN GROUP (ORDER BY {value})").alias("p95"))
     ratio = F.col("n_bad") / F.col("n")
     return g.select("since", "n", F.round(ratio, 9).alias("bad_ratio"), "p95", ((F.col("p95") > threshold) | (ratio > most_bad)).alias("firing"))
+
+
+# --- tool contracts ----------------------------------------------------------------------------------------------
+
+
+def register_contracts(known: DataFrame, batch: DataFrame) -> DataFrame:
+    """batch(tool_id, version, content_hash, aliases) plus status: new, known (same content), version_conflict (a version
+    never changes) or alias_conflict (a name or alias belongs to another tool, stored or in the batch)."""
+    have = known.groupBy("tool_id", "version").agg(F.max("content_hash").alias("__h"))
+    names = known.select("tool_id", "aliases").unionByName(batch.select("tool_id", "aliases"))
+    owned = names.select("tool_id", F.explode(F.concat(F.array("tool_id"), "aliases")).alias("name")).groupBy("name").agg(F.min("tool_id").alias("a"), F.max("tool_id").alias("b"))
+    clash = owned.where("a <> b").select("name")
+    hit = batch.select("tool_id", "version", F.explode(F.concat(F.array("tool_id"), "aliases")).alias("name")).join(clash, "name", "left_semi").select("tool_id", "version").distinct().withColumn("__clash", F.lit(True))
+    rows = batch.join(have, ["tool_id", "version"], "left").join(hit, ["tool_id", "version"], "left")
+    status = F.when(F.col("__clash"), "alias_conflict").when(F.col("__h").isNull(), "new").when(F.col("__h") == F.col("content_hash"), "known").otherwise("version_conflict")
+    return rows.withColumn("status", status).drop("__h", "__clash")

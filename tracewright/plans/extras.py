@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tracewright.operators import causal, channels, evidence, manifests, tables
+from tracewright.operators import records as records_
 from tracewright.plans import adapters as A
 from tracewright.plans import catalog, records
 from tracewright.plans.catalog import QUERIES, SQL, query, text
@@ -110,3 +111,28 @@ def foreign_key_existence(spark: SparkSession, sf: str) -> DataFrame:
     c = tables.orphans(read(spark, sf, "customer").withColumnRenamed("c_custkey", "o_custkey"), "o_custkey", read(spark, sf, "orders").where("o_orderstatus = 'P'"), "o_custkey")
     n = read(spark, sf, "nation").join(read(spark, sf, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
     return c.join(n, F.col("c_nationkey") == F.col("n_nationkey")).groupBy("r_name").agg(F.count("*").alias("customers"))
+
+
+@query(
+    """WITH k AS (SELECT p_brand AS tool_id, p_size AS version, max(md5(p_name)) AS h FROM part WHERE p_partkey % 2 = 0 GROUP BY 1, 2),
+b AS (SELECT p_brand AS tool_id, p_size AS version, min(md5(p_name)) AS content_hash FROM part WHERE p_partkey % 3 = 0 GROUP BY 1, 2)
+SELECT CASE WHEN tool_id IN ('Brand#1', 'Brand#2') THEN 'alias_conflict' WHEN h IS NULL THEN 'new' WHEN h = content_hash THEN 'known' ELSE 'version_conflict' END AS status, count(*) AS n FROM b LEFT JOIN k USING (tool_id, version) GROUP BY 1"""
+)
+def contract_registration(spark: SparkSession, sf: str) -> DataFrame:
+    """Brands as tools, sizes as versions; two brands claim one alias."""
+    c, p = F.col, read(spark, sf, "part")
+    aliases = F.when(c("tool_id").isin("Brand#1", "Brand#2"), F.array(F.lit("shared"))).otherwise(F.array().cast("array<string>"))
+    one = lambda rows, pick: rows.groupBy(c("p_brand").alias("tool_id"), c("p_size").alias("version")).agg(pick(F.md5(c("p_name").cast("binary"))).alias("content_hash")).withColumn("aliases", aliases)
+    out = manifests.register_contracts(one(p.where("p_partkey % 2 = 0"), F.max), one(p.where("p_partkey % 3 = 0"), F.min))
+    return out.groupBy("status").agg(F.count("*").alias("n"))
+
+
+@query(f"""WITH {catalog.LIFE} SELECT '{{"next_state":"' || r[1] || '","prior_state":"' || prior || '","version_id":' || version_id || '}}' AS line FROM t WHERE r[1] <> prior AND version_id % 3 = 1""")
+def lifecycle_batch_json(spark: SparkSession, sf: str) -> DataFrame:
+    """One JSON line per decision of one organization's scopes."""
+    from tracewright.functions import canonical
+
+    c = F.col
+    scope = F.concat(F.when(c("version_id") % 3 == 1, "acme").otherwise("other"), F.lit("__u"), c("version_id"))
+    rows = catalog.decisions(spark, sf).where("next_state <> prior_state").where(records_.organization(scope) == "acme")
+    return rows.select(canonical.struct_json(version_id=c("version_id"), prior_state=c("prior_state"), next_state=c("next_state")).alias("line"))

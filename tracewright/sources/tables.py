@@ -154,6 +154,31 @@ def archive_get(spark: SparkSession, root: str, hashes: DataFrame, most_bytes: i
     return found.where((F.octet_length("body") <= most_bytes) & (F.sha2("body", 256) == F.col("content_hash"))).select("content_hash", "body")
 
 
+def archive_wipe(spark: SparkSession, root: str, tenant_id: str) -> bool:
+    """Delete a tenant's archived objects and look again; True if nothing is left."""
+    tenant8 = spark.range(1).select(F.substring(F.sha2(F.lit(tenant_id), 256), 1, 8)).first()[0]
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{root}/canonical/tenant8={tenant8}")
+    fs = path.getFileSystem(spark._jsc.hadoopConfiguration())
+    fs.delete(path, True)
+    return not fs.exists(path)
+
+
+def journal(spark: SparkSession, path: str, entry_id: str, body: dict) -> bool:
+    """Write an intent before acting on it, once: False if it was there already with the same body; a different body
+    under the same id is an error."""
+    text = canonical.dumps(body)
+    where = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/{entry_id}.json")
+    fs = where.getFileSystem(spark._jsc.hadoopConfiguration())
+    if fs.exists(where):
+        if spark.read.text(f"{path}/{entry_id}.json", wholetext=True).first()[0] != text:
+            raise ValueError(f"{entry_id} is in the journal with another body")
+        return False
+    out = fs.create(where, False)
+    out.write(bytearray(text.encode()))
+    out.close()
+    return True
+
+
 def load_json(spark: SparkSession, path: str, table: str) -> DataFrame:
     """Strict scan: declared schema, malformed input fails."""
     return spark.read.schema(DDL[table]).option("mode", "FAILFAST").json(path)
