@@ -102,9 +102,20 @@ def test_entropy(spark):
     assert one(spark, "aabb", S.entropy_bits) == pytest.approx(1)
 
 
+def test_high_entropy_tokens_are_replaced_in_place(spark):
+    secret, dull = "aAbB0123456789cdefghijklmnopqrstuvwx", "a1" * 20
+    for text, want in {f"x {secret} y {dull}": f"x [REDACTED] y {dull}", secret: "[REDACTED]", "": "", "plain": "plain", f"{dull}.{secret}.": f"{dull}.[REDACTED]."}.items():
+        assert one(spark, text, S.redact_entropy) == want
+    clean, counts = S.redact(F.col("x"))
+    assert spark.createDataFrame([(f"a {secret} b {secret}",)], "x string").select(clean, counts["high_entropy"]).first()[:] == ("a [REDACTED] b [REDACTED]", 2)
+
+
 def test_semver_and_windows(spark):
-    assert one(spark, "v1.20.3", S.semver)[:] == (1, 20, 3)
+    assert one(spark, "v1.20.3", S.semver)[:3] == (1, 20, 3)
     assert one(spark, "1.2", S.semver) is None and one(spark, "01.2.3", S.semver) is None
+    order = ["1.0.0-alpha", "1.0.0-alpha.1", "1.0.0-alpha.beta", "1.0.0-beta", "1.0.0-beta.2", "1.0.0-beta.11", "1.0.0-rc.1", "v1.0.0+build", "1.0.1", "1.2.0", "1.10.0", "2.0.0-0"]
+    rows = spark.createDataFrame([(v,) for v in reversed(order)], "x string")
+    assert [r.x for r in rows.orderBy(S.semver(F.col("x"))).collect()] == order
     week = 7 * 86400
     assert one(spark, 1_700_000_000, lambda x: S.window_start(x, week), "long") == 1_699_833_600  # a Monday
     assert [one(spark, n, lambda x: S.backoff_seconds(x, 60), "int") for n in (1, 2, 7)] == [1, 2, 60]

@@ -69,7 +69,18 @@ def redact(value: Column) -> tuple[Column, dict[str, Column]]:
     for reason, pattern, replacement in SECRETS:
         counts[reason] = F.coalesce(F.regexp_count(clean, F.lit(pattern)), F.lit(0)).cast("long")
         clean = F.regexp_replace(clean, pattern, replacement)
-    return clean, counts
+    tokens = F.regexp_extract_all(clean, F.lit(f"({ENTROPY_TOKEN})"), 1)
+    counts["high_entropy"] = F.coalesce(F.size(F.filter(tokens, is_high_entropy)), F.lit(0)).cast("long")
+    return redact_entropy(clean), counts
+
+
+def redact_entropy(value: Column) -> Column:
+    """The value with every high-entropy token replaced: what lies between tokens is zipped with the tokens, so a token
+    is replaced in its place and not wherever its characters occur."""
+    between = F.split(value, ENTROPY_TOKEN, -1)
+    tokens = F.regexp_extract_all(value, F.lit(f"({ENTROPY_TOKEN})"), 1)
+    kept = F.transform(tokens, lambda t: F.when(is_high_entropy(t), "[REDACTED]").otherwise(t))
+    return F.array_join(F.zip_with(between, F.concat(kept, F.array(F.lit(""))), lambda b, t: F.concat(b, t)), "")
 
 
 def holds_credentials(value: Column) -> Column:
@@ -175,11 +186,19 @@ def negative_distance(a: Column, b: Column) -> Column:
 # --- versions, hashes, time --------------------------------------------------------------------------------------
 
 
+SEMVER = r"^v?(0|[1-9]\d*)\.(0|[1-9]\d*)\.(0|[1-9]\d*)(?:-([0-9A-Za-z-]+(?:\.[0-9A-Za-z-]+)*))?(?:\+[0-9A-Za-z.-]+)?$"
+
+
 def semver(version: Column) -> Column:
-    """struct(major, minor, patch) of a plain version with or without `v`; null for anything else."""
-    found = F.regexp_extract(version, r"^v?(0|[1-9]\d*)\.(0|[1-9]\d*)\.(0|[1-9]\d*)$", 0) != ""
-    part = lambda i: F.regexp_extract(version, r"^v?(\d+)\.(\d+)\.(\d+)$", i).cast("long")
-    return F.when(found, F.struct(part(1).alias("major"), part(2).alias("minor"), part(3).alias("patch")))
+    """A struct that orders as versions do (with or without `v`); null for what is no version. After major, minor and
+    patch a release comes after its prereleases; their parts compare as numbers, numbers before words, fewer before
+    more. Build metadata does not count."""
+    part = lambda i: F.regexp_extract(version, SEMVER, i)
+    number = lambda x: x.rlike(r"^\d+$")
+    one = lambda x: F.struct((~number(x)).alias("word"), F.when(number(x), x.cast("decimal(38,0)")).otherwise(0).alias("n"), F.when(number(x), "").otherwise(x).alias("text"))
+    pre = F.transform(F.filter(F.split(part(4), r"\."), lambda x: x != ""), one)
+    key = F.struct(part(1).cast("long").alias("major"), part(2).cast("long").alias("minor"), part(3).cast("long").alias("patch"), (part(4) == "").alias("release"), pre.alias("pre"))
+    return F.when(part(1) != "", key)
 
 
 def nul_hash(*values: Column) -> Column:
