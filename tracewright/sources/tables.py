@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import uuid
-from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -47,8 +46,8 @@ def schema(table: str) -> T.StructType:
 class Catalog:
     """Immutable, epoch-versioned Parquet tables below one folder.
 
-    A write adds `<table>/epoch=<n>` and publishes it by one small pointer file, written last; a reader pins the epoch it
-    saw and never sees half a write. Partitioning by epoch lets every as-of read prune folders."""
+    A write adds a folder and publishes it by one small pointer file, written last; a reader pins the epoch it saw and
+    never sees half a write. An as-of read opens the folders up to its epoch and no others, in one scan."""
 
     def __init__(self, spark: SparkSession, root: str):
         self.spark, self.root = spark, root.rstrip("/")
@@ -61,7 +60,7 @@ class Catalog:
     def head(self, table: str) -> int:
         """The greatest published epoch, -1 if there is none."""
         jvm, fs = self._fs()
-        where = jvm.org.apache.hadoop.fs.Path(f"{self.root}/{table}/_epochs")
+        where = jvm.org.apache.hadoop.fs.Path(f"{self.root}/{table}/epochs")
         if not fs.exists(where):
             return -1
         return max((int(f.getPath().getName()) for f in fs.listStatus(where) if f.getPath().getName().isdigit()), default=-1)
@@ -75,7 +74,7 @@ class Catalog:
         name = f"{epoch}-{uuid.uuid4().hex}"
         rows.write.parquet(f"{self.root}/{table}/data/{name}")
         jvm, fs = self._fs()
-        out = fs.create(jvm.org.apache.hadoop.fs.Path(f"{self.root}/{table}/_epochs/{epoch}"), False)
+        out = fs.create(jvm.org.apache.hadoop.fs.Path(f"{self.root}/{table}/epochs/{epoch}"), False)
         out.write(bytearray(name.encode()))
         out.close()
         return epoch
@@ -83,14 +82,13 @@ class Catalog:
     def read(self, table: str, as_of: int | None = None, schema: T.StructType | None = None) -> DataFrame:
         """All rows published up to an epoch, with their epoch."""
         last = self.head(table) if as_of is None else min(as_of, self.head(table))
-        parts = []
-        for epoch in range(last + 1):
-            name = self.spark.read.text(f"{self.root}/{table}/_epochs/{epoch}").first()[0]
-            reader = self.spark.read.schema(schema) if schema is not None else self.spark.read
-            parts.append(reader.parquet(f"{self.root}/{table}/data/{name}").withColumn("epoch", F.lit(epoch).cast("long")))
-        if not parts:
+        if last < 0:
             return self.spark.createDataFrame([], (schema or T.StructType()).add("epoch", "long"))
-        return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
+        names = [r.value for r in self.spark.read.text(f"{self.root}/{table}/epochs").collect()]  # one short name an epoch
+        paths = [f"{self.root}/{table}/data/{n}" for n in sorted(names) if int(n.split("-")[0]) <= last]
+        reader = self.spark.read.schema(schema) if schema is not None else self.spark.read.option("mergeSchema", "true")
+        epoch = F.regexp_extract(F.col("_metadata.file_path"), r"/data/(\d+)-[0-9a-f]+/", 1).cast("long")
+        return reader.parquet(*paths).withColumn("epoch", epoch)
 
     def migrate(self, migrations: list[tuple[int, str, str]]) -> list[int]:
         """Apply migrations (version, table, DDL) in order, each once. A migration that was applied must still have the
