@@ -122,15 +122,15 @@ def groups(docs: DataFrame) -> DataFrame:
 def drop_copies(docs: DataFrame, order: Column | None = None) -> DataFrame:
     """docs with one row of each group of equal texts, that with the largest doc_id; all columns stay.
 
-    What goes is named by (doc_id, digest) in a written table: where that is small, Spark broadcasts it and no text
-    moves; else the two meet in one join. Only if kept rows repeat in full are they numbered to cut them to one."""
+    What goes is named by (doc_id, digest) in a written table, far smaller than what stays; texts move once to meet it,
+    and are not sorted for that. Only if kept rows repeat in full are they numbered to cut them to one."""
     key = [F.col("doc_id").alias("__id"), F.col("text_sha256").alias("__sha")]
     found = materialize(groups(docs).select(*key, "kept"), "kept")
     gone = materialize(found.where("NOT kept").select("__id", "__sha").distinct(), "copies")
     columns = docs.columns
     tagged = docs.withColumn("__digest", F.sha2(F.coalesce(F.col("text"), F.lit("")).cast("binary"), 256))
     same = F.col("doc_id").cast("long").eqNullSafe(F.col("__id")) & (F.col("__digest") == F.col("__sha"))
-    left = tagged.join(gone, same, "left_anti")
+    left = tagged.join(gone.hint("shuffle_hash"), same, "left_anti")
     if not found.where("kept").groupBy("__id", "__sha").count().where("count > 1").isEmpty():
         nth = F.row_number().over(Window.partitionBy("doc_id", "__digest").orderBy(order if order is not None else F.lit(0)))
         left = left.withColumn("__n", nth).where("__n = 1")

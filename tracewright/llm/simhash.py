@@ -329,9 +329,9 @@ def wide_groups(docs: DataFrame, width: int = 5, similarity: float = 0.8, seed:
 
 def drop_near_copies(docs: DataFrame, width: int = 5, similarity: float = 0.8, seed: int = 42) -> DataFrame:
     """docs without the rows of a near-copy group but those with its smallest doc_id; all columns stay. What goes is named
-    by id in a written table: where that is small, Spark broadcasts it and no text moves. Rows that share a doc_id stay
-    if any of them does."""
+    by id in a written table; texts move once to meet it and are not sorted for that. Rows that share a doc_id stay if
+    any of them does."""
     other = ~F.col("doc_id").eqNullSafe(F.col("component_id"))
     found = wide_groups(docs, width, similarity, seed).groupBy("doc_id").agg(F.bool_and(other).alias("gone"))
     gone = materialize(found.where("gone").select(F.col("doc_id").alias("__id")), "near-copies")
-    return docs.join(gone, F.col("doc_id").cast("long").eqNullSafe(F.col("__id")), "left_anti")
+    return docs.join(gone.hint("shuffle_hash"), F.col("doc_id").cast("long").eqNullSafe(F.col("__id")), "left_anti")
