@@ -226,7 +226,7 @@ def near_groups(docs: DataFrame, width: int = 3, max_bits: int = 3, seed: int =
     rows = materialize(fingerprints(docs, width, seed), "fingerprints")
     distinct = rows.groupBy("fp").agg(F.min("doc_id").alias("first_id"))
     roots = components(links(distinct, max_bits))
-    by_fp = smallest_of(distinct, "fp", roots)
+    by_fp = checkpoint(smallest_of(distinct, "fp", roots))  # read anew, so that AQE can split a fingerprint of very many rows
     return rows.join(by_fp, "fp").select("doc_id", "fp", "component_id")
 
 
