@@ -25,6 +25,9 @@ def set_similarity(docs: DataFrame, queries: DataFrame, members, doc_text: str,
     of both sides above it. For members that few documents share, `indexed` finds pairs by joining on the members."""
     d = docs.select("version_id", members(F.col(doc_text)).alias("dm"))
     q = queries.select("query_id", members(F.col(query_text)).alias("qm"))
+    few = docs.sparkSession.sparkContext.defaultParallelism
+    if not indexed and len(docs.inputFiles()) < few:  # a table of few files would be scored by as few tasks
+        d = d.repartition(few, "version_id")
     if indexed:
         d, q = (t.select(i, F.size(m).alias(f"n{m}"), F.explode(m).alias("member")) for t, i, m in ((d, "version_id", "dm"), (q, "query_id", "qm")))
         shared = d.join(q, "member").groupBy("query_id", "version_id").agg(F.count("*").alias("shared"), F.first("ndm").alias("ndm"), F.first("nqm").alias("nqm"))
