@@ -91,3 +91,46 @@ def test_index_connects_what_brute_force_connects(spark, dense):
     got = [roots.get(int(x), int(x)) for x in fps.view(np.int64)]
     want = slow_groups([int(x) for x in fps])
     assert len({*zip(got, want)}) == len({*got}) == len({*want})
+
+
+def slow_similar_groups(cases, similarity):
+    sets = []
+    for t in cases:
+        w = (t or "").lower().split()
+        sets.append(frozenset(" ".join(w[i : i + 5]) for i in range(max(1, len(w) - 4))) if w else frozenset())
+    parent = list(range(len(cases)))
+
+    def root(i):
+        while parent[i] != i:
+            i = parent[i]
+        return i
+
+    for i, a in enumerate(sets):
+        for j, b in enumerate(sets[:i]):
+            if a == b or len(a & b) and len(a & b) >= similarity * len(a | b):
+                x, y = sorted((root(i), root(j)))
+                parent[y] = x
+    return [root(i) for i in range(len(cases))]
+
+
+@pytest.mark.parametrize("crowd", [0, 60])
+def test_near_copies_are_those_of_brute_force(spark, crowd):
+    r = random.Random(crowd)
+    word = lambda: f"w{r.randrange(5000)}"
+    cases = ["", None, "one two", "One  two", "a b c d e", "a b c d e f"]
+    for _ in range(90):  # one changed word in k changes up to five shingles: similarities all around 0.8
+        base = [word() for _ in range(r.choice([40, 120, 300]))]
+        cases.append(" ".join(base))
+        for at in r.sample(range(len(base)), max(1, len(base) * r.randrange(10, 45) // 1000)):
+            base[at] = word()
+        cases.append(" ".join(base))
+    base = [word() for _ in range(150)]
+    for _ in range(crowd):  # many that meet under the same keys, of which not all are similar
+        other = list(base)
+        for at in r.sample(range(150), r.choice([0, 1, 3, 4, 6, 9])):
+            other[at] = word()
+        cases.append(" ".join(other))
+    df = spark.createDataFrame(list(enumerate(cases)), "doc_id long, text string")
+    want = slow_similar_groups(cases, 0.8)
+    assert {x.doc_id: x.component_id for x in simhash.similar_groups(df).collect()} == dict(enumerate(want))
+    assert {x.doc_id for x in simhash.drop_near_copies(df).collect()} == set(want)

@@ -19,7 +19,6 @@ gives no rows; other columns are ignored, `drop_near_copies` carries them along.
 
 from __future__ import annotations
 
-import math
 from collections.abc import Iterator
 from itertools import accumulate
 
@@ -244,87 +243,101 @@ def hex16(fp: str = "fp"):
     return F.lower(F.lpad(F.hex(fp), 16, "0"))
 
 
-# --- wide fingerprints -------------------------------------------------------------------------------------------
+# --- near copies by exact similarity -----------------------------------------------------------------------------
 
-#: 64-bit words of a wide fingerprint, and the length of the keys under which they meet: 14 of every 16 bits.
-WORDS, KEY_BITS = 8, 14
-#: Differences in one word beyond which the index prunes (a pair at similarity 0.8 passes but for one in 10,000).
-WORD_BITS = 18
-_MIX = np.random.Generator(np.random.PCG64(99)).integers(0, 1 << 63, WORDS, dtype=np.uint64) | np.uint64(1)
+#: Texts meet under KEYS keys, each the smallest of ROWS seeded hashes of the text's shingles. A pair at similarity 0.8
+#: shares none of them in 3 of a million cases, at 0.85 in one of 50 million.
+KEYS, ROWS = 32, 5
+#: Up to so many texts under one key, all pairs are looked at at once.
+SMALL = 16
+_ODD = np.random.Generator(np.random.PCG64(99)).integers(0, 1 << 63, (KEYS, ROWS), dtype=np.uint64) << np.uint64(1) | np.uint64(1)
 
 
-def wide_limit(similarity: float) -> int:
-    """Differing bits at which texts of this Jaccard similarity (equal sizes) stay linked: the mean, plus one deviation."""
-    p = math.acos(2 * similarity / (1 + similarity)) / math.pi
-    bits = 64 * WORDS
-    return int(bits * p + math.sqrt(bits * p * (1 - p)))
+def shingle_sets(texts: list[bytes], width: int, seed: int) -> list[np.ndarray]:
+    """Each text's distinct shingles as sorted 64-bit hashes."""
+    return [np.unique(np.array(shingle_hashes(t, width, seed), np.uint64)) for t in texts]
 
 
-def wide_fingerprint(texts: list[bytes], width: int, seed: int) -> np.ndarray:
-    """texts x WORDS uint64: the fingerprint over each text's distinct shingles, a shingle's bits drawn from its hash."""
-    lists = [set(shingle_hashes(t, width, seed)) for t in texts]
-    counts = np.array([len(x) for x in lists], np.int64)
-    out = np.zeros((len(texts), WORDS), np.uint64)
-    if counts.sum():
-        flat = np.fromiter((h for x in lists for h in x), np.uint64, int(counts.sum()))
-        for j, odd in enumerate(_MIX):
-            h = flat * odd
-            h = (h ^ (h >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
-            out[counts > 0, j] = majorities(h ^ (h >> np.uint64(32)), counts[counts > 0])
-    return out
+def set_ids(sets: list[np.ndarray]) -> pa.Array:
+    return pa.array(np.array([xxhash.xxh64_intdigest(s.tobytes()) for s in sets], np.uint64).view(np.int64))
+
+
+def meeting_keys(sets: list[np.ndarray]) -> np.ndarray:
+    """len(sets) x KEYS int64, of sets that are not empty."""
+    flat = np.concatenate(sets)
+    starts = np.cumsum([0, *map(len, sets[:-1])])
+    out = np.zeros((len(sets), KEYS), np.uint64)
+    for k, odds in enumerate(_ODD):
+        key = np.full(len(sets), k + 1, np.uint64)
+        for odd in odds:
+            key = (key ^ np.minimum.reduceat(flat * odd, starts)) * np.uint64(0xBF58476D1CE4E5B9)
+            key ^= key >> np.uint64(29)
+        out[:, k] = key
+    return out.view(np.int64)
 
 
-def wide_groups(docs: DataFrame, width: int = 5, similarity: float = 0.8, seed: int = 42) -> DataFrame:
-    """doc_id, component_id for near copies at a given Jaccard similarity of word shingles. 64 bits are too few for
-    that (0.8 is about ten differing bits, with a wide spread), so fingerprints have 512 bits, meet under 32 keys of 14
-    bits (a pair at 0.8 shares one in 29 of 30 cases, at 0.85 in 99 of 100), are searched by the same Gray-order index
-    on the key's word and compared in full."""
+def similar_groups(docs: DataFrame, width: int = 5, similarity: float = 0.8, seed: int = 42) -> DataFrame:
+    """doc_id, component_id: texts are linked where the Jaccard similarity of their sets of word shingles, counted in
+    full, is at least `similarity`; groups are what is reachable.
+
+    Equal sets are merged first. Keys only say which pairs are counted. Under a key of few texts all pairs are; under one
+    of many, a round counts some texts (pivots) against all others that are not in the pivot's group yet and takes the
+    pivots out, four times as many in each round. So n copies similar to the pivot cost about n pairs a key, n texts
+    that stay apart cost all their pairs; each pair under a key ends up counted or inside one group."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = as_bytes(batch, "text")
-            parts = [wide_fingerprint(utf8(texts.slice(a, b - a).to_pylist()), width, seed) for a, b in slices(texts, 1 << 20)]
-            fps = np.concatenate(parts) if parts else np.zeros((0, WORDS), np.uint64)
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([x.tobytes() for x in fps], pa.binary())], names=["doc_id", "fp"])
-
-    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for a, b in slices(texts, 1 << 20):
+                sets = shingle_sets(utf8(texts.slice(a, b - a).to_pylist()), width, seed)
+                full = [s for s in sets if len(s)]
+                ends = np.cumsum([0, *(KEYS * (len(s) > 0) for s in sets)]).astype(np.int32)
+                keys = meeting_keys(full).reshape(-1) if full else np.zeros(0, np.int64)
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(a, b - a), set_ids(sets), pa.ListArray.from_arrays(pa.array(ends), pa.array(keys))], names=["doc_id", "node", "keys"])
+
+    def members(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for at in range(0, batch.num_rows, 2048):
-                part = batch.slice(at, 2048)
-                fps = np.frombuffer(b"".join(part.column("fp").to_pylist()), np.uint64).reshape(-1, WORDS)
-                lanes = fps.view(np.uint16).reshape(-1, 4 * WORDS) >> (16 - KEY_BITS)
-                block = np.tile(np.arange(4 * WORDS, dtype=np.int32), len(fps))
-                again = np.repeat(np.arange(len(fps)), 4 * WORDS)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(block * (1 << KEY_BITS) + lanes.reshape(-1)), part.column("node").take(pa.array(again)), part.column("fp").take(pa.array(again))],
-                    names=["key", "node", "fp"],
-                )
-
-    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        parts = [b for b in batches if b.num_rows]
-        if not parts:
-            return
-        key = np.concatenate([p.column("key").to_numpy() for p in parts])
-        node = np.concatenate([p.column("node").to_numpy() for p in parts])
-        fps = np.frombuffer(b"".join(x for p in parts for x in p.column("fp").to_pylist()), np.uint64).reshape(-1, WORDS)
-        block = key >> KEY_BITS
-        code = fps[np.arange(len(fps)), block // 4]
-        shift = (np.uint64(48) - np.uint64(16) * (block % 4).astype(np.uint64)) % np.uint64(64)  # the lane goes to the front
-        code = np.where(shift > 0, (code << shift) | (code >> (np.uint64(64) - np.maximum(shift, np.uint64(1)))), code)
-        order = np.lexsort((gray_rank(code), key))
-        key, node, fps, code = key[order], node[order], fps[order], code[order]
-        bucket = np.cumsum(np.concatenate(([True], np.diff(key) != 0))) - 1
-        labels = connect(code, bucket, WORD_BITS, lambda a, b: np.bitwise_count(fps[a] ^ fps[b]).sum(1) <= limit)
-        other = np.flatnonzero(labels != np.arange(len(labels)))
-        yield pa.RecordBatch.from_arrays([pa.array(node[labels[other]]), pa.array(node[other])], names=["a", "b"])
+            texts = as_bytes(batch, "text")
+            for a, b in slices(texts, 1 << 20):
+                sets = shingle_sets(utf8(texts.slice(a, b - a).to_pylist()), width, seed)
+                ends = np.cumsum([0, *map(len, sets)]).astype(np.int32)
+                yield pa.RecordBatch.from_arrays([set_ids(sets), pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(sets).view(np.int64)))], names=["node", "shingles"])
 
-    limit = wide_limit(similarity)
     narrow = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    rows = materialize(arrow(narrow, run, "doc_id long, fp binary").withColumn("node", F.xxhash64("fp")), "wide-fingerprints")
+    rows = materialize(arrow(narrow, run, "doc_id long, node long, keys array<long>"), "shingle-keys")
     distinct = rows.groupBy("node").agg(F.min("doc_id").alias("first_id"))
-    dealt = arrow(rows.groupBy("node").agg(F.first("fp").alias("fp")), deal, "key int, node long, fp binary").repartition("key")
-    by_node = smallest_of(distinct, "node", components(arrow(dealt, meet, "a long, b long")))
-    return rows.join(by_node, "node").select("doc_id", "component_id")
+    dealt = materialize(rows.groupBy("node").agg(F.first("keys").alias("keys")).select("node", F.explode("keys").alias("key")), "keys")
+    shared = dealt.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
+    met = materialize(dealt.join(shared, "key"), "met")
+
+    ids = distinct.join(met.select("node").distinct(), "node", "left_semi").select(F.col("first_id").alias("__id")).distinct()
+    wanted = narrow.join(ids.hint("shuffle_hash"), F.col("doc_id").eqNullSafe(F.col("__id")), "left_semi")
+    sets = materialize(arrow(wanted.select("text"), members, "node long, shingles array<long>").groupBy("node").agg(F.first("shingles").alias("shingles")), "shingles")
+
+    def linked(pairs: DataFrame) -> DataFrame:
+        """Those of pairs(a, b) that are similar enough."""
+        pairs = materialize(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "pairs")
+        sa, sb = (sets.select(F.col("node").alias(x), F.col("shingles").alias(f"s{x}")) for x in "ab")
+        both = F.size(F.array_intersect("sa", "sb"))
+        return pairs.join(sa, "a").join(sb, "b").where(both / (F.size("sa") + F.size("sb") - both) >= similarity).select("a", "b")
+
+    few = met.where(F.col("n") <= SMALL)
+    edges = checkpoint(linked(few.select("key", F.col("node").alias("a")).join(few.select("key", F.col("node").alias("b")), "key").where("a < b")))
+    crowd, share = checkpoint(met.where(F.col("n") > SMALL).select("key", "node")), 1
+    while True:
+        roots = components(edges)
+        if crowd.isEmpty():
+            break
+        named = crowd.join(roots, "node", "left").select("key", "node", F.coalesce("root", "node").alias("root"))
+        open_ = named.groupBy("key").agg(F.count("*").alias("n"), F.min("root").alias("low"), F.max("root").alias("high"), F.min(F.struct(F.xxhash64("node").alias("h"), F.col("node").alias("id")))["id"].alias("first"))
+        crowd = checkpoint(named.join(open_.where("low < high"), "key"))
+        pivot = crowd.where((F.col("node") == F.col("first")) | (F.pmod(F.xxhash64("node", F.lit(share)), F.col("n")) < share))
+        pivot = checkpoint(pivot.select("key", F.col("node").alias("pivot"), F.col("root").alias("__root")))
+        pairs = crowd.join(pivot, "key").where("root <> __root").select(F.col("node").alias("a"), F.col("pivot").alias("b"))
+        edges = checkpoint(edges.unionByName(linked(pairs)))
+        done = pivot.select("key", F.col("pivot").alias("node"))
+        crowd, share = checkpoint(crowd.join(done, ["key", "node"], "left_anti").select("key", "node")), 4 * share
+    return rows.join(smallest_of(distinct, "node", roots), "node").select("doc_id", "component_id")
 
 
 def drop_near_copies(docs: DataFrame, width: int = 5, similarity: float = 0.8, seed: int = 42) -> DataFrame:
@@ -332,6 +345,6 @@ def drop_near_copies(docs: DataFrame, width: int = 5, similarity: float = 0.8, s
     by id in a written table; texts move once to meet it and are not sorted for that. Rows that share a doc_id stay if
     any of them does."""
     other = ~F.col("doc_id").eqNullSafe(F.col("component_id"))
-    found = wide_groups(docs, width, similarity, seed).groupBy("doc_id").agg(F.bool_and(other).alias("gone"))
+    found = similar_groups(docs, width, similarity, seed).groupBy("doc_id").agg(F.bool_and(other).alias("gone"))
     gone = materialize(found.where("gone").select(F.col("doc_id").alias("__id")), "near-copies")
     return docs.join(gone.hint("shuffle_hash"), F.col("doc_id").cast("long").eqNullSafe(F.col("__id")), "left_anti")
