@@ -219,6 +219,17 @@ def test_cycles(spark):
     assert {(r.trace_id, r.src, r.dst) for r in causal.broken_edges(e.where("trace_id = 1"), n).collect()} == {(1, 2, 3)}
 
 
+@pytest.mark.parametrize("rounds", [2, 64])
+def test_chains_deeper_than_the_rounds(spark, rounds):
+    chain = [(1, i, i + 1) for i in range(300)] + [(1, 0, 300), (2, 1, 2), (2, 2, 3), (2, 3, 2), (2, 3, 4)]
+    e = spark.createDataFrame(chain, "trace_id long, src long, dst long")
+    roots = spark.createDataFrame([(1, 299), (2, 3)], "trace_id long, position long")
+    found = causal.ancestors(e, roots, rounds) if rounds == 2 else causal.ancestors(e, roots)
+    assert sorted((r.trace_id, r.position) for r in found.collect()) == [(1, i) for i in range(300)] + [(2, 1), (2, 2), (2, 3)]
+    left = causal.on_cycles(e, rounds) if rounds == 2 else causal.on_cycles(e)
+    assert sorted((r.trace_id, r.position) for r in left.collect()) == [(2, 2), (2, 3), (2, 4)]
+
+
 def test_slicing(spark):
     nodes = spark.createDataFrame([(1, 0, True, False, False), (1, 1, True, True, False), (1, 2, False, False, False), (1, 3, True, True, False), (1, 4, True, False, True)], "trace_id int, position int, succeeded boolean, irrelevant boolean, failed_branch boolean")
     kept = spark.createDataFrame([(1, 3)], "trace_id int, position int")

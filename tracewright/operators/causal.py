@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections import Counter, defaultdict
+
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -28,40 +31,81 @@ def broken_edges(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     return edges.join(ok, ["trace_id", "src", "dst"], "left_anti")
 
 
-def ancestors(spark_edges: DataFrame, roots: DataFrame, max_depth: int = 64) -> DataFrame:
+def ancestors(spark_edges: DataFrame, roots: DataFrame, rounds: int = 64) -> DataFrame:
     """trace_id, position: the roots and all they depend on. Breadth first; a round joins only the nodes found in the
-    last one, and the frontier shrinks to nothing at the depth of the deepest trace. Each round cuts its lineage."""
+    last one, and the frontier shrinks to nothing at the depth of the deepest trace. Each round cuts its lineage. Traces
+    deeper than `rounds` are finished one by one, each in a single walk over its edges."""
     from tracewright.sources.tables import checkpoint
 
     edges = spark_edges.select("trace_id", F.col("src").alias("position"), F.col("dst").alias("__dst"))
     found = checkpoint(roots.select("trace_id", "position").distinct())
     frontier = found
-    for _ in range(max_depth):
+    for _ in range(rounds):
         step = frontier.withColumnRenamed("position", "__dst").join(edges, ["trace_id", "__dst"]).select("trace_id", "position").distinct()
         frontier = checkpoint(step.join(found, ["trace_id", "position"], "left_anti"))
         if frontier.isEmpty():
             return found
         found = checkpoint(found.unionByName(frontier))
-    raise RuntimeError("ancestors: deeper than max_depth")
-
-
-def on_cycles(edges: DataFrame, max_rounds: int = 64) -> DataFrame:
-    """trace_id, position of nodes left when nodes without predecessors are peeled off again and again (Kahn)."""
+    schema = found.schema
+
+    def walk(key, steps: pa.Table, seen: pa.Table) -> pa.Table:
+        before = defaultdict(list)
+        for a, b in zip(steps["position"].to_pylist(), steps["__dst"].to_pylist(), strict=True):
+            before[b].append(a)
+        known = set(seen["position"].to_pylist())
+        todo, out = list(known), []
+        while todo:
+            for a in before.pop(todo.pop(), ()):
+                if a not in known:
+                    known.add(a)
+                    todo.append(a)
+                    out.append(a)
+        positions = pa.array(out, seen["position"].type)
+        return pa.table({"trace_id": pa.array([key[0].as_py()] * len(out), seen["trace_id"].type), "position": positions})
+
+    deep = frontier.select("trace_id").distinct()
+    one = lambda rows: rows.join(deep, "trace_id", "left_semi").groupBy("trace_id")
+    rest = one(edges.select("trace_id", "position", "__dst")).cogroup(one(found)).applyInArrow(walk, schema)
+    return checkpoint(found.unionByName(rest))
+
+
+def on_cycles(edges: DataFrame, rounds: int = 64) -> DataFrame:
+    """trace_id, position of nodes left when nodes without predecessors are peeled off again and again (Kahn). What
+    `rounds` leave is peeled to the end trace by trace, each in a single walk over its edges."""
     from tracewright.sources.tables import checkpoint
 
     left = checkpoint(edges.select("trace_id", "src", "dst").distinct())
     n = left.count()
-    for _ in range(max_rounds):
+    for _ in range(rounds):
         has_in = left.select("trace_id", F.col("dst").alias("src")).distinct()
         left = checkpoint(left.join(has_in, ["trace_id", "src"], "left_semi"))
         m = left.count()
         if m == n or m == 0:
             break
         n = m
+    else:
+        left = checkpoint(left.groupBy("trace_id").applyInArrow(peeled, left.schema))
     ends = left.select("trace_id", F.col("src").alias("position")).unionByName(left.select("trace_id", F.col("dst").alias("position")))
     return ends.distinct()
 
 
+def peeled(edges: pa.Table) -> pa.Table:
+    """The edges of one trace that are left when no more nodes without predecessors can be peeled off."""
+    src, dst = edges["src"].to_pylist(), edges["dst"].to_pylist()
+    after, waits = defaultdict(list), Counter(dst)
+    for a, b in zip(src, dst, strict=True):
+        after[a].append(b)
+    gone = {a for a in after if not waits[a]}
+    todo = list(gone)
+    while todo:
+        for b in after[todo.pop()]:
+            waits[b] -= 1
+            if not waits[b]:
+                gone.add(b)
+                todo.append(b)
+    return edges.filter(pa.array([a not in gone for a in src], pa.bool_()))
+
+
 def slice_steps(nodes: DataFrame, retained: DataFrame) -> DataFrame:
     """The steps of the procedure: proven ones, and those that succeeded and are neither irrelevant nor on a failed
     branch. nodes(trace_id, position, succeeded, irrelevant, failed_branch) -> plus ordinal and uncertain_necessity."""
