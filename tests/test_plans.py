@@ -52,3 +52,13 @@ def test_entry(spark):
 
 def test_names_and_sql_match():
     assert set(entry.oracle_sql()) <= set(entry.queries())
+
+
+def test_all_channels_give_candidates(spark):
+    from tracewright.plans import retrieve
+
+    schema = "task string, harness string, environment string, contracts array<string>, intent string"
+    docs = spark.createDataFrame([(1, "a b", "en", "s1", ["t9"], "i", "e"), (2, "x y", "fr", "s2", ["t1", "t2"], "j", "e"), (3, "a b b b c", "de", "s3", ["t8"], "k", "e")], f"version_id long, {schema}, effect string")
+    requests = spark.createDataFrame([(7, "a b b b b", "en", "s1", ["t1", "t2"], "i")], f"query_id long, {schema}")
+    got = {(r.channel, r.version_id) for r in retrieve.candidates(docs, requests, 1).collect()}
+    assert got == {("exact", 1), ("lexical", 1), ("facet", 1), ("graph", 2), ("vector", 3)}

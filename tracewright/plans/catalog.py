@@ -153,7 +153,7 @@ scored AS (
 
 
 def hits(spark: SparkSession, sf: str) -> DataFrame:
-    return R.candidates(A.documents(spark, sf), A.requests(spark, sf))
+    return R.candidates(A.documents(spark, sf), A.requests(spark, sf), names=R.IN_SQL)
 
 
 @query(f"WITH {hits_sql()} SELECT query_id, version_id, string_agg(channel || '#' || rank, ',' ORDER BY channel) AS hits FROM hits GROUP BY query_id, version_id")
@@ -222,7 +222,7 @@ GATED = f"""{hits_sql()}, p AS (
 
 
 def evaluated(spark: SparkSession, sf: str) -> DataFrame:
-    return R.evaluated(A.documents(spark, sf), A.requests(spark, sf), AS_OF)
+    return R.evaluated(A.documents(spark, sf), A.requests(spark, sf), AS_OF, R.IN_SQL)
 
 
 @query(f"WITH {GATED} SELECT query_id, version_id, array_to_string(codes, ',') AS codes, len(codes) = 0 AS eligible, len(codes) = 0 AND lifecycle = 'candidate' AS advisory FROM g")
@@ -254,6 +254,12 @@ RETRIEVED = f"""{GATED}, o AS (
 
 @query(f"WITH {RETRIEVED} SELECT query_id, version_id, rank, final FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY rank) AS n FROM o WHERE lifecycle <> 'candidate') WHERE n <= 5")
 def retrieve(spark: SparkSession, sf: str) -> DataFrame:
+    return R.retrieve(A.documents(spark, sf), A.requests(spark, sf), AS_OF, names=R.IN_SQL)
+
+
+@query()
+def retrieve_all_channels(spark: SparkSession, sf: str) -> DataFrame:
+    """The retrieval path over all five channels. It has no SQL: the SQL of `retrieve` runs three."""
     return R.retrieve(A.documents(spark, sf), A.requests(spark, sf), AS_OF)
 
 
@@ -263,9 +269,9 @@ FROM requests q LEFT JOIN hits h USING (query_id) LEFT JOIN g ON g.query_id = h.
 )
 def explain_join(spark: SparkSession, sf: str) -> DataFrame:
     docs, requests = A.documents(spark, sf), A.requests(spark, sf)
-    found = R.candidates(docs, requests).select("query_id", "version_id").distinct()
-    decided = R.evaluated(docs, requests, AS_OF).select("query_id", "version_id", "eligible")
-    ranked = R.ordered(docs, requests, AS_OF).select("query_id", "version_id", "final")
+    found = R.candidates(docs, requests, names=R.IN_SQL).select("query_id", "version_id").distinct()
+    decided = R.evaluated(docs, requests, AS_OF, R.IN_SQL).select("query_id", "version_id", "eligible")
+    ranked = R.ordered(docs, requests, AS_OF, R.IN_SQL).select("query_id", "version_id", "final")
     rows = requests.select("query_id").join(found, "query_id", "left").join(decided, ["query_id", "version_id"], "left").join(ranked, ["query_id", "version_id"], "left")
     return rows.groupBy("query_id").agg(F.count("version_id").alias("candidates"), F.count_if(~F.col("eligible")).alias("rejected"), F.count("final").alias("ranked"), F.max("final").alias("best"))
 

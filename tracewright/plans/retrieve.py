@@ -2,19 +2,37 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tracewright.operators import channels, gates, ranking
+from tracewright.operators import channels, gates, ranking, records
 
 RANKER = ranking.Ranker()
 POLICY = gates.Policy(regions=("en", "fr", "de", "es"))
 
 
-def candidates(docs: DataFrame, requests: DataFrame, limit: int = 20) -> DataFrame:
-    """All channels' hits, long form."""
-    found = channels.lexical(docs, requests, limit)
-    return found.unionByName(channels.facet(docs, requests, limit)).unionByName(channels.exact(docs, requests, limit))
+#: The channels that the ranker weighs, and those that the SQL of the registered queries runs.
+ALL, IN_SQL = ("exact", "lexical", "vector", "facet", "graph"), ("exact", "lexical", "facet")
+DIMENSION = 64
+
+
+def vectors(rows: DataFrame, key: str) -> DataFrame:
+    """key, vector: hashed embeddings of the tasks; a task without a direction has none."""
+    embed = F.pandas_udf(records.hashed_embedding(DIMENSION), "array<double>")
+    return rows.select(key, embed(F.coalesce("task", F.lit(""))).alias("vector")).where(F.exists("vector", lambda x: x != 0))
+
+
+def candidates(docs: DataFrame, requests: DataFrame, limit: int = 20, names: tuple[str, ...] = ALL) -> DataFrame:
+    """The hits of the named channels, long form."""
+    run = {
+        "exact": lambda: channels.exact(docs, requests, limit), "lexical": lambda: channels.lexical(docs, requests, limit), "facet": lambda: channels.facet(docs, requests, limit),
+        "graph": lambda: channels.graph(docs.select("version_id", F.explode("contracts").alias("contract")), requests, limit),
+        "vector": lambda: channels.vector(vectors(docs, "version_id"), vectors(requests, "query_id"), limit),
+    }
+    found = [run[name]() for name in names]
+    return reduce(DataFrame.unionByName, found)
 
 
 def pairs(hits: DataFrame, docs: DataFrame, requests: DataFrame, as_of: int) -> DataFrame:
@@ -40,19 +58,19 @@ def pairs(hits: DataFrame, docs: DataFrame, requests: DataFrame, as_of: int) ->
     )
 
 
-def evaluated(docs: DataFrame, requests: DataFrame, as_of: int) -> DataFrame:
-    fused = ranking.rrf(candidates(docs, requests), RANKER)
+def evaluated(docs: DataFrame, requests: DataFrame, as_of: int, names: tuple[str, ...] = ALL) -> DataFrame:
+    fused = ranking.rrf(candidates(docs, requests, names=names), RANKER)
     return gates.evaluate(pairs(fused, docs, requests, as_of), POLICY, ("tools", "effects"))
 
 
-def ordered(docs: DataFrame, requests: DataFrame, as_of: int) -> DataFrame:
+def ordered(docs: DataFrame, requests: DataFrame, as_of: int, names: tuple[str, ...] = ALL) -> DataFrame:
     """Eligible candidates in total order."""
-    e = evaluated(docs, requests, as_of).where("eligible")
+    e = evaluated(docs, requests, as_of, names).where("eligible")
     e = e.withColumn("verification_strength", F.when(F.col("quality").isNotNull(), F.lit(5) - F.col("risk")).cast("int")).withColumn("observed", F.col("n_chars") % 2 == 0)
     return ranking.total_order(ranking.fuse(e, RANKER))
 
 
-def retrieve(docs: DataFrame, requests: DataFrame, as_of: int, minimum: int = 0, most: int = 5) -> DataFrame:
+def retrieve(docs: DataFrame, requests: DataFrame, as_of: int, minimum: int = 0, most: int = 5, names: tuple[str, ...] = ALL) -> DataFrame:
     """query_id, version_id, rank, final of what is selected."""
-    chosen = ranking.select_top(ordered(docs, requests, as_of), minimum, most)
+    chosen = ranking.select_top(ordered(docs, requests, as_of, names), minimum, most)
     return chosen.where("selected").select("query_id", "version_id", "rank", "final")
