@@ -62,3 +62,20 @@ def test_all_channels_give_candidates(spark):
     requests = spark.createDataFrame([(7, "a b b b b", "en", "s1", ["t1", "t2"], "i")], f"query_id long, {schema}")
     got = {(r.channel, r.version_id) for r in retrieve.candidates(docs, requests, 1).collect()}
     assert got == {("exact", 1), ("lexical", 1), ("facet", 1), ("graph", 2), ("vector", 3)}
+
+
+def test_cycles_of_all_orders_are_those_of_brute_force(spark):
+    edges = {}
+    for o in spark.read.parquet(f"{SF}/orders.parquet").select("o_custkey", "o_orderkey").collect():
+        edges.setdefault(o.o_custkey % 5, {}).setdefault(o.o_custkey % 97, set()).add((o.o_custkey * 7 + o.o_orderkey % 3) % 97)
+    want = {}
+    for trace, after in edges.items():
+        for node in after:
+            seen, todo = set(), [node]
+            while todo:
+                fresh = after.get(todo.pop(), set()) - seen
+                seen |= fresh
+                todo += fresh
+            if node in seen:
+                want[trace] = want.get(trace, 0) + 1
+    assert {r.trace_id: r.nodes for r in catalog.cycle_check_all(spark, SF).collect()} == want
