@@ -100,3 +100,9 @@ def test_pieces_and_sequences(spark):
 def test_empty_table(spark):
     df = spark.createDataFrame([], "doc_id long, text string")
     assert packing.assign(packing.pieces(df, tokenizer(), 64), 64).collect() == []
+
+
+def test_a_filling_may_have_any_number_of_pieces():
+    supply = packing.Supply({1: 300, 500: 1})
+    assert max(map(sum, packing.completions(supply, 200, 6))) == 200
+    assert supply.largest(1000) == 500 and supply.largest(499) == 1

@@ -150,7 +150,7 @@ def completions(supply: Supply, room: int, width: int) -> list[tuple[int, ...]]:
 
     def extend(chosen: list[int], left: int) -> None:
         taken = []
-        while (size := supply.largest(left)) and len(chosen) < 64:
+        while size := supply.largest(left):
             supply.take(size)
             taken.append(size)
             chosen = [*chosen, size]
