@@ -7,6 +7,7 @@ import re
 import uuid
 from collections.abc import Iterable, Iterator
 
+import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
@@ -94,6 +95,32 @@ def release() -> None:
         pass
 
 
+def whole_groups(batches: Iterable[pa.RecordBatch], keys: list[str]) -> Iterator[pa.Table]:
+    """One table per group of rows that agree in `keys`, from batches sorted by them; holds no more than one group and one
+    batch."""
+    waiting: list[pa.RecordBatch] = []
+    last = None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        columns = [batch.column(k) for k in keys]
+        change = np.zeros(batch.num_rows, bool)
+        for c in columns:
+            change[1:] |= pc.not_equal(c[1:], c[:-1]).to_numpy(zero_copy_only=False)
+        first = [c[0].as_py() for c in columns]
+        change[0] = last is not None and first != last
+        begin = 0
+        for stop in np.flatnonzero(change).tolist():
+            if stop:
+                waiting.append(batch.slice(begin, stop - begin))
+            yield pa.Table.from_batches(waiting)
+            waiting, begin = [], stop
+        waiting.append(batch.slice(begin))
+        last = [c[-1].as_py() for c in columns]
+    if waiting:
+        yield pa.Table.from_batches(waiting)
+
+
 #: Bytes of an Arrow batch that goes to a Python worker; with `slices` it bounds what a worker holds.
 BATCH_BYTES = 8 << 20
 

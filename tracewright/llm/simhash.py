@@ -19,6 +19,7 @@ gives no rows; other columns are ignored, `drop_near_copies` carries them along.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from itertools import accumulate
 
@@ -28,7 +29,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tracewright.llm.common import arrow, as_bytes, checkpoint, materialize, slices, utf8
+from tracewright.llm.common import arrow, as_bytes, checkpoint, materialize, slices, utf8, whole_groups
 from tracewright.llm.graph import components
 
 LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
@@ -245,12 +246,25 @@ def hex16(fp: str = "fp"):
 
 # --- near copies by exact similarity -----------------------------------------------------------------------------
 
-#: Texts meet under KEYS keys, each the smallest of ROWS seeded hashes of the text's shingles. A pair at similarity 0.8
-#: shares none of them in 3 of a million cases, at 0.85 in one of 50 million.
-KEYS, ROWS = 32, 5
-#: Up to so many texts under one key, all pairs are looked at at once.
-SMALL = 16
+#: Texts meet under KEYS keys, each made of the smallest of ROWS seeded hashes of the text's shingles, so keys are as wide
+#: as a hash and unrelated texts do not meet, however large the corpus. A pair at similarity 0.8 shares none of them in
+#: 2 of 1,000 cases, at 0.85 in 2 of 10,000.
+KEYS, ROWS = 16, 5
+#: 64-bit words of a wide fingerprint.
+WORDS = 8
+#: A group is searched in tiles of at most so many texts and shingles; tiles meet pair by pair.
+TILE_TEXTS, TILE_SHINGLES = 4096, 1 << 18
+#: Bytes of one scratch table of the exact comparison.
+SCRATCH = 1 << 24
 _ODD = np.random.Generator(np.random.PCG64(99)).integers(0, 1 << 63, (KEYS, ROWS), dtype=np.uint64) << np.uint64(1) | np.uint64(1)
+_MIX = np.random.Generator(np.random.PCG64(98)).integers(0, 1 << 63, WORDS, dtype=np.uint64) << np.uint64(1) | np.uint64(1)
+
+
+def loose_bits(similarity: float, bits: int) -> int:
+    """Differing bits that a pair at this Jaccard similarity (equal sizes) stays below: the mean plus six deviations. The
+    margin also covers sets of four or five shingles, whose fingerprints differ more."""
+    p = math.acos(2 * similarity / (1 + similarity)) / math.pi
+    return min(bits, int(bits * p + 6 * math.sqrt(bits * p * (1 - p))))
 
 
 def shingle_sets(texts: list[bytes], width: int, seed: int) -> list[np.ndarray]:
@@ -259,16 +273,14 @@ def shingle_sets(texts: list[bytes], width: int, seed: int) -> list[np.ndarray]:
 
 
 def set_ids(sets: list[np.ndarray]) -> pa.Array:
-    return pa.array(np.array([xxhash.xxh64_intdigest(s.tobytes()) for s in sets], np.uint64).view(np.int64))
+    return pa.array([xxhash.xxh3_128_digest(s.tobytes()) for s in sets], pa.binary())
 
 
-def meeting_keys(sets: list[np.ndarray]) -> np.ndarray:
-    """len(sets) x KEYS int64, of sets that are not empty."""
-    flat = np.concatenate(sets)
-    starts = np.cumsum([0, *map(len, sets[:-1])])
-    out = np.zeros((len(sets), KEYS), np.uint64)
+def meeting_keys(flat: np.ndarray, starts: np.ndarray) -> np.ndarray:
+    """sets x KEYS int64, of sets that are not empty."""
+    out = np.zeros((len(starts), KEYS), np.uint64)
     for k, odds in enumerate(_ODD):
-        key = np.full(len(sets), k + 1, np.uint64)
+        key = np.full(len(starts), k + 1, np.uint64)
         for odd in odds:
             key = (key ^ np.minimum.reduceat(flat * odd, starts)) * np.uint64(0xBF58476D1CE4E5B9)
             key ^= key >> np.uint64(29)
@@ -276,24 +288,127 @@ def meeting_keys(sets: list[np.ndarray]) -> np.ndarray:
     return out.view(np.int64)
 
 
+def wide_fingerprints(flat: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """sets x WORDS uint64: majorities over each set's shingles, a shingle's bits drawn from its hash."""
+    out = np.zeros((len(counts), WORDS), np.uint64)
+    for j, odd in enumerate(_MIX):
+        h = flat * odd
+        h = (h ^ (h >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
+        out[:, j] = majorities(h ^ (h >> np.uint64(32)), counts)
+    return out
+
+
+class Overlap:
+    """Sizes of intersections of sets, by bit tables over the shingles that more than one of them holds."""
+
+    def __init__(self, sets: list[np.ndarray]):
+        self.size = np.array([len(s) for s in sets])
+        _, inverse, n = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+        shared = n > 1
+        column = np.cumsum(shared) - 1
+        held = shared[inverse]
+        self.row, self.column = np.repeat(np.arange(len(sets)), self.size)[held], column[inverse][held]
+        self.width, self.step = int(shared.sum()), max(64, SCRATCH // max(1, len(sets)) // 64 * 64)
+        self.cached: tuple[int, np.ndarray] | None = None
+
+    def bits(self, first: int) -> np.ndarray:
+        """rows x words: columns first .. first + step, kept until other columns are asked for."""
+        if self.cached is None or self.cached[0] != first:
+            own = (self.column >= first) & (self.column < first + self.step)
+            width = min(self.step, -(-(self.width - first) // 64) * 64)
+            table = np.zeros((len(self.size), width), bool)
+            table[self.row[own], self.column[own] - first] = True
+            self.cached = first, np.packbits(table, axis=1).view(np.uint64)
+        return self.cached[1]
+
+    def similar(self, a: np.ndarray, b: np.ndarray, similarity: float) -> np.ndarray:
+        both = np.zeros(len(a), np.int64)
+        for first in range(0, self.width, self.step):
+            table = self.bits(first)
+            chunk = max(1, SCRATCH // (8 * table.shape[1]))
+            for at in range(0, len(a), chunk):
+                own = slice(at, at + chunk)
+                both[own] += np.bitwise_count(table[a[own]] & table[b[own]]).sum(1, dtype=np.int64)
+        return both + 1e-9 >= similarity * (self.size[a] + self.size[b] - both)
+
+
+def linked_members(fps: np.ndarray, similarity: float, exact: Overlap | None = None) -> np.ndarray:
+    """Label (smallest position) of each member's component. Two members are linked if the index lets them through, their
+    whole fingerprints are near enough and, if `exact` is given, their sets are as similar as asked."""
+    order = np.argsort(gray_rank(fps[:, 0]), kind="stable")
+    wide = fps[order]
+    limit = loose_bits(similarity, 64 * WORDS)
+
+    def linked(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        sure = np.bitwise_count(wide[a] ^ wide[b]).sum(1) <= limit
+        if exact is not None:
+            at = np.flatnonzero(sure)
+            sure[at] = exact.similar(order[a[at]], order[b[at]], similarity)
+        return sure
+
+    labels = connect(wide[:, 0], np.zeros(len(wide), np.int64), loose_bits(similarity, 64), linked)
+    out = np.empty(len(order), np.int64)
+    out[order] = order[labels]
+    return out
+
+
+def dealt_in_tiles(rows: DataFrame, group: str, order: str, tiles) -> DataFrame:
+    """Rows of one group together and sorted by group. A group of `tiles` > 1 tiles is dealt as pairs of tiles: no task
+    holds more than two, and every two members of a group meet in one task at least."""
+    own = F.pmod(F.xxhash64(order), F.col("__n")).cast("int")
+    other = F.explode(F.sequence(F.lit(0), F.col("__n").cast("int") - 1))
+    rows = rows.withColumn("__n", F.greatest(F.lit(1), F.ceil(tiles)).cast("long")).withColumn("__own", own).withColumn("__other", other)
+    rows = rows.withColumn("lo", F.least("__own", "__other")).withColumn("hi", F.greatest("__own", "__other"))
+    # with two tiles or more, a tile alone is met inside each of its pairs
+    rows = rows.where("__n = 1 OR lo < hi").drop("__n", "__own", "__other")
+    return rows.repartition(group, "lo", "hi").sortWithinPartitions(group, "lo", "hi", order)
+
+
+def edges_of_groups(dealt: DataFrame, group: str, similarity: float, exact: bool) -> DataFrame:
+    """dealt(group, lo, hi, node, fp, shingles if exact) -> edges(a, b) that connect what links connect in each group."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in whole_groups(batches, [group, "lo", "hi"]):
+            node = part.column("node").to_pylist()
+            fps = np.frombuffer(b"".join(part.column("fp").to_pylist()), np.uint64).reshape(-1, WORDS)
+            overlap = None
+            if exact:
+                shingles = part.column("shingles").combine_chunks()
+                ends, flat = shingles.offsets.to_numpy(), shingles.values.to_numpy(zero_copy_only=False).view(np.uint64)
+                overlap = Overlap([flat[x:y] for x, y in zip(ends[:-1], ends[1:], strict=True)])
+            labels = linked_members(fps, similarity, overlap)
+            other = np.flatnonzero(labels != np.arange(len(labels))).tolist()
+            yield pa.RecordBatch.from_arrays([pa.array([node[labels[x]] for x in other], pa.binary()), pa.array([node[x] for x in other], pa.binary())], names=["a", "b"])
+
+    columns = [group, "lo", "hi", "node", "fp", *(["shingles"] if exact else [])]
+    return arrow(dealt.select(*columns), run, "a binary, b binary")
+
+
 def similar_groups(docs: DataFrame, width: int = 5, similarity: float = 0.8, seed: int = 42) -> DataFrame:
     """doc_id, component_id: texts are linked where the Jaccard similarity of their sets of word shingles, counted in
     full, is at least `similarity`; groups are what is reachable.
 
-    Equal sets are merged first. Keys only say which pairs are counted. Under a key of few texts all pairs are; under one
-    of many, a round counts some texts (pivots) against all others that are not in the pivot's group yet and takes the
-    pivots out, four times as many in each round. So n copies similar to the pivot cost about n pairs a key, n texts
-    that stay apart cost all their pairs; each pair under a key ends up counted or inside one group."""
+    Equal sets are merged first. Under each key, the Gray-order index connects the wide fingerprints that are near enough
+    for the similarity, with a margin of six deviations: what it connects are loose families, at one edge per text and
+    key. Only a family's members can be linked, so their shingle sets move once, to their family, where the index is
+    asked again and pairs not yet connected are counted in full. Rows grow with the texts, not with pairs; families and
+    keys too large for a task are searched in tiles."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = as_bytes(batch, "text")
             for a, b in slices(texts, 1 << 20):
                 sets = shingle_sets(utf8(texts.slice(a, b - a).to_pylist()), width, seed)
-                full = [s for s in sets if len(s)]
-                ends = np.cumsum([0, *(KEYS * (len(s) > 0) for s in sets)]).astype(np.int32)
-                keys = meeting_keys(full).reshape(-1) if full else np.zeros(0, np.int64)
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(a, b - a), set_ids(sets), pa.ListArray.from_arrays(pa.array(ends), pa.array(keys))], names=["doc_id", "node", "keys"])
+                counts = np.array([len(s) for s in sets], np.int64)
+                flat, some = np.concatenate(sets), counts[counts > 0]
+                fps = np.zeros((len(sets), WORDS), np.uint64)
+                keys = np.zeros(0, np.int64)
+                if len(some):
+                    fps[counts > 0] = wide_fingerprints(flat, some)
+                    keys = meeting_keys(flat, np.cumsum(some) - some).reshape(-1)
+                ends = np.cumsum([0, *(KEYS * (counts > 0)).tolist()]).astype(np.int32)
+                columns = [batch.column("doc_id").slice(a, b - a), set_ids(sets), pa.array(counts), pa.array([x.tobytes() for x in fps], pa.binary()), pa.ListArray.from_arrays(pa.array(ends), pa.array(keys))]
+                yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "node", "n", "fp", "keys"])
 
     def members(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -304,40 +419,23 @@ def similar_groups(docs: DataFrame, width: int = 5, similarity: float = 0.8, see
                 yield pa.RecordBatch.from_arrays([set_ids(sets), pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(sets).view(np.int64)))], names=["node", "shingles"])
 
     narrow = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    rows = materialize(arrow(narrow, run, "doc_id long, node long, keys array<long>"), "shingle-keys")
-    distinct = rows.groupBy("node").agg(F.min("doc_id").alias("first_id"))
-    dealt = materialize(rows.groupBy("node").agg(F.first("keys").alias("keys")).select("node", F.explode("keys").alias("key")), "keys")
-    shared = dealt.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
-    met = materialize(dealt.join(shared, "key"), "met")
+    rows = materialize(arrow(narrow, run, "doc_id long, node binary, n long, fp binary, keys array<long>"), "shingle-keys")
+    distinct = materialize(rows.groupBy("node").agg(F.min("doc_id").alias("first_id"), F.first("n").alias("n"), F.first("fp").alias("fp"), F.first("keys").alias("keys")), "shingle-sets")
+
+    keyed = distinct.select("node", F.explode("keys").alias("key"))
+    shared = checkpoint(keyed.groupBy("key").agg(F.count("*").alias("size")).where("size > 1"))
+    met = keyed.join(shared, "key").join(distinct.select("node", "fp"), "node")
+    loose = edges_of_groups(dealt_in_tiles(met, "key", "node", F.col("size") / (TILE_TEXTS // 2)), "key", similarity, False)
+    families = components(loose)
 
-    ids = distinct.join(met.select("node").distinct(), "node", "left_semi").select(F.col("first_id").alias("__id")).distinct()
+    family = checkpoint(families.join(distinct.select("node", "first_id", "n", "fp"), "node"))
+    ids = family.select(F.col("first_id").alias("__id")).distinct()
     wanted = narrow.join(ids.hint("shuffle_hash"), F.col("doc_id").eqNullSafe(F.col("__id")), "left_semi")
-    sets = materialize(arrow(wanted.select("text"), members, "node long, shingles array<long>").groupBy("node").agg(F.first("shingles").alias("shingles")), "shingles")
-
-    def linked(pairs: DataFrame) -> DataFrame:
-        """Those of pairs(a, b) that are similar enough."""
-        pairs = materialize(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "pairs")
-        sa, sb = (sets.select(F.col("node").alias(x), F.col("shingles").alias(f"s{x}")) for x in "ab")
-        both = F.size(F.array_intersect("sa", "sb"))
-        return pairs.join(sa, "a").join(sb, "b").where(both / (F.size("sa") + F.size("sb") - both) >= similarity).select("a", "b")
-
-    few = met.where(F.col("n") <= SMALL)
-    edges = checkpoint(linked(few.select("key", F.col("node").alias("a")).join(few.select("key", F.col("node").alias("b")), "key").where("a < b")))
-    crowd, share = checkpoint(met.where(F.col("n") > SMALL).select("key", "node")), 1
-    while True:
-        roots = components(edges)
-        if crowd.isEmpty():
-            break
-        named = crowd.join(roots, "node", "left").select("key", "node", F.coalesce("root", "node").alias("root"))
-        open_ = named.groupBy("key").agg(F.count("*").alias("n"), F.min("root").alias("low"), F.max("root").alias("high"), F.min(F.struct(F.xxhash64("node").alias("h"), F.col("node").alias("id")))["id"].alias("first"))
-        crowd = checkpoint(named.join(open_.where("low < high"), "key"))
-        pivot = crowd.where((F.col("node") == F.col("first")) | (F.pmod(F.xxhash64("node", F.lit(share)), F.col("n")) < share))
-        pivot = checkpoint(pivot.select("key", F.col("node").alias("pivot"), F.col("root").alias("__root")))
-        pairs = crowd.join(pivot, "key").where("root <> __root").select(F.col("node").alias("a"), F.col("pivot").alias("b"))
-        edges = checkpoint(edges.unionByName(linked(pairs)))
-        done = pivot.select("key", F.col("pivot").alias("node"))
-        crowd, share = checkpoint(crowd.join(done, ["key", "node"], "left_anti").select("key", "node")), 4 * share
-    return rows.join(smallest_of(distinct, "node", roots), "node").select("doc_id", "component_id")
+    sets = arrow(wanted.select("text"), members, "node binary, shingles array<long>").groupBy("node").agg(F.first("shingles").alias("shingles"))
+    sizes = checkpoint(family.groupBy("root").agg(F.greatest(F.count("*") / (TILE_TEXTS // 2), F.sum("n") / (TILE_SHINGLES // 2)).alias("tiles")))
+    gathered = family.select("node", "root", "fp").join(sizes, "root").join(sets, "node")
+    links_ = edges_of_groups(dealt_in_tiles(gathered, "root", "node", F.col("tiles")), "root", similarity, True)
+    return rows.join(smallest_of(distinct.select("node", "first_id"), "node", components(links_)), "node").select("doc_id", "component_id")
 
 
 def drop_near_copies(docs: DataFrame, width: int = 5, similarity: float = 0.8, seed: int = 42) -> DataFrame:
