@@ -8,18 +8,24 @@ in WINDOW bytes, and such suffixes can be brought together first:
 
 1. Every window names its *anchor*: the K-byte string in it with the lowest hash, leftmost of equals. Equal windows have
    equal anchors at equal places. The windows of one anchor are consecutive and make up a *segment* (some 140 bytes).
-   Each task sends on one 32-byte record per segment: hashes of anchor and of segment, and where it lies.
-2. Anchors seen once cannot hide a repeat. Of segments equal as a whole the first stays for all; the others are repeated.
-   Left are anchors with different segments: where passages start, end or were edited. Only these go on, as text.
-3. Segments of the same anchors are joined into one buffer and suffix-sorted in two stages: suffixes smaller than their
-   successors are sorted directly, the others are induced by one scan over the buckets of first bytes. Adjacent common
-   prefixes of at least WINDOW bytes make groups of equal windows, of which the first is kept. An anchor with
-   HOT_SEGMENTS different segments or more would fill one task: its windows meet by a 128-bit digest instead.
+   Each task sends on one record per segment: a hash of the anchor, and where it lies. An anchor that a task sees twice
+   is known to be shared; only its first record goes to meet other tasks' records.
+2. Anchors seen once cannot hide a repeat. All segments of the others go on, as text. In a batch, segments equal byte for
+   byte are one; the later ones are repeated.
+3. Segments of the same anchors meet. Equal ones are again one, and all different ones are joined into a buffer and
+   suffix-sorted in two stages: suffixes smaller than their successors are sorted directly, the others are induced by one
+   scan over the buckets of first bytes. Adjacent common prefixes of at least WINDOW bytes make groups of equal windows,
+   of which the first is kept. An anchor with more than SORT_BYTES of segments is sorted in parts of that size; what is
+   first in its part meets the firsts of the other parts by a 128-bit digest of the window.
 4. The removed ranges meet their texts.
 
+Hashes decide what meets. That windows are equal is found by comparing their bytes, but for the last step of an anchor
+sorted in parts.
+
 Defined cases: null text is empty; texts shorter than WINDOW lose nothing; a null doc_id is smaller than any; rows with
-equal doc_id and different text are ordered by a hash of the text; rows that repeat in full follow each other, so all
-but one lose every byte if they are WINDOW long; an empty table gives no rows; other columns are ignored.
+equal (or null) doc_id and different text are ordered by the MD5 of their texts, and (doc_id, MD5) is what tells rows
+apart throughout; rows that repeat in full follow each other, so all but one lose every byte if they are WINDOW long; an
+empty table gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -33,23 +39,26 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tracewright.llm.common import arrow, as_bytes, checkpoint, materialize, slices, utf8
+from tracewright.llm.common import arrow, as_bytes, checkpoint, materialize, slices, utf8, whole_groups
 
 WINDOW, K = 100, 24
 SPAN = WINDOW - K + 1
 #: Bytes of text that are looked at together: bounds a task's scratch memory; longer texts are cut, overlapping.
 PIECE = 1 << 19
-#: Different segments of one anchor from which on its windows are spread over all tasks instead of sorted in one. So many
-#: are 2.8 MB of text, for which sorting takes some 200 MB of a worker; fewer are better sorted where they are.
-HOT_SEGMENTS = 20_000
-#: Added to a record's `lo` if an earlier segment in the same task is equal: repeated, whatever other tasks hold.
-SETTLED = 128
+#: Records that a task collects before it sends them on.
+RECORDS = 200_000
+#: Bytes of text whose records one bucket takes.
+BUCKET_BYTES = 16 << 20
+#: Added to a record's `lo`: its anchor is known to be shared (it need not meet others), or it was sent on already.
+SHARED, SENT = 128, 128
 #: Bytes of segments that are suffix-sorted together.
-SORT_BYTES = 1 << 19
+SORT_BYTES = 1 << 20
 
 _P = 0x9E3779B97F4A7C15
 _TABLE = np.random.Generator(np.random.PCG64(5)).integers(0, 1 << 63, 256, dtype=np.uint64)
-RECORD = np.dtype([("h", "<u8"), ("s", "<u8"), ("doc", "<i8"), ("at", "<u4"), ("tag", "<u2"), ("lo", "u1"), ("hi", "u1")])
+#: h: anchor; doc, d1, d2: doc_id and digest of the text; at: place of the anchor; at - lo .. at - hi: window starts.
+RECORD = np.dtype([("h", "<u8"), ("doc", "<i8"), ("d1", "<u8"), ("d2", "<u8"), ("at", "<u4"), ("lo", "u1"), ("hi", "u1")])
+PLACE = "did long, dig binary, first long, last long"
 
 
 def _powers(n: int, base: int) -> np.ndarray:
@@ -71,7 +80,7 @@ def _mix(h: np.ndarray) -> np.ndarray:
 
 
 def segments(data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, ...]:
-    """Segments of the texts data[bounds[i]:bounds[i+1]]: (anchor hash, segment hash, anchor, first start, last start)."""
+    """Segments of the texts data[bounds[i]:bounds[i+1]]: (anchor hash, anchor, first start, last start)."""
     n = len(data)
     sums = np.empty(n + 1, np.uint64)
     sums[0] = 0
@@ -95,8 +104,7 @@ def segments(data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, ...]:
     new = np.flatnonzero((np.diff(starts) != 1) | (np.diff(own) != 0)) + 1
     first, last = starts[np.concatenate(([0], new))], starts[np.concatenate((new, [len(starts)])) - 1]
     at = own[np.concatenate(([0], new))]
-    whole = _mix((sums[last + WINDOW] - sums[first]) * _DOWN[first] + _mix(((at - first) << 8 | (last - first)).astype(np.uint64)))
-    return _mix(kmers[at] ^ np.uint64(0xA5A5A5A5A5A5A5A5)), whole, at, first, last
+    return _mix(kmers[at] ^ np.uint64(0xA5A5A5A5A5A5A5A5)), at, first, last
 
 
 def cut(texts: list[bytes]) -> Iterator[list[tuple[int, int, bytes]]]:
@@ -117,18 +125,36 @@ def cut(texts: list[bytes]) -> Iterator[list[tuple[int, int, bytes]]]:
         yield group
 
 
-def records(texts: list[bytes], docs: np.ndarray, tags: np.ndarray) -> Iterator[np.ndarray]:
+def records(texts: list[bytes], docs: np.ndarray, digests: np.ndarray) -> Iterator[np.ndarray]:
+    """digests: texts x 2 uint64, in the order of the digests' bytes."""
     for group in cut(texts):
         bounds = np.concatenate(([0], np.cumsum([len(p) for _, _, p in group])))
-        h, s, at, first, last = segments(np.frombuffer(b"".join(p for _, _, p in group), np.uint8), bounds)
+        h, at, first, last = segments(np.frombuffer(b"".join(p for _, _, p in group), np.uint8), bounds)
         which = np.searchsorted(bounds, at, side="right") - 1
         text, offset = np.array([i for i, _, _ in group])[which], np.array([o for _, o, _ in group])[which]
         out = np.empty(len(h), RECORD)
-        out["h"], out["s"], out["doc"], out["tag"] = h, s, docs[text], tags[text]
+        out["h"], out["doc"], out["d1"], out["d2"] = h, docs[text], digests[text, 0], digests[text, 1]
         out["at"], out["lo"], out["hi"] = at - bounds[which] + offset, at - first, at - last
         yield out
 
 
+def sorted_records(found: np.ndarray) -> np.ndarray:
+    """By anchor, without records that repeat (of rows that repeat in full)."""
+    order = np.argsort(found["h"], kind="stable")
+    found = found[order]
+    same = np.flatnonzero(found["h"][1:] == found["h"][:-1])
+    if len(same):  # only among equals is the rest of the order of interest
+        near = np.unique(np.concatenate((same, same + 1)))
+        part = found[near]
+        part = part[np.lexsort((part["at"], part["d2"], part["d1"], part["doc"], part["h"]))]
+        fresh = np.concatenate(([True], part[1:] != part[:-1]))
+        keep = np.ones(len(found), bool)
+        found[near] = part
+        keep[near] = fresh
+        found = found[keep]
+    return found
+
+
 def anchor_table(docs: DataFrame, buckets: int) -> DataFrame:
     """bucket, records: the segments' records, those of one task and bucket packed into one value."""
 
@@ -136,15 +162,15 @@ def anchor_table(docs: DataFrame, buckets: int) -> DataFrame:
         held, n = [], 0
 
         def flush() -> pa.RecordBatch:
-            found = np.concatenate(held)
-            found = found[np.lexsort((found["at"], found["tag"], found["doc"], found["s"], found["h"]))]
-            same = (found["h"][1:] == found["h"][:-1]) & (found["s"][1:] == found["s"][:-1])
-            twice = same & (found["doc"][1:] == found["doc"][:-1]) & (found["tag"][1:] == found["tag"][:-1]) & (found["at"][1:] == found["at"][:-1])
-            again = np.concatenate(([False], same))
-            found["lo"][again] |= SETTLED
-            by = np.where(again, _mix(found["doc"].view(np.uint64)), found["h"])  # what is settled need not meet its like
-            keep = np.concatenate(([True], ~twice))
-            found, bucket = found[keep], ((by >> np.uint64(32)) % np.uint64(buckets))[keep]
+            found = sorted_records(np.concatenate(held))
+            first = np.concatenate(([True], found["h"][1:] != found["h"][:-1]))
+            shared = ~(first & np.concatenate((first[1:], [True])))
+            found["lo"][shared] += SHARED
+            by = np.where(shared, _mix(found["doc"].view(np.uint64)), found["h"])  # what is known need not meet its like
+            tell = found[shared & first]  # but tells the others
+            tell["hi"] += SENT
+            found, by = np.concatenate((found, tell)), np.concatenate((by, tell["h"]))
+            bucket = (by >> np.uint64(32)) % np.uint64(buckets)
             order = np.argsort(bucket, kind="stable")
             found, bucket = found[order], bucket[order]
             stops = np.flatnonzero(np.diff(bucket)) + 1
@@ -153,66 +179,53 @@ def anchor_table(docs: DataFrame, buckets: int) -> DataFrame:
 
         for batch in batches:
             texts = as_bytes(batch, "text")
-            ids, tags = batch.column("did").to_numpy(zero_copy_only=False), batch.column("tag").to_numpy(zero_copy_only=False)
+            ids = batch.column("did").to_numpy(zero_copy_only=False)
+            digests = np.frombuffer(b"".join(batch.column("dig").to_pylist()), ">u8").astype(np.uint64).reshape(-1, 2)
             for a, b in slices(texts):
-                for found in records(utf8(texts.slice(a, b - a).to_pylist()), ids[a:b], tags[a:b]):
+                for found in records(utf8(texts.slice(a, b - a).to_pylist()), ids[a:b], digests[a:b]):
                     held.append(found)
                     n += len(found)
-                    if n >= 200_000:
+                    if n >= RECORDS:
                         yield flush()
                         held, n = [], 0
         if n:
             yield flush()
 
-    return arrow(docs.select("did", "tag", "text"), run, "bucket long, records binary")
+    return arrow(docs.select("did", "dig", "text"), run, "bucket long, records binary")
 
 
-# --- 2: equal segments -------------------------------------------------------------------------------------------
+# --- 2: shared anchors -------------------------------------------------------------------------------------------
 
 
-def match(found: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(records repeated as a whole, records that have to be compared, those of them whose anchor has very many
-    segments): all records of an anchor that are not settled are in `found`."""
-    if not len(found):
-        return found, found, np.zeros(0, bool)
-    found = found[np.argsort(found["h"], kind="stable")]
-    change = np.concatenate(([True], np.diff(found["h"]) != 0, [True]))
-    found = found[~(change[:-1] & change[1:])]  # anchors seen once
-    order = np.lexsort((found["at"], found["tag"], found["doc"], found["s"], found["h"]))
-    found = found[order]
-    if not len(found):
-        return found, found, np.zeros(0, bool)
-    found = found[np.concatenate(([True], found[1:] != found[:-1]))]  # rows that repeat in full
-    anchor = np.concatenate(([True], np.diff(found["h"]) != 0))
-    kind = anchor | np.concatenate(([True], np.diff(found["s"]) != 0))
-    group = np.cumsum(anchor) - 1
-    segments_of = np.bincount(group, kind)[group]
-    compare = kind & (segments_of > 1)
-    return found[~kind], found[compare], segments_of[compare] >= HOT_SEGMENTS
+def with_partners(found: np.ndarray) -> np.ndarray:
+    """The records of shared anchors that have not been sent on: all records of an anchor that go by it are in `found`."""
+    known, sent = found["lo"] >= SHARED, found["hi"] >= SENT
+    direct = found[known & ~sent]
+    found = sorted_records(found[~known | sent])
+    first = np.concatenate(([True], found["h"][1:] != found["h"][:-1])) if len(found) else np.zeros(0, bool)
+    group = np.cumsum(first) - 1
+    told = np.bincount(group, found["hi"] >= SENT)[group] > 0 if len(found) else first
+    alone = first & np.concatenate((first[1:], [True])) if len(found) else first
+    out = np.concatenate((direct, found[(told | ~alone) & (found["hi"] < SENT)]))
+    out["lo"] %= SHARED
+    return out
 
 
-def matched(anchors: DataFrame) -> DataFrame:
-    """did, tag, first, last, at, compare, hot: first..last are window starts; compare says whether they are still open."""
+def shared_segments(anchors: DataFrame) -> DataFrame:
+    """did, dig, first, last, at of every segment of a shared anchor; first..last are window starts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        by_bucket: dict[int, list] = {}
-        for batch in batches:
-            for bucket, blob in zip(batch.column("bucket").to_pylist(), batch.column("records").to_pylist(), strict=True):
-                by_bucket.setdefault(bucket, []).append(np.frombuffer(blob, RECORD))
-        for parts in by_bucket.values():
-            found = np.concatenate(parts)
-            settled = found["lo"] >= SETTLED
-            repeated, compare, hot = match(found[~settled])
-            settled = found[settled]
-            settled["lo"] -= SETTLED
-            for rows, open_, many in ((settled, False, None), (repeated, False, None), (compare, True, hot)):
-                if len(rows):
-                    at = rows["at"].astype(np.int64)
-                    flags = [np.full(len(rows), open_), np.zeros(len(rows), bool) if many is None else many]
-                    columns = [rows["doc"], rows["tag"].astype(np.int32), at - rows["lo"], at - rows["hi"], at, *flags]
-                    yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(c)) for c in columns], names=["did", "tag", "first", "last", "at", "compare", "hot"])
-
-    return arrow(anchors.repartition("bucket"), run, "did long, tag int, first long, last long, at long, compare boolean, hot boolean")
+        for part in whole_groups(batches, ["bucket"]):
+            found = with_partners(np.concatenate([np.frombuffer(x, RECORD) for x in part.column("records").to_pylist()]))
+            for begin in range(0, len(found), RECORDS):
+                rows = found[begin : begin + RECORDS]
+                at = rows["at"].astype(np.int64)
+                digests = np.stack((rows["d1"], rows["d2"]), 1).astype(">u8").tobytes()
+                dig = pa.Array.from_buffers(pa.binary(16), len(rows), [None, pa.py_buffer(digests)]).cast(pa.binary())
+                columns = [pa.array(np.ascontiguousarray(rows["doc"])), dig, *(pa.array(c) for c in (at - rows["lo"], at - rows["hi"], at))]
+                yield pa.RecordBatch.from_arrays(columns, names=["did", "dig", "first", "last", "at"])
+
+    return arrow(anchors.repartition("bucket").sortWithinPartitions("bucket"), run, f"{PLACE}, at long")
 
 
 # --- 3: two-stage suffix sorting ---------------------------------------------------------------------------------
@@ -269,16 +282,29 @@ def two_stage(data: np.ndarray, depth: int = WINDOW) -> np.ndarray:
     own = np.bincount(data[smaller], minlength=256)
     # within a bucket the induced suffixes come first, the sorted ones last
     sa[np.repeat(stop - own - (np.cumsum(own) - own), own) + np.arange(len(placed))] = placed
-    order, induced, text, head = sa.tolist(), (~up).tolist(), data.tolist(), (stop - count).tolist()
-    order[head[text[n - 1]]] = n - 1  # the last suffix is greater than the empty one after it
-    head[text[n - 1]] += 1
-    for i in order:  # reads what it has written further on
-        i -= 1
-        if i >= 0 and induced[i]:
-            c = text[i]
-            order[head[c]] = i
-            head[c] += 1
-    return np.array(order, np.int64)
+    head = stop - count
+    sa[head[data[n - 1]]] = n - 1  # the last suffix is greater than the empty one after it
+    head[data[n - 1]] += 1
+
+    def induce(entries: np.ndarray) -> None:
+        """The predecessors that are not sorted yet go to the heads of their buckets, in this order."""
+        before = entries[entries > 0] - 1
+        before = before[~up[before]]
+        order = np.argsort(data[before], kind="stable")
+        before = before[order]
+        first = data[before].astype(np.int64)
+        n_of = np.bincount(first, minlength=256)
+        sa[head[first] + np.arange(len(first)) - (np.cumsum(n_of) - n_of)[first]] = before
+        np.add(head, n_of, out=head)
+
+    for c in np.flatnonzero(count).tolist():
+        at, end = int(stop[c] - count[c]), int(stop[c] - own[c])
+        while at < end:  # a bucket's own scan may add to it: runs of one byte
+            filled = int(head[c])
+            induce(sa[at:filled])
+            at = filled
+        induce(sa[end : stop[c]])
+    return sa
 
 
 def common_prefix(word: np.ndarray, a: np.ndarray, b: np.ndarray, depth: int) -> np.ndarray:
@@ -289,9 +315,9 @@ def common_prefix(word: np.ndarray, a: np.ndarray, b: np.ndarray, depth: int) ->
     return same
 
 
-def repeated_windows(segments_: list[bytes], doc: np.ndarray, tag: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(segment, start in its text) of each window that equals an earlier one. A segment's windows start at its bytes 0
-    to length - WINDOW."""
+def repeated_windows(segments_: list[bytes], place: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(segment, window inside it) of each window that equals one of an earlier place. place: (rank of the text, first
+    window start) of each segment; its windows start at its bytes 0 to length - WINDOW."""
     data = np.frombuffer(b"".join(segments_), np.uint8)
     sizes = np.array([len(s) for s in segments_])
     base = np.cumsum(sizes) - sizes
@@ -301,91 +327,149 @@ def repeated_windows(segments_: list[bytes], doc: np.ndarray, tag: np.ndarray, f
     sa = sa[(inside <= sizes[of] - WINDOW)[sa]]
     same = common_prefix(words(data), sa[:-1], sa[1:], WINDOW)
     group = np.cumsum(np.concatenate(([True], ~same)))
-    start = first[of[sa]] + inside[sa]
-    order = np.lexsort((start, tag[of[sa]], doc[of[sa]], group))
+    of, inside = of[sa], inside[sa]
+    order = np.lexsort((place[of, 1] + inside, place[of, 0], group))
     again = order[1:][np.diff(group[order]) == 0]
-    return of[sa][again], start[again]
+    return of[again], inside[again]
+
+
+def runs(of: np.ndarray, start: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(of, first, last) of the maximal runs of consecutive starts."""
+    order = np.lexsort((start, of))
+    of, start = of[order], start[order]
+    new = np.flatnonzero((np.diff(of) != 0) | (np.diff(start) != 1)) + 1
+    a, b = np.concatenate(([0], new)), np.concatenate((new, [len(of)])) - 1
+    return of[a], start[a], start[b]
 
 
-def compared(docs: DataFrame, open_segments: DataFrame) -> DataFrame:
-    """did, tag, first, last: the windows of open segments that are repeated."""
+def equal_segments(values: list[bytes], place: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(rows that come first of those with equal bytes, the other rows)."""
+    first: dict[bytes, int] = {}
+    later = []
+    for i in np.lexsort((place[:, 1], place[:, 0])).tolist():
+        if first.setdefault(values[i], i) != i:
+            later.append(i)
+    return np.array(sorted(first.values()), np.int64), np.array(later, np.int64)
+
+
+def distinct(place: np.ndarray) -> np.ndarray:
+    """One row of each place: rows that repeat in full give their segments more than once."""
+    order = np.lexsort((place[:, 1], place[:, 0]))
+    return order[np.concatenate(([True], (np.diff(place[order], axis=0) != 0).any(1)))[: len(order)]]
+
+
+def text_ranks(did: np.ndarray, dig: list[bytes]) -> np.ndarray:
+    """Rank of each row's (did, dig), equal for equal ones."""
+    halves = np.frombuffer(b"".join(dig), ">u8").astype(np.uint64).reshape(-1, 2)
+    order = np.lexsort((halves[:, 1], halves[:, 0], did))
+    new = (np.diff(did[order]) != 0) | (np.diff(halves[order], axis=0) != 0).any(1)
+    out = np.empty(len(did), np.int64)
+    out[order] = np.cumsum(np.concatenate(([0], new)))
+    return out
+
+
+def in_parts(batches: Iterator[pa.RecordBatch], limit: int) -> Iterator[tuple[pa.Table, set[int]]]:
+    """Tables of about `limit` bytes of segments, from batches sorted by kmer, and which of their anchors are in parts of
+    other tables as well."""
+    held: list[pa.Table] = []
+    size, cut_, step = 0, None, max(1, min(1024, limit // 256))
+    for batch in batches:
+        for at in range(0, batch.num_rows, step):
+            held.append(pa.Table.from_batches([batch.slice(at, step)]))
+            size += pc.sum(pc.binary_length(held[-1].column("segment"))).as_py() or 0
+            if size < limit:
+                continue
+            whole = pa.concat_tables(held)
+            kmer = whole.column("kmer").to_numpy()
+            begins = int(np.searchsorted(kmer, kmer[-1]))
+            if begins:
+                yield whole.slice(0, begins), {cut_}
+                held, cut_ = [whole.slice(begins)], None
+            else:
+                cut_ = int(kmer[-1])
+                yield whole, {cut_}
+                held = []
+            size = sum(pc.sum(pc.binary_length(t.column("segment"))).as_py() or 0 for t in held)
+    if held:
+        yield pa.concat_tables(held), {cut_}
+
+
+def compared(docs: DataFrame, segments_: DataFrame) -> DataFrame:
+    """did, dig, first, last: the repeated windows of all segments of shared anchors."""
+
+    def places(did, dig, first, last, **more) -> pa.RecordBatch:
+        columns = [pa.array(did, pa.int64()), pa.array(dig, pa.binary()), pa.array(first, pa.int64()), pa.array(last, pa.int64()), *more.values()]
+        return pa.RecordBatch.from_arrays(columns, names=["did", "dig", "first", "last", *more])
 
     def texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """One row per segment with its bytes, or without them if an equal one of this batch comes earlier."""
         for batch in batches:
-            rows: list[list] = [[] for _ in range(5)]
-            for did, tag, text, items in zip(*(batch.column(c).to_pylist() for c in ("did", "tag", "text", "items")), strict=True):
-                data = text.encode()
-                for item in items:
-                    first, last, at = item["first"], item["last"], item["at"]
-                    kmer = int.from_bytes(hashlib.blake2b(data[at : at + K], digest_size=8).digest(), "little", signed=True)
-                    for column, value in zip(rows, (kmer, did, tag, first, data[first : last + WINDOW]), strict=True):
-                        column.append(value)
-                if len(rows[0]) >= 20_000:
-                    yield pack(rows)
-                    rows = [[] for _ in range(5)]
-            yield pack(rows)
-
-    def pack(rows: list[list]) -> pa.RecordBatch:
-        kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.binary())
-        return pa.RecordBatch.from_arrays([pa.array(r, k) for r, k in zip(rows, kinds, strict=True)], names=["kmer", "did", "tag", "first", "segment"])
+            for begin, end in slices(as_bytes(batch, "text")):
+                rows = batch.slice(begin, end - begin)
+                data = np.frombuffer(b"".join(utf8(as_bytes(rows, "text").to_pylist())), np.uint8)
+                sizes = pc.binary_length(as_bytes(rows, "text")).to_numpy(zero_copy_only=False).astype(np.int64)
+                items = rows.column("items")
+                of = np.repeat(np.arange(rows.num_rows), np.diff(items.offsets.to_numpy()))
+                first, last, at = (items.flatten().field(k).to_numpy(zero_copy_only=False) for k in range(3))
+                base = (np.cumsum(sizes) - sizes)[of]
+                anchor = np.ascontiguousarray(data[(base + at)[:, None] + np.arange(K)]).view(np.uint64)
+                kmer = _mix(_mix(_mix(anchor[:, 0]) ^ anchor[:, 1]) ^ anchor[:, 2]).view(np.int64)
+                did, dig = rows.column("did").to_numpy(zero_copy_only=False), rows.column("dig").to_pylist()
+                place = np.stack((text_ranks(did, dig)[of], first), 1)
+                fresh = distinct(place)
+                of, base, first, last, kmer, place = (x[fresh] for x in (of, base, first, last, kmer, place))
+                values = [data[b : b + n].tobytes() for b, n in zip((base + first).tolist(), (last - first + WINDOW).tolist(), strict=True)]
+                _, later = equal_segments(values, place)
+                for i in later.tolist():
+                    values[i] = None
+                kmer[later] = _mix((did[of][later] ^ first[later]).view(np.uint64)).view(np.int64)  # it need not meet its like
+                out = places(did[of], [dig[i] for i in of.tolist()], first, last, kmer=pa.array(kmer), segment=pa.array(values, pa.binary()))
+                yield from (out.slice(x, 8192) for x in range(0, out.num_rows, 8192))
 
     def sort(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        parts = [b for b in batches if b.num_rows]
-        if not parts:
-            return
-        rows = pa.Table.from_batches(parts)
-        keys = [rows.column(c).to_numpy() for c in ("first", "tag", "did", "kmer")]
-        order = np.lexsort(keys)
-        fresh = np.zeros(len(order), bool)  # rows that repeat in full give their segments twice
-        fresh[0] = True
-        for key in keys:
-            fresh[1:] |= np.diff(key[order]) != 0
-        rows = rows.take(pa.array(order[fresh])).combine_chunks()
-        kmer, did, tag, first = (rows.column(c).to_numpy() for c in ("kmer", "did", "tag", "first"))
-        size = np.cumsum(pc.binary_length(rows.column("segment")).to_numpy().astype(np.int64))
-        change = np.concatenate((np.flatnonzero(np.diff(kmer)) + 1, [len(kmer)]))
-        begin = 0
-        while begin < len(kmer):
-            done = size[begin - 1] if begin else 0
-            fit = change[(change > begin) & (size[change - 1] - done <= SORT_BYTES)]
-            end = int(fit[-1]) if len(fit) else int(change[np.searchsorted(change, begin, side="right")])
-            own = slice(begin, end)
-            seg, start = repeated_windows(rows.column("segment").slice(begin, end - begin).to_pylist(), did[own], tag[own], first[own])
-            begin = end
-            if not len(seg):
+        none = pa.nulls(0, pa.binary())
+        for table, cut_ in in_parts(batches, SORT_BYTES):
+            known = table.filter(pc.is_null(table.column("segment")))
+            yield from known.select(["did", "dig", "first", "last"]).append_column("window", pa.nulls(known.num_rows, pa.binary())).to_batches()
+            table = table.filter(pc.is_valid(table.column("segment")))
+            if not table.num_rows:
                 continue
-            order = np.lexsort((start, seg))
-            seg, start = seg[order], start[order]
-            new = np.flatnonzero((np.diff(seg) != 0) | (np.diff(start) != 1)) + 1
-            a, b = np.concatenate(([0], new)), np.concatenate((new, [len(seg)])) - 1
-            columns = [did[own][seg[a]], tag[own][seg[a]], start[a], start[b]]
-            yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["did", "tag", "first", "last"])
-
-    def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """One row per window of a hot segment: a 128-bit digest of its bytes, and where it starts."""
-        for batch in batches:
-            for row in batch.to_pylist():
-                data = row["text"].encode()
-                for item in row["items"]:
-                    starts = list(range(item["first"], item["last"] + 1))
-                    digests = np.frombuffer(b"".join(hashlib.blake2b(data[s : s + WINDOW], digest_size=16).digest() for s in starts), np.int64).reshape(-1, 2)
-                    n = len(starts)
-                    columns = [pa.array(np.ascontiguousarray(digests[:, 0])), pa.array(np.ascontiguousarray(digests[:, 1])), pa.array([row["did"]] * n, pa.int64()), pa.array([row["tag"]] * n, pa.int32()), pa.array(starts, pa.int64())]
-                    yield pa.RecordBatch.from_arrays(columns, names=["a", "b", "did", "tag", "first"])
-
-    def texts_of(segments_: DataFrame) -> DataFrame:
-        items = segments_.groupBy("did", "tag").agg(F.collect_list(F.struct("first", "last", "at")).alias("items"))
-        return docs.select("did", "tag", "text").dropna(subset=["text"]).join(items, ["did", "tag"])
-
-    cold = arrow(texts_of(open_segments.where("NOT hot")), texts, "kmer long, did long, tag int, first long, segment binary")
-    found = arrow(cold.repartition("kmer"), sort, "did long, tag int, first long, last long")
-    if open_segments.where("hot").isEmpty():
-        return found
-    # an anchor in a large part of all documents: its windows meet by digest, partial minima first, so no task gets them all
-    windows = checkpoint(arrow(texts_of(open_segments.where("hot")), spread, "a long, b long, did long, tag int, first long").distinct())
-    earliest = windows.groupBy("a", "b").agg(F.min(F.struct("did", "tag", "first")).alias("m"), F.count("*").alias("n")).where("n > 1")
-    again = windows.join(checkpoint(earliest), ["a", "b"]).where(F.struct("did", "tag", "first") != F.col("m"))
-    return found.unionByName(again.select("did", "tag", "first", F.col("first").alias("last")))
+            did, kmer, start = (table.column(c).to_numpy() for c in ("did", "kmer", "first"))
+            dig, values = table.column("dig").to_pylist(), table.column("segment").to_pylist()
+            place = np.stack((text_ranks(did, dig), start), 1)
+            fresh = distinct(place)
+            first, later = equal_segments([values[i] for i in fresh.tolist()], place[fresh])
+            first, later = fresh[first], fresh[later]
+            # of an anchor with one different segment, nothing else can be repeated
+            _, anchor, n_of = np.unique(kmer[first], return_inverse=True, return_counts=True)
+            parts = np.isin(kmer[first], list(cut_ - {None}))
+            first = first[(n_of[anchor] > 1) | parts]
+            out = [(later, start[later], start[later] + np.array([len(values[i]) for i in later.tolist()], np.int64) - WINDOW)]
+            window = [none]
+            if len(first):
+                of, inside = repeated_windows([values[i] for i in first.tolist()], place[first])
+                if len(of):
+                    of_, a, b = runs(of, inside)
+                    out.append((first[of_], start[first[of_]] + a, start[first[of_]] + b))
+                for i in np.flatnonzero(np.isin(kmer[first], list(cut_ - {None}))).tolist():
+                    row = int(first[i])
+                    left = np.setdiff1d(np.arange(len(values[row]) - WINDOW + 1), inside[of == i])
+                    out.append((np.full(len(left), row), start[row] + left, start[row] + left))
+                    window.append(pa.array([hashlib.blake2b(values[row][x : x + WINDOW], digest_size=16).digest() for x in left.tolist()], pa.binary()))
+            row, a, b = (np.concatenate(c) for c in zip(*out, strict=True))
+            digests = pa.concat_arrays(window)
+            digests = pa.concat_arrays([pa.nulls(len(row) - len(digests), pa.binary()), digests])
+            yield places(did[row], [dig[i] for i in row.tolist()], a, b, window=digests)
+
+    items = segments_.groupBy("did", "dig").agg(F.collect_list(F.struct("first", "last", "at")).alias("items"))
+    open_ = docs.select("did", "dig", "text").dropna(subset=["text"]).join(items, ["did", "dig"])
+    met = arrow(open_, texts, f"{PLACE}, kmer long, segment binary").repartition("kmer").sortWithinPartitions("kmer")
+    found = materialize(arrow(met, sort, f"{PLACE}, window binary"), "windows")
+    # firsts of the parts of one anchor: partial minima first, so no task gets them all
+    firsts = found.where("window IS NOT NULL")
+    earliest = firsts.groupBy("window").agg(F.min(F.struct("did", "dig", "first")).alias("m"), F.count("*").alias("n")).where("n > 1")
+    again = firsts.join(checkpoint(earliest), "window").where(F.struct("did", "dig", "first") != F.col("m"))
+    return found.where("window IS NULL").drop("window").unionByName(again.select("did", "dig", "first", "last"))
 
 
 # --- 4: texts ----------------------------------------------------------------------------------------------------
@@ -401,30 +485,28 @@ def merge(firsts: np.ndarray, lasts: np.ndarray) -> tuple[np.ndarray, np.ndarray
 
 def prepare(docs: DataFrame) -> DataFrame:
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    tag = F.xxhash64("text").bitwiseAND(F.lit(0xFFFF)).cast("int")
-    return rows.select(F.coalesce("doc_id", F.lit(-(1 << 63))).alias("did"), tag.alias("tag"), "doc_id", "text")
+    digest = F.unhex(F.md5(F.coalesce("text", F.lit("")).cast("binary")))
+    return rows.select(F.coalesce("doc_id", F.lit(-(1 << 63))).alias("did"), digest.alias("dig"), "doc_id", "text")
 
 
 def repeated_ranges(rows: DataFrame, buckets: int) -> DataFrame:
-    """did, tag, firsts, lasts: ranges of repeated window starts of each text that has any."""
-    found = materialize(matched(anchor_table(rows, buckets)), "segments")
-    sorted_ = materialize(compared(rows, found.where("compare")), "windows")
-    ranges = found.where("NOT compare").select("did", "tag", "first", "last").unionByName(sorted_)
-    packed = ranges.groupBy("did", "tag").agg(F.collect_list(F.struct("first", "last")).alias("r"))
-    return packed.select("did", "tag", F.col("r.first").alias("firsts"), F.col("r.last").alias("lasts"))
+    """did, dig, firsts, lasts: ranges of repeated window starts of each text that has any."""
+    found = materialize(shared_segments(anchor_table(rows, buckets)), "segments")
+    packed = compared(rows, found).groupBy("did", "dig").agg(F.collect_list(F.struct("first", "last")).alias("r"))
+    return packed.select("did", "dig", F.col("r.first").alias("firsts"), F.col("r.last").alias("lasts"))
 
 
 def remove_repeats(docs: DataFrame) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept (binary), kept_sha256; one row per row of docs."""
     spark, rows = docs.sparkSession, prepare(docs)
-    buckets = 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
-    ranges = repeated_ranges(rows, buckets)
-    counted = rows.groupBy("did", "tag").agg(F.count("*").alias("n")).where("n > 1")
+    size = docs.agg(F.sum(F.octet_length(F.col("text").cast("string")).cast("long"))).first()[0] or 0
+    ranges = repeated_ranges(rows, max(4 * int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size // BUCKET_BYTES)))
+    counted = rows.groupBy("did", "dig").agg(F.count("*").alias("n")).where("n > 1")
     if checkpoint(counted.limit(1)).isEmpty():
         numbered = rows.withColumn("nth", F.lit(1))
     else:
-        numbered = rows.withColumn("nth", F.row_number().over(Window.partitionBy("did", "tag", "text").orderBy(F.lit(0))))
-    joined = numbered.join(ranges.hint("shuffle_hash"), ["did", "tag"], "left")
+        numbered = rows.withColumn("nth", F.row_number().over(Window.partitionBy("did", "dig").orderBy(F.lit(0))))
+    joined = numbered.join(ranges.hint("shuffle_hash"), ["did", "dig"], "left")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
