@@ -4,6 +4,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pytest
 
 from tracewright.llm import chat, exact_dedup, sharding, urlfilter, vafile
 from tracewright.llm.queries import URL_RULES
@@ -115,14 +116,27 @@ def test_exact_top_k(spark, monkeypatch):
     assert vafile.top_k(df.limit(0), F.lit(True), 5).collect() == []
 
 
-def test_few_exact_vectors_are_read():
+def test_few_exact_vectors_are_read(spark):
+    from pyspark.sql import functions as F
+
     r = np.random.Generator(np.random.PCG64(2))
-    exact = np.floor(256 * r.normal(size=(4000, 16)))
-    codes, bounds = vafile.approximate(exact)
-    column = np.arange(16)
-    assert (bounds[column, codes] <= exact).all() and (exact <= bounds[column, codes + 1]).all()
-    found, read = vafile.search_block(np.arange(20), exact[:20], np.arange(4000), exact, codes, bounds, 5)
-    assert len(found) == 100 and read < 20 * 4000 * 0.15
+    exact = np.floor(256 * r.normal(size=(4000, 16))).astype(np.int64)
+    codes, low, step = vafile.approximate(exact)
+    assert (low + codes * step <= exact).all() and (exact < low + (codes + 1) * step).all()
+    upper, width = vafile.upper_bounds(exact[:50], codes, low, step)
+    scores = exact[:50] @ exact.T
+    assert (scores <= upper).all() and (upper - width[:, None] <= scores).all()
+    df = spark.createDataFrame([(i, (x / 256).tolist()) for i, x in enumerate(exact)], "vec_id long, embedding array<double>")
+    reads = {x.query_id: x.n_read for x in vafile.top_k(df, F.col("vec_id") % 50 == 0, 5, count_reads=True).collect()}
+    assert set(reads) == set(range(0, 4000, 50)) and sum(reads.values()) < 4000 * 80 * 0.02
+
+
+def test_scores_beyond_a_long_are_an_error(spark):
+    from pyspark.sql import functions as F
+
+    df = spark.createDataFrame([(0, [1e30, 0.0]), (1, [1.0, 1.0])], "vec_id long, embedding array<double>")
+    with pytest.raises(Exception, match="too large"):
+        vafile.top_k(df, F.col("vec_id") == 0, 5).collect()
 
 
 # --- urls --------------------------------------------------------------------------------------------------------

@@ -1,19 +1,25 @@
 """Exact top-k inner products with vector-approximation files.
 
-Rows are packed into blocks. A block carries, beside its exact vectors, an approximation: each dimension is cut into
-CELLS cells at the block's own quantiles and a vector is the list of its cells' numbers. Queries are packed into blocks
-as well and every query block meets every vector block (a stated query set against all rows, in blocks; what is paired
-are blocks, not rows). For a pair, the approximations are scanned for upper bounds of all scores; then exact vectors
-are read in the order of their bounds, until the k-th best score is above every bound that is left. The k best of each
-pair go on to a ranking per query.
+Rows are packed into blocks, written once to the shared folder. A block's *approximation* cuts each dimension into CELLS
+cells of equal width and keeps the list of every vector's cell numbers, one byte a component; the exact vectors are other
+columns of the same file, so a scan of the approximations does not read them. The search has two phases:
 
-Vectors are integers, floor(256 * x) of each component, and so are scores; bounds are taken with a slack above their
-rounding error, so that no row is passed over.
+1. Scan: only approximations are read. For a query, the cells' numbers bound every score from below and above; each task
+   keeps the k best lower bounds of each query, and the k-th best of all tasks is what a result must reach.
+2. Read: a block's approximations give upper bounds again, and of its exact vectors only those are read whose upper bound
+   reaches the query's threshold, in the order of their bounds, until the k-th score is above every bound that is left.
+   The k best of each block go on to a ranking per query.
+
+Queries are packed into blocks as well and every query block meets every vector block (a stated query set against all
+rows, in blocks; what is paired are blocks, not rows). All pairs of blocks are independent, so all cores share them.
+
+Vectors are integers, floor(256 * x) of each component, and so are scores. Cell borders are integers; only the bounds'
+sums are floating-point numbers, taken with a slack above their rounding error, so that no row is passed over.
 
 Defined cases: vectors that are null or hold null or non-finite components, and rows with a null id, take no part;
 vectors meet queries of their own length only; rows sharing the query's id are not its candidates; rows that repeat are
-candidates each, ties go to the smaller id; scores must fit a long; an empty table gives no rows; other columns are
-ignored.
+candidates each, ties go to the smaller id; scores that might leave the range of a long are an error; an empty table
+gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -22,13 +28,14 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tracewright.llm.common import arrow
+from tracewright.llm.common import arrow, materialize
 
 CELLS = 64
-VECTOR_BLOCK, QUERY_BLOCK = 4096, 512
+VECTOR_BLOCK, QUERY_BLOCK = 1024, 512
 SCALE = 256.0
 
 
@@ -39,105 +46,153 @@ def usable(vector: str, row_id: str) -> Column:
 
 
 def integers(vectors: pa.ListArray, width: int) -> np.ndarray:
-    return np.floor(SCALE * vectors.flatten().to_numpy(zero_copy_only=False).astype(np.float64)).reshape(-1, width)
+    scaled = np.floor(SCALE * vectors.flatten().to_numpy(zero_copy_only=False).astype(np.float64)).reshape(-1, width)
+    # any two such vectors have a product below 2^62
+    if scaled.size and np.abs(scaled).max() > np.sqrt(2.0**62 / width):
+        raise ValueError("components are too large: a score might not fit a long")
+    return scaled.astype(np.int64)
+
 
+def approximate(exact: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(codes uint8 n x d, low d, step d): low + codes * step <= exact < low + (codes + 1) * step."""
+    low = exact.min(0, initial=0) if not len(exact) else exact.min(0)
+    step = (exact.max(0) - low) // CELLS + 1 if len(exact) else np.ones_like(low)
+    return ((exact - low) // step).astype(np.uint8), low, step
 
-def approximate(exact: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(codes uint8 n x d, bounds d x CELLS + 1): bounds[j, c] <= exact[i, j] <= bounds[j, c + 1] for c = codes[i, j]."""
-    bounds = np.quantile(exact, np.linspace(0, 1, CELLS + 1), axis=0, method="lower").T.copy()
-    codes = np.empty(exact.shape, np.uint8)
-    for j in range(exact.shape[1]):
-        codes[:, j] = np.clip(np.searchsorted(bounds[j], exact[:, j], side="right") - 1, 0, CELLS - 1)
-    return codes, bounds
 
+def upper_bounds(queries: np.ndarray, codes: np.ndarray, low: np.ndarray, step: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(upper bounds queries x vectors, width of the bounds of each query): one product over the cells' numbers."""
+    weight = queries * step.astype(np.float64)
+    base = queries.astype(np.float64) @ low.astype(np.float64)
+    above = (np.maximum(queries, 0) * (step - 1.0)).sum(1)
+    below = (np.minimum(queries, 0) * (step - 1.0)).sum(1)
+    slack = 2.0**-22 * (len(step) + 4) * (np.abs(weight).sum(1) * CELLS + np.abs(base)) + 0.5
+    product = weight.astype(np.float32) @ codes.T.astype(np.float32)
+    return product + (base + above + slack)[:, None], above - below + 2 * slack
 
-def pack(rows: DataFrame, row_id: str, vector: str, block: int, prefix: str, approximated: bool) -> DataFrame:
-    """One row per block: width, ids, exact vectors and, if asked for, the approximation; all as binary."""
+
+def pack(rows: DataFrame, row_id: str, vector: str, block: int, extra: list[str], approximated: bool) -> DataFrame:
+    """One row per block: number, width, ids, exact vectors, `extra` columns of doubles and, if asked for, the
+    approximation; arrays as binary."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         waiting: dict[int, list] = {}
-
-        def row(width: int, ids: np.ndarray, exact: np.ndarray) -> pa.RecordBatch:
-            codes, bounds = approximate(exact) if approximated else (np.zeros(0, np.uint8), np.zeros(0))
-            values = [width, ids.tobytes(), exact.tobytes(), codes.tobytes(), bounds.tobytes()]
-            kinds = [pa.int32(), *[pa.binary()] * 4]
+        number = TaskContext.get().partitionId() << 32
+
+        def row(width: int, parts: list[np.ndarray]) -> pa.RecordBatch:
+            nonlocal number
+            values = [number, width, *(x.tobytes() for x in parts)]
+            if approximated:
+                values += [x.tobytes() for x in approximate(parts[1])]
+            number += 1
+            kinds = [pa.int64(), pa.int32(), *[pa.binary()] * (len(values) - 2)]
             return pa.RecordBatch.from_arrays([pa.array([v], k) for v, k in zip(values, kinds, strict=True)], names=names)
 
         for batch in batches:
-            ids, vectors = batch.column(0).to_numpy(zero_copy_only=False), batch.column(1)
+            vectors = batch.column("vector")
+            columns = [batch.column(c).to_numpy(zero_copy_only=False) for c in ("id", *extra)]
             widths = np.diff(vectors.offsets.to_numpy())
             for width in np.unique(widths).tolist():
                 own = np.flatnonzero(widths == width)
+                exact = integers(vectors.take(pa.array(own)), width) if width else np.zeros((len(own), 0), np.int64)
                 held = waiting.setdefault(width, [])
-                held.append((ids[own], integers(vectors.take(pa.array(own)), width) if width else np.zeros((len(own), 0))))
-                while sum(len(x) for x, _ in held) >= block:
-                    a, b = np.concatenate([x for x, _ in held]), np.concatenate([y for _, y in held])
-                    yield row(width, a[:block], b[:block])
-                    held[:] = [(a[block:], b[block:])]
+                held.append([columns[0][own], exact, *(c[own] for c in columns[1:])])
+                while sum(len(x[0]) for x in held) >= block:
+                    parts = [np.concatenate(x) for x in zip(*held, strict=True)]
+                    yield row(width, [x[:block] for x in parts])
+                    held[:] = [[x[block:] for x in parts]]
         for width, held in waiting.items():
-            if sum(len(x) for x, _ in held):
-                yield row(width, np.concatenate([x for x, _ in held]), np.concatenate([y for _, y in held]))
-
-    names = [f"{prefix}_{n}" for n in ("width", "ids", "exact", "codes", "bounds")]
-    narrow = rows.select(F.col(row_id).cast("long").alias("id"), F.col(vector).cast("array<double>").alias("vector"))
-    return arrow(narrow, run, ", ".join(f"{n} {'int' if n.endswith('width') else 'binary'}" for n in names))
-
-
-def search_block(q_ids: np.ndarray, queries: np.ndarray, ids: np.ndarray, exact: np.ndarray, codes: np.ndarray, bounds: np.ndarray, k: int) -> tuple[list, int]:
-    """([(query id, id, score)], exact vectors read) of the k best rows of one block for each query."""
-    column = np.arange(exact.shape[1])
-    low, high = bounds[column, codes], bounds[column, codes + 1]
-    upper = np.maximum(queries, 0) @ high.T + np.minimum(queries, 0) @ low.T
-    slack = 1e-9 * (np.abs(queries) @ np.maximum(np.abs(high), np.abs(low)).T.max(axis=1)) + 0.5
-    whole, whole_q = exact.astype(np.int64), queries.astype(np.int64)
-    out, read = [], 0
-    for i, query_id in enumerate(q_ids.tolist()):
-        bound = upper[i] + slack[i]
-        bound[ids == query_id] = -np.inf
-        best_ids, best = np.zeros(0, np.int64), np.zeros(0, np.int64)
-        step, left = 8 * k, bound.copy()
-        while True:
-            most = left.max(initial=-np.inf)
-            if most == -np.inf or (len(best) == k and most < best[-1]):
-                break
-            near = np.argpartition(left, -step)[-step:] if step < len(left) else np.arange(len(left))
-            near = near[left[near] > -np.inf]
-            near = near[np.argsort(-left[near], kind="stable")]
-            if len(best) == k:
-                near = near[left[near] >= best[-1]]
-            read += len(near)
-            scores = whole[near] @ whole_q[i]
-            best_ids, best = np.concatenate((best_ids, ids[near])), np.concatenate((best, scores))
-            order = np.lexsort((best_ids, -best))[:k]
-            best_ids, best = best_ids[order], best[order]
-            left[near] = -np.inf
-            step *= 2
-        out += [(query_id, a, b) for a, b in zip(best_ids.tolist(), best.tolist(), strict=True)]
-    return out, read
-
-
-def top_k(rows: DataFrame, is_query: Column, k: int, row_id: str = "vec_id", vector: str = "embedding") -> DataFrame:
-    """query_id, rank (from 1), <row_id>, score: the k best rows of each query row, all of them if there are fewer."""
+            if sum(len(x[0]) for x in held):
+                yield row(width, [np.concatenate(x) for x in zip(*held, strict=True)])
+
+    names = ["block", "width", "ids", "exact", *extra, *(["codes", "low", "step"] if approximated else [])]
+    narrow = rows.select(F.col(row_id).cast("long").alias("id"), F.col(vector).cast("array<double>").alias("vector"), *extra)
+    return arrow(narrow, run, ", ".join(f"{n} {'long' if n == 'block' else 'int' if n == 'width' else 'binary'}" for n in names))
+
+
+def approximation(r: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(ids, codes, low, step) of a block row."""
+    ids = np.frombuffer(r["ids"], np.int64)
+    return ids, np.frombuffer(r["codes"], np.uint8).reshape(len(ids), r["width"]), np.frombuffer(r["low"], np.int64), np.frombuffer(r["step"], np.int64)
+
+
+def best(values: np.ndarray, k: int) -> np.ndarray:
+    return -np.sort(-values, axis=1)[:, :k] if values.shape[1] <= k else -np.sort(np.partition(-values, k - 1, axis=1)[:, :k], axis=1)
+
+
+def read_exact(q_id: int, query: np.ndarray, upper: np.ndarray, ids: np.ndarray, exact: np.ndarray, threshold: float, k: int) -> tuple[np.ndarray, np.ndarray, int]:
+    """(ids, scores, exact vectors read) of the k best rows of one block for one query, among those whose upper bound
+    reaches the threshold."""
+    near = np.flatnonzero((upper >= threshold) & (ids != q_id))
+    near = near[np.argsort(-upper[near], kind="stable")]
+    best_ids, scores, read = np.zeros(0, np.int64), np.zeros(0, np.int64), 0
+    while read < len(near) and not (len(scores) == k and upper[near[read]] < scores[-1]):
+        rows = near[read : read + k]
+        read += len(rows)
+        best_ids, scores = np.concatenate((best_ids, ids[rows])), np.concatenate((scores, exact[rows] @ query))
+        order = np.lexsort((best_ids, -scores))[:k]
+        best_ids, scores = best_ids[order], scores[order]
+    return best_ids, scores, read
+
+
+def top_k(rows: DataFrame, is_query: Column, k: int, row_id: str = "vec_id", vector: str = "embedding", count_reads: bool = False) -> DataFrame:
+    """query_id, rank (from 1), <row_id>, score: the k best rows of each query row, all of them if there are fewer.
+    With `count_reads`, instead: query_id, n_read, the exact vectors read for each query."""
     sound = rows.where(usable(vector, row_id))
-    vectors = pack(sound, row_id, vector, VECTOR_BLOCK, "v", True)
-    dealt = sound.where(is_query).distinct().repartition(F.expr(f"`{row_id}` div {QUERY_BLOCK}"))
-    queries = pack(dealt, row_id, vector, QUERY_BLOCK, "q", False).drop("q_codes", "q_bounds")
+    vectors = materialize(pack(sound, row_id, vector, VECTOR_BLOCK, [], True), "vector-blocks")
+    asked = sound.where(is_query).select(row_id, vector).distinct()
+    dealt = lambda df: df.repartition(F.expr(f"cast(`{row_id}` as long) div {QUERY_BLOCK}"))
+    queries = materialize(pack(dealt(asked), row_id, vector, QUERY_BLOCK, [], False), "query-blocks").select(*(F.col(c).alias(f"q_{c}") for c in ("block", "width", "ids", "exact")))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        reached: dict[int, list[np.ndarray]] = {}
         for batch in batches:
             for r in batch.to_pylist():
-                width = r["v_width"]
-                shape = (-1, width) if width else (len(r["v_ids"]) // 8, 0)
-                ids, exact = np.frombuffer(r["v_ids"], np.int64), np.frombuffer(r["v_exact"]).reshape(shape)
+                if r["width"] != r["q_width"]:
+                    continue
+                ids, codes, low, step = approximation(r)
                 q_ids = np.frombuffer(r["q_ids"], np.int64)
-                queries = np.frombuffer(r["q_exact"]).reshape(len(q_ids), width)
-                codes, bounds = np.frombuffer(r["v_codes"], np.uint8).reshape(shape), np.frombuffer(r["v_bounds"]).reshape(width, CELLS + 1)
-                found, _ = search_block(q_ids, queries, ids, exact, codes, bounds, k)
-                columns = list(zip(*found, strict=True)) or [(), (), ()]
-                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names=["query_id", row_id, "score"])
+                upper, width = upper_bounds(np.frombuffer(r["q_exact"], np.int64).reshape(len(q_ids), r["width"]), codes, low, step)
+                lower = upper - width[:, None]
+                lower[q_ids[:, None] == ids] = -np.inf
+                held = reached.get(r["q_block"])
+                lower = best(lower if held is None else np.concatenate((held[1], lower), 1), k)
+                reached[r["q_block"]] = [q_ids, lower]
+        for q_ids, lower in reached.values():
+            of = np.repeat(q_ids, lower.shape[1])
+            yield pa.RecordBatch.from_arrays([pa.array(of), pa.array(lower.reshape(-1))], names=["query_id", "bound"])
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for r in batch.to_pylist():
+                if r["width"] != r["q_width"]:
+                    continue
+                ids, codes, low, step = approximation(r)
+                exact = np.frombuffer(r["exact"], np.int64).reshape(codes.shape)
+                q_ids, threshold = np.frombuffer(r["q_ids"], np.int64), np.frombuffer(r["q_threshold"])
+                asked = np.frombuffer(r["q_exact"], np.int64).reshape(len(q_ids), r["width"])
+                upper, _ = upper_bounds(asked, codes, low, step)
+                out: list[list] = [[], [], [], []]
+                for i in np.flatnonzero(upper.max(1) >= threshold).tolist():
+                    found, scores, n = read_exact(int(q_ids[i]), asked[i], upper[i], ids, exact, threshold[i], k)
+                    if count_reads:
+                        found, scores = np.zeros(1, np.int64), np.zeros(1, np.int64)
+                    for column, value in zip(out, (np.full(len(found), q_ids[i]), found, scores, np.full(len(found), n)), strict=True):
+                        column.append(value)
+                columns = [np.concatenate(c) if c else np.zeros(0, np.int64) for c in out]
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["query_id", row_id, "score", "n_read"])
 
     # blocks against blocks: Spark broadcasts the query blocks only while they are under its size threshold
-    pairs = vectors.crossJoin(queries).where("v_width = q_width")
-    best = arrow(pairs, run, f"query_id long, `{row_id}` long, score long")
+    tasks = max(1, int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    scanned = vectors.select("block", "width", "ids", "codes", "low", "step").repartition(tasks, "block").crossJoin(queries)
+    place = Window.partitionBy("query_id").orderBy(F.desc("bound"))
+    bounds = arrow(scanned, scan, "query_id long, bound double").withColumn("place", F.row_number().over(place)).where(F.col("place") <= k)
+    bounds = bounds.groupBy("query_id").agg(F.when(F.count("*") == k, F.min("bound")).otherwise(float("-inf")).alias("threshold"))
+    known = asked.join(bounds, F.col(row_id).cast("long") == F.col("query_id")).select(row_id, vector, "threshold")
+    known = pack(dealt(known), row_id, vector, QUERY_BLOCK, ["threshold"], False).select(*(F.col(c).alias(f"q_{c}") for c in ("width", "ids", "exact", "threshold")))
+    pairs = vectors.repartition(tasks, "block").crossJoin(materialize(known, "known-queries"))
+    found = arrow(pairs, read, f"query_id long, `{row_id}` long, score long, n_read long")
+    if count_reads:
+        return found.groupBy("query_id").agg(F.sum("n_read").alias("n_read"))
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), row_id))
-    return best.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", row_id, "score")
+    return found.drop("n_read").withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", row_id, "score")
