@@ -46,26 +46,39 @@ def test_chat_round_trip(spark):
     out = chat.format_conversations(df)
     from pyspark.sql import functions as F
 
-    got = {x.conv_id: x for x in out.withColumn("turns", chat.parse(F.col("formatted"))).withColumn("trained", chat.trained_text(F.col("formatted"), F.col("targets"))).collect()}
+    got = {x.conv_id: x for x in chat.gathered(chat.examples(out)).withColumn("turns", chat.parse(F.col("formatted"))).collect()}
     for c in {x[0] for x in rows}:
         turns = sorted(((x[1] is not None, x[1] or 0), x[2] or "", x[3] or "") for x in rows if x[0] == c)
         assert [(t.role, t.text) for t in got[c].turns] == [t[1:] for t in turns]
         assert got[c].trained == "".join(t[2] for t in turns if t[1] == "assistant")
-    for e in chat.examples(out).collect():
-        whole = got[e.conv_id].formatted
-        assert whole.startswith(e.context + e.target) and e.context.count("</turn>\n") == e.turn_no
+    contexts = Counter()
+    for e in chat.examples(out).where("turn_no IS NOT NULL").collect():
+        assert e.formatted.startswith(e.context + e.target) and e.context.count("</turn>\n") == e.turn_no
+        contexts[e.conv_id] += len(e.context)
+    assert {c: x.context_chars for c, x in got.items()} == {c: contexts[c] for c in got}
     assert chat.format_conversations(df.limit(0)).collect() == []
 
 
 # --- exact dedup -------------------------------------------------------------------------------------------------
 
 
+def test_colliding_chunk_names_are_given_anew(spark):
+    """Names of one byte: chunks of the same name are told apart by their bytes, and all are named by another seed."""
+    texts = [f"{i} " * 400 for i in range(24)]
+    df = spark.createDataFrame([(i, texts[i % 24]) for i in range(48)], "doc_id long, text string")
+    rows, ids = exact_dedup.identified(df, name_bytes=1)
+    assert ids.count() == ids.select("name").distinct().count()
+    assert rows.count() == 48 and {len(x.names) for x in rows.collect()} == {len(exact_dedup.boundaries(exact_dedup.cut_points(np.frombuffer(t.encode(), np.uint8)), 0, len(t))) for t in texts}
+    with pytest.raises(RuntimeError, match="names"):
+        exact_dedup.identified(spark.createDataFrame([(i, str(i)) for i in range(300)], "doc_id long, text string"), name_bytes=1, tries=2)
+
+
 def test_exact_groups(spark):
     r = random.Random(1)
     long = ["".join(r.choice("abc \n") for _ in range(n)) for n in (600, 5000, 60000)] + ["x" * 40000]
     pool = ["", None, "a", "A", " a", "é", *long, long[1] + "x", "x" + long[1]]
     rows = [(i, r.choice(pool), "x", b"y") for i in range(200)] + [(None, "only null id", "", b""), (7, "rep", "", b""), (7, "rep", "", b"")]
-    df = spark.createDataFrame(rows, "doc_id long, text string, keep_id string, recipe binary")
+    df = spark.createDataFrame(rows, "doc_id long, text string, keep_id string, names binary")
     got = exact_dedup.groups(df).collect()
     groups = {}
     for i, t, *_ in rows:
@@ -77,10 +90,10 @@ def test_exact_groups(spark):
         want[(i, len((t or "").encode()), hashlib.sha256((t or "").encode()).hexdigest(), keep, len(ids), i == keep)] += 1
     assert Counter(map(tuple, got)) == want
     kept = exact_dedup.drop_copies(df).collect()
-    assert len(kept) == len(groups) and set(kept[0].asDict()) == {"doc_id", "text", "keep_id", "recipe"}
+    assert len(kept) == len(groups) and set(kept[0].asDict()) == {"doc_id", "text", "keep_id", "names"}
     assert exact_dedup.groups(df.limit(0)).collect() == []
     store = exact_dedup.chunk_store(df).collect()
-    assert all(s.variant == 1 and hashlib.sha256(bytes(s.bytes)).digest() == bytes(s.chunk_id) for s in store)
+    assert len({bytes(s.bytes) for s in store}) == len(store) == len({bytes(s.name) for s in store})
 
 
 def test_equal_content_is_cut_alike():

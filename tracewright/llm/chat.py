@@ -1,10 +1,10 @@
 """Chat formatting by prefix-target expansion; DataFrame functions only.
 
 A conversation becomes one string of turns, each `### role: text</turn>` and a newline. Inside texts and roles the
-template's control strings are escaped reversibly, so no text can open or close a turn. Every assistant turn is then an
-example of its own: context = everything before its reply, target = only that reply. An example is kept as offsets into
-the conversation's string (a context is always a prefix of it), so a conversation of n turns takes room in proportion
-to n and not to n squared; `examples` cuts the strings out when they are read.
+template's control strings are escaped reversibly, so no text can open or close a turn. `examples` then explodes every
+assistant turn into an example of its own: context = everything before its reply, target = only that reply, the only
+text under the loss mask. What all examples of a conversation of n turns hold grows with n squared, by definition; until
+they are cut, an example is a pair of offsets into the conversation's string.
 
 Defined cases: null text and null role are empty; a null conv_id is a conversation of its own; turns sort by turn (null
 first), then role, then text, and rows that repeat count as turns; an empty table gives no rows; a conversation without
@@ -68,15 +68,23 @@ def parse(formatted: Column) -> Column:
     return F.transform(F.slice(pieces, 1, F.size(pieces) - 1), turn)
 
 
-def trained_text(formatted: Column, targets: Column) -> Column:
-    """All text under the loss mask, unescaped, in order."""
-    cut = lambda t: unescape(F.substring(formatted, (t["start"] + 1).cast("int"), (t["stop"] - t["start"]).cast("int")))
-    return F.array_join(F.transform(targets, cut), "")
-
-
 def examples(formatted: DataFrame) -> DataFrame:
-    """One row per assistant turn: conv_id, turn_no, context, target. All turns before the reply are context; the
-    reply alone is trainable. The strings are cut here, when they are read, and not before."""
+    """One row per assistant turn: conv_id, formatted, turn_no, context, target. All turns before the reply are context;
+    the reply alone is trainable. A conversation without an assistant turn has one row with nulls."""
     cut = lambda a, b: F.substring(F.col("formatted"), (a + 1).cast("int"), (b - a).cast("int"))
-    rows = formatted.select("conv_id", "formatted", F.inline("targets"))
-    return rows.select("conv_id", "turn_no", cut(F.lit(0), F.col("start")).alias("context"), cut(F.col("start"), F.col("stop")).alias("target"))
+    rows = formatted.select("conv_id", "formatted", F.inline_outer("targets"))
+    return rows.select("conv_id", "formatted", "turn_no", cut(F.lit(0), F.col("start")).alias("context"), cut(F.col("start"), F.col("stop")).alias("target"))
+
+
+def gathered(examples_: DataFrame) -> DataFrame:
+    """The examples of a conversation side by side: conv_id, formatted, n_examples, context_chars, trained (all targets,
+    unescaped, in order). Rows are where `format_conversations` has put them; nothing is shuffled again."""
+    target = F.when(F.col("turn_no").isNotNull(), F.struct("turn_no", "target"))
+    rows = examples_.groupBy("conv_id").agg(
+        F.first("formatted").alias("formatted"),
+        F.count("turn_no").alias("n_examples"),
+        F.coalesce(F.sum(F.length("context").cast("long")), F.lit(0).cast("long")).alias("context_chars"),
+        F.array_sort(F.collect_list(target)).alias("targets"),
+    )
+    trained = F.array_join(F.transform("targets", lambda t: unescape(t["target"])), "")
+    return rows.select("conv_id", "formatted", "n_examples", "context_chars", trained.alias("trained"))

@@ -1,9 +1,10 @@
 """Exact dedup by content-defined chunk recipes.
 
 A text is cut where a rolling hash of the last 32 bytes has its low bits zero, so equal texts are cut alike wherever
-they lie. Each chunk gets an identifier verified by digest (SHA-256) and length; a document becomes its *recipe*, the
-ordered list of its chunks' identifiers. Two texts are equal exactly when their recipes are, so from then on only
-recipes (32 bytes per two kilobytes of text) move; documents stay where they are.
+they lie. Each chunk has a name, a hash. Chunks move once, by their names, and are deduplicated by their bytes: every
+different chunk gets one number, and no two may share a name; should two do, all chunks are named anew with another
+seed. A document becomes its *recipe*, the ordered list of its chunks' numbers. Two texts are equal exactly when their
+recipes are, so from then on only recipes (8 bytes per two kilobytes of text) move; documents stay where they are.
 
 Defined cases: null text counts as empty; empty texts form one group; of equal texts the largest doc_id stays (a null
 doc_id is smaller than any); rows repeated with the same doc_id and text count as several rows of the group, one of
@@ -13,11 +14,13 @@ which stays. Columns other than doc_id and text are ignored here and carried alo
 from __future__ import annotations
 
 import hashlib
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -71,38 +74,51 @@ def chunks(texts: list[bytes]) -> Iterator[tuple[bytes, list[bytes]]]:
         begin = end
 
 
-def _recipes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        texts = as_bytes(batch, "text")
-        digests, recipes = [], []
-        for a, b in slices(texts):
-            for text, parts in chunks(utf8(texts.slice(a, b - a).to_pylist())):
-                digests.append(hashlib.sha256(text).hexdigest())
-                recipes.append(b"".join(hashlib.sha256(part).digest() for part in parts))
-        yield pa.RecordBatch.from_arrays(
-            [batch.column("doc_id"), pc.fill_null(pc.binary_length(texts), 0).cast(pa.int64()), pa.array(digests), pa.array(recipes, pa.binary())],
-            names=["doc_id", "n_bytes", "text_sha256", "recipe"],
-        )
+def name(part: bytes, size: int, seed: int) -> bytes:
+    return xxhash.xxh3_128_digest(part, seed)[:size]
 
 
-def recipes(docs: DataFrame) -> DataFrame:
-    """doc_id, n_bytes, text_sha256, recipe (concatenated chunk identifiers), one row per row of docs."""
+def recipes(docs: DataFrame, name_bytes: int = 16, seed: int = 0) -> DataFrame:
+    """doc_id, n_bytes, text_sha256, names (of its chunks, in order), one row per row of docs."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = as_bytes(batch, "text")
+            digests, names = [], []
+            for a, b in slices(texts):
+                for text, parts in chunks(utf8(texts.slice(a, b - a).to_pylist())):
+                    digests.append(hashlib.sha256(text).hexdigest())
+                    names.append([name(part, name_bytes, seed) for part in parts])
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("doc_id"), pc.fill_null(pc.binary_length(texts), 0).cast(pa.int64()), pa.array(digests, pa.string()), pa.array(names, pa.list_(pa.binary()))],
+                names=["doc_id", "n_bytes", "text_sha256", "names"],
+            )
+
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return arrow(rows, _recipes, "doc_id long, n_bytes long, text_sha256 string, recipe binary")
+    return arrow(rows, run, "doc_id long, n_bytes long, text_sha256 string, names array<binary>")
 
 
-def chunk_store(docs: DataFrame) -> DataFrame:
-    """chunk_id, variant, bytes, n_uses: each distinct chunk once. Chunks whose identifiers agree are compared byte by
-    byte; unequal ones would get different variants (with SHA-256 there is always one)."""
+def chunk_store(docs: DataFrame, name_bytes: int = 16, seed: int = 0) -> DataFrame:
+    """name, bytes, n_uses: each different chunk once. Grouping compares bytes, so chunks that only share a name stay two."""
 
-    def explode(batches):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for a, b in slices(texts := as_bytes(batch, "text")):
-                parts = [p for _, ps in chunks(utf8(texts.slice(a, b - a).to_pylist())) for p in ps]
-                yield pa.RecordBatch.from_arrays([pa.array([hashlib.sha256(p).digest() for p in parts], pa.binary()), pa.array(parts, pa.binary())], names=["chunk_id", "bytes"])
+                found = Counter(part for _, parts in chunks(utf8(texts.slice(a, b - a).to_pylist())) for part in parts)
+                columns = [pa.array([name(part, name_bytes, seed) for part in found], pa.binary()), pa.array(found.keys(), pa.binary()), pa.array(found.values(), pa.int64())]
+                yield pa.RecordBatch.from_arrays(columns, names=["name", "bytes", "n"])
+
+    parts = arrow(docs.select(F.col("text").cast("string").alias("text")), run, "name binary, bytes binary, n long")
+    return parts.groupBy("name", "bytes").agg(F.sum("n").alias("n_uses"))
+
 
-    distinct = arrow(docs.select(F.col("text").cast("string").alias("text")), explode, "chunk_id binary, bytes binary").groupBy("chunk_id", "bytes").agg(F.count("*").alias("n_uses"))
-    return distinct.withColumn("variant", F.row_number().over(Window.partitionBy("chunk_id").orderBy("bytes")))
+def identified(docs: DataFrame, name_bytes: int = 16, tries: int = 20) -> tuple[DataFrame, DataFrame]:
+    """(recipes with a number `row`, name and chunk_id of every different chunk): written tables, names verified."""
+    for seed in range(tries):
+        ids = materialize(chunk_store(docs, name_bytes, seed).select("name", F.monotonically_increasing_id().alias("chunk_id")), "chunks")
+        if ids.groupBy("name").count().where("count > 1").isEmpty():
+            return materialize(recipes(docs, name_bytes, seed).withColumn("row", F.monotonically_increasing_id()), "recipes"), ids
+    raise RuntimeError(f"chunk names of {name_bytes} bytes collide under {tries} seeds")
 
 
 def groups(docs: DataFrame) -> DataFrame:
@@ -111,9 +127,13 @@ def groups(docs: DataFrame) -> DataFrame:
     Copies are counted before the shuffle; the join back puts one row per text that has copies beside the narrow rows.
     Both sides are read from the shared folder, so AQE can broadcast the small one or split a group that holds a third
     of the corpus, which a window over the recipe could not."""
-    rows = materialize(recipes(docs), "recipes")
-    copies = rows.groupBy("recipe", "n_bytes").agg(F.max("doc_id").alias("keep_id"), F.count("*").alias("group_size")).where("group_size > 1")
-    out = rows.join(checkpoint(copies), ["recipe", "n_bytes"], "left")
+    rows, ids = identified(docs)
+    used = rows.select("row", F.posexplode("names").alias("at", "name")).join(ids, "name")
+    listed = used.groupBy("row").agg(F.array_sort(F.collect_list(F.struct("at", "chunk_id"))).alias("parts"))
+    recipe = materialize(listed.select("row", F.col("parts.chunk_id").alias("recipe")).join(rows.select("row", "doc_id"), "row"), "lists")
+    copies = recipe.groupBy("recipe").agg(F.max("doc_id").alias("keep_id"), F.count("*").alias("group_size")).where("group_size > 1")
+    found = recipe.join(checkpoint(copies), "recipe").select("row", "keep_id", "group_size")
+    out = rows.join(found, "row", "left")
     keep_id = F.when(F.col("group_size").isNull(), F.col("doc_id")).otherwise(F.col("keep_id"))
     out = out.withColumn("keep_id", keep_id).withColumn("group_size", F.coalesce("group_size", F.lit(1).cast("long")))
     return out.select("doc_id", "n_bytes", "text_sha256", "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"))

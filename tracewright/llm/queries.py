@@ -42,8 +42,8 @@ def conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def op4_prefix_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = chat.format_conversations(conversations(spark, sf_dir))
-    out = out.withColumn("turns", chat.parse(F.col("formatted"))).withColumn("trained", chat.trained_text(F.col("formatted"), F.col("targets")))
+    out = chat.gathered(chat.examples(chat.format_conversations(conversations(spark, sf_dir))))
+    out = out.withColumn("turns", chat.parse(F.col("formatted")))
     lines = F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
     return out.select(
         "conv_id",
@@ -52,7 +52,8 @@ def op4_prefix_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.length("trained").cast("long").alias("loss_chars"),
         F.sha2(F.col("trained").cast("binary"), 256).alias("loss_sha256"),
         F.length("formatted").cast("long").alias("formatted_chars"),
-        F.size("targets").cast("long").alias("n_examples"),
+        "n_examples",
+        "context_chars",
     )
 
 
@@ -65,14 +66,19 @@ WITH t AS (
   SELECT *, replace(replace(replace(text, '\', '\b'), '### ', '\h'), '</turn>', '\e') AS body,
     replace(replace(replace(replace(role, '\', '\b'), '### ', '\h'), '</turn>', '\e'), ': ', '\c') AS head
   FROM t
+), x AS (
+  SELECT *, coalesce(sum(length(head) + length(body) + 14) OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text
+    ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) + length(head) + 6 AS context
+  FROM e
 )
 SELECT conv_id, count(*) AS n_turns,
   sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
   CAST(coalesce(sum(length(text)) FILTER (WHERE role = 'assistant'), 0) AS BIGINT) AS loss_chars,
   sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (WHERE role = 'assistant'), '')) AS loss_sha256,
   CAST(sum(length(head) + length(body) + 14) AS BIGINT) AS formatted_chars,
-  count(*) FILTER (WHERE role = 'assistant') AS n_examples
-FROM e GROUP BY conv_id
+  count(*) FILTER (WHERE role = 'assistant') AS n_examples,
+  CAST(coalesce(sum(context) FILTER (WHERE role = 'assistant'), 0) AS BIGINT) AS context_chars
+FROM x GROUP BY conv_id
 """
 
 
