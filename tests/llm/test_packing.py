@@ -1,5 +1,7 @@
 import random
 import zlib
+from collections import Counter
+from itertools import combinations
 
 import numpy as np
 import pytest
@@ -103,6 +105,39 @@ def test_empty_table(spark):
 
 
 def test_a_filling_may_have_any_number_of_pieces():
-    supply = packing.Supply({1: 300, 500: 1})
-    assert max(map(sum, packing.completions(supply, 200, 6))) == 200
-    assert supply.largest(1000) == 500 and supply.largest(499) == 1
+    assert next(packing.fillings([(1, 2000)], 1023)) == (1,) * 1023
+    assert set(packing.fillings([(5, 1), (3, 2), (1, 1)], 7)) == {(5, 1), (3, 3, 1)}
+
+
+@pytest.mark.parametrize("seed", range(10))
+def test_fillings_and_dominance_against_all_subsets(seed):
+    r = random.Random(seed)
+    sizes = [r.randint(2, 20) for _ in range(9)]
+    room = r.randint(20, 40)
+    fit = {tuple(sorted(c, reverse=True)) for n in range(10) for c in combinations(sizes, n) if sum(c) <= room}
+
+    def full(c):
+        rest = Counter(sizes) - Counter(c)
+        return not any(sum(c) + x <= room for x in rest)
+
+    got = list(packing.fillings(sorted(Counter(sizes).items(), reverse=True), room))
+    assert len(got) == len(set(got)) and set(got) == {c for c in fit if full(c)}
+    assert packing.dominates((9, 4), (5, 4, 4)) and not packing.dominates((8, 5), (9, 4)) and not packing.dominates((7, 7), (5, 5, 4))
+
+
+def test_blocks_of_8_to_13_pieces_are_packed_optimally():
+    r = random.Random(7)
+    missed = 0
+    for _ in range(1000):
+        sizes = [r.randint(10, 60) for _ in range(r.randint(8, 13))]
+        missed += len(packing.bin_completion(dict(Counter(sizes)), 100)) != optimal(sizes, 100)
+    assert missed == 0
+
+
+def test_ids_are_those_of_the_plain_call():
+    from tokenizers import Tokenizer
+
+    texts = ["a <|endoftext|> b", "<|endoftext|>", "<|endoftext", "plain", ""]
+    plain = Tokenizer.from_file(tokenizer()["path"])
+    want = [plain.encode(t, add_special_tokens=False).ids for t in texts]
+    assert packing.load_tokenizer(**tokenizer())(texts) == want and want[0] == [64, 220, 50256, 275]

@@ -8,9 +8,9 @@ sequence per block over packing them all together.
 In a block, pieces of equal length are alike, so the packer works on how many there are of each length. Best fit
 decreasing gives the incumbent. If that misses the lower bound ceil(sum / capacity), bin completion tries to beat it:
 fill the sequence around the largest piece left, enumerate its undominated completions (one is dominated if another
-piece of the block still fits beside it, or if a single piece could replace it leaving no more waste), least waste
-first, branch on them, and give a branch up as soon as its waste so far means more sequences than the incumbent.
-The search has a node budget per block; when it is spent the incumbent, which packs every piece, stands.
+piece of the block still fits beside it, or if its pieces can be dealt into those of another one), branch on them, least
+waste first, and give a branch up as soon as its waste so far means more sequences than the incumbent. The search gives
+up NODE_BUDGET branches a block; then the incumbent, which packs every piece, stands.
 
 Defined cases: null text is empty and gives the end id alone; rows that repeat give their pieces again; null doc_id is
 allowed; an empty table gives no rows; other columns are ignored.
@@ -20,8 +20,9 @@ from __future__ import annotations
 
 import base64
 import zlib
-from bisect import bisect_right
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -31,7 +32,9 @@ from pyspark.sql import functions as F
 from tracewright.llm.common import arrow, slices
 
 BLOCK_PIECES = 20_000
-NODE_BUDGET = 400
+NODE_BUDGET = 1000
+#: Fillings enumerated at a time.
+LOT = 40
 END_ID = 2
 
 
@@ -39,21 +42,22 @@ END_ID = 2
 
 
 def load_tokenizer(path: str, pattern: str, ranks_path: str | None = None):
-    """A function from a list of texts to lists of ids. `path` is a tokenizers file. With `ranks_path`, the same
-    vocabulary as merge ranks, the ids come from the faster implementation of the same algorithm (three times the
-    throughput, ids equal; tests compare them). Control strings inside texts are ordinary text in both."""
-    if ranks_path:
-        import tiktoken
-
-        with open(ranks_path, "rb") as f:
-            ranks = {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, f)}
-        encoding = tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
-        return lambda texts: [encoding.encode_ordinary(t) for t in texts]
+    """A function from a list of texts to lists of ids: those of the tokenizers file at `path`. With `ranks_path`, the same
+    vocabulary as merge ranks, ids come from the faster implementation of the same algorithm (three times the throughput),
+    save for texts that hold an added token of the file, such as its end-of-text string."""
     from tokenizers import Tokenizer
 
     tokenizer = Tokenizer.from_file(path)
-    tokenizer.encode_special_tokens = True
-    return lambda texts: [e.ids for e in tokenizer.encode_batch(texts, add_special_tokens=False)]
+    slow = lambda texts: [e.ids for e in tokenizer.encode_batch(texts, add_special_tokens=False)]
+    if not ranks_path:
+        return slow
+    import tiktoken
+
+    with open(ranks_path, "rb") as f:
+        ranks = {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, f)}
+    encoding = tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
+    added = [t.content for t in tokenizer.get_added_tokens_decoder().values()]
+    return lambda texts: [slow([t])[0] if any(a in t for a in added) else encoding.encode_ordinary(t) for t in texts]
 
 
 def cuts(length: int, capacity: int) -> list[tuple[int, int]]:
@@ -142,99 +146,114 @@ def best_fit(counts: dict[int, int], capacity: int) -> list[list[int]]:
     return bins
 
 
-def completions(supply: Supply, room: int, width: int) -> list[tuple[int, ...]]:
-    """Undominated fillings of `room`, least waste first: sets of one, two or three pieces to which no piece left can be
-    added; a set is kept only if it wastes less than any with fewer pieces (replacing the larger set by fewer, larger
-    pieces dominates it). Longer fillings arise by extending greedily with the largest that fits."""
-    found: dict[int, tuple[int, ...]] = {}
-
-    def extend(chosen: list[int], left: int) -> None:
-        taken = []
-        while size := supply.largest(left):
-            supply.take(size)
-            taken.append(size)
-            chosen = [*chosen, size]
-            left -= size
-        for size in taken:
-            supply.give(size)
-        if left not in found or len(chosen) < len(found[left]):
-            found[left] = tuple(chosen)
-
-    at = bisect_right(supply.sizes, room)
-    for first in reversed(supply.sizes[max(0, at - width) : at]):
-        supply.take(first)
-        if first == room:
-            extend([first], 0)
+def fillings(pieces_: list[tuple[int, int]], room: int) -> Iterator[tuple[int, ...]]:
+    """All sets of pieces that fit `room` and to which no further piece can be added, largest pieces first. pieces_:
+    (length, how many), largest first. A set to which a piece can be added is dominated by the larger set."""
+    sizes, left = [n for n, _ in pieces_], [n for _, n in pieces_]
+    negative = [-n for n in sizes]
+
+    def extend(at: int, free: int, chosen: tuple[int, ...]) -> Iterator[tuple[int, ...]]:
+        leaf = True
+        for k in range(max(at, bisect_left(negative, -free)), len(sizes)):
+            most = min(left[k], free // sizes[k])
+            leaf &= not most
+            for n in range(most, 0, -1):
+                left[k] -= n
+                yield from extend(k + 1, free - n * sizes[k], chosen + (sizes[k],) * n)
+                left[k] += n
+        if leaf and not any(left[bisect_left(negative, -free) :]):
+            yield chosen
+
+    return extend(0, room, ())
+
+
+def dominates(one: tuple[int, ...], other: tuple[int, ...]) -> bool:
+    """Whether the pieces of `other` can be dealt into those of `one` as into sequences: then `one` is never worse."""
+    if len(other) > 10 or len(one) > len(other) or (other and (not one or other[0] > one[0])):
+        return False
+
+    def place(k: int, rooms: list[int]) -> bool:
+        if k == len(other):
+            return True
+        for at, free in enumerate(rooms):
+            if free >= other[k] and free not in rooms[:at] and place(k + 1, [*rooms[:at], free - other[k], *rooms[at + 1 :]]):
+                return True
+        return False
+
+    return one != other and place(0, list(one))
+
+
+class Completions:
+    """Undominated fillings around the largest piece left, in lots of LOT, each by least waste; later lots are only looked
+    for when the search comes back for them."""
+
+    def __init__(self, supply: Supply, capacity: int):
+        self.largest = supply.sizes[-1]
+        self.room = capacity - self.largest
+        supply.take(self.largest)
+        fit = supply.sizes[: bisect_right(supply.sizes, self.room)]
+        if fit and fit[-1] == self.room:  # dominates every other filling
+            self.more: Iterator = iter([(self.room,)])
         else:
-            at2 = bisect_right(supply.sizes, min(first, room - first))
-            for second in reversed(supply.sizes[max(0, at2 - width) : at2]):
-                supply.take(second)
-                extend([first, second], room - first - second)
-                supply.give(second)
-            extend([first], room - first)
-        supply.give(first)
-        if 0 in found:
-            break
-    out, fewest = [], 1 << 30
-    for left in sorted(found):
-        if len(found[left]) < fewest:
-            out.append(found[left])
-            fewest = len(found[left])
-    return out or [()]
-
-
-def bin_completion(counts: dict[int, int], capacity: int, node_budget: int = NODE_BUDGET, width: int = 6) -> list[list[int]]:
-    """Sequences as lists of lengths. Depth first: the first descent takes the least wasteful completion everywhere."""
+            self.more = fillings([(n, supply.counts[n]) for n in reversed(fit)], self.room)
+        supply.give(self.largest)
+        self.known: list[tuple[int, ...]] = []
+        self.lot: list[tuple[int, ...]] = []
+
+    def next(self) -> list[int] | None:
+        if not self.lot:
+            fresh = list(islice(self.more, LOT))
+            for f in sorted(fresh, key=lambda f: (-sum(f), len(f))):
+                if not any(dominates(k, f) for k in self.known):
+                    self.lot.append(f)
+                    if len(self.known) < LOT // 5:  # what dominates is among the least wasteful
+                        self.known.append(f)
+            self.lot.reverse()
+            if not self.lot:
+                return self.next() if fresh else None
+        return [self.largest, *self.lot.pop()]
+
+
+def bin_completion(counts: dict[int, int], capacity: int, node_budget: int = NODE_BUDGET) -> list[list[int]]:
+    """Sequences as lists of lengths. Depth first: the first descent takes the least wasteful filling it knows everywhere.
+    A search that ends within its budget has tried every undominated filling, so its result is the best there is."""
     incumbent = best_fit(counts, capacity)
     total = sum(size * n for size, n in counts.items())
     bound = -(-total // capacity)
     if len(incumbent) <= bound:
         return incumbent
-    supply = Supply(counts)
+    supply, waste, nodes = Supply(counts), 0, 0
     path: list[list[int]] = []
-    choices: list[list[tuple[int, ...]]] = []
-    waste, nodes, slack = 0, 0, lambda: (len(incumbent) - 1) * capacity - total  # waste that a better packing may have
-
-    def undo() -> None:
-        nonlocal waste
-        last = path.pop()
-        waste -= capacity - sum(last)
-        for size in last:
-            supply.give(size)
-
-    while True:
-        if not supply.sizes:
-            if len(path) < len(incumbent):
-                incumbent = [list(b) for b in path]
-            if len(incumbent) <= bound:
-                return incumbent
-        elif waste <= slack() and len(choices) == len(path):
-            largest = supply.sizes[-1]
-            supply.take(largest)
-            choices.append([(largest, *c) for c in completions(supply, capacity - largest, width)][::-1])
-            supply.give(largest)
-        # the next untried choice, deepest first
-        while choices and (not choices[-1] or len(choices) == len(path)):
-            if len(choices) == len(path):
-                undo()
-                nodes += 1
-            if not choices[-1]:
-                choices.pop()
-            else:
-                break
-            if nodes > node_budget:
-                return incumbent
-        if not choices:
-            return incumbent
-        chosen = list(choices[-1].pop())
-        for size in chosen:
-            supply.take(size)
-        path.append(chosen)
-        waste += capacity - sum(chosen)
-        if waste > slack():
+    levels = [Completions(supply, capacity)]
+    while levels:
+        chosen = levels[-1].next()
+        if chosen is None:
+            levels.pop()
+            nodes += 1
+            if path:
+                last = path.pop()
+                waste -= capacity - sum(last)
+                for size in last:
+                    supply.give(size)
+        elif waste + capacity - sum(chosen) > (len(incumbent) - 1) * capacity - total:  # more waste than a better packing has
             nodes += 1
-            if nodes > node_budget:
+        else:
+            for size in chosen:
+                supply.take(size)
+            path.append(chosen)
+            waste += capacity - sum(chosen)
+            if supply.sizes:
+                levels.append(Completions(supply, capacity))
+                continue
+            incumbent = [list(b) for b in path]  # fewer sequences: its waste was small enough
+            if len(incumbent) <= bound:
                 return incumbent
+            for size in path.pop():
+                supply.give(size)
+            waste -= capacity - sum(chosen)
+        if nodes > node_budget:
+            break
+    return incumbent
 
 
 def pack_block(lengths: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray]:
