@@ -201,6 +201,7 @@ class Completions:
         self.lot: list[tuple[int, ...]] = []
 
     def next(self) -> list[int] | None:
+        """A filling; nothing if a whole lot was dominated; None after the last one."""
         if not self.lot:
             fresh = list(islice(self.more, LOT))
             for f in sorted(fresh, key=lambda f: (-sum(f), len(f))):
@@ -210,7 +211,7 @@ class Completions:
                         self.known.append(f)
             self.lot.reverse()
             if not self.lot:
-                return self.next() if fresh else None
+                return [] if fresh else None
         return [self.largest, *self.lot.pop()]
 
 
@@ -235,7 +236,7 @@ def bin_completion(counts: dict[int, int], capacity: int, node_budget: int = NOD
                 waste -= capacity - sum(last)
                 for size in last:
                     supply.give(size)
-        elif waste + capacity - sum(chosen) > (len(incumbent) - 1) * capacity - total:  # more waste than a better packing has
+        elif not chosen or waste + capacity - sum(chosen) > (len(incumbent) - 1) * capacity - total:  # more waste than a better packing has
             nodes += 1
         else:
             for size in chosen:
