@@ -314,10 +314,38 @@ def test_idempotency_and_digests(spark):
     assert tables.digest_difference(a, a).isEmpty()
 
 
-def test_indexed_and_direct_similarity_agree(spark):
+def test_similarity_of_the_best_is_that_of_all_pairs(spark):
     from tracewright.functions import scalars as S
 
-    d = spark.createDataFrame([(1, "a b c"), (2, "c d"), (3, ""), (4, "z")], "version_id int, task string")
-    q = spark.createDataFrame([(1, "c a"), (2, "")], "query_id int, task string")
-    rows = [sorted(map(tuple, channels.set_similarity(d, q, S.words, "task", "task", i).where("score > 0").collect())) for i in (False, True)]
-    assert rows[0] == rows[1] == [(1, 1, 666666), (1, 2, 333333)]
+    r = random.Random(3)
+    text = lambda n: " ".join(f"w{min(int(r.expovariate(0.05)), 90)}" for _ in range(n))
+    docs, queries = [(i, text(r.choice([3, 8, 20, 60, 300]))) for i in range(150)] + [(200, ""), (201, None)], [(i, text(r.randint(2, 40))) for i in range(12)] + [(50, ""), (51, "nowhere")]
+    d, q = spark.createDataFrame(docs, "version_id int, task string"), spark.createDataFrame(queries, "query_id int, task string")
+    want = []
+    for i, a in queries:
+        a, found = set(a.split()), []
+        for v, b in docs:
+            b = set((b or "").split())
+            if a & b:
+                found.append((-(len(a & b) * 1000000 // len(a | b)), v))
+        want += [(i, v, -x, n + 1) for n, (x, v) in enumerate(sorted(found)[:5])]
+    got = [(x.query_id, x.version_id, x.score, x.rank) for x in channels.lexical(d, q, 5).collect()]
+    assert sorted(got) == sorted(want)
+    assert channels.set_similarity(d, q, S.words, "task", "task").where("score > 0").count() >= len(want)
+
+
+def test_percentiles_against_sorted_values(spark):
+    r = random.Random(4)
+    rows = [(k, v) for k, n in (("a", 1), ("b", 2), (None, 500), ("c", 301)) for v in [r.choice([0.5, 1.25, -3.0, r.uniform(-9, 9)]) for _ in range(n)]]
+    got = {x.k: (x.p0, x.p50, x.p95, x.p100) for x in tables.percentile_at_floor(spark.createDataFrame(rows, "k string, v double"), ["k"], "v", [0.0, 0.5, 0.95, 1.0]).collect()}
+    for k in {k for k, _ in rows}:
+        v = sorted(x for y, x in rows if y == k)
+        assert got[k] == tuple(v[int((len(v) - 1) * p)] for p in (0.0, 0.5, 0.95, 1.0))
+
+
+def test_null_text_is_embedded_as_empty(spark):
+    df = spark.createDataFrame([(1, "a"), (2, None)], "id int, text string")
+    from tracewright.operators import records
+
+    cache = spark.createDataFrame([], "input_hash string, vector array<double>")
+    assert {x.id for x in records.embed_missing(df, cache, records.hashed_embedding(4)).collect()} == {1, 2}

@@ -18,10 +18,8 @@ def plan(df):
     return out.getvalue()
 
 
-@pytest.mark.parametrize("name", ["gate_rejections", "evidence_outcome_state", "last_writer_asof", "lifecycle_transition", "hash_bucket_assignment", "compatibility_pairs", "conflict_matrix", "digest_diff", "bm25_topk", "facet_score", "op4_prefix_targets", "op7_water_filling"])
+@pytest.mark.parametrize("name", ["gate_rejections", "evidence_outcome_state", "last_writer_asof", "lifecycle_transition", "hash_bucket_assignment", "compatibility_pairs", "conflict_matrix", "digest_diff", "bm25_topk", "facet_score"])
 def test_core_stays_in_the_jvm(spark, name):
-    if name not in entry.queries():
-        pytest.skip("optional operators are not installed")
     text = plan(entry.queries()[name](spark, SF))
     assert "ArrowEvalPython" not in text and "BatchEvalPython" not in text and "MapInArrow" not in text and "FlatMapGroups" not in text
 

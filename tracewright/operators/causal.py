@@ -138,12 +138,14 @@ def provisions(accesses: DataFrame, edges: DataFrame) -> DataFrame:
 def resolve_contracts(calls: DataFrame, contracts: DataFrame) -> DataFrame:
     """calls(call_id, name, version) -> call_id, contract_id, opaque. The contract of the very version, else the highest
     version whose range [minimum, maximum) holds the called one, else opaque. contracts(contract_id, name, version,
-    minimum, maximum), ordered comparable versions. The join is an equality on the name; the range is filtered in it."""
+    minimum, maximum), ordered comparable versions. Each different (name, version) is resolved once, however many calls
+    make it; the answer is joined back by equality. Of several rows of one call the best answer counts."""
     k = contracts.select("contract_id", F.col("name").alias("__name"), F.col("version").alias("__version"), "minimum", "maximum")
     fits = (F.col("name") == F.col("__name")) & ((F.col("version") == F.col("__version")) | ((F.col("version") >= F.col("minimum")) & (F.col("version") < F.col("maximum"))))
-    rank = F.struct((F.col("version") == F.col("__version")).alias("exact"), F.col("__version").alias("v"))
-    best = calls.join(k, fits, "left").groupBy("call_id").agg(F.max_by("contract_id", F.when(F.col("contract_id").isNotNull(), rank)).alias("contract_id"))
-    return best.withColumn("opaque", F.col("contract_id").isNull())
+    rank = F.struct((F.col("version") == F.col("__version")).alias("exact"), F.col("__version").alias("v"), F.col("contract_id").alias("id"))
+    best = calls.select("name", "version").distinct().join(k, fits).groupBy("name", "version").agg(F.max(rank).alias("best"))
+    found = calls.join(best, ["name", "version"], "left").groupBy("call_id").agg(F.max("best")["id"].alias("contract_id"))
+    return found.withColumn("opaque", F.col("contract_id").isNull())
 
 
 def goal_verifiers(evidence: DataFrame, nodes: DataFrame) -> DataFrame:

@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tracewright.functions import scalars as S
+from tracewright.sources.tables import checkpoint
 
 
 def ranked(hits: DataFrame, channel: str, limit: int) -> DataFrame:
@@ -19,29 +20,44 @@ def ranked(hits: DataFrame, channel: str, limit: int) -> DataFrame:
     return best.select("query_id", F.lit(channel).alias("channel"), "version_id", F.col("score").cast("long").alias("score"), F.col("rank").cast("long").alias("rank"))
 
 
-def set_similarity(docs: DataFrame, queries: DataFrame, members, doc_text: str, query_text: str, indexed: bool = False) -> DataFrame:
-    """query_id, version_id, score: integer Jaccard of two sets. A stated batch of queries meets every document where it
-    lies, and only what scores is kept; Spark broadcasts the batch while it is under its size threshold and pairs blocks
-    of both sides above it. For members that few documents share, `indexed` finds pairs by joining on the members."""
-    d = docs.select("version_id", members(F.col(doc_text)).alias("dm"))
-    q = queries.select("query_id", members(F.col(query_text)).alias("qm"))
-    few = docs.sparkSession.sparkContext.defaultParallelism
-    if not indexed and len(docs.inputFiles()) < few:  # a table of few files would be scored by as few tasks
-        d = d.repartition(few, "version_id")
-    if indexed:
-        d, q = (t.select(i, F.size(m).alias(f"n{m}"), F.explode(m).alias("member")) for t, i, m in ((d, "version_id", "dm"), (q, "query_id", "qm")))
-        shared = d.join(q, "member").groupBy("query_id", "version_id").agg(F.count("*").alias("shared"), F.first("ndm").alias("ndm"), F.first("nqm").alias("nqm"))
-    else:
-        shared = q.crossJoin(d).select("query_id", "version_id", F.size(F.array_intersect("qm", "dm")).alias("shared"), F.size("dm").alias("ndm"), F.size("qm").alias("nqm"))
-    return shared.select("query_id", "version_id", S.jaccard_ppm(F.col("shared"), F.col("ndm"), F.col("nqm")).alias("score"))
+def set_similarity(docs: DataFrame, queries: DataFrame, members, doc_text: str, query_text: str, limit: int | None = None) -> DataFrame:
+    """query_id, version_id, score: integer Jaccard of two sets, of pairs that share a member. Pairs are found by joining
+    on the members, so nothing is compared that shares none. With `limit`, only pairs that can be among the best of their
+    query are counted in full: similarity is at most the smaller size over the larger one, so the limit-th best score
+    among sets of nearly equal size bounds the sizes of all others."""
+    d = docs.select("version_id", members(F.col(doc_text)).alias("m")).select("version_id", F.size("m").alias("nd"), "m")
+    q = queries.select("query_id", members(F.col(query_text)).alias("m")).select("query_id", F.size("m").alias("nq"), F.explode("m").alias("member"))
+
+    def scored(asked: DataFrame, ratio: Column) -> DataFrame:
+        """Pairs whose sizes are within `ratio` of each other."""
+        near = F.least("nd", "nq") >= ratio * F.greatest("nd", "nq")
+        pairs = d.join(widest, (F.col("nd") * F.col("__ratio") <= F.col("__nq")) & (F.col("nd") >= F.col("__small"))) if limit else d
+        shared = pairs.select("version_id", "nd", F.explode("m").alias("member")).join(asked, "member").where(near)
+        shared = shared.groupBy("query_id", "version_id").agg(F.count("*").alias("shared"), F.first("nd").alias("nd"), F.first("nq").alias("nq"))
+        return shared.select("query_id", "version_id", S.jaccard_ppm(F.col("shared"), F.col("nd"), F.col("nq")).alias("score"))
+
+    def extent(asked: DataFrame, ratio: Column) -> DataFrame:
+        """One row: the sizes of documents that any query may meet."""
+        return F.broadcast(asked.agg(F.max(F.col("nq") / ratio).alias("__nq"), F.min(F.col("nq") * ratio).alias("__small"), F.lit(1).alias("__ratio")))
+
+    if limit is None:
+        return scored(q, F.lit(0.0))
+    widest = extent(q, F.lit(0.5))
+    place = Window.partitionBy("query_id").orderBy(F.desc("score"))
+    best = scored(q, F.lit(0.5)).withColumn("place", F.row_number().over(place)).where(F.col("place") <= limit)
+    reached = best.groupBy("query_id").agg(F.when(F.count("*") == limit, F.min("score")).otherwise(0).alias("__least"))
+    # scores are rounded down, so a ratio below the score by one millionth is on the safe side
+    asked = checkpoint(q.join(reached, "query_id", "left").withColumn("ratio", F.greatest(F.coalesce("__least", F.lit(0)) - 1, F.lit(1)) / S.PPM / 1.000001).drop("__least"))
+    widest = extent(asked, F.col("ratio"))
+    return scored(asked, F.col("ratio"))
 
 
 def lexical(docs: DataFrame, queries: DataFrame, limit: int) -> DataFrame:
-    return ranked(set_similarity(docs, queries, S.words, "task", "task"), "lexical", limit)
+    return ranked(set_similarity(docs, queries, S.words, "task", "task", limit), "lexical", limit)
 
 
 def trigram(docs: DataFrame, queries: DataFrame, limit: int) -> DataFrame:
-    return ranked(set_similarity(docs, queries, S.trigrams, "task", "task"), "vector", limit)
+    return ranked(set_similarity(docs, queries, S.trigrams, "task", "task", limit), "vector", limit)
 
 
 def bm25(docs: DataFrame, queries: DataFrame, limit: int, k1: float = 1.2, b: float = 0.75) -> DataFrame:

@@ -253,8 +253,9 @@ def hashed_embedding(dimension: int) -> Callable[[pd.Series], pd.Series]:
 
 
 def embed_missing(inputs: DataFrame, cache: DataFrame, embed: Callable[[pd.Series], pd.Series]) -> DataFrame:
-    """inputs(id, text) plus vector. Each text is embedded once, and only if cache(input_hash, vector) lacks it."""
-    hashed = inputs.withColumn("input_hash", F.sha2("text", 256))
+    """inputs(id, text) plus vector. Each text is embedded once, and only if cache(input_hash, vector) lacks it; null text
+    counts as empty."""
+    hashed = inputs.withColumn("input_hash", F.sha2(F.coalesce("text", F.lit("")), 256))
     todo = hashed.select("input_hash", "text").dropDuplicates(["input_hash"]).join(cache.select("input_hash"), "input_hash", "left_anti")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

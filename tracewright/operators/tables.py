@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+#: Ranges into which the values of a group are dealt.
+PERCENTILE_RANGES = 1024
+
 # --- snapshots ---------------------------------------------------------------------------------------------------
 
 
@@ -109,10 +114,23 @@ def gaps_in_positions(events: DataFrame, key: str, position: str) -> DataFrame:
 
 
 def percentile_at_floor(rows: DataFrame, key: list[str], value: str, quantiles: list[float]) -> DataFrame:
-    """The element at floor((n - 1) * q) of the sorted values, exact, without gathering a group's values: rows are
-    ranked in a window and the few wanted positions are picked."""
-    w = Window.partitionBy(*key)
-    n = F.count("*").over(w)
-    r = F.row_number().over(w.orderBy(value)) - 1
-    ranked = rows.withColumn("__n", n).withColumn("__r", r)
-    return ranked.groupBy(*key).agg(*[F.max(F.when(F.col("__r") == F.floor((F.col("__n") - 1) * q), F.col(value))).alias(f"p{round(q * 100)}") for q in quantiles])
+    """The element at floor((n - 1) * q) of the sorted values, exact, without gathering a group's rows. Equal values are
+    counted before the shuffle, different ones are dealt into ranges, and two running sums (over the ranges of a group,
+    then inside the ranges that hold a wanted position) lead to the wanted values."""
+    counts = rows.groupBy(*key, value).agg(F.count("*").alias("__c"))
+    limits = counts.groupBy(*key).agg(F.min(value).alias("__low"), F.max(value).alias("__high"), F.sum("__c").alias("__n"))
+    share = (F.col(value).cast("double") - F.col("__low").cast("double")) / F.greatest(F.col("__high").cast("double") - F.col("__low").cast("double"), F.lit(1e-300))
+    same = [F.col(k).eqNullSafe(F.col(f"__{k}")) for k in key]
+    named = limits.select(*[F.col(k).alias(f"__{k}") for k in key], "__low", "__high", "__n")
+    dealt = counts.join(named, reduce(lambda a, b: a & b, same)).select(*key, value, "__c", "__n", F.floor(share * PERCENTILE_RANGES).alias("__range"))
+    ranges = dealt.groupBy(*key, "__range").agg(F.sum("__c").alias("__rc"))
+    order = Window.partitionBy(*key).orderBy("__range")
+    before = ranges.withColumn("__before", F.sum("__rc").over(order) - F.col("__rc"))
+    before = before.select(*[F.col(k).alias(f"__{k}") for k in key], F.col("__range").alias("__r"), "__before", "__rc")
+    at = [F.floor((F.col("__n") - 1) * q) for q in quantiles]
+    wanted = reduce(lambda a, b: a | b, [(x >= F.col("__before")) & (x < F.col("__before") + F.col("__rc")) for x in at])
+    near = dealt.join(before, reduce(lambda a, b: a & b, [*same, F.col("__range") == F.col("__r")])).where(wanted)
+    inside = Window.partitionBy(*key, "__range").orderBy(value)
+    near = near.withColumn("__end", F.col("__before") + F.sum("__c").over(inside))
+    hit = lambda x: (x < F.col("__end")) & (x >= F.col("__end") - F.col("__c"))
+    return near.groupBy(*key).agg(*[F.max(F.when(hit(x), F.col(value))).alias(f"p{round(q * 100)}") for x, q in zip(at, quantiles, strict=True)])

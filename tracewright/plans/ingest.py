@@ -5,7 +5,7 @@ not at all. Writing the archive comes before the commit, so a crash between the
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tracewright.functions import canonical
@@ -28,7 +28,8 @@ def sanitize(events: DataFrame) -> DataFrame:
 def ingest(catalog: Catalog, archive: str, requests: DataFrame, events: DataFrame) -> DataFrame:
     """requests(tenant_id, idempotency_key, trace_key, task, consent) and their events(tenant_id, trace_key, position,
     tool_name, succeeded, value) -> tenant_id, idempotency_key, trace_id, status: accepted, duplicate, conflict or
-    rejected:<rules>. Accepted traces and events are archived and appended as one epoch each."""
+    rejected:<rules>. Accepted traces are archived; their events, receipts and jobs are one commit, which fails if another
+    writer has added receipts since these were read."""
     c = F.col
     sizes = events.groupBy("tenant_id", "trace_key").agg(F.count("*").alias("n"), F.max("position").alias("last"), F.count_distinct("position").alias("kinds"), F.max(F.octet_length("value")).alias("widest"))
     r = requests.join(sizes, ["tenant_id", "trace_key"], "left").withColumn("row_id", F.concat_ws("\0", "tenant_id", "idempotency_key", "trace_key"))
@@ -42,7 +43,8 @@ def ingest(catalog: Catalog, archive: str, requests: DataFrame, events: DataFram
     task, _ = S.redact(S.token(c("task")))
     full = r.join(bodies, ["tenant_id", "trace_key"], "left").join(broken, "row_id", "left").withColumn("body", canonical.struct_json(events=c("steps"), task=task, tenant_id=c("tenant_id")))
     full = full.withColumn("content_hash", F.sha2("body", 256)).withColumn("trace_id", F.concat(F.lit("tr_"), "content_hash"))
-    known = catalog.read("receipts")
+    seen = catalog.head("receipts")
+    known = catalog.read("receipts", as_of=seen)
     if known.columns == ["epoch"]:
         known = known.sparkSession.createDataFrame([], "tenant_id string, idempotency_key string, content_hash string")
     known = known.select("tenant_id", "idempotency_key", F.col("content_hash").alias("__old"))
@@ -56,8 +58,9 @@ def ingest(catalog: Catalog, archive: str, requests: DataFrame, events: DataFram
     if not accepted.isEmpty():
         archive_put(accepted.select("tenant_id", F.lit("v1").alias("schema_version"), "content_hash", "body"), archive).count()
         fresh = accepted.select("tenant_id", "trace_key", "trace_id")
-        catalog.append("events", sanitize(events).join(fresh, ["tenant_id", "trace_key"]).drop("redactions"))
-        catalog.append("receipts", accepted.select("tenant_id", "idempotency_key", "trace_id", "content_hash"))
+        written = accepted.select("tenant_id", "idempotency_key", "trace_id", "content_hash")
+        jobs = accepted.select("tenant_id", F.concat(F.lit("job_"), "trace_id").alias("job_id"), F.lit("synthesize").alias("kind"), "trace_id")
+        catalog.commit({"events": sanitize(events).join(fresh, ["tenant_id", "trace_key"]).drop("redactions"), "receipts": written, "outbox": jobs}, {"receipts": seen})
     return out.select("tenant_id", "idempotency_key", "trace_id", "status")
 
 
@@ -78,7 +81,7 @@ def record_outcomes(catalog: Catalog, facts: DataFrame, selections: DataFrame, n
     return out.select("outcome_id", "state", "credit_class", "reasons")
 
 
-def learn(events: DataFrame) -> DataFrame:
+def learn(events: DataFrame, tenant_id: str = "acme", policy: str = "default") -> DataFrame:
     """events(trace_id, position, resource, reads, writes, succeeded, goal) -> trace_id, steps, family and version ids of
     the procedure a verified trace proves: what its goals need, and what succeeded besides."""
     edges = checkpoint(causal.flow_edges(events))
@@ -86,21 +89,26 @@ def learn(events: DataFrame) -> DataFrame:
     nodes = events.select("trace_id", "position", "succeeded", F.lit(False).alias("irrelevant"), (~F.col("succeeded")).alias("failed_branch"))
     steps = causal.slice_steps(nodes, causal.ancestors(edges, roots)).join(events.select("trace_id", "position", "resource"), ["trace_id", "position"])
     p = steps.groupBy("trace_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("ordinal", "resource"))), lambda x: x["resource"]).alias("steps"))
-    p = p.withColumns({"tenant_id": F.lit("acme"), "intent": F.element_at("steps", -1), "effect": F.array_join("steps", ">"), "policy": F.lit("default")})
+    p = p.withColumns({"tenant_id": F.lit(tenant_id), "intent": F.element_at("steps", -1), "effect": F.array_join("steps", ">"), "policy": F.lit(policy)})
     return records.procedure_ids(p).select("trace_id", "steps", "family_id", "version_id")
 
 
-def promote(catalog: Catalog, now: int, policy: evidence.Lifecycle = evidence.Lifecycle()) -> DataFrame:
-    """One lifecycle evaluation of every version with credits: only decisions that change a state are appended."""
+def promote(catalog: Catalog, now: int, policy: evidence.Lifecycle = evidence.Lifecycle(), unsafe: DataFrame | None = None) -> DataFrame:
+    """One lifecycle evaluation of every version with credits: only decisions that change a state are appended, and only
+    if no other decision was published since the heads were read. unsafe(version_id, unsafe): how many unsafe outcomes
+    each version has had; a version with any is quarantined."""
     c = F.col
     counts = evidence.causal_counts(catalog.read("credits"), F.lit(now))
-    heads = catalog.read("decisions")
+    seen = catalog.head("decisions")
+    heads = catalog.read("decisions", as_of=seen)
     if heads.columns == ["epoch"]:
         heads = counts.select("version_id", F.lit(None).cast("string").alias("next_state"), F.lit(None).cast("long").alias("decided_at"), F.lit(0).cast("long").alias("epoch")).limit(0)
-    w = Window.partitionBy("version_id").orderBy(F.desc("epoch"))
-    heads = heads.withColumn("__n", F.row_number().over(w)).where("__n = 1").select("version_id", "next_state", "decided_at")
-    rows = counts.join(heads, "version_id", "left").withColumns({"prior_state": F.coalesce("next_state", F.lit("candidate")), "unsafe": F.lit(0), "trial_started_at": F.when(c("next_state") == "trial", c("decided_at")), "cutoff_at": F.lit(now).cast("long")})
+    heads = heads.groupBy("version_id").agg(F.max_by(F.struct("next_state", "decided_at"), "epoch").alias("h")).select("version_id", "h.*")
+    if unsafe is None:
+        unsafe = counts.select("version_id", F.lit(0).cast("long").alias("unsafe")).limit(0)
+    harm = unsafe.groupBy("version_id").agg(F.sum("unsafe").cast("int").alias("unsafe"))
+    rows = counts.join(heads, "version_id", "left").join(harm, "version_id", "left").withColumns({"prior_state": F.coalesce("next_state", F.lit("candidate")), "unsafe": F.coalesce("unsafe", F.lit(0)), "trial_started_at": F.when(c("next_state") == "trial", c("decided_at")), "cutoff_at": F.lit(now).cast("long")})
     decided = checkpoint(evidence.transition(rows.drop("next_state")).where("next_state <> prior_state").select("version_id", "prior_state", "next_state", "reasons", "wilson_ppm", F.lit(now).cast("long").alias("decided_at")))
     if not decided.isEmpty():
-        catalog.append("decisions", decided)
+        catalog.append("decisions", decided, expected=seen)
     return decided

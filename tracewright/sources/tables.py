@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import uuid
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -46,46 +47,80 @@ def schema(table: str) -> T.StructType:
 class Catalog:
     """Immutable, epoch-versioned Parquet tables below one folder.
 
-    A write adds a folder and publishes it by one small pointer file, written last; a reader pins the epoch it saw and
-    never sees half a write. An as-of read opens the folders up to its epoch and no others, in one scan."""
+    A write adds data folders and then publishes them by one small commit file, which names every (table, epoch, folder)
+    of the write: what one commit holds, also of several tables, becomes visible together or not at all. A commit file is
+    written aside and moved to its number, which fails if another writer was there first; a crash before that leaves
+    nothing a reader can see. A reader pins the epoch it saw. An as-of read opens the folders up to its epoch and no
+    others, in one scan."""
 
     def __init__(self, spark: SparkSession, root: str):
         self.spark, self.root = spark, root.rstrip("/")
 
+    def _path(self, name: str = ""):
+        return self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.root}/{name}" if name else self.root)
+
     def _fs(self):
-        jvm = self.spark._jvm
-        path = jvm.org.apache.hadoop.fs.Path(self.root)
-        return jvm, path.getFileSystem(self.spark._jsc.hadoopConfiguration())
+        return self._path().getFileSystem(self.spark._jsc.hadoopConfiguration())
+
+    def _commits(self) -> tuple[int, dict[tuple[str, int], str]]:
+        """The number of the next commit, and the folder of each table and epoch: that of the last commit naming it."""
+        if not self._fs().exists(self._path("_commits")):
+            return 0, {}
+        rows = self.spark.read.text(f"{self.root}/_commits").select(F.col("_metadata.file_name").cast("int").alias("n"), "value")
+        lines = sorted((r.n, *r.value.split("\t")) for r in rows.collect())  # one short line per table and commit
+        return max((n for n, *_ in lines), default=-1) + 1, {(table, int(epoch)): name for _, table, epoch, name in lines}
+
+    def _publish(self, number: int, names: dict[tuple[str, int], str]) -> bool:
+        """False if another writer has this commit number already."""
+        jvm, aside = self.spark._jvm, self._path(f"_aside/{uuid.uuid4().hex}")
+        out = self._fs().create(aside, False)
+        out.write(bytearray("".join(f"{table}\t{epoch}\t{name}\n" for (table, epoch), name in sorted(names.items())).encode()))
+        out.close()
+        self._fs().mkdirs(self._path("_commits"))
+        files = jvm.org.apache.hadoop.fs.FileContext.getFileContext(self._path().toUri(), self.spark._jsc.hadoopConfiguration())
+        try:  # without the option to overwrite: fails if the number is taken
+            files.rename(aside, self._path(f"_commits/{number}"), self.spark.sparkContext._gateway.new_array(jvm.org.apache.hadoop.fs.Options.Rename, 0))
+        except Py4JJavaError as e:
+            if not self._fs().exists(self._path(f"_commits/{number}")):
+                raise
+            del e
+            self._fs().delete(aside, False)
+            return False
+        return True
+
+    @staticmethod
+    def _last(names: dict[tuple[str, int], str], table: str) -> int:
+        return max((epoch for t, epoch in names if t == table), default=-1)
 
     def head(self, table: str) -> int:
         """The greatest published epoch, -1 if there is none."""
-        jvm, fs = self._fs()
-        where = jvm.org.apache.hadoop.fs.Path(f"{self.root}/{table}/epochs")
-        if not fs.exists(where):
-            return -1
-        return max((int(f.getPath().getName()) for f in fs.listStatus(where) if f.getPath().getName().isdigit()), default=-1)
+        return self._last(self._commits()[1], table)
+
+    def commit(self, tables: dict[str, DataFrame], expected: dict[str, int] | None = None) -> dict[str, int]:
+        """Write rows as the next epoch of each table, all published at once. `expected` are the heads that the writer
+        read: compare and set. The rows of a writer that loses stay unpublished."""
+        heads = {t: self.head(t) for t in tables} | (expected or {})
+        folders = {t: f"{heads[t] + 1}-{uuid.uuid4().hex}" for t in tables}
+        number, names = self._commits()
+        if wrong := {t: self._last(names, t) for t in heads if self._last(names, t) != heads[t]}:
+            raise RuntimeError(f"heads are {wrong}, not {heads}")
+        for t, rows in tables.items():
+            rows.write.parquet(f"{self.root}/{t}/data/{folders[t]}")
+        while True:
+            number, names = self._commits()
+            if any(self._last(names, t) != heads[t] for t in heads):
+                raise RuntimeError(f"another writer has moved the heads {heads}")
+            if self._publish(number, {(t, heads[t] + 1): folder for t, folder in folders.items()}):
+                return {t: heads[t] + 1 for t in tables}
 
     def append(self, table: str, rows: DataFrame, expected: int | None = None) -> int:
-        """Write rows as the next epoch. `expected` is the head the writer read: compare and set. Creating the pointer
-        fails if another writer made it first, and the rows of the loser stay unpublished."""
-        epoch = self.head(table) + 1
-        if expected is not None and expected != epoch - 1:
-            raise RuntimeError(f"{table}: head is {epoch - 1}, not {expected}")
-        name = f"{epoch}-{uuid.uuid4().hex}"
-        rows.write.parquet(f"{self.root}/{table}/data/{name}")
-        jvm, fs = self._fs()
-        out = fs.create(jvm.org.apache.hadoop.fs.Path(f"{self.root}/{table}/epochs/{epoch}"), False)
-        out.write(bytearray(name.encode()))
-        out.close()
-        return epoch
+        return self.commit({table: rows}, None if expected is None else {table: expected})[table]
 
     def read(self, table: str, as_of: int | None = None, schema: T.StructType | None = None) -> DataFrame:
         """All rows published up to an epoch, with their epoch."""
-        last = self.head(table) if as_of is None else min(as_of, self.head(table))
-        if last < 0:
+        paths = [f"{self.root}/{table}/data/{name}" for (t, epoch), name in sorted(self._commits()[1].items()) if t == table and (as_of is None or epoch <= as_of)]
+        if not paths:
             return self.spark.createDataFrame([], (schema or T.StructType()).add("epoch", "long"))
-        names = [r.value for r in self.spark.read.text(f"{self.root}/{table}/epochs").collect()]  # one short name an epoch
-        paths = [f"{self.root}/{table}/data/{n}" for n in sorted(names) if int(n.split("-")[0]) <= last]
         reader = self.spark.read.schema(schema) if schema is not None else self.spark.read.option("mergeSchema", "true")
         epoch = F.regexp_extract(F.col("_metadata.file_path"), r"/data/(\d+)-[0-9a-f]+/", 1).cast("long")
         return reader.parquet(*paths).withColumn("epoch", epoch)
@@ -111,17 +146,25 @@ class Catalog:
         return [v for v, _ in fresh]
 
     def erase(self, table: str, column: str, value: str) -> int:
-        """Rewrite a table without one tenant's rows as a new history of one epoch; the number of rows that went."""
+        """Rewrite the epochs of a table that hold one tenant's rows, without them; the number of rows that went. The
+        rewritten epochs are published by one commit, and only then are the old folders deleted: as-of reads keep their
+        history, and a crash on the way leaves a table that can be erased again."""
+        own = F.col(column).eqNullSafe(F.lit(value))
         rows = self.read(table)
-        gone = rows.where(F.col(column) == value).count()
-        kept = rows.where(~F.col(column).eqNullSafe(F.lit(value))).drop("epoch")
-        fresh = f"{table}-{uuid.uuid4().hex}"
-        self.append(fresh, kept)
-        jvm, fs = self._fs()
-        path = lambda x: jvm.org.apache.hadoop.fs.Path(f"{self.root}/{x}")
-        fs.delete(path(table), True)
-        fs.rename(path(fresh), path(table))
-        return gone
+        held = {r.epoch: r["count"] for r in rows.where(own).groupBy("epoch").count().collect()} if column in rows.columns else {}  # one row per epoch
+        before, fresh = self._commits()[1], {}
+        for epoch in held:
+            fresh[(table, epoch)] = f"{epoch}-{uuid.uuid4().hex}"
+            self.spark.read.parquet(f"{self.root}/{table}/data/{before[(table, epoch)]}").where(~own).write.parquet(f"{self.root}/{table}/data/{fresh[(table, epoch)]}")
+        while fresh:
+            number, now = self._commits()
+            if any(now[key] != before[key] for key in fresh):
+                raise RuntimeError(f"{table} was rewritten by another writer")
+            if self._publish(number, fresh):
+                break
+        for key in fresh:
+            self._fs().delete(self._path(f"{table}/data/{before[key]}"), True)
+        return sum(held.values())
 
 
 # --- archive -----------------------------------------------------------------------------------------------------
