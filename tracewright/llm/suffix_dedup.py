@@ -491,8 +491,7 @@ def prepare(docs: DataFrame) -> DataFrame:
 
 def repeated_ranges(rows: DataFrame, buckets: int) -> DataFrame:
     """did, dig, firsts, lasts: ranges of repeated window starts of each text that has any."""
-    found = materialize(shared_segments(anchor_table(rows, buckets)), "segments")
-    packed = compared(rows, found).groupBy("did", "dig").agg(F.collect_list(F.struct("first", "last")).alias("r"))
+    packed = compared(rows, shared_segments(anchor_table(rows, buckets))).groupBy("did", "dig").agg(F.collect_list(F.struct("first", "last")).alias("r"))
     return packed.select("did", "dig", F.col("r.first").alias("firsts"), F.col("r.last").alias("lasts"))
 
 
