@@ -134,3 +134,13 @@ def test_near_copies_are_those_of_brute_force(spark, crowd):
     want = slow_similar_groups(cases, 0.8)
     assert {x.doc_id: x.component_id for x in simhash.similar_groups(df).collect()} == dict(enumerate(want))
     assert {x.doc_id for x in simhash.drop_near_copies(df).collect()} == set(want)
+
+
+def test_near_copies_with_nulls_and_clashing_columns(spark):
+    schema = "doc_id long, text string, node int, keys string, root int, fp string"
+    text = "one two three four five six seven eight nine ten " * 3
+    rows = [(1, text), (None, text), (2, None), (3, ""), (4, text + "eleven"), (None, None)]
+    df = spark.createDataFrame([(*r, 1, "x", 1, "f") for r in rows], schema)
+    got = simhash.drop_near_copies(df)
+    assert got.columns == df.columns and sorted((r.doc_id, r.text) for r in got.collect()) == [(1, text), (2, None)]
+    assert simhash.drop_near_copies(df.limit(0)).collect() == []
