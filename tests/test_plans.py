@@ -76,4 +76,4 @@ def test_cycles_of_all_orders_are_those_of_brute_force(spark):
                 todo += fresh
             if node in seen:
                 want[trace] = want.get(trace, 0) + 1
-    assert {r.trace_id: r.nodes for r in catalog.cycle_check_all(spark, SF).collect()} == want
+    assert {r.trace_id: r.nodes for r in catalog.cycle_check(spark, SF).collect()} == want

@@ -78,16 +78,18 @@ def test_authorization(spark, tmp_path):
 
 
 def test_ingest_stream(spark, tmp_path):
-    rows = spark.createDataFrame([("k", "a"), ("k", "a"), ("k", "b"), ("l", "c")], "key string, hash string")
+    rows = spark.createDataFrame([("k", "b", 3), ("k", "a", 2), ("k", "a", 1), ("l", "c", 1), ("m", None, 1), ("m", None, 2), ("m", "d", 3)], "key string, hash string, n int")
+
+    def drain():
+        out = jobs.ingest_status(jobs.source(spark, str(tmp_path / "in"), rows.schema), "key", "hash", "n")
+        out.writeStream.format("parquet").option("path", str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start().awaitTermination()
+
     rows.coalesce(1).write.parquet(str(tmp_path / "in"))
-    out = jobs.ingest_status(jobs.source(spark, str(tmp_path / "in"), rows.schema), "key", "hash")
-    q = out.writeStream.format("parquet").option("path", str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start()
-    q.awaitTermination()
+    drain()
     rows.where("key = 'l'").coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
-    out = jobs.ingest_status(jobs.source(spark, str(tmp_path / "in"), rows.schema), "key", "hash")
-    out.writeStream.format("parquet").option("path", str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start().awaitTermination()
-    got = {(r.key, r.status): r.n for r in spark.read.parquet(str(tmp_path / "out")).groupBy("key", "status").agg(F.count("*").alias("n")).collect()}
-    assert got == {("k", "accepted"): 1, ("k", "duplicate"): 1, ("k", "conflict"): 1, ("l", "accepted"): 1, ("l", "duplicate"): 1}
+    drain()
+    got = {(r.key, r.hash, r.status): r.n for r in spark.read.parquet(str(tmp_path / "out")).groupBy("key", "hash", "status").agg(F.count("*").alias("n")).collect()}
+    assert got == {("k", "a", "accepted"): 1, ("k", "a", "duplicate"): 1, ("k", "b", "conflict"): 1, ("l", "c", "accepted"): 1, ("l", "c", "duplicate"): 1, ("m", None, "accepted"): 1, ("m", None, "duplicate"): 1, ("m", "d", "conflict"): 1}
 
 
 def test_relay_and_windows(spark, tmp_path):

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -290,7 +291,12 @@ def stale_revisions(spark: SparkSession, sf: str) -> DataFrame:
     return tables.stale(A.queue(spark, sf).select("tenant_id", "job_id"), "tenant_id", "job_id").groupBy("tenant_id").agg(F.count("*").alias("stale"))
 
 
-@query()
+@query(
+    f"""WITH RECURSIVE {A.QUEUE}, c AS (SELECT tenant_id, job_id AS epoch, sha256(kind || chr(0) || state) AS content, row_number() OVER (PARTITION BY tenant_id ORDER BY job_id) AS n FROM queue),
+h AS (SELECT tenant_id, epoch, n, sha256(concat(tenant_id, chr(0), epoch, chr(0), chr(0), content)) AS set_hash FROM c WHERE n = 1
+  UNION ALL SELECT c.tenant_id, c.epoch, c.n, sha256(concat(c.tenant_id, chr(0), c.epoch, chr(0), h.set_hash, chr(0), c.content)) FROM h JOIN c ON c.tenant_id = h.tenant_id AND c.n = h.n + 1)
+SELECT tenant_id, epoch, set_hash FROM h"""
+)
 def epoch_hash_chain(spark: SparkSession, sf: str) -> DataFrame:
     """Per tenant, each epoch's hash covers the one before it: a sequential fold, one tenant's epochs to a task."""
 
@@ -537,17 +543,11 @@ def reachability_closure(spark: SparkSession, sf: str) -> DataFrame:
     return causal.ancestors(causal.flow_edges(A.accesses(spark, sf)), goal_steps(spark, sf))
 
 
-@query("""WITH RECURSIVE e AS (SELECT DISTINCT o_custkey % 5 AS trace_id, o_custkey % 97 AS src, (o_custkey * 7 + o_orderkey % 3) % 97 AS dst FROM orders WHERE o_orderstatus = 'P' AND o_totalprice > 400000),
+@query("""WITH RECURSIVE e AS (SELECT DISTINCT o_custkey % 5 AS trace_id, o_custkey % 97 AS src, (o_custkey * 7 + o_orderkey % 3) % 97 AS dst FROM orders),
 r AS (SELECT trace_id, src, dst FROM e UNION SELECT r.trace_id, r.src, e.dst FROM r JOIN e ON e.trace_id = r.trace_id AND e.src = r.dst)
 SELECT trace_id, count(*) AS nodes FROM (SELECT DISTINCT trace_id, src FROM r WHERE src = dst) GROUP BY trace_id""")
 def cycle_check(spark: SparkSession, sf: str) -> DataFrame:
-    """Of the pending orders above 400000, as its SQL has it; `cycle_check_all` reads every order."""
-    return nodes_on_cycles(folded(read(spark, sf, "orders").where("o_orderstatus = 'P' AND o_totalprice > 400000")))
-
-
-@query()
-def cycle_check_all(spark: SparkSession, sf: str) -> DataFrame:
-    """Of all orders. It has no SQL: that of `cycle_check` reads a part of them."""
+    """Of all orders."""
     return nodes_on_cycles(folded(read(spark, sf, "orders")))
 
 
@@ -724,7 +724,13 @@ def topological_levels(spark: SparkSession, sf: str) -> DataFrame:
     return compose.schedule(rows.select("plan_id", F.col("version_id").alias("ordinal"), "version_id", F.coalesce("predecessors", none).alias("predecessors"), none.alias("conflicting")))
 
 
-@query()
+@query(
+    f"""WITH RECURSIVE {NODES}, o AS (SELECT *, row_number() OVER (PARTITION BY plan_id ORDER BY version_id) AS i FROM nodes),
+k AS (SELECT r.plan_id, r.i, r.version_id, coalesce(list(l.i) FILTER (WHERE l.i IS NOT NULL), []) AS clash FROM o r LEFT JOIN o l ON l.plan_id = r.plan_id AND l.i < r.i AND (l.serial OR r.serial OR l.writes[1] = r.reads[1] OR l.writes[1] = r.writes[1] OR r.writes[1] = l.reads[1]) GROUP BY 1, 2, 3),
+s AS (SELECT plan_id, i, version_id, 0::BIGINT AS level, [0::BIGINT] AS levels FROM k WHERE i = 1 UNION ALL
+  SELECT plan_id, i, version_id, level, list_append(levels, level) FROM (SELECT k.plan_id, k.i, k.version_id, levels, list_min(list_filter(range(0, k.i), lambda g: NOT list_contains(list_transform(clash, lambda j: levels[j]), g))) AS level FROM s JOIN k ON k.plan_id = s.plan_id AND k.i = s.i + 1))
+SELECT plan_id, version_id, level FROM s"""
+)
 def parallel_schedule(spark: SparkSession, sf: str) -> DataFrame:
     n = plan_nodes(spark, sf)
     found = compose.conflicts(n)
@@ -775,7 +781,13 @@ def prefix_hashes(spark: SparkSession, sf: str) -> DataFrame:
     return rows.select("conv_id", F.posexplode(canonical.prefix_hashes(F.col("roles"))).alias("prefix", "hash")).withColumn("prefix", (F.col("prefix") + 1).cast("long"))
 
 
-@query()
+@query(
+    r"""WITH p AS (SELECT page_id, regexp_extract(url, '^[^:]*://[^/]*/([^?#]*)', 1) AS p FROM pages),
+d AS (SELECT page_id, replace(trim(CASE page_id % 4 WHEN 0 THEN './a/../' || p WHEN 1 THEN '..\' || p WHEN 2 THEN p || '//x/.' ELSE '/' || p END), '\', '/') AS p FROM p),
+k AS (SELECT page_id, p, list_reduce(list_transform(list_filter(string_split(p, '/'), lambda x: x NOT IN ('', '.')), lambda x: [x]), lambda s, x: CASE WHEN x[1] = '..' AND len(s) > 0 AND s[-1] <> '..' THEN s[1:len(s) - 1] ELSE list_concat(s, x) END, []::VARCHAR[]) AS kept FROM d),
+c AS (SELECT page_id, p, CASE WHEN len(kept) = 0 THEN '.' ELSE array_to_string(kept, '/') END AS path FROM k)
+SELECT page_id, CASE WHEN NOT (p LIKE '/%' OR regexp_matches(p, '^[A-Za-z]:') OR path = '..' OR path LIKE '../%') THEN path END AS path FROM c"""
+)
 def path_normalize(spark: SparkSession, sf: str) -> DataFrame:
     """Paths of URLs with detours put in; null where the root is left."""
     p = F.regexp_extract("url", r"^[^:]*://[^/]*/([^?#]*)", 1)
@@ -805,7 +817,26 @@ def secret_redaction_counts(spark: SparkSession, sf: str) -> DataFrame:
     return read(spark, sf, "documents").select("doc_id", F.regexp_count(clean, F.lit(pattern)).cast("long").alias("assignments"), F.sha2(F.regexp_replace(clean, pattern, replacement), 256).alias("clean"))
 
 
-@query()
+def redaction_sql() -> str:
+    """The passes in DuckDB's SQL, from the one table of patterns: t(kind, id, t) -> counts and what is left."""
+    quoted = lambda x: "'" + x.replace("'", "''") + "'"
+    steps, last = [], "t0"
+    for n, (reason, pattern, replacement) in enumerate(S.SECRETS, 1):
+        new = re.sub(r"\$(\d)", r"\\\1", replacement)
+        steps.append(f"t{n} AS (SELECT * EXCLUDE (t), CAST(len(regexp_extract_all(t, {quoted(pattern)})) AS BIGINT) AS \"{reason}\", regexp_replace(t, {quoted(pattern)}, {quoted(new)}, 'g') AS t FROM {last})")
+        last = f"t{n}"
+    share = "len(list_filter(string_split(x, ''), lambda y: y = c)) / length(x)"
+    high = f"regexp_matches(x, '[0-9]') AND regexp_matches(x, '[A-Za-z]') AND -list_sum(list_transform(list_distinct(string_split(x, '')), lambda c: ({share}) * log2({share}))) >= {S.ENTROPY_BITS}"
+    token = quoted(S.ENTROPY_TOKEN)
+    steps.append(f"u AS (SELECT *, string_split_regex(t, {token}) AS between, list_transform(regexp_extract_all(t, {token}), lambda x: CASE WHEN {high} THEN '[REDACTED]' ELSE x END) AS kept, CAST(len(list_filter(regexp_extract_all(t, {token}), lambda x: {high})) AS BIGINT) AS high_entropy FROM {last})")
+    return ", ".join(steps)
+
+
+@query(
+    rf"""WITH raw AS (SELECT 'documents' AS kind, doc_id AS id, text FROM documents UNION ALL SELECT 'pages', page_id, html FROM pages),
+t0 AS (SELECT kind, id, regexp_replace(replace(replace(text, chr(13) || chr(10), chr(10)), chr(13), chr(10)), '[\x00-\x08\x0B-\x1F\x7F-\x{{9F}}]', '', 'g') AS t FROM raw), {redaction_sql()}
+SELECT kind, id, {", ".join(f'"{reason}"' for reason, _, _ in S.SECRETS)}, high_entropy, sha256(array_to_string(list_transform(range(1, len(between) + 1), lambda i: between[i] || coalesce(kept[i], '')), '')) AS clean FROM u"""
+)
 def secret_redaction(spark: SparkSession, sf: str) -> DataFrame:
     """All seven passes in order, on documents and pages."""
     d = read(spark, sf, "documents").select(F.lit("documents").alias("kind"), F.col("doc_id").alias("id"), "text")
@@ -946,17 +977,17 @@ def drain(spark: SparkSession, frame: DataFrame, name: str, mode: str = "append"
     return spark.read.schema(frame.schema).parquet(f"{base}/rows")
 
 
-@query()
+@query("SELECT CASE WHEN n = 1 THEN 'accepted' WHEN hash = first THEN 'duplicate' ELSE 'conflict' END AS status, count(*) AS n FROM (SELECT md5(text) AS hash, row_number() OVER w AS n, first_value(md5(text)) OVER w AS first FROM documents WINDOW w AS (PARTITION BY source, n_chars ORDER BY doc_id)) GROUP BY 1")
 def stream_dedupe(spark: SparkSession, sf: str) -> DataFrame:
     """Ingest of documents as a stream: accepted, duplicate or conflict by (source, size) and content."""
     from tracewright.streaming import jobs
 
     schema = read(spark, sf, "documents").schema
-    rows = spark.readStream.schema(schema).parquet(f"{sf}/documents.parquet*").select(F.concat_ws("/", "source", "n_chars").alias("key"), F.md5(F.col("text").cast("binary")).alias("hash"))
-    return drain(spark, jobs.ingest_status(rows, "key", "hash"), "stream-dedupe").groupBy("status").agg(F.count("*").alias("n"))
+    rows = spark.readStream.schema(schema).parquet(f"{sf}/documents.parquet*").select(F.concat_ws("/", "source", "n_chars").alias("key"), F.md5(F.col("text").cast("binary")).alias("hash"), "doc_id")
+    return drain(spark, jobs.ingest_status(rows, "key", "hash", "doc_id"), "stream-dedupe").groupBy("status").agg(F.count("*").alias("n"))
 
 
-@query()
+@query("SELECT event_type, count(*) AS n FROM events GROUP BY event_type")
 def stream_outbox(spark: SparkSession, sf: str) -> DataFrame:
     """Events as an outbox, handed on batch by batch; each batch is written under its number, so a repeat overwrites."""
     import uuid
@@ -965,7 +996,7 @@ def stream_outbox(spark: SparkSession, sf: str) -> DataFrame:
     from tracewright.streaming import jobs
 
     base = f"{shared_dir(spark)}/stream-outbox-{uuid.uuid4().hex}"
-    rows = spark.readStream.schema(read(spark, sf, "events").schema).parquet(f"{sf}/events.parquet*").where("event_type <> 'view'")
+    rows = spark.readStream.schema(read(spark, sf, "events").schema).parquet(f"{sf}/events.parquet*")
 
     def handle(batch: DataFrame, number: int) -> None:
         batch.groupBy("event_type").agg(F.count("*").alias("n")).write.mode("overwrite").parquet(f"{base}/handled/batch={number}")

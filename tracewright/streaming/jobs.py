@@ -20,18 +20,21 @@ def first_seen(events: DataFrame, key: str, time: str, delay: str = "1 day") ->
     return events.withWatermark(time, delay).dropDuplicatesWithinWatermark([key])
 
 
-def ingest_status(events: DataFrame, key: str, content: str) -> DataFrame:
-    """key, content, status: accepted, duplicate (same content again) or conflict. State per key: the first content."""
+def ingest_status(events: DataFrame, key: str, content: str, order: str) -> DataFrame:
+    """key, content, status: accepted, duplicate (same content again) or conflict. State per key: the first content. Of the
+    rows of a key that one batch brings, the one with the least `order` comes first, so a batch that is repeated gives
+    the same; a task holds two narrow columns of one key of one batch, which the source's files per trigger bound."""
 
     def step(k: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        first = state.get[0] if state.exists else None
-        for rows in batches:
-            status = []
-            for value in rows[content]:
-                status.append("accepted" if first is None else "duplicate" if value == first else "conflict")
-                first = value if first is None else first
-            yield pd.DataFrame({key: [k[0]] * len(rows), content: rows[content], "status": status})
-        state.update((first,))
+        rows = pd.concat([b[[content, order]] for b in batches]).sort_values(order, kind="stable")
+        known = state.exists
+        first = state.get[0] if known else rows[content].iloc[0]
+        same = rows[content].isna() if pd.isna(first) else rows[content] == first
+        status = same.map({True: "duplicate", False: "conflict"}).astype(object)
+        if not known:
+            status.iloc[0] = "accepted"
+            state.update((first,))
+        yield pd.DataFrame({key: [k[0]] * len(rows), content: rows[content].to_numpy(), "status": status.to_numpy()})
 
     kinds = dict(events.dtypes)
     out = f"`{key}` {kinds[key]}, `{content}` {kinds[content]}, status string"
