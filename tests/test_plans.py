@@ -4,6 +4,7 @@ import contextlib
 import io
 
 import pytest
+from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
 from tracewright.plans import catalog
@@ -77,3 +78,28 @@ def test_cycles_of_all_orders_are_those_of_brute_force(spark):
             if node in seen:
                 want[trace] = want.get(trace, 0) + 1
     assert {r.trace_id: r.nodes for r in catalog.cycle_check(spark, SF).collect()} == want
+
+
+def test_serving_from_snapshot_to_disposition(spark):
+    from tracewright.plans import adapters, retrieve
+
+    docs, requests = adapters.documents(spark, SF), adapters.requests(spark, SF)
+    configured = spark.createDataFrame([(name, 1) for name in retrieve.ALL], "channel string, index_id int")
+    bound = configured.where("channel <> 'vector'")
+    runs = spark.createDataFrame([(1, "graph", "deadline_exceeded"), (2, "vector", "unavailable"), (3, "graph", None)], "query_id long, channel string, code string")
+    run = lambda docs_, judged=None, **more: {r.query_id: r for r in retrieve.serve(docs, docs_, requests, catalog.AS_OF, (configured, bound), runs, judged, **more).collect()}
+    plain = run(docs)
+    assert len(plain) == requests.count()
+    assert (plain[1].disposition, plain[1].reason, plain[1].selected) == ("failed", "required_channel_unavailable:graph", []) and plain[2].degraded == ["vector"] and plain[3].disposition != "failed"
+    several = next(r for r in plain.values() if len(r.selected) > 1)
+    # a candidate that the snapshot lacks, or holds twice, fails its request
+    one = several.selected[0]
+    assert run(docs.where(f"version_id <> {one}"))[several.query_id].reason == "candidate_snapshot_missing"
+    assert run(docs.unionByName(docs.where(f"version_id = {one}")))[several.query_id].reason == "candidate_snapshot_missing"
+    # the judge's bonus counts only where the whole band was judged
+    second = several.selected[1]
+    judged = docs.select(F.lit(several.query_id).alias("query_id"), "version_id", F.lit(True).alias("committed"), F.expr(f"IF(version_id = {second}, 1000000000000, 0)").alias("bonus"))
+    assert run(docs, judged, distance=10**15, judge_most=100)[several.query_id].selected[0] == second
+    assert run(docs, judged.where(f"version_id = {second}"), distance=10**15, judge_most=100)[several.query_id].selected == several.selected
+    with pytest.raises(ValueError, match="graph index_mismatch"):
+        retrieve.serve(docs, docs, requests, catalog.AS_OF, (configured, bound.withColumn("index_id", F.expr("IF(channel = 'graph', 2, 1)"))), runs)

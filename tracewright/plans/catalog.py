@@ -258,6 +258,24 @@ def retrieve(spark: SparkSession, sf: str) -> DataFrame:
     return R.retrieve(A.documents(spark, sf), A.requests(spark, sf), AS_OF, names=R.IN_SQL)
 
 
+@query(
+    f"""WITH {RETRIEVED}, s AS (SELECT query_id, count(*) AS n, count(*) FILTER (WHERE len(codes) = 0) AS ok, count(*) FILTER (WHERE len(codes) = 0 AND lifecycle <> 'candidate') AS fit FROM g GROUP BY query_id),
+chosen AS (SELECT query_id, string_agg(CAST(version_id AS VARCHAR), ',' ORDER BY rank) AS selected FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY rank) AS n FROM o WHERE lifecycle <> 'candidate') WHERE n <= 5 GROUP BY query_id)
+SELECT query_id, CASE WHEN query_id % 7 = 0 THEN 'failed' WHEN coalesce(fit, 0) = 0 THEN 'abstained' ELSE 'selected' END AS disposition,
+  CASE WHEN query_id % 7 = 0 THEN 'required_channel_unavailable:lexical' WHEN n IS NULL THEN 'no_candidates' WHEN ok = 0 THEN 'no_eligible_candidates' WHEN fit = 0 THEN 'advisory_only' END AS reason,
+  CASE WHEN query_id % 5 = 0 THEN 'vector' ELSE '' END AS degraded, CASE WHEN query_id % 7 = 0 THEN '' ELSE coalesce(selected, '') END AS selected FROM requests LEFT JOIN s USING (query_id) LEFT JOIN chosen USING (query_id)"""
+)
+def retrieval_runs(spark: SparkSession, sf: str) -> DataFrame:
+    """From snapshot to disposition: the snapshot binds three channels, each seventh request gets no lexical answer, and each fifth
+    no vector answer."""
+    docs, requests, c = A.documents(spark, sf), A.requests(spark, sf), F.col
+    configured = spark.createDataFrame([(name, i) for i, name in enumerate(R.ALL)], "channel string, index_id long")
+    one = lambda name, code, every: requests.select("query_id", F.lit(name).alias("channel"), F.when(c("query_id") % every == 0, code).alias("code"))
+    runs = one("lexical", "deadline_exceeded", 7).unionByName(one("vector", "unavailable", 5))
+    out = R.serve(docs, docs, requests, AS_OF, (configured, configured.where(c("channel").isin(list(R.IN_SQL)))), runs, required=("exact", "lexical"))
+    return out.select("query_id", "disposition", "reason", text("degraded").alias("degraded"), text(F.transform("selected", lambda x: x.cast("string"))).alias("selected"))
+
+
 @query()
 def retrieve_all_channels(spark: SparkSession, sf: str) -> DataFrame:
     """The retrieval path over all five channels. It has no SQL: the SQL of `retrieve` runs three."""

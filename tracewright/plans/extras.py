@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -10,7 +12,7 @@ from tracewright.operators import records as records_
 from tracewright.plans import adapters as A
 from tracewright.plans import catalog, records
 from tracewright.plans.catalog import QUERIES, SQL, query, text
-from tracewright.sources.tables import read
+from tracewright.sources.tables import Catalog, read, shared_dir
 
 __all__ = ["QUERIES", "SQL", "records"]
 
@@ -101,8 +103,12 @@ def sorted_set_check(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(f"WITH {A.QUEUE}, r AS (SELECT kind, tenant_id, count(*) AS n, max(available_at) AS latest FROM queue GROUP BY 1, 2) SELECT kind, tenant_id, n, latest FROM r WHERE n > 5")
 def multi_table_commit(spark: SparkSession, sf: str) -> DataFrame:
-    """Batches of jobs per kind and tenant that a commit would make visible together."""
-    return A.queue(spark, sf).groupBy("kind", "tenant_id").agg(F.count("*").alias("n"), F.max("available_at").alias("latest")).where("n > 5")
+    """Jobs and their batches, committed to a catalog as one and read back at the heads of the commit."""
+    store = Catalog(spark, f"{shared_dir(spark)}/multi-table-commit-{uuid.uuid4().hex}")
+    queue = A.queue(spark, sf).select("job_id", "kind", "tenant_id", "available_at")
+    heads = store.commit({"jobs": queue, "batches": queue.groupBy("kind", "tenant_id").agg(F.count("*").alias("n")).where("n > 5")})
+    batches = store.read("batches", as_of=heads["batches"]).select("kind", "tenant_id")
+    return store.read("jobs", as_of=heads["jobs"]).join(batches, ["kind", "tenant_id"]).groupBy("kind", "tenant_id").agg(F.count("*").alias("n"), F.max("available_at").alias("latest"))
 
 
 @query("SELECT r_name, count(*) AS customers FROM region JOIN nation ON n_regionkey = r_regionkey JOIN customer ON c_nationkey = n_nationkey WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_orderstatus = 'P') GROUP BY r_name")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -10,7 +12,7 @@ from tracewright.functions import scalars as S
 from tracewright.operators import causal, records
 from tracewright.plans import adapters as A
 from tracewright.plans.catalog import QUERIES, SQL, query, text
-from tracewright.sources.tables import read
+from tracewright.sources.tables import Catalog, read, shared_dir
 
 # --- requests ----------------------------------------------------------------------------------------------------
 
@@ -262,10 +264,10 @@ def embedding_cache(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(f"WITH {A.QUEUE} SELECT tenant_id, count(*) AS rows, sha256(tenant_id || ':' || count(*)) AS receipt FROM queue WHERE tenant_id IN (SELECT c_custkey FROM customer WHERE c_mktsegment = 'MACHINERY') GROUP BY tenant_id")
 def erasure_receipts(spark: SparkSession, sf: str) -> DataFrame:
-    """What erasing the tenants of a segment takes away, with a hashed receipt each."""
-    gone = read(spark, sf, "customer").where("c_mktsegment = 'MACHINERY'").select(F.col("c_custkey").alias("tenant_id"))
-    counted = A.queue(spark, sf).join(gone, "tenant_id", "left_semi").groupBy("tenant_id").agg(F.count("*").alias("rows"))
-    return counted.withColumn("receipt", F.sha2(F.concat_ws(":", "tenant_id", "rows"), 256))
+    """The tenants of a segment erased from a catalog's table of jobs, with a hashed receipt each."""
+    store = Catalog(spark, f"{shared_dir(spark)}/erasure-{uuid.uuid4().hex}")
+    store.append("jobs", A.queue(spark, sf).select("tenant_id", "job_id"))
+    return store.erase_all("jobs", "tenant_id", read(spark, sf, "customer").where("c_mktsegment = 'MACHINERY'").select(F.col("c_custkey").alias("tenant_id")))
 
 
 @query("SELECT n_regionkey, sha256(string_agg(n_nationkey || '=' || n_name, ';' ORDER BY n_nationkey)) AS set_hash FROM nation GROUP BY n_regionkey")

@@ -7,7 +7,8 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tracewright.operators import channels, gates, ranking, records
+from tracewright.operators import channels, gates, manifests, ranking, records
+from tracewright.sources.tables import checkpoint
 
 RANKER = ranking.Ranker()
 POLICY = gates.Policy(regions=("en", "fr", "de", "es"))
@@ -65,8 +66,12 @@ def evaluated(docs: DataFrame, requests: DataFrame, as_of: int, names: tuple[str
 
 def ordered(docs: DataFrame, requests: DataFrame, as_of: int, names: tuple[str, ...] = ALL) -> DataFrame:
     """Eligible candidates in total order."""
-    e = evaluated(docs, requests, as_of, names).where("eligible")
-    e = e.withColumn("verification_strength", F.when(F.col("quality").isNotNull(), F.lit(5) - F.col("risk")).cast("int")).withColumn("observed", F.col("n_chars") % 2 == 0)
+    return ranked(evaluated(docs, requests, as_of, names))
+
+
+def ranked(gated: DataFrame) -> DataFrame:
+    """Gated candidates in total order, eligible ones only."""
+    e = gated.where("eligible").withColumn("verification_strength", F.when(F.col("quality").isNotNull(), F.lit(5) - F.col("risk")).cast("int")).withColumn("observed", F.col("n_chars") % 2 == 0)
     return ranking.total_order(ranking.fuse(e, RANKER))
 
 
@@ -74,3 +79,45 @@ def retrieve(docs: DataFrame, requests: DataFrame, as_of: int, minimum: int = 0,
     """query_id, version_id, rank, final of what is selected."""
     chosen = ranking.select_top(ordered(docs, requests, as_of, names), minimum, most)
     return chosen.where("selected").select("query_id", "version_id", "rank", "final")
+
+
+#: Channels without whose answer a request fails; the others' absence is noted with it.
+REQUIRED = ("exact", "facet", "graph", "lexical")
+
+
+def serve(
+    index: DataFrame, docs: DataFrame, requests: DataFrame, as_of: int, serving: tuple[DataFrame, DataFrame], runs: DataFrame, judged: DataFrame | None = None,
+    required: tuple[str, ...] = REQUIRED, minimum: int = 0, most: int = 5, distance: int = 0, judge_most: int = 5,
+) -> DataFrame:
+    """A batch of requests from snapshot to disposition: query_id, disposition (selected, abstained, failed), reason,
+    degraded (optional channels that did not answer) and selected (version ids in order).
+
+    serving: the configured channels(channel, index_id) and the snapshot's; a required channel that the snapshot does not
+    bind is an error of the whole batch, another one does not run. runs(query_id, channel, code): how channels ended;
+    what a channel with a code has found does not count. index is what the channels search, docs what the snapshot
+    holds: a request with a candidate that docs lack, or hold twice, fails. judged(query_id, version_id, committed,
+    bonus) re-ranks the requests whose whole ambiguity band was judged."""
+    binding = {r.channel: r.binding for r in manifests.bound_channels(*serving).collect()}  # one row per channel
+    if loose := sorted(f"{name} {binding.get(name, 'not_configured')}" for name in required if binding.get(name) != "bound"):
+        raise ValueError(f"serving_config_mismatch: {', '.join(loose)}")
+    c, ended = F.col, runs.where("code IS NOT NULL").select("query_id", "channel").distinct()
+    hits = candidates(index, requests, names=tuple(name for name in ALL if binding.get(name) == "bound"))
+    fused = checkpoint(ranking.rrf(hits.join(ended, ["query_id", "channel"], "left_anti"), RANKER))
+    once = docs.groupBy("version_id").agg(F.count("*").alias("n")).where("n = 1")
+    absent = fused.join(once, "version_id", "left_anti").select("query_id").distinct().withColumn("failure", F.lit("candidate_snapshot_missing"))
+    failed = channels.degraded(runs, list(required)).withColumn("first", F.lit(0)).unionByName(absent.withColumn("first", F.lit(1)))
+    failed = checkpoint(failed.groupBy("query_id").agg(F.min_by("failure", "first").alias("reason")))
+    live = requests.join(failed, "query_id", "left_anti")
+    gated = checkpoint(gates.evaluate(pairs(fused, docs, live, as_of), POLICY, ("tools", "effects")))
+    order = checkpoint(ranked(gated))
+    if judged is not None:
+        band = ranking.ambiguity_band(order, distance, judge_most).select("query_id", "version_id").join(judged, ["query_id", "version_id"], "left")
+        band = band.select("query_id", "version_id", F.coalesce("committed", F.lit(False)).alias("committed"), F.coalesce("bonus", F.lit(0)).alias("bonus"))
+        order = ranking.total_order(records.rerank(order.drop("rank"), band))
+    order = checkpoint(ranking.select_top(order, minimum, most).select("query_id", "version_id", "rank", "final", "selected"))
+    chosen = order.where("selected").groupBy("query_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", "version_id"))), lambda x: x["version_id"]).alias("selected"))
+    facts = gated.select("query_id", "version_id", "eligible", "advisory").join(order.select("query_id", "version_id", "final"), ["query_id", "version_id"], "left")
+    out = ranking.disposition(live, facts, minimum).unionByName(failed.join(requests.select("query_id"), "query_id", "left_semi").select("query_id", F.lit("failed").alias("disposition"), "reason"))
+    noted = ended.where(~c("channel").isin(list(required))).groupBy("query_id").agg(F.array_sort(F.collect_set("channel")).alias("degraded"))
+    none = F.array()
+    return out.join(noted, "query_id", "left").join(chosen, "query_id", "left").select("query_id", "disposition", "reason", F.coalesce("degraded", none).alias("degraded"), F.coalesce("selected", none).alias("selected"))

@@ -17,8 +17,13 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """spark.checkpoint.dir as the cluster names it; only where it is unset, a folder below the warehouse."""
-    found = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_checkpoints"
+    """spark.checkpoint.dir as the cluster names it. Where it is unset, a folder below the warehouse, on one machine only:
+    a cluster must name a folder that all its machines share."""
+    found = spark.conf.get("spark.checkpoint.dir", None)
+    if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+        found = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_checkpoints"
     if spark.sparkContext.getCheckpointDir() is None:
         spark.sparkContext.setCheckpointDir(found)
     return found
@@ -146,16 +151,24 @@ class Catalog:
         return [v for v, _ in fresh]
 
     def erase(self, table: str, column: str, value: str) -> int:
-        """Rewrite the epochs of a table that hold one tenant's rows, without them; the number of rows that went. The
-        rewritten epochs are published by one commit, and only then are the old folders deleted: as-of reads keep their
-        history, and a crash on the way leaves a table that can be erased again."""
-        own = F.col(column).eqNullSafe(F.lit(value))
+        """Erase one tenant's rows; the number of rows that went."""
+        return sum(r["rows"] for r in self.erase_all(table, column, self.spark.range(1).select(F.lit(value).alias(column))).collect())
+
+    def erase_all(self, table: str, column: str, values: DataFrame) -> DataFrame:
+        """Rewrite the epochs of a table that hold rows of the given tenants, without them -> column, rows, receipt: what
+        went, with a hash over both. The rewritten epochs are published by one commit, and only then are the old folders
+        deleted: as-of reads keep their history, and a crash on the way leaves a table that can be erased again."""
+        gone = checkpoint(values.select(F.col(column).alias("__gone")).distinct())
         rows = self.read(table)
-        held = {r.epoch: r["count"] for r in rows.where(own).groupBy("epoch").count().collect()} if column in rows.columns else {}  # one row per epoch
+        if column not in rows.columns:
+            rows = self.spark.createDataFrame([], T.StructType([T.StructField(column, gone.schema["__gone"].dataType), T.StructField("epoch", T.LongType())]))
+        own = F.col(column).eqNullSafe(F.col("__gone"))
+        counted = checkpoint(rows.join(gone, own, "left_semi").groupBy(column, "epoch").agg(F.count("*").alias("rows")))
         before, fresh = self._commits()[1], {}
-        for epoch in held:
+        for epoch in [r.epoch for r in counted.select("epoch").distinct().collect()]:  # one row per epoch
             fresh[(table, epoch)] = f"{epoch}-{uuid.uuid4().hex}"
-            self.spark.read.parquet(f"{self.root}/{table}/data/{before[(table, epoch)]}").where(~own).write.parquet(f"{self.root}/{table}/data/{fresh[(table, epoch)]}")
+            held = self.spark.read.parquet(f"{self.root}/{table}/data/{before[(table, epoch)]}")
+            held.join(gone, own, "left_anti").write.parquet(f"{self.root}/{table}/data/{fresh[(table, epoch)]}")
         while fresh:
             number, now = self._commits()
             if any(now[key] != before[key] for key in fresh):
@@ -164,7 +177,8 @@ class Catalog:
                 break
         for key in fresh:
             self._fs().delete(self._path(f"{table}/data/{before[key]}"), True)
-        return sum(held.values())
+        total = counted.groupBy(column).agg(F.sum("rows").alias("rows"))
+        return total.withColumn("receipt", F.sha2(F.concat_ws(":", column, "rows"), 256))
 
 
 # --- archive -----------------------------------------------------------------------------------------------------
