@@ -108,3 +108,30 @@ def test_stages(spark, folder):
 
 def test_run(spark, folder):
     assert corpus_pipeline.run(spark, folder[0]).count() > 0
+
+
+def through(spark, docs, base):
+    """The pipeline's stages over docs; the rows of each."""
+    out = []
+    for _, stage in corpus_pipeline.STAGES:
+        columns = docs.columns
+        docs = stage(spark, docs, base)
+        assert stage is corpus_pipeline.STAGES[-1][1] or docs.columns == columns
+        docs = spark.createDataFrame(docs.toArrow(), docs.schema)
+        out.append(docs.collect())
+    return out
+
+
+def test_stages_with_nulls_long_texts_and_clashing_columns(spark, folder):
+    base, rows, _, clean = folder
+    odd = [(None, clean[0][1], "en", "a", 1), (9001, None, None, None, None), (9002, "", "en", "a", 0), (9003, " ".join(x[1] for x in clean), "en", None, 5)]
+    docs = spark.createDataFrame([*rows[:200], *odd, odd[0]], SCHEMA).withColumns({"kept": F.lit(1), "node": F.lit("x"), "key": F.lit(2), "size": F.lit(3), "text_sha256": F.lit("y")})
+    good, exact, near, mixed, pieces = through(spark, docs, base)
+    assert len({r.text for r in exact}) == len(exact) and {r.text or "" for r in exact} == {r.text or "" for r in good}
+    assert {r.doc_id for r in near} <= {r.doc_id for r in exact} and {r.doc_id for r in mixed} <= {r.doc_id for r in near}
+    assert sum(r.piece == 0 for r in pieces) == len(mixed) and all(r.kept == 1 and r.node == "x" for r in mixed)
+
+
+def test_stages_of_an_empty_table(spark, folder):
+    docs = spark.createDataFrame([], SCHEMA)
+    assert through(spark, docs, folder[0]) == [[]] * 5
