@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tracewright.llm import chat, exact_dedup, mixing, packing, quality, sharding, simhash, suffix_dedup, urlfilter, vafile
+from tracewright.llm import chat, exact_dedup, line_dedup, mixing, packing, quality, repair, sharding, simhash, spelling, suffix_dedup, urlfilter, vafile
 from tracewright.llm.common import materialize, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -222,3 +222,50 @@ def op1_weak_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op5_two_stage_suffixes(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = suffix_dedup.remove_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return out.select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+
+
+# --- 11 ----------------------------------------------------------------------------------------------------------
+
+
+@query
+def op11_full_neighbourhood(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = spelling.variants(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return out.select("word", "form", "root", "n", "n_near", "form_n")
+
+
+# --- 12 ----------------------------------------------------------------------------------------------------------
+
+
+@query
+def op12_cost_layers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    return repair.repair_conversations(repair.damage(rows))
+
+
+# --- 13 ----------------------------------------------------------------------------------------------------------
+
+
+@query
+def op13_two_blooms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = line_dedup.drop_repeated_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return out.select("doc_id", "n_lines", "n_dropped", F.sha2(F.col("kept").cast("binary"), 256).alias("kept_sha256"))
+
+
+SQL["op13_two_blooms"] = """
+WITH d AS (
+  SELECT row_number() OVER () AS r, doc_id, string_split(coalesce(text, ''), chr(10)) AS lines FROM documents
+), l AS (
+  SELECT r, doc_id, unnest(lines) AS line, generate_subscripts(lines, 1) AS i FROM d
+), k AS (
+  SELECT *, translate(trim(line, chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS key
+  FROM l
+), f AS (
+  SELECT key, min(coalesce(doc_id, 9223372036854775807)) AS first FROM k WHERE length(key) >= 10 GROUP BY key
+  HAVING min(coalesce(doc_id, 9223372036854775807)) <> max(coalesce(doc_id, 9223372036854775807))
+), g AS (
+  SELECT k.*, f.first IS NOT NULL AND f.first <> coalesce(k.doc_id, 9223372036854775807) AS gone FROM k LEFT JOIN f ON k.key = f.key
+)
+SELECT min(doc_id) AS doc_id, count(*) AS n_lines, count(*) FILTER (WHERE gone) AS n_dropped,
+  sha256(coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (WHERE NOT gone), '')) AS kept_sha256
+FROM g GROUP BY r
+"""
