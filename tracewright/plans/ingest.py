@@ -33,8 +33,10 @@ def ingest(catalog: Catalog, archive: str, requests: DataFrame, events: DataFram
     c = F.col
     sizes = events.groupBy("tenant_id", "trace_key").agg(F.count("*").alias("n"), F.max("position").alias("last"), F.count_distinct("position").alias("kinds"), F.max(F.octet_length("value")).alias("widest"))
     r = requests.join(sizes, ["tenant_id", "trace_key"], "left").withColumn("row_id", F.concat_ws("\0", "tenant_id", "idempotency_key", "trace_key"))
+    erased = catalog.fences().select(c("tenant_id").alias("__tenant")).distinct()
+    r = r.join(erased, c("tenant_id") == c("__tenant"), "left")
     rules = {
-        "consent": c("consent") == CONSENT, "task_size": F.octet_length("task") <= TASK_BYTES, "events": c("n").between(1, MOST_EVENTS), "positions": (c("last") + 1 == c("n")) & (c("kinds") == c("n")),
+        "tenant_erased": c("__tenant").isNull(), "consent": c("consent") == CONSENT, "task_size": F.octet_length("task") <= TASK_BYTES, "events": c("n").between(1, MOST_EVENTS), "positions": (c("last") + 1 == c("n")) & (c("kinds") == c("n")),
         "value_size": c("widest") <= VALUE_BYTES, "identity_free_of_secrets": ~S.holds_credentials(c("trace_key")),
     }
     broken = records.violations(r, "row_id", rules).groupBy("row_id").agg(F.array_join(F.array_sort(F.collect_set("rule")), ",").alias("rules"))

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import json
 import uuid
+from functools import reduce
 
 from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession
@@ -49,17 +51,56 @@ def schema(table: str) -> T.StructType:
     return T.StructType.fromDDL(DDL[table])
 
 
+def put_once(spark: SparkSession, path: str, text: str) -> bool:
+    """Write a small file whole or not at all: it is written aside and moved, which fails (False) if the name is taken."""
+    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+    target = jvm.org.apache.hadoop.fs.Path(path)
+    aside = jvm.org.apache.hadoop.fs.Path(target.getParent(), f".{uuid.uuid4().hex}")
+    fs = target.getFileSystem(conf)
+    out = fs.create(aside, False)
+    out.write(bytearray(text.encode()))
+    out.close()
+    try:  # without the option to overwrite
+        jvm.org.apache.hadoop.fs.FileContext.getFileContext(target.toUri(), conf).rename(aside, target, spark.sparkContext._gateway.new_array(jvm.org.apache.hadoop.fs.Options.Rename, 0))
+    except Py4JJavaError:
+        if not fs.exists(target):
+            raise
+        fs.delete(aside, False)
+        return False
+    return True
+
+
+def get_text(spark: SparkSession, path: str) -> str | None:
+    """A small file's text, None if it is not there."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    fs = where.getFileSystem(spark._jsc.hadoopConfiguration())
+    if not fs.exists(where):
+        return None
+    stream = fs.open(where)
+    try:
+        return bytes(stream.readAllBytes()).decode()
+    finally:
+        stream.close()
+
+
+class ReadersHold(RuntimeError):
+    """Folders that were replaced are still held by readers' pins."""
+
+
 class Catalog:
     """Immutable, epoch-versioned Parquet tables below one folder.
 
     A write adds data folders and then publishes them by one small commit file, which names every (table, epoch, folder)
     of the write: what one commit holds, also of several tables, becomes visible together or not at all. A commit file is
-    written aside and moved to its number, which fails if another writer was there first; a crash before that leaves
-    nothing a reader can see. A reader pins the epoch it saw. An as-of read opens the folders up to its epoch and no
-    others, in one scan."""
+    moved to its number, which fails if another writer was there first; a crash before that leaves nothing a reader can
+    see. A reader pins the commits it saw. An as-of read opens the folders up to its epoch and no others, in one scan.
 
-    def __init__(self, spark: SparkSession, root: str):
-        self.spark, self.root = spark, root.rstrip("/")
+    Rows of tenants that are fenced (table `_fences`) pass no write, and a write that began before a fence was set cannot
+    be published after it: a folder's name ends with the number of fences its writer knew."""
+
+    def __init__(self, spark: SparkSession, root: str, before: int | None = None, pinned: str | None = None):
+        self.spark, self.root, self.before, self.pinned = spark, root.rstrip("/"), before, pinned
+        self._known: dict[int, list[tuple[str, int, str]]] = {}  # commit files never change
 
     def _path(self, name: str = ""):
         return self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.root}/{name}" if name else self.root)
@@ -67,31 +108,31 @@ class Catalog:
     def _fs(self):
         return self._path().getFileSystem(self.spark._jsc.hadoopConfiguration())
 
+    def _names(self, folder: str) -> list[str]:
+        """Names in one of the catalog's own folders of small files or of a table's data folders."""
+        if not self._fs().exists(self._path(folder)):
+            return []
+        return sorted(n for n in (x.getPath().getName() for x in self._fs().listStatus(self._path(folder))) if not n.startswith("."))
+
+    def _lines(self) -> list[tuple[int, str, int, str]]:
+        """(commit, table, epoch, folder), in the order of the commits."""
+        fresh = [n for n in map(int, self._names("_commits")) if n not in self._known]
+        if len(fresh) <= 16:
+            texts = {n: get_text(self.spark, f"{self.root}/_commits/{n}") for n in fresh}
+        else:  # read by tasks
+            rows = self.spark.read.text([f"{self.root}/_commits/{n}" for n in fresh], wholetext=True).select(F.col("_metadata.file_name").cast("int").alias("n"), "value")
+            texts = {r.n: r.value for r in rows.collect()}  # one short text per commit
+        self._known |= {n: [(table, int(epoch), name) for table, epoch, name in (x.split("\t") for x in text.splitlines())] for n, text in texts.items()}
+        return sorted((n, *line) for n, lines in self._known.items() for line in lines if self.before is None or n < self.before)
+
     def _commits(self) -> tuple[int, dict[tuple[str, int], str]]:
         """The number of the next commit, and the folder of each table and epoch: that of the last commit naming it."""
-        if not self._fs().exists(self._path("_commits")):
-            return 0, {}
-        rows = self.spark.read.text(f"{self.root}/_commits").select(F.col("_metadata.file_name").cast("int").alias("n"), "value")
-        lines = sorted((r.n, *r.value.split("\t")) for r in rows.collect())  # one short line per table and commit
-        return max((n for n, *_ in lines), default=-1) + 1, {(table, int(epoch)): name for _, table, epoch, name in lines}
+        lines = self._lines()
+        return max((n for n, *_ in lines), default=-1) + 1, {(table, epoch): name for _, table, epoch, name in lines}
 
     def _publish(self, number: int, names: dict[tuple[str, int], str]) -> bool:
         """False if another writer has this commit number already."""
-        jvm, aside = self.spark._jvm, self._path(f"_aside/{uuid.uuid4().hex}")
-        out = self._fs().create(aside, False)
-        out.write(bytearray("".join(f"{table}\t{epoch}\t{name}\n" for (table, epoch), name in sorted(names.items())).encode()))
-        out.close()
-        self._fs().mkdirs(self._path("_commits"))
-        files = jvm.org.apache.hadoop.fs.FileContext.getFileContext(self._path().toUri(), self.spark._jsc.hadoopConfiguration())
-        try:  # without the option to overwrite: fails if the number is taken
-            files.rename(aside, self._path(f"_commits/{number}"), self.spark.sparkContext._gateway.new_array(jvm.org.apache.hadoop.fs.Options.Rename, 0))
-        except Py4JJavaError as e:
-            if not self._fs().exists(self._path(f"_commits/{number}")):
-                raise
-            del e
-            self._fs().delete(aside, False)
-            return False
-        return True
+        return put_once(self.spark, f"{self.root}/_commits/{number}", "".join(f"{table}\t{epoch}\t{name}\n" for (table, epoch), name in sorted(names.items())))
 
     @staticmethod
     def _last(names: dict[tuple[str, int], str], table: str) -> int:
@@ -101,20 +142,40 @@ class Catalog:
         """The greatest published epoch, -1 if there is none."""
         return self._last(self._commits()[1], table)
 
+    def heads(self, *tables: str) -> dict[str, int]:
+        """The heads of several tables as of one moment: what a commit that depends on them all must expect."""
+        names = self._commits()[1]
+        return {t: self._last(names, t) for t in tables}
+
+    def fences(self) -> DataFrame:
+        """tenant_id (as text), request_id of the tenants that are erased or being erased."""
+        return self.read("_fences", schema=T.StructType.fromDDL("tenant_id STRING, request_id STRING")).select("tenant_id", "request_id")
+
+    def unfenced(self, rows: DataFrame) -> DataFrame:
+        """rows without those of fenced tenants."""
+        if "tenant_id" not in rows.columns:
+            return rows
+        gone = self.fences().select(F.col("tenant_id").alias("__fenced")).distinct()
+        return rows.join(gone, rows["tenant_id"].cast("string") == F.col("__fenced"), "left_anti")
+
     def commit(self, tables: dict[str, DataFrame], expected: dict[str, int] | None = None) -> dict[str, int]:
         """Write rows as the next epoch of each table, all published at once. `expected` are the heads that the writer
         read: compare and set. The rows of a writer that loses stay unpublished."""
-        heads = {t: self.head(t) for t in tables} | (expected or {})
-        folders = {t: f"{heads[t] + 1}-{uuid.uuid4().hex}" for t in tables}
         number, names = self._commits()
+        heads = {t: self._last(names, t) for t in tables} | (expected or {})
+        fences = self._last(names, "_fences")
+        folders = {t: f"{heads[t] + 1}-{uuid.uuid4().hex}-{fences + 1}" for t in tables}
         if wrong := {t: self._last(names, t) for t in heads if self._last(names, t) != heads[t]}:
             raise RuntimeError(f"heads are {wrong}, not {heads}")
         for t, rows in tables.items():
-            rows.write.parquet(f"{self.root}/{t}/data/{folders[t]}")
+            passed = self.unfenced(rows) if fences >= 0 and not t.startswith("_") else rows
+            passed.write.parquet(f"{self.root}/{t}/data/{folders[t]}")
         while True:
             number, names = self._commits()
             if any(self._last(names, t) != heads[t] for t in heads):
                 raise RuntimeError(f"another writer has moved the heads {heads}")
+            if self._last(names, "_fences") != fences and "_fences" not in tables:
+                raise RuntimeError("a tenant was fenced since this write began: repeat it")
             if self._publish(number, {(t, heads[t] + 1): folder for t, folder in folders.items()}):
                 return {t: heads[t] + 1 for t in tables}
 
@@ -125,30 +186,69 @@ class Catalog:
         """All rows published up to an epoch, with their epoch."""
         paths = [f"{self.root}/{table}/data/{name}" for (t, epoch), name in sorted(self._commits()[1].items()) if t == table and (as_of is None or epoch <= as_of)]
         if not paths:
-            return self.spark.createDataFrame([], (schema or T.StructType()).add("epoch", "long"))
+            return self.spark.createDataFrame([], T.StructType(list(schema.fields) if schema is not None else []).add("epoch", "long"))
         reader = self.spark.read.schema(schema) if schema is not None else self.spark.read.option("mergeSchema", "true")
-        epoch = F.regexp_extract(F.col("_metadata.file_path"), r"/data/(\d+)-[0-9a-f]+/", 1).cast("long")
+        epoch = F.regexp_extract(F.col("_metadata.file_path"), r"/data/(\d+)-[0-9a-f-]+/", 1).cast("long")
         return reader.parquet(*paths).withColumn("epoch", epoch)
 
+    # --- pins ---
+
+    def pin(self, until: int) -> Catalog:
+        """A view of the catalog as it is now. Its folders stay on disk until `unpin`, or until the time `until`."""
+        while True:
+            number = self._commits()[0]
+            name = f"{number}-{until}-{uuid.uuid4().hex}"
+            put_once(self.spark, f"{self.root}/_pins/{name}", "")
+            if self._commits()[0] == number:  # what is published from now on sees the pin before it deletes anything
+                return Catalog(self.spark, self.root, number, name)
+            self._fs().delete(self._path(f"_pins/{name}"), False)
+
+    def unpin(self) -> None:
+        if self.pinned:
+            self._fs().delete(self._path(f"_pins/{self.pinned}"), False)
+
+    def _held(self, now: int) -> int:
+        """The least commit number that a living pin was taken before, or a number above all."""
+        return min((int(n.split("-")[0]) for n in self._names("_pins") if int(n.split("-")[1]) > now), default=1 << 62)
+
+    # --- migrations ---
+
     def migrate(self, migrations: list[tuple[int, str, str]]) -> list[int]:
-        """Apply migrations (version, table, DDL) in order, each once. A migration that was applied must still have the
-        text it was applied with; numbers must be 1, 2, ..."""
+        """Apply migrations (version, table, DDL) in order, each once: from then on `read_migrated` shows the table with
+        the columns of its last migration. A migration that was applied must still have the text it was applied with;
+        numbers must be 1, 2, ...; a column keeps its type once it has one."""
         if [m[0] for m in migrations] != list(range(1, len(migrations) + 1)):
             raise ValueError("migrations must be numbered from 1 without gaps")
-        rows = self.read("_migrations", schema=T.StructType.fromDDL("version INT, checksum STRING"))
-        done = {r.version: r.checksum for r in rows.collect()}  # one row per migration
-        fresh = []
+        done = {r.version: r.checksum for r in self._migrations().collect()}  # one row per migration
+        fresh, types = [], {}
         for version, table, ddl in migrations:
             checksum = canonical.identity({"ddl": ddl, "table": table, "version": version})
-            T.StructType.fromDDL(ddl)
+            for f in T.StructType.fromDDL(ddl).fields:
+                if types.setdefault((table, f.name), f.dataType) != f.dataType:
+                    raise ValueError(f"migration {version} changes the type of {table}.{f.name}")
             if version in done:
                 if done[version] != checksum:
                     raise ValueError(f"migration {version} was changed after it was applied")
             else:
-                fresh.append((version, checksum))
+                fresh.append((version, checksum, table, ddl))
         if fresh:
-            self.append("_migrations", self.spark.createDataFrame(fresh, "version INT, checksum STRING"))
-        return [v for v, _ in fresh]
+            self.append("_migrations", self.spark.createDataFrame(fresh, "version INT, checksum STRING, table STRING, ddl STRING"), expected=self.head("_migrations"))
+        return [v for v, *_ in fresh]
+
+    def _migrations(self) -> DataFrame:
+        return self.read("_migrations", schema=T.StructType.fromDDL("version INT, checksum STRING, table STRING, ddl STRING"))
+
+    def read_migrated(self, table: str, as_of: int | None = None) -> DataFrame:
+        """A table with the columns of its last migration: what older epochs lack is null, what it dropped is not read."""
+        last = self._migrations().where(F.col("table") == table).orderBy(F.desc("version")).first()
+        if last is None:
+            raise ValueError(f"{table} has no migration")
+        return self.read(table, as_of, T.StructType.fromDDL(last.ddl))
+
+    # --- erasure ---
+
+    def tables(self) -> list[str]:
+        return sorted({t for t, _ in self._commits()[1] if not t.startswith("_")})
 
     def erase(self, table: str, column: str, value: str) -> int:
         """Erase one tenant's rows; the number of rows that went."""
@@ -156,29 +256,70 @@ class Catalog:
 
     def erase_all(self, table: str, column: str, values: DataFrame) -> DataFrame:
         """Rewrite the epochs of a table that hold rows of the given tenants, without them -> column, rows, receipt: what
-        went, with a hash over both. The rewritten epochs are published by one commit, and only then are the old folders
-        deleted: as-of reads keep their history, and a crash on the way leaves a table that can be erased again."""
+        went, with a hash over both. As-of reads keep their history. A crash on the way is mended by the next call."""
+        self.finish_rewrites()
+        total = self.rewrite(uuid.uuid4().hex, [table], column, values).groupBy(column).agg(F.sum("rows").alias("rows"))
+        self.finish_rewrites()
+        return total.withColumn("receipt", F.sha2(F.concat_ws(":", column, "rows"), 256))
+
+    def rewrite(self, name: str, tables: list[str], column: str, values: DataFrame) -> DataFrame:
+        """Publish, in one commit, the epochs of the tables that hold rows of the given tenants, without those rows ->
+        table, epoch, column, rows: what went. Which folder takes which one's place is written down before the commit, so
+        that `finish_rewrites` can always tell what must go."""
         gone = checkpoint(values.select(F.col(column).alias("__gone")).distinct())
-        rows = self.read(table)
-        if column not in rows.columns:
-            rows = self.spark.createDataFrame([], T.StructType([T.StructField(column, gone.schema["__gone"].dataType), T.StructField("epoch", T.LongType())]))
         own = F.col(column).eqNullSafe(F.col("__gone"))
-        counted = checkpoint(rows.join(gone, own, "left_semi").groupBy(column, "epoch").agg(F.count("*").alias("rows")))
-        before, fresh = self._commits()[1], {}
-        for epoch in [r.epoch for r in counted.select("epoch").distinct().collect()]:  # one row per epoch
-            fresh[(table, epoch)] = f"{epoch}-{uuid.uuid4().hex}"
-            held = self.spark.read.parquet(f"{self.root}/{table}/data/{before[(table, epoch)]}")
-            held.join(gone, own, "left_anti").write.parquet(f"{self.root}/{table}/data/{fresh[(table, epoch)]}")
-        while fresh:
+        none = self.spark.createDataFrame([], T.StructType([T.StructField("table", T.StringType()), T.StructField("epoch", T.LongType()), T.StructField(column, gone.schema["__gone"].dataType), T.StructField("rows", T.LongType())]))
+        lines, before = self._lines(), self._commits()[1]
+        counts = []
+        for table in tables:
+            rows = self.read(table)
+            if column in rows.columns:
+                counts.append(rows.join(gone, own, "left_semi").groupBy(F.lit(table).alias("table"), "epoch", column).agg(F.count("*").alias("rows")))
+        counted = checkpoint(reduce(DataFrame.unionByName, counts)) if counts else none
+        tag = sum(t == "_fences" for _, t, _, _ in lines)
+        moves = [(r.table, r.epoch, before[(r.table, r.epoch)], f"{r.epoch}-{uuid.uuid4().hex}-{tag}") for r in counted.select("table", "epoch").distinct().collect()]  # one row per epoch
+        if not moves:
+            return counted
+        put_once(self.spark, f"{self.root}/_rewrites/{name}", "".join("\t".join(map(str, m)) + "\n" for m in sorted(moves)))
+        for table, _, old, new in moves:
+            held = self.spark.read.parquet(f"{self.root}/{table}/data/{old}")
+            held.join(gone, own, "left_anti").write.parquet(f"{self.root}/{table}/data/{new}")
+        while True:
             number, now = self._commits()
-            if any(now[key] != before[key] for key in fresh):
-                raise RuntimeError(f"{table} was rewritten by another writer")
-            if self._publish(number, fresh):
-                break
-        for key in fresh:
-            self._fs().delete(self._path(f"{table}/data/{before[key]}"), True)
-        total = counted.groupBy(column).agg(F.sum("rows").alias("rows"))
-        return total.withColumn("receipt", F.sha2(F.concat_ws(":", column, "rows"), 256))
+            if any(now[(table, epoch)] != old for table, epoch, old, _ in moves):
+                raise RuntimeError("an epoch was rewritten by another writer")
+            if self._publish(number, {(table, epoch): new for table, epoch, _, new in moves}):
+                return counted
+
+    def finish_rewrites(self, now: int = 1 << 62) -> int:
+        """Delete what rewrites have replaced, or, where one was never published, what it had written. Folders that a pin
+        still holds at `now` stay, with their note; the number of such notes is returned."""
+        lines, waiting = self._lines(), 0
+        published = {(t, name): n for n, t, _, name in lines}
+        held = self._held(now)
+        for note in self._names("_rewrites"):
+            moves = [m.split("\t") for m in (get_text(self.spark, f"{self.root}/_rewrites/{note}") or "").splitlines()]
+            late = False
+            for table, _, old, new in moves:
+                at = published.get((table, new))
+                late |= at is not None and held <= at
+                if at is None or held > at:
+                    self._fs().delete(self._path(f"{table}/data/{new if at is None else old}"), True)
+            waiting += late
+            if not late:
+                self._fs().delete(self._path(f"_rewrites/{note}"), False)
+        return waiting
+
+    def drop_unpublished(self, fence: int) -> int:
+        """Delete data folders that no commit names and whose writers knew no more than `fence` fences: they can no longer
+        be published."""
+        known, n = {(t, name) for _, t, _, name in self._lines()}, 0
+        noted = {(m.split("\t")[0], m.split("\t")[3]) for note in self._names("_rewrites") for m in (get_text(self.spark, f"{self.root}/_rewrites/{note}") or "").splitlines()}
+        for table in self._names(""):
+            for name in self._names(f"{table}/data"):
+                if (table, name) not in known | noted and int(name.rsplit("-", 1)[1]) <= fence:
+                    n += self._fs().delete(self._path(f"{table}/data/{name}"), True)
+        return n
 
 
 # --- archive -----------------------------------------------------------------------------------------------------
@@ -209,11 +350,20 @@ def archive_get(spark: SparkSession, root: str, hashes: DataFrame, most_bytes: i
     return found.where((F.octet_length("body") <= most_bytes) & (F.sha2("body", 256) == F.col("content_hash"))).select("content_hash", "body")
 
 
-def archive_wipe(spark: SparkSession, root: str, tenant_id: str) -> bool:
-    """Delete a tenant's archived objects and look again; True if nothing is left."""
+def _archived(spark: SparkSession, root: str, tenant_id: str):
     tenant8 = spark.range(1).select(F.substring(F.sha2(F.lit(tenant_id), 256), 1, 8)).first()[0]
     path = spark._jvm.org.apache.hadoop.fs.Path(f"{root}/canonical/tenant8={tenant8}")
-    fs = path.getFileSystem(spark._jsc.hadoopConfiguration())
+    return path.getFileSystem(spark._jsc.hadoopConfiguration()), path
+
+
+def archive_count(spark: SparkSession, root: str, tenant_id: str) -> int:
+    fs, path = _archived(spark, root, tenant_id)
+    return spark.read.parquet(path.toString()).count() if fs.exists(path) else 0
+
+
+def archive_wipe(spark: SparkSession, root: str, tenant_id: str) -> bool:
+    """Delete a tenant's archived objects and look again; True if nothing is left."""
+    fs, path = _archived(spark, root, tenant_id)
     fs.delete(path, True)
     return not fs.exists(path)
 
@@ -222,16 +372,16 @@ def journal(spark: SparkSession, path: str, entry_id: str, body: dict) -> bool:
     """Write an intent before acting on it, once: False if it was there already with the same body; a different body
     under the same id is an error."""
     text = canonical.dumps(body)
-    where = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/{entry_id}.json")
-    fs = where.getFileSystem(spark._jsc.hadoopConfiguration())
-    if fs.exists(where):
-        if spark.read.text(f"{path}/{entry_id}.json", wholetext=True).first()[0] != text:
-            raise ValueError(f"{entry_id} is in the journal with another body")
-        return False
-    out = fs.create(where, False)
-    out.write(bytearray(text.encode()))
-    out.close()
-    return True
+    if put_once(spark, f"{path}/{entry_id}.json", text):
+        return True
+    if get_text(spark, f"{path}/{entry_id}.json") != text:
+        raise ValueError(f"{entry_id} is in the journal with another body")
+    return False
+
+
+def journaled(spark: SparkSession, path: str, entry_id: str) -> dict | None:
+    found = get_text(spark, f"{path}/{entry_id}.json")
+    return None if found is None else json.loads(found)
 
 
 def load_json(spark: SparkSession, path: str, table: str) -> DataFrame:
