@@ -38,7 +38,7 @@ def test_queries_return_a_row_per_document(spark, tables):
     got = {(r.doc_id, r.n_bytes): r for r in queries.QUERIES["op5_two_stage_suffixes"](spark, sf).collect()}
     assert got[(5, 1503)].n_removed == 1500 and got[(5, 1503)].kept_sha256 == hashlib.sha256(b"end").hexdigest()
     kept = [r for r in queries.QUERIES["op10_chunk_recipes"](spark, sf).collect() if r.group_size == 3]
-    assert {r.keep_id for r in kept} == {3} and len(kept) == 3
+    assert {r.keep_id for r in kept} == {3} and len(kept) == 3 and sum(r.kept for r in kept) == 1
     shuffled = queries.QUERIES["op2_external_shuffle"](spark, sf).collect()
     want = Counter((r[0], zlib.crc32((r[1] or "").encode())) for r in rows)
     assert Counter((r.doc_id, r.text_crc32) for r in shuffled) == want

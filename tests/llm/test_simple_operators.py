@@ -83,11 +83,13 @@ def test_exact_groups(spark):
     groups = {}
     for i, t, *_ in rows:
         groups.setdefault(t or "", []).append(i)
-    want = Counter()
+    want, stays = Counter(), set()
     for i, t, *_ in rows:
         ids = groups[t or ""]
         keep = max((x for x in ids if x is not None), default=None)
-        want[(i, len((t or "").encode()), hashlib.sha256((t or "").encode()).hexdigest(), keep, len(ids), i == keep)] += 1
+        kept = i == keep and (t or "") not in stays  # of rows repeated in full one stays
+        stays |= {t or ""} if kept else set()
+        want[(i, len((t or "").encode()), hashlib.sha256((t or "").encode()).hexdigest(), keep, len(ids), kept)] += 1
     assert Counter(map(tuple, got)) == want
     kept = exact_dedup.drop_copies(df).collect()
     assert len(kept) == len(groups) and set(kept[0].asDict()) == {"doc_id", "text", "keep_id", "names"}
@@ -115,16 +117,18 @@ def test_exact_top_k(spark, monkeypatch):
     rows = [(i, [float(x) for x in r.normal(size=6)], "c") for i in range(300)]
     rows += [(i, [0.5] * 6, "tie") for i in range(300, 320)]
     rows += [(1000, None, ""), (1050, [1.0, None, 0.0, 0.0, 0.0, 0.0], ""), (1100, [float("nan")] * 6, ""), (1150, [float("inf")] + [0.0] * 5, ""), (1200, [1.0, 2.0], ""), (1201, [3.0, 1.0], ""), (1250, [], ""), (None, [1.0] * 6, "")]
+    rows += [(50, rows[50][1], "again"), (50, [0.25] * 6, "same id"), (51, rows[51][1], "again")] + [(2000 + i, [0.5] * 6, "tie") for i in range(60)]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, score string")
     from pyspark.sql import functions as F
 
     got = sorted((x.query_id, x.rank, x.vec_id, x.score) for x in vafile.top_k(df, F.col("vec_id") % 50 == 0, 5).collect())
-    whole = {i: [int(np.floor(256 * x)) for x in v] for i, v, _ in rows if i is not None and v is not None and all(x is not None and np.isfinite(x) for x in v)}
+    whole = [(i, [int(np.floor(256 * x)) for x in v]) for i, v, _ in rows if i is not None and v is not None and all(x is not None and np.isfinite(x) for x in v)]
     want = []
-    for q, v in whole.items():
+    for n, (q, v) in enumerate(whole):
         if q % 50 == 0:
-            best = sorted((-sum(a * b for a, b in zip(v, w)), i) for i, w in whole.items() if i != q and len(w) == len(v))[:5]
+            best = sorted((-sum(a * b for a, b in zip(v, w)), i) for m, (i, w) in enumerate(whole) if m != n and len(w) == len(v))[:5]
             want += [(q, k + 1, i, -s) for k, (s, i) in enumerate(best)]
+    assert sum(r[0] == 50 for r in want) == 15 and any(r[0] == r[2] for r in want)
     assert got == sorted(want)
     assert vafile.top_k(df.limit(0), F.lit(True), 5).collect() == []
 
@@ -144,6 +148,15 @@ def test_few_exact_vectors_are_read(spark):
     assert set(reads) == set(range(0, 4000, 50)) and sum(reads.values()) < 4000 * 80 * 0.02
 
 
+def test_what_leaves_the_scan_of_exact_vectors(spark):
+    """Rows asked for, and hardly any other."""
+    table = spark.range(20_000).selectExpr("id AS row", "array(id, id) AS v").repartition(4)
+    asked = spark.range(300).selectExpr("id * 61 AS row")
+    left = {r.row for r in vafile.fetch(table, asked).collect()}
+    assert left >= {i * 61 for i in range(300)} and len(left) < 300 + 100
+    assert vafile.fetch(table, asked.limit(0)).count() == 0
+
+
 def test_scores_beyond_a_long_are_an_error(spark):
     from pyspark.sql import functions as F
 

@@ -131,12 +131,13 @@ def groups(docs: DataFrame) -> DataFrame:
     used = rows.select("row", F.posexplode("names").alias("at", "name")).join(ids, "name")
     listed = used.groupBy("row").agg(F.array_sort(F.collect_list(F.struct("at", "chunk_id"))).alias("parts"))
     recipe = materialize(listed.select("row", F.col("parts.chunk_id").alias("recipe")).join(rows.select("row", "doc_id"), "row"), "lists")
-    copies = recipe.groupBy("recipe").agg(F.max("doc_id").alias("keep_id"), F.count("*").alias("group_size")).where("group_size > 1")
-    found = recipe.join(checkpoint(copies), "recipe").select("row", "keep_id", "group_size")
+    copies = recipe.groupBy("recipe").agg(F.max(F.struct("doc_id", "row")).alias("keep"), F.count("*").alias("group_size")).where("group_size > 1")
+    copies = copies.select("recipe", "keep.doc_id", F.col("keep.row").alias("keep_row"), "group_size").withColumnRenamed("doc_id", "keep_id")
+    found = recipe.select("recipe", "row").join(checkpoint(copies), "recipe").select("row", "keep_id", "keep_row", "group_size")
     out = rows.join(found, "row", "left")
     keep_id = F.when(F.col("group_size").isNull(), F.col("doc_id")).otherwise(F.col("keep_id"))
     out = out.withColumn("keep_id", keep_id).withColumn("group_size", F.coalesce("group_size", F.lit(1).cast("long")))
-    return out.select("doc_id", "n_bytes", "text_sha256", "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"))
+    return out.select("doc_id", "n_bytes", "text_sha256", "keep_id", "group_size", F.coalesce(F.col("row") == F.col("keep_row"), F.lit(True)).alias("kept"))
 
 
 def drop_copies(docs: DataFrame, order: Column | None = None) -> DataFrame:
@@ -145,13 +146,13 @@ def drop_copies(docs: DataFrame, order: Column | None = None) -> DataFrame:
     What goes is named by (doc_id, digest) in a written table, far smaller than what stays; texts move once to meet it,
     and are not sorted for that. Only if kept rows repeat in full are they numbered to cut them to one."""
     key = [F.col("doc_id").alias("__id"), F.col("text_sha256").alias("__sha")]
-    found = materialize(groups(docs).select(*key, "kept"), "kept")
-    gone = materialize(found.where("NOT kept").select("__id", "__sha").distinct(), "copies")
+    found = materialize(groups(docs).select(*key, F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("stays")), "kept")
+    gone = materialize(found.where("NOT stays").select("__id", "__sha").distinct(), "copies")
     columns = docs.columns
     tagged = docs.withColumn("__digest", F.sha2(F.coalesce(F.col("text"), F.lit("")).cast("binary"), 256))
     same = F.col("doc_id").cast("long").eqNullSafe(F.col("__id")) & (F.col("__digest") == F.col("__sha"))
     left = tagged.join(gone.hint("shuffle_hash"), same, "left_anti")
-    if not found.where("kept").groupBy("__id", "__sha").count().where("count > 1").isEmpty():
+    if not found.where("stays").groupBy("__id", "__sha").count().where("count > 1").isEmpty():
         nth = F.row_number().over(Window.partitionBy("doc_id", "__digest").orderBy(order if order is not None else F.lit(0)))
         left = left.withColumn("__n", nth).where("__n = 1")
     return left.select(*columns)

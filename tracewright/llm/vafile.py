@@ -1,25 +1,30 @@
 """Exact top-k inner products with vector-approximation files.
 
-Rows are packed into blocks, written once to the shared folder. A block's *approximation* cuts each dimension into CELLS
-cells of equal width and keeps the list of every vector's cell numbers, one byte a component; the exact vectors are other
-columns of the same file, so a scan of the approximations does not read them. The search has two phases:
+Rows are written once to the shared folder as integers, each under a number. Beside them lies the *approximation*: rows
+packed into blocks, each dimension cut into CELLS cells of equal width, the list of every vector's cell numbers, one
+byte a component. The search has three steps, of which the first two read approximations alone:
 
-1. Scan: only approximations are read. For a query, the cells' numbers bound every score from below and above; each task
-   keeps the k best lower bounds of each query, and the k-th best of all tasks is what a result must reach.
-2. Read: a block's approximations give upper bounds again, and of its exact vectors only those are read whose upper bound
-   reaches the query's threshold, in the order of their bounds, until the k-th score is above every bound that is left.
-   The k best of each block go on to a ranking per query.
+1. Scan: for a query, the cells' numbers bound every score from below and above; each task keeps the k best lower bounds
+   of each query, and the k-th best of all tasks is what a result must reach.
+2. Nominate: pairs of a query and a row whose upper bound reaches that go on, as two numbers and a bound.
+3. Read: each query's k first pairs, in the order of their bounds, meet their exact vectors; of the other pairs only those
+   are read whose bound reaches the k-th score so far. Rows that no pair asks for are left in the scan: it passes a
+   Bloom filter of the numbers asked for (16 bits each, MAX_BITS at most), and what it lets through meets the pairs in
+   a join, so nothing depends on the filter.
 
-Queries are packed into blocks as well and every query block meets every vector block (a stated query set against all
-rows, in blocks; what is paired are blocks, not rows). All pairs of blocks are independent, so all cores share them.
+Queries are packed into blocks as well and every query block meets every block of approximations (a stated query set
+against all rows, in blocks; what is paired are blocks, not rows). All pairs of blocks are independent.
+
+Of equal vectors only the k + 1 rows with the smallest ids can be among the best of any query; the others are candidates
+no more, so that very many copies of one vector do not meet as many copies of a query.
 
 Vectors are integers, floor(256 * x) of each component, and so are scores. Cell borders are integers; only the bounds'
 sums are floating-point numbers, taken with a slack above their rounding error, so that no row is passed over.
 
 Defined cases: vectors that are null or hold null or non-finite components, and rows with a null id, take no part;
-vectors meet queries of their own length only; rows sharing the query's id are not its candidates; rows that repeat are
-candidates each, ties go to the smaller id; scores that might leave the range of a long are an error; an empty table
-gives no rows; other columns are ignored.
+vectors meet queries of their own length only; a query's candidates are all rows but itself, also those that share its
+id; rows that repeat are candidates each, and queries each, with a ranking of their own; ties go to the smaller id;
+scores that might leave the range of a long are an error; an empty table gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -37,6 +42,8 @@ from tracewright.llm.common import arrow, materialize
 CELLS = 64
 VECTOR_BLOCK, QUERY_BLOCK = 1024, 512
 SCALE = 256.0
+#: Of the filter of row numbers: bits that a number sets, and bits at most.
+PROBES, MAX_BITS = 5, 1 << 28
 
 
 def usable(vector: str, row_id: str) -> Column:
@@ -45,12 +52,11 @@ def usable(vector: str, row_id: str) -> Column:
     return F.col(row_id).isNotNull() & F.col(vector).isNotNull() & F.coalesce(F.forall(vector, sound), F.lit(False))
 
 
-def integers(vectors: pa.ListArray, width: int) -> np.ndarray:
-    scaled = np.floor(SCALE * vectors.flatten().to_numpy(zero_copy_only=False).astype(np.float64)).reshape(-1, width)
-    # any two such vectors have a product below 2^62
-    if scaled.size and np.abs(scaled).max() > np.sqrt(2.0**62 / width):
-        raise ValueError("components are too large: a score might not fit a long")
-    return scaled.astype(np.int64)
+def integers(vector: Column) -> Column:
+    """floor(256 * x) of each component; any two such vectors have a product below 2^62."""
+    most = F.sqrt(F.lit(2.0**62) / F.greatest(F.size(vector), F.lit(1)))
+    small = F.forall(vector, lambda x: F.abs(x * SCALE) < most - 1)
+    return F.when(small, F.transform(vector, lambda x: F.floor(x * SCALE).cast("long"))).otherwise(F.raise_error(F.lit("components are too large: a score might not fit a long")).cast("array<long>"))
 
 
 def approximate(exact: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -71,9 +77,9 @@ def upper_bounds(queries: np.ndarray, codes: np.ndarray, low: np.ndarray, step:
     return product + (base + above + slack)[:, None], above - below + 2 * slack
 
 
-def pack(rows: DataFrame, row_id: str, vector: str, block: int, extra: list[str], approximated: bool) -> DataFrame:
-    """One row per block: number, width, ids, exact vectors, `extra` columns of doubles and, if asked for, the
-    approximation; arrays as binary."""
+def pack(rows: DataFrame, block: int, extra: list[str], approximated: bool) -> DataFrame:
+    """rows(row, v, `extra`) -> one row per block: number, width, rows and `extra` columns of doubles, and the exact
+    vectors or, if asked for, their approximation; arrays as binary."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         waiting: dict[int, list] = {}
@@ -81,20 +87,19 @@ def pack(rows: DataFrame, row_id: str, vector: str, block: int, extra: list[str]
 
         def row(width: int, parts: list[np.ndarray]) -> pa.RecordBatch:
             nonlocal number
-            values = [number, width, *(x.tobytes() for x in parts)]
-            if approximated:
-                values += [x.tobytes() for x in approximate(parts[1])]
+            held = approximate(parts[1]) if approximated else [parts[1]]
+            values = [number, width, *(x.tobytes() for x in (parts[0], *parts[2:], *held))]
             number += 1
             kinds = [pa.int64(), pa.int32(), *[pa.binary()] * (len(values) - 2)]
             return pa.RecordBatch.from_arrays([pa.array([v], k) for v, k in zip(values, kinds, strict=True)], names=names)
 
         for batch in batches:
-            vectors = batch.column("vector")
-            columns = [batch.column(c).to_numpy(zero_copy_only=False) for c in ("id", *extra)]
+            vectors = batch.column("v")
+            columns = [batch.column(c).to_numpy(zero_copy_only=False) for c in ("row", *extra)]
             widths = np.diff(vectors.offsets.to_numpy())
             for width in np.unique(widths).tolist():
                 own = np.flatnonzero(widths == width)
-                exact = integers(vectors.take(pa.array(own)), width) if width else np.zeros((len(own), 0), np.int64)
+                exact = vectors.take(pa.array(own)).flatten().to_numpy(zero_copy_only=False).reshape(len(own), width)
                 held = waiting.setdefault(width, [])
                 held.append([columns[0][own], exact, *(c[own] for c in columns[1:])])
                 while sum(len(x[0]) for x in held) >= block:
@@ -105,94 +110,136 @@ def pack(rows: DataFrame, row_id: str, vector: str, block: int, extra: list[str]
             if sum(len(x[0]) for x in held):
                 yield row(width, [np.concatenate(x) for x in zip(*held, strict=True)])
 
-    names = ["block", "width", "ids", "exact", *extra, *(["codes", "low", "step"] if approximated else [])]
-    narrow = rows.select(F.col(row_id).cast("long").alias("id"), F.col(vector).cast("array<double>").alias("vector"), *extra)
-    return arrow(narrow, run, ", ".join(f"{n} {'long' if n == 'block' else 'int' if n == 'width' else 'binary'}" for n in names))
+    names = ["block", "width", "rows", *extra, *(["codes", "low", "step"] if approximated else ["exact"])]
+    return arrow(rows.select("row", "v", *extra), run, ", ".join(f"{n} {'long' if n == 'block' else 'int' if n == 'width' else 'binary'}" for n in names))
 
 
 def approximation(r: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(ids, codes, low, step) of a block row."""
-    ids = np.frombuffer(r["ids"], np.int64)
-    return ids, np.frombuffer(r["codes"], np.uint8).reshape(len(ids), r["width"]), np.frombuffer(r["low"], np.int64), np.frombuffer(r["step"], np.int64)
+    """(rows, codes, low, step) of a block row."""
+    rows = np.frombuffer(r["rows"], np.int64)
+    return rows, np.frombuffer(r["codes"], np.uint8).reshape(len(rows), r["width"]), np.frombuffer(r["low"], np.int64), np.frombuffer(r["step"], np.int64)
 
 
 def best(values: np.ndarray, k: int) -> np.ndarray:
     return -np.sort(-values, axis=1)[:, :k] if values.shape[1] <= k else -np.sort(np.partition(-values, k - 1, axis=1)[:, :k], axis=1)
 
 
-def read_exact(q_id: int, query: np.ndarray, upper: np.ndarray, ids: np.ndarray, exact: np.ndarray, threshold: float, k: int) -> tuple[np.ndarray, np.ndarray, int]:
-    """(ids, scores, exact vectors read) of the k best rows of one block for one query, among those whose upper bound
-    reaches the threshold."""
-    near = np.flatnonzero((upper >= threshold) & (ids != q_id))
-    near = near[np.argsort(-upper[near], kind="stable")]
-    best_ids, scores, read = np.zeros(0, np.int64), np.zeros(0, np.int64), 0
-    while read < len(near) and not (len(scores) == k and upper[near[read]] < scores[-1]):
-        rows = near[read : read + k]
-        read += len(rows)
-        best_ids, scores = np.concatenate((best_ids, ids[rows])), np.concatenate((scores, exact[rows] @ query))
-        order = np.lexsort((best_ids, -scores))[:k]
-        best_ids, scores = best_ids[order], scores[order]
-    return best_ids, scores, read
+def bits_of(rows: np.ndarray, bits: int) -> np.ndarray:
+    """PROBES bit numbers of each row number."""
+    x = rows.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+    x ^= x >> np.uint64(29)
+    x *= np.uint64(0xBF58476D1CE4E5B9)
+    x ^= x >> np.uint64(32)
+    step = (x >> np.uint64(17)) | np.uint64(1)
+    return ((x[:, None] + np.arange(PROBES, dtype=np.uint64) * step[:, None]) & np.uint64(bits - 1)).astype(np.int64)
+
+
+def asked_filter(asked: DataFrame) -> tuple[np.ndarray, int]:
+    """A packed Bloom filter of asked(row): at most MAX_BITS / 8 bytes. Tasks set bits, segments are merged in parallel."""
+    bits = min(MAX_BITS, max(1 << 13, 1 << (16 * asked.count()).bit_length()))
+    segment = min(bits >> 3, 1 << 13)
+
+    def emit(packed: np.ndarray, numbers: np.ndarray) -> Iterator[pa.RecordBatch]:
+        for i in np.flatnonzero(packed.any(axis=1)).tolist():
+            yield pa.RecordBatch.from_arrays([pa.array([int(numbers[i])], pa.int64()), pa.array([packed[i].tobytes()], pa.binary())], names=["segment", "bits"])
+
+    def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        packed = np.zeros(bits >> 3, np.uint8)
+        for batch in batches:
+            at = bits_of(batch.column("row").to_numpy(), bits).ravel()
+            np.bitwise_or.at(packed, at >> 3, np.uint8(1) << (at & 7).astype(np.uint8))
+        yield from emit(packed.reshape(-1, segment), np.arange(len(packed) // segment))
+
+    def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[int, np.ndarray] = {}
+        for batch in batches:
+            for number, piece in zip(batch.column("segment").to_pylist(), batch.column("bits").to_pylist(), strict=True):
+                held[number] = held.get(number, 0) | np.frombuffer(piece, np.uint8)
+        if held:
+            yield from emit(np.stack(list(held.values())), np.array(list(held)))
+
+    schema = "segment long, bits binary"
+    out = np.zeros((bits >> 3) // segment * segment, np.uint8).reshape(-1, segment)
+    for r in arrow(arrow(asked.select("row"), build, schema).repartition("segment"), fold, schema).toLocalIterator():
+        out[r.segment] = np.frombuffer(bytes(r.bits), np.uint8)
+    return out.ravel(), bits
+
+
+def fetch(exact: DataFrame, asked: DataFrame) -> DataFrame:
+    """Rows of exact(row, ...) that `asked`(row) names, and few others: all that leaves the scan."""
+    packed, bits = asked_filter(asked)
+    held = exact.sparkSession.sparkContext.broadcast(packed)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            at = bits_of(batch.column("row").to_numpy(), bits)
+            yield batch.filter(pa.array(((held.value[at >> 3] >> (at & 7).astype(np.uint8)) & 1).all(axis=1)))
+
+    return arrow(exact, run, ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in exact.schema.fields))
 
 
 def top_k(rows: DataFrame, is_query: Column, k: int, row_id: str = "vec_id", vector: str = "embedding", count_reads: bool = False) -> DataFrame:
     """query_id, rank (from 1), <row_id>, score: the k best rows of each query row, all of them if there are fewer.
     With `count_reads`, instead: query_id, n_read, the exact vectors read for each query."""
-    sound = rows.where(usable(vector, row_id))
-    vectors = materialize(pack(sound, row_id, vector, VECTOR_BLOCK, [], True), "vector-blocks")
-    asked = sound.where(is_query).select(row_id, vector).distinct()
-    dealt = lambda df: df.repartition(F.expr(f"cast(`{row_id}` as long) div {QUERY_BLOCK}"))
-    queries = materialize(pack(dealt(asked), row_id, vector, QUERY_BLOCK, [], False), "query-blocks").select(*(F.col(c).alias(f"q_{c}") for c in ("block", "width", "ids", "exact")))
+    tasks = max(1, int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    sound = rows.where(usable(vector, row_id)).select(F.col(row_id).cast("long").alias("id"), integers(F.col(vector).cast("array<double>")).alias("v"), F.coalesce(is_query, F.lit(False)).alias("asked"))
+    numbered = materialize(sound.withColumn("row", F.monotonically_increasing_id()), "vectors")
+    nth = F.row_number().over(Window.partitionBy("v").orderBy("id", "row"))
+    exact = materialize(numbered.withColumn("nth", nth).where(F.col("nth") <= k + 1).select("row", "id", "v"), "exact")
+    queries = numbered.where("asked").select("row", "id", "v")
+    vectors = materialize(pack(exact, VECTOR_BLOCK, [], True), "vector-blocks").repartition(tasks, "block")
+    dealt = lambda df: df.repartition(F.expr(f"pmod(xxhash64(row), {tasks})"))
+    asked = materialize(pack(dealt(queries), QUERY_BLOCK, [], False), "query-blocks").select(*(F.col(c).alias(f"q_{c}") for c in ("block", "width", "rows", "exact")))
+
+    def bounds(r: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """(query rows, rows, upper bounds, width of the bounds) of a pair of blocks; a query's own row is out of reach."""
+        own, codes, low, step = approximation(r)
+        q = np.frombuffer(r["q_rows"], np.int64)
+        upper, width = upper_bounds(np.frombuffer(r["q_exact"], np.int64).reshape(len(q), r["width"]), codes, low, step)
+        upper[q[:, None] == own] = -np.inf
+        return q, own, upper, width
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         reached: dict[int, list[np.ndarray]] = {}
         for batch in batches:
             for r in batch.to_pylist():
-                if r["width"] != r["q_width"]:
-                    continue
-                ids, codes, low, step = approximation(r)
-                q_ids = np.frombuffer(r["q_ids"], np.int64)
-                upper, width = upper_bounds(np.frombuffer(r["q_exact"], np.int64).reshape(len(q_ids), r["width"]), codes, low, step)
-                lower = upper - width[:, None]
-                lower[q_ids[:, None] == ids] = -np.inf
-                held = reached.get(r["q_block"])
-                lower = best(lower if held is None else np.concatenate((held[1], lower), 1), k)
-                reached[r["q_block"]] = [q_ids, lower]
-        for q_ids, lower in reached.values():
-            of = np.repeat(q_ids, lower.shape[1])
-            yield pa.RecordBatch.from_arrays([pa.array(of), pa.array(lower.reshape(-1))], names=["query_id", "bound"])
-
-    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+                if r["width"] == r["q_width"]:
+                    q, _, upper, width = bounds(r)
+                    lower, held = upper - width[:, None], reached.get(r["q_block"])
+                    reached[r["q_block"]] = [q, best(lower if held is None else np.concatenate((held[1], lower), 1), k)]
+        for q, lower in reached.values():
+            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(q, lower.shape[1])), pa.array(lower.reshape(-1))], names=["query", "bound"])
+
+    def nominate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for r in batch.to_pylist():
-                if r["width"] != r["q_width"]:
-                    continue
-                ids, codes, low, step = approximation(r)
-                exact = np.frombuffer(r["exact"], np.int64).reshape(codes.shape)
-                q_ids, threshold = np.frombuffer(r["q_ids"], np.int64), np.frombuffer(r["q_threshold"])
-                asked = np.frombuffer(r["q_exact"], np.int64).reshape(len(q_ids), r["width"])
-                upper, _ = upper_bounds(asked, codes, low, step)
-                out: list[list] = [[], [], [], []]
-                for i in np.flatnonzero(upper.max(1) >= threshold).tolist():
-                    found, scores, n = read_exact(int(q_ids[i]), asked[i], upper[i], ids, exact, threshold[i], k)
-                    if count_reads:
-                        found, scores = np.zeros(1, np.int64), np.zeros(1, np.int64)
-                    for column, value in zip(out, (np.full(len(found), q_ids[i]), found, scores, np.full(len(found), n)), strict=True):
-                        column.append(value)
-                columns = [np.concatenate(c) if c else np.zeros(0, np.int64) for c in out]
-                yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["query_id", row_id, "score", "n_read"])
+                if r["width"] == r["q_width"]:
+                    q, own, upper, _ = bounds(r)
+                    threshold = np.frombuffer(r["q_threshold"])
+                    i, j = np.nonzero((upper >= threshold[:, None]) & (upper > -np.inf))
+                    yield pa.RecordBatch.from_arrays([pa.array(q[i]), pa.array(own[j]), pa.array(upper[i, j].astype(np.float64))], names=["query", "row", "upper"])
 
     # blocks against blocks: Spark broadcasts the query blocks only while they are under its size threshold
-    tasks = max(1, int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    scanned = vectors.select("block", "width", "ids", "codes", "low", "step").repartition(tasks, "block").crossJoin(queries)
-    place = Window.partitionBy("query_id").orderBy(F.desc("bound"))
-    bounds = arrow(scanned, scan, "query_id long, bound double").withColumn("place", F.row_number().over(place)).where(F.col("place") <= k)
-    bounds = bounds.groupBy("query_id").agg(F.when(F.count("*") == k, F.min("bound")).otherwise(float("-inf")).alias("threshold"))
-    known = asked.join(bounds, F.col(row_id).cast("long") == F.col("query_id")).select(row_id, vector, "threshold")
-    known = pack(dealt(known), row_id, vector, QUERY_BLOCK, ["threshold"], False).select(*(F.col(c).alias(f"q_{c}") for c in ("width", "ids", "exact", "threshold")))
-    pairs = vectors.repartition(tasks, "block").crossJoin(materialize(known, "known-queries"))
-    found = arrow(pairs, read, f"query_id long, `{row_id}` long, score long, n_read long")
+    place = lambda by: F.row_number().over(Window.partitionBy("query").orderBy(*by))
+    reach = arrow(vectors.crossJoin(asked), scan, "query long, bound double").withColumn("place", place([F.desc("bound")])).where(F.col("place") <= k)
+    reach = reach.groupBy("query").agg(F.when(F.count("*") == k, F.min("bound")).otherwise(float("-inf")).alias("threshold"))
+    known = queries.join(reach, F.col("row") == F.col("query")).select("row", "v", "threshold")
+    known = pack(dealt(known), QUERY_BLOCK, ["threshold"], False).select(*(F.col(c).alias(f"q_{c}") for c in ("width", "rows", "exact", "threshold")))
+    named = arrow(vectors.crossJoin(materialize(known, "known-queries")), nominate, "query long, row long, upper double")
+    named = materialize(named.withColumn("place", place([F.desc("upper"), F.col("row")])), "nominated")
+
+    q = queries.select(F.col("row").alias("query"), F.col("id").alias("query_id"), F.col("v").alias("qv"))
+
+    def scored(pairs: DataFrame) -> DataFrame:
+        found = fetch(exact, pairs.select("row").distinct())
+        score = F.aggregate(F.zip_with("qv", "v", lambda x, y: x * y), F.lit(0).cast("long"), lambda s, x: s + x)
+        return pairs.select("query", "row").join(found, "row").join(q, "query").select("query", "query_id", F.col("id").alias(row_id), score.alias("score"))
+
+    first = materialize(scored(named.where(F.col("place") <= k)), "first")
+    kth = first.groupBy("query").agg(F.when(F.count("*") == k, F.min("score")).alias("kth"))
+    rest = named.where(F.col("place") > k).join(kth, "query").where("kth IS NULL OR upper >= kth")
+    found = first.unionByName(scored(materialize(rest.select("query", "row"), "rest")))
     if count_reads:
-        return found.groupBy("query_id").agg(F.sum("n_read").alias("n_read"))
-    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), row_id))
-    return found.drop("n_read").withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", row_id, "score")
+        return found.groupBy("query", "query_id").agg(F.count("*").alias("n_read")).select("query_id", "n_read")
+    rank = place([F.desc("score"), F.col(row_id)])
+    return found.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", row_id, "score")
