@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -10,10 +11,11 @@ from pyspark.sql import functions as F
 
 from tracewright.functions import canonical
 from tracewright.functions import scalars as S
-from tracewright.operators import causal, channels, compose, evidence, gates, ranking, tables
+from tracewright.operators import causal, channels, compose, evidence, gates, postings, ranking, tables, vectorindex
+from tracewright.operators.manifests import VectorIndex
 from tracewright.plans import adapters as A
 from tracewright.plans import retrieve as R
-from tracewright.sources.tables import read
+from tracewright.sources.tables import Catalog, read, shared_dir
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -74,6 +76,14 @@ def bm25_topk(spark: SparkSession, sf: str) -> DataFrame:
     return channels.bm25(A.documents(spark, sf), A.requests(spark, sf), 10)
 
 
+@query(SQL["bm25_topk"])
+def bm25_indexed_topk(spark: SparkSession, sf: str) -> DataFrame:
+    """Through a stored index: postings are published, read back as of now, and opened block by block."""
+    catalog = Catalog(spark, f"{shared_dir(spark)}/postings-{uuid.uuid4().hex}")
+    postings.publish(catalog, A.documents(spark, sf).select("version_id", "task"))
+    return postings.search(*postings.current(catalog), A.requests(spark, sf), 10)
+
+
 FACET = "SELECT query_id, version_id, 4 * CAST(q.environment = d.environment AS BIGINT) + 2 * CAST(q.harness = d.harness AS BIGINT) + CAST(list_has_any(q.contracts, d.contracts) AS BIGINT) AS score FROM requests q, docs d"
 
 
@@ -136,6 +146,20 @@ def vector_exact_topk(spark: SparkSession, sf: str) -> DataFrame:
     return channels.vector(e.select(F.col("vec_id").alias("version_id"), F.col("embedding").alias("vector")), prototypes, 10, 10_000)
 
 
+@query(SQL["vector_exact_topk"])
+def vector_indexed_topk(spark: SparkSession, sf: str) -> DataFrame:
+    """Prototypes (each label's first vector) against a stored index of every vector, exact: lists are opened until no
+    bound of another one reaches the tenth score."""
+    e = read(spark, sf, "embeddings")
+    prototypes = e.groupBy(F.col("label").alias("query_id")).agg(F.min_by("embedding", "vec_id").alias("vector"))
+    asked = prototypes.select("query_id", S.quantize(F.col("vector"), 10_000).alias("qv"))
+    rows = vectorindex.quantized(e.select(F.col("vec_id").alias("version_id"), F.col("embedding").alias("vector")), 10_000)
+    catalog, manifest = Catalog(spark, f"{shared_dir(spark)}/vectors-{uuid.uuid4().hex}"), VectorIndex("embeddings-10000")
+    vectorindex.provision(catalog, manifest, rows)
+    vectorindex.put(catalog, manifest, rows)
+    return vectorindex.search(vectorindex.open_index(catalog, manifest), asked, 10, exact=True)
+
+
 def hits_sql(limit: int = 20) -> str:
     return f"""{A.DOCUMENTS}, {A.REQUESTS},
 d AS (SELECT version_id, m, unnest(m) AS member FROM (SELECT version_id, {WORDS.format("task")} AS m FROM docs)),
