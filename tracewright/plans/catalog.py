@@ -15,7 +15,8 @@ from tracewright.operators import causal, channels, compose, evidence, gates, po
 from tracewright.operators.manifests import VectorIndex
 from tracewright.plans import adapters as A
 from tracewright.plans import retrieve as R
-from tracewright.sources.tables import Catalog, read, shared_dir
+from tracewright.plans import runs
+from tracewright.sources.tables import Catalog, checkpoint, read, shared_dir
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -300,6 +301,28 @@ def retrieval_runs(spark: SparkSession, sf: str) -> DataFrame:
     return out.select("query_id", "disposition", "reason", text("degraded").alias("degraded"), text(F.transform("selected", lambda x: x.cast("string"))).alias("selected"))
 
 
+@query(
+    f"""WITH {RETRIEVED}, chosen AS (SELECT query_id, version_id FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY rank) AS n FROM o WHERE lifecycle <> 'candidate') WHERE n <= 5),
+h AS (SELECT query_id, version_id, string_agg(channel || '#' || rank || '#' || score, ',' ORDER BY channel) AS hits FROM hits GROUP BY query_id, version_id)
+SELECT r.query_id, h.version_id, h.hits, len(g.codes) = 0 AS eligible, array_to_string(g.codes, ',') AS codes, o.rank, o.final, CASE WHEN o.rank IS NOT NULL THEN c.version_id IS NOT NULL END AS selected
+FROM requests r LEFT JOIN h USING (query_id) LEFT JOIN g ON g.query_id = h.query_id AND g.version_id = h.version_id LEFT JOIN o ON o.query_id = h.query_id AND o.version_id = h.version_id
+LEFT JOIN chosen c ON c.query_id = h.query_id AND c.version_id = h.version_id"""
+)
+def explain_records(spark: SparkSession, sf: str) -> DataFrame:
+    """A batch is served and stored, and the stored runs are explained: one record per candidate with all that was
+    decided about it."""
+    docs, requests, c = A.documents(spark, sf), A.requests(spark, sf), F.col
+    configured = spark.createDataFrame([(name, i) for i, name in enumerate(R.ALL)], "channel string, index_id long")
+    bound = configured.where(c("channel").isin(list(R.IN_SQL)))
+    none = spark.createDataFrame([], "query_id long, channel string, code string")
+    catalog = Catalog(spark, f"{shared_dir(spark)}/runs-{uuid.uuid4().hex}")
+    parts = R.answer(docs, docs, requests, AS_OF, (configured, bound), none, required=("exact", "lexical"))
+    ids = runs.record(catalog, "acme", requests, parts, runs.snapshot_id(AS_OF, bound), AS_OF)
+    told = runs.explain(catalog, "acme", ids).join(ids.select("run_id", "query_id"), "run_id")
+    hits = text(F.transform("hits", lambda h: F.concat_ws("#", h["channel"], h["rank"], h["score"])))
+    return told.select("query_id", "version_id", hits.alias("hits"), "eligible", text("codes").alias("codes"), "rank", "final", "selected")
+
+
 @query()
 def retrieve_all_channels(spark: SparkSession, sf: str) -> DataFrame:
     """The retrieval path over all five channels. It has no SQL: the SQL of `retrieve` runs three."""
@@ -312,9 +335,10 @@ FROM requests q LEFT JOIN hits h USING (query_id) LEFT JOIN g ON g.query_id = h.
 )
 def explain_join(spark: SparkSession, sf: str) -> DataFrame:
     docs, requests = A.documents(spark, sf), A.requests(spark, sf)
-    found = R.candidates(docs, requests, names=R.IN_SQL).select("query_id", "version_id").distinct()
-    decided = R.evaluated(docs, requests, AS_OF, R.IN_SQL).select("query_id", "version_id", "eligible")
-    ranked = R.ordered(docs, requests, AS_OF, R.IN_SQL).select("query_id", "version_id", "final")
+    hits = checkpoint(R.candidates(docs, requests, names=R.IN_SQL))  # the channels run once
+    found = hits.select("query_id", "version_id").distinct()
+    gated = checkpoint(R.gates.evaluate(R.pairs(ranking.rrf(hits, R.RANKER), docs, requests, AS_OF), R.POLICY, ("tools", "effects")))
+    decided, ranked = gated.select("query_id", "version_id", "eligible"), R.ranked(gated).select("query_id", "version_id", "final")
     rows = requests.select("query_id").join(found, "query_id", "left").join(decided, ["query_id", "version_id"], "left").join(ranked, ["query_id", "version_id"], "left")
     return rows.groupBy("query_id").agg(F.count("version_id").alias("candidates"), F.count_if(~F.col("eligible")).alias("rejected"), F.count("final").alias("ranked"), F.max("final").alias("best"))
 

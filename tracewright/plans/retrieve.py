@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
 from functools import reduce
 
 from pyspark.sql import DataFrame
@@ -85,11 +86,21 @@ def retrieve(docs: DataFrame, requests: DataFrame, as_of: int, minimum: int = 0,
 REQUIRED = ("exact", "facet", "graph", "lexical")
 
 
-def serve(
+@dataclass(frozen=True)
+class Answer:
+    """What a batch of requests came to: the channels' hits that counted, gated candidates, their order, and the runs."""
+
+    hits: DataFrame
+    gated: DataFrame
+    order: DataFrame
+    runs: DataFrame
+
+
+def answer(
     index: DataFrame, docs: DataFrame, requests: DataFrame, as_of: int, serving: tuple[DataFrame, DataFrame], runs: DataFrame, judged: DataFrame | None = None,
     required: tuple[str, ...] = REQUIRED, minimum: int = 0, most: int = 5, distance: int = 0, judge_most: int = 5,
-) -> DataFrame:
-    """A batch of requests from snapshot to disposition: query_id, disposition (selected, abstained, failed), reason,
+) -> Answer:
+    """A batch of requests from snapshot to disposition. The runs: query_id, disposition (selected, abstained, failed), reason,
     degraded (optional channels that did not answer) and selected (version ids in order).
 
     serving: the configured channels(channel, index_id) and the snapshot's; a required channel that the snapshot does not
@@ -102,7 +113,8 @@ def serve(
         raise ValueError(f"serving_config_mismatch: {', '.join(loose)}")
     c, ended = F.col, runs.where("code IS NOT NULL").select("query_id", "channel").distinct()
     hits = candidates(index, requests, names=tuple(name for name in ALL if binding.get(name) == "bound"))
-    fused = checkpoint(ranking.rrf(hits.join(ended, ["query_id", "channel"], "left_anti"), RANKER))
+    hits = checkpoint(hits.join(ended, ["query_id", "channel"], "left_anti"))  # the channels run once
+    fused = checkpoint(ranking.rrf(hits, RANKER))
     once = docs.groupBy("version_id").agg(F.count("*").alias("n")).where("n = 1")
     absent = fused.join(once, "version_id", "left_anti").select("query_id").distinct().withColumn("failure", F.lit("candidate_snapshot_missing"))
     failed = channels.degraded(runs, list(required)).withColumn("first", F.lit(0)).unionByName(absent.withColumn("first", F.lit(1)))
@@ -120,4 +132,10 @@ def serve(
     out = ranking.disposition(live, facts, minimum).unionByName(failed.join(requests.select("query_id"), "query_id", "left_semi").select("query_id", F.lit("failed").alias("disposition"), "reason"))
     noted = ended.where(~c("channel").isin(list(required))).groupBy("query_id").agg(F.array_sort(F.collect_set("channel")).alias("degraded"))
     none = F.array()
-    return out.join(noted, "query_id", "left").join(chosen, "query_id", "left").select("query_id", "disposition", "reason", F.coalesce("degraded", none).alias("degraded"), F.coalesce("selected", none).alias("selected"))
+    ended_as = out.join(noted, "query_id", "left").join(chosen, "query_id", "left").select("query_id", "disposition", "reason", F.coalesce("degraded", none).alias("degraded"), F.coalesce("selected", none).alias("selected"))
+    return Answer(hits, gated, order, ended_as)
+
+
+def serve(*args, **options) -> DataFrame:
+    """The runs of `answer`."""
+    return answer(*args, **options).runs

@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from tracewright.sources.tables import journal, journaled
+
 
 def source(spark: SparkSession, path: str, schema: T.StructType, files_per_trigger: int = 16) -> DataFrame:
     return spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_trigger).parquet(path)
@@ -20,25 +22,60 @@ def first_seen(events: DataFrame, key: str, time: str, delay: str = "1 day") ->
     return events.withWatermark(time, delay).dropDuplicatesWithinWatermark([key])
 
 
-def ingest_status(events: DataFrame, key: str, content: str, order: str) -> DataFrame:
+def ingest_status(events: DataFrame, key: str, content: str, order: str, time: str | None = None, keep_seconds: int = 7 * 86400, delay: str = "1 day") -> DataFrame:
     """key, content, status: accepted, duplicate (same content again) or conflict. State per key: the first content. Of the
     rows of a key that one batch brings, the one with the least `order` comes first, so a batch that is repeated gives
-    the same; a task holds two narrow columns of one key of one batch, which the source's files per trigger bound."""
+    the same; a task holds narrow columns of one key of one batch, which the source's files per trigger bound.
+
+    With an event time, state ends: a key is let go `keep_seconds` after its latest event, once the watermark (`delay`
+    behind the latest event of all) has passed that. Rows from before the watermark are left out by Spark; `late_aside`
+    keeps them."""
+    keep = keep_seconds * 1000
 
     def step(k: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        rows = pd.concat([b[[content, order]] for b in batches]).sort_values(order, kind="stable")
+        if state.hasTimedOut:
+            state.remove()
+            return
+        rows = pd.concat([b[[content, order, *([time] if time else [])]] for b in batches]).sort_values(order, kind="stable")
         known = state.exists
-        first = state.get[0] if known else rows[content].iloc[0]
+        first, latest = state.get if known else (rows[content].iloc[0], 0)
         same = rows[content].isna() if pd.isna(first) else rows[content] == first
         status = same.map({True: "duplicate", False: "conflict"}).astype(object)
         if not known:
             status.iloc[0] = "accepted"
-            state.update((first,))
+        if time:
+            latest = max(latest, int(pd.to_datetime(rows[time]).max().timestamp() * 1000))
+            state.update((first, latest))
+            state.setTimeoutTimestamp(max(latest + keep, state.getCurrentWatermarkMs() + 1))
+        elif not known:
+            state.update((first, latest))
         yield pd.DataFrame({key: [k[0]] * len(rows), content: rows[content].to_numpy(), "status": status.to_numpy()})
 
     kinds = dict(events.dtypes)
     out = f"`{key}` {kinds[key]}, `{content}` {kinds[content]}, status string"
-    return events.groupBy(key).applyInPandasWithState(step, out, f"first {kinds[content]}", "append", GroupStateTimeout.NoTimeout)
+    marked = events.withWatermark(time, delay) if time else events
+    timeout = GroupStateTimeout.EventTimeTimeout if time else GroupStateTimeout.NoTimeout
+    return marked.groupBy(key).applyInPandasWithState(step, out, f"first {kinds[content]}, latest long", "append", timeout)
+
+
+def late_aside(path: str, time: str, delay_seconds: int, fresh: Callable[[DataFrame, int], None], late: Callable[[DataFrame, int], None]) -> Callable[[DataFrame, int], None]:
+    """A handler for `relay` that parts a batch: rows whose time lies more than `delay_seconds` behind the latest one of
+    earlier batches go to `late`, the others to `fresh`. The latest time seen is journaled per batch number below `path`,
+    so a batch that is handed on again is parted in the same way."""
+
+    def handle(batch: DataFrame, number: int) -> None:
+        spark = batch.sparkSession
+        before = journaled(spark, path, str(number - 1)) if number else None
+        seen = before["latest"] if before else None
+        at = F.unix_seconds(F.col(time).cast("timestamp"))
+        own = batch.agg(F.max(at).alias("m")).first().m
+        latest = max((x for x in (seen, own) if x is not None), default=None)
+        journal(spark, path, str(number), {"latest": latest})
+        behind = F.lit(False) if seen is None else F.coalesce(at < int(seen) - delay_seconds, F.lit(False))
+        late(batch.where(behind), number)
+        fresh(batch.where(~behind), number)
+
+    return handle
 
 
 def exposure_windows(assignments: DataFrame, time: str, seconds: int, delay: str) -> DataFrame:
