@@ -117,7 +117,7 @@ def test_exact_top_k(spark, monkeypatch):
     rows = [(i, [float(x) for x in r.normal(size=6)], "c") for i in range(300)]
     rows += [(i, [0.5] * 6, "tie") for i in range(300, 320)]
     rows += [(1000, None, ""), (1050, [1.0, None, 0.0, 0.0, 0.0, 0.0], ""), (1100, [float("nan")] * 6, ""), (1150, [float("inf")] + [0.0] * 5, ""), (1200, [1.0, 2.0], ""), (1201, [3.0, 1.0], ""), (1250, [], ""), (None, [1.0] * 6, "")]
-    rows += [(50, rows[50][1], "again"), (50, [0.25] * 6, "same id"), (51, rows[51][1], "again")] + [(2000 + i, [0.5] * 6, "tie") for i in range(60)]
+    rows += [(50, [8 * x for x in rows[50][1]], "again"), (50, [0.25] * 6, "same id"), (51, rows[51][1], "again")] + [(2000 + i, [0.5] * 6, "tie") for i in range(60)]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, score string")
     from pyspark.sql import functions as F
 
