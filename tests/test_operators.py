@@ -219,17 +219,69 @@ def test_cycles(spark):
     assert {(r.trace_id, r.src, r.dst) for r in causal.broken_edges(e.where("trace_id = 1"), n).collect()} == {(1, 2, 3)}
 
 
-@pytest.mark.parametrize("rounds", [2, 64])
+@pytest.mark.parametrize("rounds", [2, 16])
 def test_chains_deeper_than_the_rounds(spark, rounds):
     chain = [(1, i, i + 1) for i in range(300)] + [(1, 0, 300), (2, 1, 2), (2, 2, 3), (2, 3, 2), (2, 3, 4)]
     e = spark.createDataFrame(chain, "trace_id long, src long, dst long")
     roots = spark.createDataFrame([(1, 299), (2, 3)], "trace_id long, position long")
-    found = causal.ancestors(e, roots, rounds) if rounds == 2 else causal.ancestors(e, roots)
+    found = causal.ancestors(e, roots, rounds)
     assert sorted((r.trace_id, r.position) for r in found.collect()) == [(1, i) for i in range(300)] + [(2, 1), (2, 2), (2, 3)]
-    left = causal.on_cycles(e, rounds) if rounds == 2 else causal.on_cycles(e)
+    left = causal.on_cycles(e, rounds)
     assert sorted((r.trace_id, r.position) for r in left.collect()) == [(2, 2), (2, 3), (2, 4)]
 
 
+def test_deep_traces_take_rounds_by_their_logarithm(spark, monkeypatch):
+    """A chain of 5,000 steps and a cycle of 3,000: no walk in one task, and few rounds."""
+    from tracewright.sources import tables
+
+    calls, real = [], tables.checkpoint
+    monkeypatch.setattr(tables, "checkpoint", lambda df: calls.append(1) or real(df))
+    e = spark.range(5000).selectExpr("1 AS trace_id", "id AS src", "id + 1 AS dst")
+    roots = spark.createDataFrame([(1, 5000)], "trace_id int, position long")
+    assert causal.ancestors(e, roots).agg({"position": "count"}).first()[0] == 5001
+    assert len(calls) < 100
+    del calls[:]
+    ring = spark.range(3000).selectExpr("2 AS trace_id", "id AS src", "(id + 1) % 3000 AS dst")
+    tail = spark.range(40).selectExpr("2 AS trace_id", "2999 + id + IF(id > 0, 1000, 0) AS src", "4000 + id AS dst")
+    nodes = causal.cyclic(ring.unionByName(tail)).collect()
+    assert sorted(n.position for n in nodes) == list(range(3000))
+    assert len(calls) < 200
+
+
+def slow_cyclic(edges):
+    reach = {(t, a): set() for t, a, _ in edges}
+    for t, a, b in edges:
+        reach[t, a].add(b)
+    on = set()
+    for t, a in reach:
+        seen, todo = set(), [a]
+        while todo:
+            for b in reach.get((t, todo.pop()), ()):
+                if b not in seen:
+                    seen.add(b)
+                    todo.append(b)
+        if a in seen:
+            on.add((t, a))
+    return on
+
+
+@pytest.mark.parametrize("seed,rounds", [(1, 1), (2, 4)])
+def test_cyclic_nodes_against_brute_force(spark, seed, rounds):
+    r = random.Random(seed)
+    rows = sorted({(t, r.randrange(30), r.randrange(30)) for t in range(6) for _ in range(12 + 6 * t)})
+    e = spark.createDataFrame(rows, "trace_id int, src int, dst int")
+    assert {(x.trace_id, x.position) for x in causal.cyclic(e, rounds).collect()} == slow_cyclic(rows)
+    behind, todo = set(slow_cyclic(rows)), list(slow_cyclic(rows))
+    while todo:
+        t, a = todo.pop()
+        for t2, x, y in rows:
+            if (t2, x) == (t, a) and (t, y) not in behind:
+                behind.add((t, y))
+                todo.append((t, y))
+    assert {(x.trace_id, x.position) for x in causal.on_cycles(e, rounds).collect()} == behind
+    assert causal.cyclic(e.where("false")).count() == 0
+
+
 def test_slicing(spark):
     nodes = spark.createDataFrame([(1, 0, True, False, False), (1, 1, True, True, False), (1, 2, False, False, False), (1, 3, True, True, False), (1, 4, True, False, True)], "trace_id int, position int, succeeded boolean, irrelevant boolean, failed_branch boolean")
     kept = spark.createDataFrame([(1, 3)], "trace_id int, position int")

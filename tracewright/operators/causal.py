@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from collections import Counter, defaultdict
+import functools
+import itertools
 
-import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -31,79 +31,130 @@ def broken_edges(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     return edges.join(ok, ["trace_id", "src", "dst"], "left_anti")
 
 
-def ancestors(spark_edges: DataFrame, roots: DataFrame, rounds: int = 64) -> DataFrame:
+def ancestors(spark_edges: DataFrame, roots: DataFrame, rounds: int = 16) -> DataFrame:
     """trace_id, position: the roots and all they depend on. Breadth first; a round joins only the nodes found in the
-    last one, and the frontier shrinks to nothing at the depth of the deepest trace. Each round cuts its lineage. Traces
-    deeper than `rounds` are finished one by one, each in a single walk over its edges."""
+    last one, and cuts its lineage. What is still open after `rounds` goes on over edges with shortcuts, so that a chain
+    of n steps takes log n rounds more; at four times as many rounds, and so on, they are laid anew through what is not
+    found."""
     from tracewright.sources.tables import checkpoint
 
-    edges = spark_edges.select("trace_id", F.col("src").alias("position"), F.col("dst").alias("__dst"))
-    found = checkpoint(roots.select("trace_id", "position").distinct())
-    frontier = found
-    for _ in range(rounds):
-        step = frontier.withColumnRenamed("position", "__dst").join(edges, ["trace_id", "__dst"]).select("trace_id", "position").distinct()
+    edges = spark_edges.select("trace_id", "src", "dst").where("src <> dst")
+    ways = edges
+    found = frontier = checkpoint(roots.select("trace_id", "position").distinct())
+    for n in itertools.count(1):
+        step = frontier.withColumnRenamed("position", "dst").join(ways, ["trace_id", "dst"]).select("trace_id", F.col("src").alias("position")).distinct()
         frontier = checkpoint(step.join(found, ["trace_id", "position"], "left_anti"))
         if frontier.isEmpty():
             return found
         found = checkpoint(found.unionByName(frontier))
-    schema = found.schema
-
-    def walk(key, steps: pa.Table, seen: pa.Table) -> pa.Table:
-        before = defaultdict(list)
-        for a, b in zip(steps["position"].to_pylist(), steps["__dst"].to_pylist(), strict=True):
-            before[b].append(a)
-        known = set(seen["position"].to_pylist())
-        todo, out = list(known), []
-        while todo:
-            for a in before.pop(todo.pop(), ()):
-                if a not in known:
-                    known.add(a)
-                    todo.append(a)
-                    out.append(a)
-        positions = pa.array(out, seen["position"].type)
-        return pa.table({"trace_id": pa.array([key[0].as_py()] * len(out), seen["trace_id"].type), "position": positions})
-
-    deep = frontier.select("trace_id").distinct()
-    one = lambda rows: rows.join(deep, "trace_id", "left_semi").groupBy("trace_id")
-    rest = one(edges.select("trace_id", "position", "__dst")).cogroup(one(found)).applyInArrow(walk, schema)
-    return checkpoint(found.unionByName(rest))
-
-
-def on_cycles(edges: DataFrame, rounds: int = 64) -> DataFrame:
-    """trace_id, position of nodes left when nodes without predecessors are peeled off again and again (Kahn). What
-    `rounds` leave is peeled to the end trace by trace, each in a single walk over its edges."""
+        if n == rounds:
+            rounds *= 4
+            seen = found.withColumnRenamed("position", "src")
+            still = edges.join(frontier.select("trace_id").distinct(), "trace_id", "left_semi").join(seen, ["trace_id", "src"], "left_anti")
+            ways = shortcuts(still, n)
+
+
+def shortcuts(edges: DataFrame, seed: int) -> DataFrame:
+    """The edges, and from every node the way over 2, 4, 8, ... steps when each node follows one predecessor, picked by a
+    seeded hash: at most log2(nodes of the largest trace) rows a node more. Each level is the last one joined to itself."""
+    from tracewright.sources.tables import checkpoint
+
+    edges = checkpoint(edges.select("trace_id", "src", "dst").distinct())
+    longest = edges.groupBy("trace_id").count().agg(F.max("count")).first()[0] or 0
+    jump = checkpoint(edges.groupBy("trace_id", "dst").agg(F.max_by("src", F.struct(F.xxhash64("src", F.lit(seed)), "src")).alias("src")))
+    out = edges
+    for _ in range(longest.bit_length()):
+        on = jump.select("trace_id", F.col("dst").alias("src"), F.col("src").alias("__src"))
+        jump = checkpoint(jump.join(on, ["trace_id", "src"]).select("trace_id", F.col("__src").alias("src"), "dst").where("src <> dst"))
+        if jump.isEmpty():
+            break
+        out = out.unionByName(jump)
+    return checkpoint(out.distinct())
+
+
+def on_cycles(edges: DataFrame, rounds: int = 16) -> DataFrame:
+    """trace_id, position of nodes left when nodes without predecessors are peeled off again and again (Kahn): those on
+    cycles and behind them. What is not settled after `rounds` is found as the cycles and all that depends on them."""
+    left, settled = trimmed(edges, rounds, both=False)
+    if settled:
+        return ends(left)
+    return ancestors(left.select("trace_id", F.col("dst").alias("src"), F.col("src").alias("dst")), cyclic(left), rounds)
+
+
+def ends(edges: DataFrame) -> DataFrame:
+    return edges.select("trace_id", F.col("src").alias("position")).unionByName(edges.select("trace_id", F.col("dst").alias("position"))).distinct()
+
+
+def trimmed(edges: DataFrame, rounds: int, both: bool) -> tuple[DataFrame, bool]:
+    """The edges left after `rounds` of dropping those whose source has no predecessor (both: or whose target has no
+    successor), and whether nothing more would go."""
     from tracewright.sources.tables import checkpoint
 
     left = checkpoint(edges.select("trace_id", "src", "dst").distinct())
     n = left.count()
     for _ in range(rounds):
-        has_in = left.select("trace_id", F.col("dst").alias("src")).distinct()
-        left = checkpoint(left.join(has_in, ["trace_id", "src"], "left_semi"))
-        m = left.count()
-        if m == n or m == 0:
-            break
-        n = m
-    else:
-        left = checkpoint(left.groupBy("trace_id").applyInArrow(peeled, left.schema))
-    ends = left.select("trace_id", F.col("src").alias("position")).unionByName(left.select("trace_id", F.col("dst").alias("position")))
-    return ends.distinct()
-
-
-def peeled(edges: pa.Table) -> pa.Table:
-    """The edges of one trace that are left when no more nodes without predecessors can be peeled off."""
-    src, dst = edges["src"].to_pylist(), edges["dst"].to_pylist()
-    after, waits = defaultdict(list), Counter(dst)
-    for a, b in zip(src, dst, strict=True):
-        after[a].append(b)
-    gone = {a for a in after if not waits[a]}
-    todo = list(gone)
-    while todo:
-        for b in after[todo.pop()]:
-            waits[b] -= 1
-            if not waits[b]:
-                gone.add(b)
-                todo.append(b)
-    return edges.filter(pa.array([a not in gone for a in src], pa.bool_()))
+        if n == 0:
+            return left, True
+        kept = left.join(left.select("trace_id", F.col("dst").alias("src")).distinct(), ["trace_id", "src"], "left_semi")
+        if both:
+            kept = kept.join(left.select("trace_id", F.col("src").alias("dst")).distinct(), ["trace_id", "dst"], "left_semi").select("trace_id", "src", "dst")
+        left = checkpoint(kept)
+        n, before = left.count(), n
+        if n == before:
+            return left, True
+    return left, n == 0
+
+
+def cyclic(edges: DataFrame, rounds: int = 4) -> DataFrame:
+    """trace_id, position of the nodes that lie on a cycle, a self-edge included. Positions order a trace, so each cycle
+    holds the target of an edge against the order in which most of the trace's edges run; a trace without such edges is
+    done. Of these targets every node takes the largest label (a seeded hash) that reaches it, as its colour; the nodes
+    of a colour that reach its root are one strongly connected component, a cycle if they are more than one. Components
+    and edges between colours go, the rest is coloured anew. No node is paired with every root."""
+    from tracewright.sources.tables import checkpoint
+
+    out = [checkpoint(edges.where("src = dst").select("trace_id", F.col("src").alias("position")).distinct())]
+    left, _ = trimmed(edges.where("src <> dst"), rounds, both=True)
+    for seed in itertools.count():
+        starts = checkpoint(against_the_order(left))
+        if starts.isEmpty():
+            return functools.reduce(DataFrame.unionByName, out).distinct()
+        ways = shortcuts(left, seed)
+        coloured = colours(ways, starts, seed)
+        at = lambda end: coloured.select("trace_id", F.col("position").alias(end), F.col("colour").alias(f"__{end}"))
+        one = lambda rows: rows.join(at("src"), ["trace_id", "src"]).join(at("dst"), ["trace_id", "dst"]).where("__src = __dst").select(F.struct("trace_id", F.col("__src").alias("colour")).alias("trace_id"), "src", "dst")
+        roots = coloured.where("position = colour.position").select(F.struct("trace_id", "colour").alias("trace_id"), "position")
+        # whatever lies between two nodes of a colour is of that colour, so shortcuts between them stay inside
+        component = ancestors(checkpoint(one(ways)), roots, rounds=64)
+        large = component.groupBy("trace_id").count().where("count > 1").select("trace_id")
+        out.append(checkpoint(component.join(large, "trace_id", "left_semi").select("trace_id.trace_id", "position")))
+        inside = one(left)
+        for end in ("src", "dst"):
+            inside = inside.join(component.withColumnRenamed("position", end), ["trace_id", end], "left_anti")
+        left, _ = trimmed(inside.select("trace_id.trace_id", "src", "dst"), rounds, both=True)
+
+
+def against_the_order(edges: DataFrame) -> DataFrame:
+    """trace_id, position: the targets of the edges that run against the direction of most edges of their trace."""
+    down = edges.withColumn("down", F.col("src") > F.col("dst"))
+    most = down.groupBy("trace_id").agg((F.count_if("down") * 2 > F.count("*")).alias("most"))
+    return down.join(most, "trace_id").where("down <> most").select("trace_id", F.col("dst").alias("position")).distinct()
+
+
+def colours(ways: DataFrame, starts: DataFrame, seed: int) -> DataFrame:
+    """trace_id, position, colour: the largest (hash, position) of the starts that reach the node, itself included; nodes
+    that none reaches are left out. Labels move along the ways until none changes."""
+    from tracewright.sources.tables import checkpoint
+
+    label = F.struct(F.xxhash64("position", F.lit(seed)).alias("hash"), "position")
+    told = checkpoint(starts.withColumn("colour", label))
+    while True:
+        sent = told.withColumnRenamed("position", "src").join(ways, ["trace_id", "src"]).select("trace_id", F.col("dst").alias("position"), "colour")
+        both = told.withColumn("own", F.col("colour")).unionByName(sent, allowMissingColumns=True)
+        after = checkpoint(both.groupBy("trace_id", "position").agg(F.max("colour").alias("colour"), F.max("own").alias("own")))
+        told = after.select("trace_id", "position", "colour")
+        if after.where("own IS NULL OR colour <> own").isEmpty():
+            return told
 
 
 def slice_steps(nodes: DataFrame, retained: DataFrame) -> DataFrame:

@@ -623,18 +623,8 @@ def folded(orders: DataFrame) -> DataFrame:
 
 
 def nodes_on_cycles(e: DataFrame) -> DataFrame:
-    """Nodes on a cycle per trace: the peeled graph keeps cycles and what hangs between and behind them; a node counts
-    where it reaches itself."""
-    c = F.col
-    back = e.select("trace_id", c("dst").alias("src"), c("src").alias("dst"))
-    left = causal.on_cycles(e).intersect(causal.on_cycles(back))
-    inner = e.join(left.withColumnRenamed("position", "src"), ["trace_id", "src"], "left_semi").join(left.withColumnRenamed("position", "dst"), ["trace_id", "dst"], "left_semi")
-    # strongly connected: a node's ancestors, started from its own predecessors, hold the node
-    pairs = inner.select(F.concat_ws("/", "trace_id", "dst").alias("trace_id"), c("src").alias("position"))
-    per_root = inner.select("trace_id", c("dst").alias("root")).distinct().join(inner, "trace_id").select(F.concat_ws("/", "trace_id", "root").alias("trace_id"), "src", "dst")
-    reached = causal.ancestors(per_root, pairs)
-    found = reached.select(F.split("trace_id", "/").alias("p"), "position").where(F.get("p", 1).cast("long") == c("position"))
-    return found.select(F.get("p", 0).cast("long").alias("trace_id")).groupBy("trace_id").agg(F.count("*").alias("nodes"))
+    """Nodes on a cycle, counted per trace."""
+    return causal.cyclic(e).groupBy("trace_id").agg(F.count("*").alias("nodes"))
 
 
 STEPS = f"""{CLOSURE}, steps AS (
