@@ -49,7 +49,7 @@ class Ranker:
 def rrf(hits: DataFrame, ranker: Ranker) -> DataFrame:
     """hits(query_id, version_id, channel, rank) -> query_id, version_id, rrf. Every term is divided for itself."""
     weight = F.create_map(*[x for name, w in sorted(ranker.weights.items()) for x in (F.lit(name), F.lit(w).cast("long"))])
-    term = F.floor(weight[F.col("channel")] * SCALE / (ranker.k + F.col("rank"))).cast("long")
+    term = F.call_function("div", weight[F.col("channel")] * SCALE, ranker.k + F.col("rank"))
     return hits.withColumn("term", term).groupBy("query_id", "version_id").agg(F.sum("term").alias("rrf"))
 
 

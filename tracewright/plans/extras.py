@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tracewright.operators import causal, channels, evidence, manifests, tables
+from tracewright.operators import causal, channels, evidence, manifests, rules, tables
 from tracewright.operators import records as records_
 from tracewright.plans import adapters as A
 from tracewright.plans import catalog, records
@@ -17,14 +17,14 @@ from tracewright.sources.tables import Catalog, read, shared_dir
 __all__ = ["QUERIES", "SQL", "records"]
 
 
-@query("SELECT event_id, CAST(round(value / 100 * 1000000) AS BIGINT) AS score_micros, value / 100 <= 4 AND event_id % 5 <> 0 AS valid FROM events WHERE event_id % 7 <> 0")
+@query("SELECT event_id, CASE WHEN event_id % 7 <> 0 THEN CAST(round(value / 100 * 1000000) AS BIGINT) END AS score_micros, event_id % 7 <> 0 AND value / 100 <= 4 AND event_id % 5 <> 0 AS valid FROM events")
 def judge_response_decode(spark: SparkSession, sf: str) -> DataFrame:
     """Answers with values as scores; every fifth has probabilities that do not sum to 1, every seventh is no JSON."""
     c = F.col
     p = F.when(c("event_id") % 5 == 0, "[0.5, 0.4]").otherwise("[0.5, 0.25, 0.25]")
     body = F.concat(F.lit('{"score": '), (c("value") / 100).cast("string"), F.lit(', "confidence": 0.5, "probabilities": '), p, F.lit("}"))
     rows = read(spark, sf, "events").select("event_id", F.when(c("event_id") % 7 == 0, "sorry").otherwise(body).alias("payload"))
-    return manifests.decode_answers(rows).where("score_micros IS NOT NULL").select("event_id", "score_micros", "valid")
+    return manifests.decode_answers(rows).select("event_id", "score_micros", F.coalesce("valid", F.lit(False)).alias("valid"))
 
 
 @query("SELECT r_name AS channel, CASE WHEN r_regionkey = 4 THEN 'not_in_snapshot' WHEN r_regionkey % 2 = 1 THEN 'index_mismatch' ELSE 'bound' END AS binding FROM region")
@@ -70,13 +70,14 @@ def alert_ratios(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(f"WITH {A.FACTS}, g AS (SELECT DISTINCT outcome_id, predicate FROM facts WHERE verdict = 'satisfied' AND class_rank <= 2) SELECT outcome_id, string_agg(predicate, ',' ORDER BY predicate) AS goals FROM g GROUP BY 1")
 def goal_canonicalization(spark: SparkSession, sf: str) -> DataFrame:
-    good = A.facts(spark, sf).where((F.col("verdict") == "satisfied") & (evidence.class_rank(F.col("class")) <= 2))
-    return good.groupBy("outcome_id").agg(text(F.array_sort(F.collect_set("predicate"))).alias("goals"))
+    found = rules.goals(A.facts(spark, sf).withColumn("class_rank", evidence.class_rank(F.col("class"))))
+    return found.select("outcome_id", text("goals").alias("goals"))
 
 
 @query(f"WITH {A.QUEUE} SELECT tenant_id, count(*) AS generation, max(job_id) AS latest FROM queue WHERE state = 'completed' GROUP BY tenant_id")
 def checkpoint_generations(spark: SparkSession, sf: str) -> DataFrame:
-    return A.queue(spark, sf).where("state = 'completed'").groupBy("tenant_id").agg(F.count("*").alias("generation"), F.max("job_id").alias("latest"))
+    done = A.queue(spark, sf).where("state = 'completed'").select(F.col("tenant_id").alias("scope"), F.col("job_id").alias("batch"))
+    return rules.checkpoints(done).withColumnRenamed("scope", "tenant_id")
 
 
 @query(f"WITH {A.QUEUE} SELECT count(*) AS expired, count(*) FILTER (WHERE state = 'leased') AS leases FROM queue WHERE lease_expires_at <= {A.NOW}")

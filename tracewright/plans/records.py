@@ -9,11 +9,14 @@ from pyspark.sql import functions as F
 
 from tracewright.functions import canonical
 from tracewright.functions import scalars as S
-from tracewright.operators import causal, records
+from tracewright.operators import causal, records, rules
 from tracewright.plans import adapters as A
 from tracewright.plans.catalog import QUERIES, SQL, query, text
 from tracewright.sources.tables import Catalog, read, shared_dir
 
+#: The table of secrets as a condition of DuckDB's SQL.
+HOLDS = "(" + " OR ".join("regexp_matches(text, '" + pattern.replace("'", "''") + "')" for _, pattern, _ in S.SECRETS) + ")"
+
 # --- requests ----------------------------------------------------------------------------------------------------
 
 
@@ -56,7 +59,7 @@ def request_validation(spark: SparkSession, sf: str) -> DataFrame:
     return records.violations(read(spark, sf, "documents"), "doc_id", rules).groupBy("rule").agg(F.count("*").alias("n"))
 
 
-@query(r"""SELECT count(*) AS rejected FROM documents WHERE regexp_matches(text, '(?i)(api[_-]?key|token|secret|password|passwd|access[_-]?key)(\s*[:=]\s*["'']?)([A-Za-z0-9_./+=-]{8,})') OR regexp_matches(text, '\b(?:sk[-_](?:live[-_]|test[-_])?|api[-_]|tok[-_]|key[-_])[A-Za-z0-9_-]{12,}\b') OR regexp_matches(text, '\b(?:AKIA|ASIA)[A-Z0-9]{16}\b') OR regexp_matches(text, '\bMII[A-Za-z0-9+/=]{20,}\b') OR regexp_matches(text, '(?i)(authorization\s*:\s*(?:bearer|basic)\s+)[^\s''";]+')""")
+@query(f"SELECT count(*) AS rejected FROM documents WHERE {HOLDS}")
 def credential_detector(spark: SparkSession, sf: str) -> DataFrame:
     return read(spark, sf, "documents").where(S.holds_credentials(F.col("text"))).agg(F.count("*").alias("rejected"))
 
@@ -94,14 +97,14 @@ def run_validation(spark: SparkSession, sf: str) -> DataFrame:
     return records.invalid_ranks(read(spark, sf, "lineitem").withColumn("rank", F.col("l_linenumber")), ["l_orderkey", "l_returnflag"])
 
 
-@query("SELECT event_id, CAST(regexp_extract(props, '([0-9]+)', 1) AS BIGINT) AS k, CASE WHEN event_id % 3 = 1 THEN event_type END AS kind FROM events WHERE event_id % 3 <> 2")
+@query("SELECT event_id, CASE WHEN event_id % 3 <> 2 THEN CAST(regexp_extract(props, '([0-9]+)', 1) AS BIGINT) END AS k, CASE WHEN event_id % 3 = 1 THEN event_type END AS kind FROM events")
 def legacy_decode(spark: SparkSession, sf: str) -> DataFrame:
-    """Version 1 has no kind, version 2 has; rows of unknown versions are not read."""
+    """Version 1 has no kind, version 2 has; of unknown versions nothing is read."""
     c = F.col
     v2 = F.concat(F.regexp_replace("props", r"\}$", ""), F.lit(', "kind": "'), "event_type", F.lit('"}'))
     rows = read(spark, sf, "events").select("event_id", F.concat(F.lit("v"), c("event_id") % 3 + 1).alias("schema_version"), F.when(c("event_id") % 3 == 1, v2).otherwise(c("props")).alias("payload"))
     out = records.decode_versions(rows, {"v1": "k bigint", "v2": "k bigint, kind string"})
-    return out.where("body IS NOT NULL").select("event_id", "body.k", "body.kind")
+    return out.select("event_id", "body.k", "body.kind")
 
 
 @query("SELECT c_custkey FROM customer WHERE c_custkey % 50 = 7")
@@ -194,15 +197,14 @@ def plan_novelty(spark: SparkSession, sf: str) -> DataFrame:
 def unsafe_counters(spark: SparkSession, sf: str) -> DataFrame:
     """What a document says and what was recorded since: the larger counts."""
     li, c = read(spark, sf, "lineitem"), F.col
-    said = li.groupBy(c("l_suppkey").alias("version_id")).agg(F.max(c("l_linenumber") % 3).alias("said"))
-    seen = li.where("l_returnflag = 'R' AND l_tax > 0.07").groupBy(c("l_suppkey").alias("version_id")).agg(F.count("*").alias("seen"))
-    return said.join(seen, "version_id", "left").select("version_id", F.greatest(c("said").cast("long"), F.coalesce("seen", F.lit(0).cast("long"))).alias("unsafe"))
+    said = li.select(c("l_suppkey").alias("version_id"), (c("l_linenumber") % 3).alias("unsafe"))
+    return rules.effective_unsafe(said, li.where("l_returnflag = 'R' AND l_tax > 0.07").select(c("l_suppkey").alias("version_id")))
 
 
 @query(f"WITH {A.EDGES} SELECT src, count(DISTINCT trace_id) AS supporting FROM edges GROUP BY src HAVING count(*) > 1")
 def version_evidence_counters(spark: SparkSession, sf: str) -> DataFrame:
     e = causal.flow_edges(A.accesses(spark, sf))
-    return e.groupBy("src").agg(F.count_distinct("trace_id").alias("supporting"), F.count("*").alias("n")).where("n > 1").select("src", "supporting")
+    return rules.supporting_outcomes(e.select(F.col("src").alias("version_id"), F.col("trace_id").alias("outcome_id"))).where("mentions > 1").select(F.col("version_id").alias("src"), "supporting")
 
 
 # --- workflow, judgments, embeddings -----------------------------------------------------------------------------
@@ -237,7 +239,7 @@ def judgment_features(spark: SparkSession, sf: str) -> DataFrame:
     return records.judgment_features(j).select("event_id", "intent_fit", "task_coverage", "non_contradiction")
 
 
-@query(r"""SELECT doc_id AS key, (strlen(text) + 3) // 4 + 600 AS tokens FROM documents WHERE NOT (regexp_matches(text, '(?i)(api[_-]?key|token|secret|password|passwd|access[_-]?key)(\s*[:=]\s*["'']?)([A-Za-z0-9_./+=-]{8,})') OR regexp_matches(text, '\b(?:sk[-_](?:live[-_]|test[-_])?|api[-_]|tok[-_]|key[-_])[A-Za-z0-9_-]{12,}\b') OR regexp_matches(text, '\b(?:AKIA|ASIA)[A-Z0-9]{16}\b') OR regexp_matches(text, '\bMII[A-Za-z0-9+/=]{20,}\b') OR regexp_matches(text, '(?i)(authorization\s*:\s*(?:bearer|basic)\s+)[^\s''";]+'))""")
+@query(f"SELECT doc_id AS key, (strlen(text) + 3) // 4 + 600 AS tokens FROM documents WHERE NOT coalesce({HOLDS}, false)")
 def judge_state(spark: SparkSession, sf: str) -> DataFrame:
     return records.judge_requests(read(spark, sf, "documents").select(F.col("doc_id").alias("key"), F.col("text").alias("state"))).select("key", "tokens")
 
@@ -272,19 +274,18 @@ def erasure_receipts(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("SELECT n_regionkey, sha256(string_agg(n_nationkey || '=' || n_name, ';' ORDER BY n_nationkey)) AS set_hash FROM nation GROUP BY n_regionkey")
 def candidate_set_hash(spark: SparkSession, sf: str) -> DataFrame:
-    members = F.transform(F.array_sort(F.collect_list(F.struct("n_nationkey", "n_name"))), lambda x: F.concat_ws("=", x["n_nationkey"], x["n_name"]))
-    return read(spark, sf, "nation").groupBy("n_regionkey").agg(F.sha2(F.array_join(members, ";"), 256).alias("set_hash"))
+    return rules.candidate_set_hash(read(spark, sf, "nation"), ["n_regionkey"], "n_nationkey", F.concat_ws("=", "n_nationkey", "n_name"))
 
 
 @query(f"WITH {A.QUEUE} SELECT job_id, available_at + 2592000 AS expires_at, available_at + 2592000 <= {A.NOW} AS expired FROM queue")
 def retention_stamp(spark: SparkSession, sf: str) -> DataFrame:
-    until = F.col("available_at") + 30 * 86400
-    return A.queue(spark, sf).select("job_id", until.alias("expires_at"), (until <= A.NOW).alias("expired"))
+    return rules.retained(A.queue(spark, sf), "available_at", rules.MOST_RETENTION).select("job_id", "expires_at", (F.col("expires_at") <= A.NOW).alias("expired"))
 
 
 @query(f"WITH {A.ACCESSES} SELECT trace_id, position FROM accesses WHERE succeeded AND writes")
 def required_effects(spark: SparkSession, sf: str) -> DataFrame:
-    return A.accesses(spark, sf).where("succeeded AND writes").select("trace_id", "position")
+    effect = F.when(F.col("writes"), "write").otherwise("none")
+    return rules.required_effects(A.accesses(spark, sf).withColumn("side_effect", effect)).select("trace_id", "position")
 
 
 @query(f"WITH {A.QUEUE} SELECT tenant_id, job_id, rank FROM (SELECT *, row_number() OVER (PARTITION BY tenant_id ORDER BY available_at DESC, job_id) AS rank FROM queue) WHERE rank <= 3")
@@ -292,4 +293,55 @@ def latest_reads(spark: SparkSession, sf: str) -> DataFrame:
     w = Window.partitionBy("tenant_id").orderBy(F.desc("available_at"), "job_id")
     return A.queue(spark, sf).withColumn("rank", F.row_number().over(w)).where("rank <= 3").select("tenant_id", "job_id", "rank")
 
-__all__ = ["QUERIES", "SQL"]
+
+# --- rules of stored records -------------------------------------------------------------------------------------
+
+
+@query(
+    """WITH d AS (SELECT p_partkey, p_size, p_partkey % 5 AS cutoff, p_size % 7 AS evaluated, CASE WHEN p_size % 4 = 0 THEN 'gone' WHEN p_size > 25 THEN 'active' ELSE 'trial' END AS next,
+  CASE WHEN p_partkey % 3 = 0 THEN ['r' || (p_size % 3), 'a' || (p_size % 2)] ELSE ['a' || (p_size % 2), 'r' || (p_size % 3)] END AS reasons FROM part),
+v AS (SELECT unnest(list_filter([CASE WHEN next = 'gone' THEN 'states' END, CASE WHEN cutoff > evaluated THEN 'cutoff_before_evaluation' END, CASE WHEN p_partkey % 3 = 0 THEN 'reasons' END,
+  CASE WHEN p_partkey % 50 = 7 THEN 'hash' END], lambda x: x IS NOT NULL)) AS rule FROM d) SELECT rule, count(*) AS n FROM v GROUP BY rule"""
+)
+def lifecycle_decision_rules(spark: SparkSession, sf: str) -> DataFrame:
+    """Decisions over parts: some name no state, some rest on later evidence, some have unsorted reasons, some were changed."""
+    c = F.col
+    next_state = F.when(c("p_size") % 4 == 0, "gone").when(c("p_size") > 25, "active").otherwise("trial")
+    a, r = F.concat(F.lit("a"), c("p_size") % 2), F.concat(F.lit("r"), c("p_size") % 3)
+    d = read(spark, sf, "part").select(
+        c("p_partkey").alias("key"), F.concat(F.lit("pv_"), "p_partkey").alias("version_id"), F.lit("policy-1").alias("policy_id"), F.lit("trial").alias("prior_state"), next_state.alias("next_state"),
+        F.when(c("p_partkey") % 3 == 0, F.array(r, a)).otherwise(F.array(a, r)).alias("reasons"), (c("p_size") * 1000).alias("wilson_ppm"), (c("p_partkey") % 5).alias("cutoff_at"), (c("p_size") % 7).alias("evaluated_at"),
+    )
+    d = d.withColumn("content_hash", F.sha2(rules.decision_content(), 256)).withColumn("id", F.concat(F.lit("lcd_"), "content_hash"))
+    d = d.withColumn("wilson_ppm", F.when(c("key") % 50 == 7, c("wilson_ppm") + 1).otherwise(c("wilson_ppm")))
+    return records.violations(d, "key", rules.decision_rules()).groupBy("rule").agg(F.count("*").alias("n"))
+
+
+@query(
+    """WITH s AS (SELECT o_orderkey AS k, o_custkey AS u, o_orderstatus <> 'P' AS complete, CASE WHEN o_orderkey % 11 = 0 THEN 'partial' WHEN o_orderstatus = 'P' THEN 'partial' WHEN o_custkey % 3 > 0 THEN 'bridged' ELSE 'known_shape' END AS novelty FROM orders),
+v AS (SELECT k, unnest(list_filter([CASE WHEN complete AND novelty = 'partial' THEN 'novelty' END, CASE WHEN complete AND k % 13 = 0 THEN 'schedule' END, CASE WHEN complete AND k % 13 = 1 THEN 'schedule_of_plan' END,
+  CASE WHEN NOT complete AND u % 2 = 0 THEN 'gaps' END, CASE WHEN k % 17 = 0 THEN 'experiment' END], lambda x: x IS NOT NULL)) AS rule FROM s) SELECT rule, count(*) AS n FROM v GROUP BY rule"""
+)
+def selection_rules(spark: SparkSession, sf: str) -> DataFrame:
+    """Selections over orders: plans of three steps; some lack their schedule, some have another plan's."""
+    c = F.col
+    o = read(spark, sf, "orders").select(c("o_orderkey").alias("plan_id"), (c("o_orderstatus") != "P").alias("complete"), (c("o_custkey") % 3).alias("bridges"), (c("o_custkey") % 2).alias("gaps"), F.lit(2).alias("nodes"), F.lit(False).alias("exact_hit"))
+    o = records.novelty(o).withColumn("novelty", F.when(c("plan_id") % 11 == 0, "partial").otherwise(c("novelty")))
+    o = o.withColumn("plan_hash", F.sha2(c("plan_id").cast("string"), 256)).withColumn("steps", F.array(*[F.lit(x) for x in ("s1", "s2", "s3")]))
+    schedule = F.struct("plan_id", F.when(c("plan_id") % 13 == 1, "other").otherwise(c("plan_hash")).alias("plan_hash"), F.reverse("steps").alias("steps"))
+    o = o.withColumn("schedule", F.when(c("complete") & (c("plan_id") % 13 != 0), schedule)).withColumn("experiment_id", F.lit("e")).withColumn("assignment_id", F.when(c("plan_id") % 17 != 0, "x"))
+    return records.violations(o, "plan_id", rules.selection_rules()).groupBy("rule").agg(F.count("*").alias("n"))
+
+
+@query(
+    """SELECT p_partkey, CASE WHEN p_size % 5 > 0 AND p_partkey % 7 > 0 THEN sha256('{"evidence_strength":' || (p_size % 6) || ',"exclusive":[],"goals":["g0","g' || (1 + p_size % 3) || '"],"interface_hash":"' || sha256(p_name) || '","lifecycle":"trial","mutexes":["m"],"policy_id":"policy-1","reads":["res_' || p_brand || '"],"tool_cost":' || (p_size % 5) || ',"version_id":"pv_' || p_partkey || '","writes":[]}') END AS facts_hash FROM part"""
+)
+def planning_facts_hash(spark: SparkSession, sf: str) -> DataFrame:
+    """Of parts: lists come unsorted and untrimmed; no cost, and every seventh part's foreign resource, leave no hash."""
+    c, none = F.col, F.array().cast("array<string>")
+    v = read(spark, sf, "part").select(
+        "p_partkey", F.concat(F.lit(" pv_"), "p_partkey").alias("version_id"), F.sha2("p_name", 256).alias("interface_hash"), F.lit("trial").alias("lifecycle"), F.lit("policy-1 ").alias("policy_id"),
+        F.array(F.concat(F.lit("g"), 1 + c("p_size") % 3), F.lit(" g0")).alias("goals"), F.array(F.concat(F.when(c("p_partkey") % 7 == 0, "file_").otherwise("res_"), "p_brand")).alias("reads"),
+        none.alias("writes"), none.alias("exclusive"), F.array(F.lit("m"), F.lit("m ")).alias("mutexes"), (c("p_size") % 6).alias("evidence_strength"), (c("p_size") % 5).alias("tool_cost"),
+    )
+    return rules.planning_facts(v).select("p_partkey", "facts_hash")
