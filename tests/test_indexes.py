@@ -166,3 +166,31 @@ def test_stop_word_blocks_stay_closed(spark):
     stop = chosen.where("term = 'the'").count()
     assert stop < 0.8 * 2 * blocks.where("term = 'the'").count()
     assert hits(channels.ranked(scored, "bm25", 5)) == hits(channels.bm25(d, q, 5))
+
+
+@pytest.mark.parametrize("limit", [1, 5, 1000])
+def test_facets_against_brute_force(spark, limit):
+    r = random.Random(limit)
+    value = lambda n: None if r.random() < 0.05 else f"v{min(r.randrange(n), r.randrange(n))}"
+    some = lambda: None if r.random() < 0.05 else [f"c{min(r.randrange(9), r.randrange(9))}" for _ in range(r.randrange(4))]
+    docs = [(i * 7919 % 997, value(3), value(4), some()) for i in range(400)]
+    asked = [(i, value(3), value(4), some()) for i in range(25)] + [(99, None, None, None)]
+    got = channels.facet(spark.createDataFrame(docs, "version_id long, environment string, harness string, contracts array<string>"), spark.createDataFrame(asked, "query_id long, environment string, harness string, contracts array<string>"), limit)
+    want = set()
+    for q, e, h, c in asked:
+        scored = [(4 * (e is not None and e == e2) + 2 * (h is not None and h == h2) + bool(set(c or ()) & set(c2 or ())), v) for v, e2, h2, c2 in docs]
+        best = sorted((x for x in scored if x[0]), key=lambda x: (-x[0], x[1]))[:limit]
+        want |= {(q, v, s, k + 1) for k, (s, v) in enumerate(best)}
+    assert {(x.query_id, x.version_id, x.score, x["rank"]) for x in got.collect()} == want
+
+
+def test_a_facet_that_all_share_meets_few_versions(spark):
+    docs = spark.range(20_000).selectExpr("id AS version_id", "if(id < 0, 'x', 'prod') AS environment", "if(id < 0, 'x', 'h') AS harness", "array(if(id < 0, 'x', 'c')) AS contracts")
+    asked = spark.range(200).selectExpr("id AS query_id", "if(id < 0, 'x', 'prod') AS environment", "if(id < 0, 'x', 'h') AS harness", "array(if(id < 0, 'x', 'c')) AS contracts")
+    out = channels.facet(docs, asked, 3)
+    assert {(r.version_id, r.score) for r in out.where("query_id = 7").collect()} == {(0, 7), (1, 7), (2, 7)} and out.count() == 600
+    assert "CartesianProduct" not in plan_of(out) and "NestedLoop" not in plan_of(out)
+
+
+def plan_of(df):
+    return df._jdf.queryExecution().executedPlan().toString()

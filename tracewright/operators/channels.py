@@ -7,6 +7,8 @@ window with a limit, which Spark applies before the shuffle as well."""
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -75,15 +77,34 @@ def bm25(docs: DataFrame, queries: DataFrame, limit: int, k1: float = 1.2, b: fl
     return ranked(hits, "bm25", limit)
 
 
+FACETS = ["environment", "harness"]
+
+
+def first_versions(rows: DataFrame, keys: list[str], limit: int) -> DataFrame:
+    """The `limit` smallest version ids under each key, cut before the shuffle as well."""
+    place = Window.partitionBy(*keys).orderBy("version_id")
+    return rows.withColumn("__place", F.row_number().over(place)).where(F.col("__place") <= limit).drop("__place")
+
+
 def facet(docs: DataFrame, queries: DataFrame, limit: int) -> DataFrame:
-    """4 for the environment, 2 for the harness, 1 for any shared contract. A pair scores through one of three equality
-    joins; the union of their (query, version, points) rows is summed."""
-    q, d = queries.select("query_id", "environment", "harness", "contracts"), docs.select("version_id", "environment", "harness", "contracts")
-    by = lambda c, points: q.join(d.select("version_id", c), c).select("query_id", "version_id", F.lit(points).alias("points"))
-    one = lambda t, i: t.select(i, F.explode("contracts").alias("contract"))
-    shared = one(q, "query_id").join(one(d, "version_id"), "contract").select("query_id", "version_id", F.lit(1).alias("points")).distinct()
-    points = by("environment", 4).unionByName(by("harness", 2)).unionByName(shared)
-    return ranked(points.groupBy("query_id", "version_id").agg(F.sum("points").alias("score")), "facet", limit)
+    """4 for the environment, 2 for the harness, 1 for any shared contract; one row per version and per query. Ties go to
+    the smaller version id, so a version among the best is one of the `limit` smallest under the facets it shares with the
+    query: whatever precedes it there scores as high. Those lists are made once for all queries; a query meets at most
+    `limit` versions for each of three sets of facets, and for four of each of its contracts, however many versions share
+    a facet."""
+    q, d = queries.select("query_id", *FACETS, "contracts"), docs.select("version_id", *FACETS, "contracts")
+    both = first_versions(d, FACETS, limit)
+    lists = [(both, FACETS), *((first_versions(both, [f], limit), [f]) for f in FACETS)]
+    one = first_versions(d.withColumn("contract", F.explode(F.array_distinct("contracts"))), ["contract", *FACETS], limit)
+    of_facet = [(first_versions(one, ["contract", f], limit), ["contract", f]) for f in FACETS]
+    lists += [(one, ["contract", *FACETS]), *of_facet, (first_versions(one, ["contract"], limit), ["contract"])]
+    asked = q.withColumn("contract", F.explode(F.array_distinct("contracts")))
+    version = F.struct("version_id", *FACETS, "contracts").alias("d")
+    met = [(asked if "contract" in keys else q).select("query_id", *keys).join(rows.select(*keys, version), keys).select("query_id", "d") for rows, keys in lists]
+    pairs = reduce(DataFrame.unionByName, met).distinct().join(q, "query_id")
+    same = lambda ok, points: F.when(ok, points).otherwise(0)
+    score = same(F.col("d.environment") == F.col("environment"), 4) + same(F.col("d.harness") == F.col("harness"), 2) + same(F.arrays_overlap("d.contracts", "contracts"), 1)
+    return ranked(pairs.select("query_id", "d.version_id", score.cast("long").alias("score")), "facet", limit)
 
 
 def graph(edges: DataFrame, queries: DataFrame, limit: int) -> DataFrame:
