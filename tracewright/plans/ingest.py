@@ -17,6 +17,8 @@ from tracewright.sources.tables import Catalog, archive_put, checkpoint
 #: Limits of one request, in bytes and events.
 VALUE_BYTES, TASK_BYTES, MOST_EVENTS = 64 << 10, 256 << 10, 5000
 CONSENT = "learn_and_recall"
+#: What requests and events may tell besides, read by `plans.learning`.
+REQUEST_FACTS, EVENT_FACTS = ("harness", "harness_version", "environment"), ("tool_version", "state", "exit_code", "accesses")
 
 
 def sanitize(events: DataFrame) -> DataFrame:
@@ -29,8 +31,9 @@ def sanitize(events: DataFrame) -> DataFrame:
 def ingest(catalog: Catalog, archive: str, requests: DataFrame, events: DataFrame) -> DataFrame:
     """requests(tenant_id, idempotency_key, trace_key, task, consent) and their events(tenant_id, trace_key, position,
     tool_name, succeeded, value) -> tenant_id, idempotency_key, trace_id, status: accepted, duplicate, conflict or
-    rejected:<rules>. Accepted traces are archived; their events, receipts and jobs are one commit, which fails if another
-    writer has added receipts since these were read."""
+    rejected:<rules>. Requests may name harness, harness_version and environment, events the columns of EVENT_FACTS: what
+    is named is part of the trace's identity. Accepted traces are archived; traces, events, receipts and jobs are one
+    commit, which fails if another writer has added receipts since these were read."""
     c = F.col
     sizes = events.groupBy("tenant_id", "trace_key").agg(F.count("*").alias("n"), F.max("position").alias("last"), F.count_distinct("position").alias("kinds"), F.max(F.octet_length("value")).alias("widest"))
     r = requests.join(sizes, ["tenant_id", "trace_key"], "left").withColumn("row_id", F.concat_ws("\0", "tenant_id", "idempotency_key", "trace_key"))
@@ -41,10 +44,12 @@ def ingest(catalog: Catalog, archive: str, requests: DataFrame, events: DataFram
         "value_size": c("widest") <= VALUE_BYTES, "identity_free_of_secrets": ~S.holds_credentials(c("trace_key")),
     }
     broken = records.violations(r, "row_id", rules).groupBy("row_id").agg(F.array_join(F.array_sort(F.collect_set("rule")), ",").alias("rules"))
-    steps = F.array_sort(F.collect_list(F.struct("position", "succeeded", "tool_name", "value")))
+    steps = F.array_sort(F.collect_list(F.struct("position", "succeeded", "tool_name", "value", *[n for n in EVENT_FACTS if n in events.columns])))
     bodies = sanitize(events).groupBy("tenant_id", "trace_key").agg(F.to_json(steps).alias("steps"))
     task, _ = S.redact(S.token(c("task")))
-    full = r.join(bodies, ["tenant_id", "trace_key"], "left").join(broken, "row_id", "left").withColumn("body", canonical.struct_json(events=c("steps"), task=task, tenant_id=c("tenant_id")))
+    named = [n for n in REQUEST_FACTS if n in requests.columns]
+    full = r.join(bodies, ["tenant_id", "trace_key"], "left").join(broken, "row_id", "left").withColumn("task", task)
+    full = full.withColumn("body", canonical.struct_json(events=c("steps"), task=c("task"), tenant_id=c("tenant_id"), **{n: c(n) for n in named}))
     full = full.withColumn("content_hash", F.sha2("body", 256)).withColumn("trace_id", F.concat(F.lit("tr_"), "content_hash"))
     seen = catalog.head("receipts")
     known = catalog.read("receipts", as_of=seen)
@@ -55,7 +60,7 @@ def ingest(catalog: Catalog, archive: str, requests: DataFrame, events: DataFram
     new = tables.idempotent(judged.where("__old IS NULL"), ["tenant_id", "idempotency_key"], "content_hash", ["trace_key"])
     old = judged.where("__old IS NOT NULL").withColumn("status", F.when(c("__old") == c("content_hash"), "duplicate").otherwise("conflict"))
     rejected = full.where("rules IS NOT NULL").withColumn("status", F.concat(F.lit("rejected:"), "rules"))
-    columns = ["tenant_id", "idempotency_key", "trace_key", "trace_id", "content_hash", "body", "status"]
+    columns = ["tenant_id", "idempotency_key", "trace_key", "trace_id", "task", *named, "content_hash", "body", "status"]
     out = checkpoint(new.select(*columns).unionByName(old.select(*columns)).unionByName(rejected.select(*columns)))
     accepted = out.where("status = 'accepted'")
     if not accepted.isEmpty():
@@ -63,7 +68,8 @@ def ingest(catalog: Catalog, archive: str, requests: DataFrame, events: DataFram
         fresh = accepted.select("tenant_id", "trace_key", "trace_id")
         written = accepted.select("tenant_id", "idempotency_key", "trace_id", "content_hash")
         jobs = accepted.select("tenant_id", F.concat(F.lit("job_"), "trace_id").alias("job_id"), F.lit("synthesize").alias("kind"), "trace_id")
-        catalog.commit({"events": sanitize(events).join(fresh, ["tenant_id", "trace_key"]).drop("redactions"), "receipts": written, "outbox": jobs}, {"receipts": seen})
+        traces = accepted.select("tenant_id", "trace_id", "task", *named, "content_hash").distinct()
+        catalog.commit({"traces": traces, "events": sanitize(events).join(fresh, ["tenant_id", "trace_key"]).drop("redactions"), "receipts": written, "outbox": jobs}, {"receipts": seen})
     return out.select("tenant_id", "idempotency_key", "trace_id", "status")
 
 
@@ -71,7 +77,7 @@ def ingest(catalog: Catalog, archive: str, requests: DataFrame, events: DataFram
 OUTCOME_TABLES = {
     "outcome_receipts": "tenant_id STRING, idempotency_key STRING, outcome_id STRING, content_hash STRING",
     "outcomes": "tenant_id STRING, outcome_id STRING, trace_id STRING, injection_id STRING, supersedes_id STRING, content_hash STRING, state STRING, promotion_eligible BOOLEAN, created_at BIGINT",
-    "evidence": "tenant_id STRING, outcome_id STRING, predicate STRING, class STRING, verdict STRING, observed_at BIGINT",
+    "evidence": "tenant_id STRING, outcome_id STRING, predicate STRING, class STRING, verdict STRING, verifier STRING, observed_at BIGINT",
     "conflict_audits": "tenant_id STRING, outcome_id STRING, predicate STRING, created_at BIGINT",
     "credits": "tenant_id STRING, outcome_id STRING, injection_id STRING, version_id STRING, state STRING, credit_class STRING, reasons ARRAY<STRING>, created_at BIGINT",
     "credit_releases": "tenant_id STRING, outcome_id STRING, released_by STRING",
@@ -92,7 +98,7 @@ def current_credits(catalog: Catalog) -> DataFrame:
 
 def commit_outcomes(catalog: Catalog, outcomes: DataFrame, facts: DataFrame, selections: DataFrame, now: int, traces: DataFrame | None = None) -> DataFrame:
     """outcomes(tenant_id, idempotency_key, outcome_id, trace_id, injection_id, supersedes_id), facts(outcome_id, predicate,
-    class, verdict, observed_at) and selections(injection_id, version_id, created_at, expires_at, complete) -> tenant_id,
+    class, verdict, observed_at, and the verifier if it is known) and selections(injection_id, version_id, created_at, expires_at, complete) -> tenant_id,
     idempotency_key, outcome_id, status, state, credit_class, reasons.
 
     status: accepted; duplicate (the key again, same content); conflict (the key with other content, or the outcome with
@@ -106,8 +112,9 @@ def commit_outcomes(catalog: Catalog, outcomes: DataFrame, facts: DataFrame, sel
     c, key, who = F.col, ["tenant_id", "idempotency_key"], ["tenant_id", "outcome_id"]
     heads = catalog.heads(*OUTCOME_TABLES)
     read = lambda t: stored(catalog, t, heads[t])
-    told = F.array_sort(F.collect_list(F.struct("predicate", "class", "verdict", "observed_at")))
+    told = F.array_sort(F.collect_list(F.struct("predicate", "class", "verdict", "observed_at", *[n for n in ("verifier",) if n in facts.columns])))
     body = facts.groupBy("outcome_id").agg(told.alias("told"))
+    facts = facts if "verifier" in facts.columns else facts.withColumn("verifier", F.lit(None).cast("string"))
     o = outcomes.select(*key, "outcome_id", "trace_id", "injection_id", "supersedes_id").join(body, "outcome_id", "left")
     o = o.withColumn("content_hash", F.sha2(F.to_json(F.struct("tenant_id", "outcome_id", "trace_id", "injection_id", "supersedes_id", "told")), 256)).drop("told")
 
@@ -153,7 +160,7 @@ def commit_outcomes(catalog: Catalog, outcomes: DataFrame, facts: DataFrame, sel
         catalog.commit({
             "outcome_receipts": new.select(*key, "outcome_id", "content_hash"),
             "outcomes": fresh.join(state, who).select(*who, "trace_id", "injection_id", "supersedes_id", "content_hash", "state", "promotion_eligible", at),
-            "evidence": mine.select(*who, "predicate", "class", "verdict", c("observed_at").cast("long").alias("observed_at")),
+            "evidence": mine.select(*who, "predicate", "class", "verdict", "verifier", c("observed_at").cast("long").alias("observed_at")),
             "conflict_audits": predicates.where("conflict").join(fresh.select(*who), "outcome_id").select(*who, "predicate", at),
             "credits": credits,
             "credit_releases": fresh.where("__claimed IS NOT NULL").select("tenant_id", c("__claimed").alias("outcome_id"), c("outcome_id").alias("released_by")),
