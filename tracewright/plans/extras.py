@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from tracewright.operators import causal, channels, evidence, manifests, rules, tables
 from tracewright.operators import records as records_
 from tracewright.plans import adapters as A
-from tracewright.plans import catalog, records
+from tracewright.plans import catalog, composition, ingest, learning, records
 from tracewright.plans.catalog import QUERIES, SQL, query, text
 from tracewright.sources.tables import Catalog, read, shared_dir
 
@@ -143,3 +143,95 @@ def lifecycle_batch_json(spark: SparkSession, sf: str) -> DataFrame:
     scope = F.concat(F.when(c("version_id") % 3 == 1, "acme").otherwise("other"), F.lit("__u"), c("version_id"))
     rows = catalog.decisions(spark, sf).where("next_state <> prior_state").where(records_.organization(scope) == "acme")
     return rows.select(canonical.struct_json(version_id=c("version_id"), prior_state=c("prior_state"), next_state=c("next_state")).alias("line"))
+
+
+# --- the learning path -------------------------------------------------------------------------------------------
+
+LEARNED = f"""WITH RECURSIVE {A.FACTS}, calls AS (
+  SELECT user_id, evidence_id AS position, k, 'r' || (k % 12) AS resource, event_type AS tool, evidence_id % 331 = 0 AS opaque, event_type <> 'error' AS succeeded, event_type <> 'signup' AS reads,
+    event_type IN ('purchase', 'click') OR event_type = 'error' AND value > 480 AS writes, event_type IN ('purchase', 'signup') AS lasting
+  FROM facts
+), linked AS (
+  SELECT *, last_value(CASE WHEN writes THEN position END IGNORE NULLS) OVER (PARTITION BY user_id, resource ORDER BY position ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS writer FROM calls
+), edges AS (SELECT user_id, writer AS src, position AS dst, resource FROM linked WHERE reads AND writer IS NOT NULL
+), reach AS (
+  SELECT user_id, position FROM calls WHERE succeeded AND (lasting OR tool = 'view' AND user_id % 3 = 0) UNION SELECT e.user_id, e.src FROM reach r JOIN edges e ON e.user_id = r.user_id AND e.dst = r.position
+), unmet AS (SELECT DISTINCT user_id FROM reach JOIN calls USING (user_id, position) WHERE NOT succeeded
+), steps AS (SELECT c.*, r.position IS NULL AS uncertain FROM calls c LEFT JOIN reach r USING (user_id, position) WHERE succeeded
+), inner_edges AS (SELECT e.* FROM edges e JOIN steps a ON a.user_id = e.user_id AND a.position = src JOIN steps b ON b.user_id = e.user_id AND b.position = dst
+), asked AS (SELECT DISTINCT user_id, resource FROM steps s WHERE reads AND NOT EXISTS (FROM inner_edges e WHERE e.user_id = s.user_id AND e.dst = s.position)
+), given AS (SELECT user_id, resource, count(*) AS n FROM steps s WHERE writes AND NOT EXISTS (FROM inner_edges e WHERE e.user_id = s.user_id AND e.src = s.position) GROUP BY 1, 2
+), users AS (
+  SELECT user_id, bool_or(opaque) AS opaque, bool_or(NOT succeeded AND NOT opaque) AND user_id % 29 = 0 AS silent, count(DISTINCT CASE WHEN NOT succeeded THEN k END) AS failed, bool_or(succeeded AND tool = 'purchase') AS tested, bool_or(succeeded AND tool = 'view') AS watched FROM calls GROUP BY user_id
+), told AS (
+  SELECT user_id, failed, CASE WHEN silent THEN 'failed_step_without_result' WHEN user_id % 5 = 0 THEN 'outcome_not_verified' WHEN opaque THEN 'opaque_tool'
+    WHEN user_id % 7 = 0 OR NOT tested OR user_id % 3 = 0 AND NOT watched THEN 'uncovered_goal' WHEN user_id IN (FROM unmet) THEN 'failed_prerequisite' WHEN user_id IN (SELECT user_id FROM given WHERE n > 1) THEN 'ambiguous_provision' END AS code
+  FROM users
+)
+SELECT user_id, CASE WHEN code IS NULL THEN 'published' WHEN code IN ('failed_step_without_result', 'ambiguous_provision') THEN 'rejected' ELSE 'abstained' END AS disposition, code,
+  CASE WHEN code IS NULL THEN (SELECT count(*) FROM steps s WHERE s.user_id = t.user_id) END AS steps, CASE WHEN code IS NULL THEN (SELECT count(*) FROM steps s WHERE s.user_id = t.user_id AND uncertain) END AS uncertain,
+  CASE WHEN code IS NULL THEN (SELECT count(*) FROM inner_edges e WHERE e.user_id = t.user_id) END AS edges,
+  CASE WHEN code IS NULL THEN coalesce((SELECT string_agg(resource, ',' ORDER BY resource) FROM asked a WHERE a.user_id = t.user_id), '') END AS requirements,
+  CASE WHEN code IS NULL THEN coalesce((SELECT string_agg(resource, ',' ORDER BY resource) FROM given g WHERE g.user_id = t.user_id), '') END AS provisions,
+  CASE WHEN code IS NULL THEN failed END AS avoided
+FROM told t"""
+
+
+@query(LEARNED)
+def learned_procedures(spark: SparkSession, sf: str) -> DataFrame:
+    """A user's events as a trace with one outcome: stored, learned from, and read back from the procedures' tables."""
+    c, f = F.col, A.facts(spark, sf)
+    user = lambda prefix: F.concat(F.lit(prefix), c("user_id"))
+    tenant, failed = F.lit("acme").alias("tenant_id"), c("event_type") == "error"
+    use = F.struct(F.concat(F.lit("r"), c("k") % 12).alias("resource"), F.lit("s").alias("schema"), (c("event_type") != "signup").alias("reads"), (c("event_type").isin("purchase", "click") | (failed & (c("value") > 480))).alias("writes"))
+    events = f.select(
+        tenant, user("tr").alias("trace_id"), c("evidence_id").cast("int").alias("position"), c("event_type").alias("tool_name"), F.when(c("evidence_id") % 331 == 0, "9").otherwise("1").alias("tool_version"), (~failed).alias("succeeded"),
+        c("k").cast("string").alias("value"), F.when(~failed, "done").when(c("user_id") % 29 != 0, "failed").alias("state"), failed.cast("int").alias("exit_code"), F.array(use).alias("accesses"),
+    )
+    users = f.select("user_id").distinct()
+    traces = users.select(tenant, user("tr").alias("trace_id"), user("user ").alias("task"), F.lit("h").alias("harness"), F.lit("1").alias("harness_version"), F.lit("env").alias("environment"), F.sha2(user("tr"), 256).alias("content_hash"))
+    none = F.lit(None).cast("string")
+    outcomes = users.select(tenant, user("k").alias("idempotency_key"), user("o").alias("outcome_id"), user("tr").alias("trace_id"), none.alias("injection_id"), none.alias("supersedes_id"))
+    goal = lambda name, verifier=none, verdict=F.lit("satisfied"): users.select("user_id", user("o").alias("outcome_id"), F.lit(name).alias("predicate"), F.lit(evidence.CLASSES[0]).alias("class"), verdict.alias("verdict"), F.lit(1000).cast("long").alias("observed_at"), verifier.alias("verifier"))
+    goals = goal("tested", verdict=F.when(c("user_id") % 5 == 0, "failed").otherwise("satisfied")).unionByName(goal("watched", F.lit("ci")).where("user_id % 3 = 0")).unionByName(goal("proven by nothing").where("user_id % 7 = 0"))
+    kinds = [("click", "none", [], []), ("error", "none", [], []), ("purchase", "write", ["tested"], []), ("signup", "external", [], []), ("view", "read", [], ["ci"])]
+    contracts = spark.createDataFrame([("acme", f"c_{n}", n, "1", "1", "2", effect, "low", [], p, m) for n, effect, p, m in kinds], "tenant_id string, contract_id string, name string, version string, minimum string, maximum string, side_effect string, risk string, effects array<string>, predicates array<string>, methods array<string>")
+    store = Catalog(spark, f"{shared_dir(spark)}/learned-{uuid.uuid4().hex}")
+    store.commit({"traces": traces, "events": events})
+    selections = spark.createDataFrame([], "injection_id string, version_id string, created_at long, expires_at long, complete boolean")
+    ingest.commit_outcomes(store, outcomes, goals.drop("user_id"), selections, 1000, traces)
+    got = learning.run(store, learning.pending(store).where("outcome_id IS NOT NULL"), contracts, 1000)
+    of = lambda t: learning.stored(store, t)
+    steps = of("procedure_steps").groupBy("version_id").agg(F.count("*").alias("steps"), F.count_if("uncertain_necessity").alias("uncertain"))
+    edges = of("procedure_edges").groupBy("version_id").agg(F.count("*").alias("edges"))
+    named = lambda kind: text(F.array_sort(F.collect_list(F.when(c("kind") == kind, c("resource")))))
+    ends = of("procedure_interfaces").groupBy("version_id").agg(named("requirement").alias("requirements"), named("provision").alias("provisions"))
+    avoided = of("negative_paths").groupBy("version_id").agg(F.count("*").alias("avoided"))
+    for part in (steps, edges, ends, avoided):
+        got = got.join(part, "version_id", "left")
+    known = lambda name, value: F.when(c("version_id").isNotNull(), F.coalesce(name, F.lit(value))).alias(name)
+    return got.select(F.substring("trace_id", 3, 20).cast("long").alias("user_id"), "disposition", "code", "steps", "uncertain", known("edges", 0), known("requirements", ""), known("provisions", ""), known("avoided", 0))
+
+
+@query("""WITH c AS (SELECT c_custkey, s_suppkey, s_suppkey % 5 = c_custkey % 5 AS covered, s_suppkey % 4 = 0 AS asks FROM customer JOIN supplier ON s_nationkey = c_nationkey),
+b AS (SELECT *, covered AND NOT asks AS complete, row_number() OVER (PARTITION BY c_custkey ORDER BY NOT covered OR asks, covered DESC, s_suppkey DESC) AS n FROM c)
+SELECT c_custkey AS query_id, 's' || s_suppkey AS version_id, CASE WHEN NOT complete THEN 'partial' WHEN c_custkey % 2 = 0 THEN 'exact' ELSE 'known_shape' END AS novelty, CAST(NOT covered AS BIGINT) + CAST(asks AS BIGINT) AS gaps,
+  CASE WHEN complete THEN 0 END AS level, CASE WHEN c_custkey % 10 = 0 THEN 'content_hash_mismatch' ELSE 'held' END AS reason FROM b WHERE n = 1""")
+def selection_store(spark: SparkSession, sf: str) -> DataFrame:
+    """Customers ask their nation's suppliers for a goal; the plans are stored, every tenth is forged, and all are read
+    back. Nothing is offered to those that ask for a resource, so each plan is the best procedure by itself."""
+    c = F.col
+    name = F.concat(F.lit("s"), "s_suppkey").alias("version_id")
+    s, q = read(spark, sf, "supplier"), read(spark, sf, "customer")
+    goal = lambda key: F.array(F.concat(F.lit("g"), c(key) % 5))
+    versions = s.select(name, goal("s_suppkey").alias("goals"), (c("s_suppkey") * 1000 + 100_000).cast("long").alias("evidence_strength"), F.lit(True).alias("observed"), F.lit(1).cast("long").alias("risk_cost"), F.lit(2).cast("long").alias("tool_cost"), F.lit(False).alias("serial"))
+    interfaces = s.where("s_suppkey % 4 = 0").select(name, F.lit("requirement").alias("kind"), F.lit("x").alias("resource"), F.lit("s").alias("schema"))
+    ranked = q.join(s, c("c_nationkey") == c("s_nationkey")).select(c("c_custkey").cast("long").alias("query_id"), name)
+    wanted = q.select(c("c_custkey").cast("long").alias("query_id"), goal("c_custkey").alias("goals"), F.array().cast("array<string>").alias("satisfied"), (c("c_custkey") % 2 == 0).alias("exact"))
+    parts = composition.composed(ranked, wanted, versions, interfaces, composition.graph(interfaces))
+    store = Catalog(spark, f"{shared_dir(spark)}/selections-{uuid.uuid4().hex}")
+    ids = composition.record(store, "acme", parts, 1000)
+    forged = ids.where("query_id % 10 = 0").select(F.lit("acme").alias("tenant_id"), "injection_id", F.lit("a").alias("source"), F.lit("b").alias("target"), F.array(F.lit("req_x")).alias("requirement_ids"))
+    store.append("selection_edges", forged)
+    told = composition.hydrate(store, "acme", ids, 2000)
+    return told.select("query_id", F.inline("steps"), "novelty", F.size("gaps").cast("long").alias("gaps"), "reason").select("query_id", "version_id", "novelty", "gaps", "level", F.coalesce("reason", F.lit("held")).alias("reason"))
