@@ -26,7 +26,7 @@ def on_disk(root):
     return held
 
 
-WANT = {"events": 1, "notes": 2, "outbox": 1, "receipts": 1}
+WANT = {"traces": 1, "events": 1, "notes": 2, "outbox": 1, "receipts": 1}
 
 
 def settled(c, root, receipt):
