@@ -1,0 +1,12 @@
+"""Odd values and large groups: what a batch must survive."""
+
+from __future__ import annotations
+
+
+from tracewright.operators import records
+
+
+def test_a_judgment_out_of_range_does_not_end_the_batch(spark):
+    df = spark.createDataFrame([(1, 4_000_003, 7, 5, 0, 0), (2, 9, 6, 1_000_000, 0, 0), (3, None, 1, 1, 1, 1)], "id long, intent_score long, coverage_score long, contradicts long, preconditions long, partial_plan long")
+    got = {r.id: (r.intent_fit, r.task_coverage, r.non_contradiction, r.in_range) for r in records.judgment_features(df).collect()}
+    assert got == {1: (1_000_000, 1, 999_995, False), 2: (2, 1, 0, True), 3: (None, 0, 999_999, False)}

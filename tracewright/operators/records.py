@@ -212,12 +212,14 @@ def quarantine(rows: DataFrame, rules: dict[str, Column], key: str) -> tuple[Dat
 
 
 def judgment_features(j: DataFrame) -> DataFrame:
-    """Micros of a judgment as features: scores from 0 to 4 are quartered, contradiction is turned round; out of range
-    raises."""
-    inside = lambda c, most: F.when(F.col(c).between(0, most), F.col(c)).otherwise(F.raise_error(F.lit(f"{c} out of range")).cast("long"))
+    """Micros of a judgment as features: scores from 0 to 4 are quartered, contradiction is turned round. Plus in_range: a
+    judgment out of range keeps its row and its figures, and is marked, so that it does not end the batch."""
+    c = F.col
+    scores = ("intent_score", "coverage_score")
+    inside = [c(n).between(0, 4 * S.PPM) for n in scores] + [c(n).between(0, S.PPM) for n in ("contradicts", "preconditions", "partial_plan")]
     return j.withColumns({
-        "intent_fit": F.floor(inside("intent_score", 4 * S.PPM) / 4).cast("long"), "task_coverage": F.floor(inside("coverage_score", 4 * S.PPM) / 4).cast("long"),
-        "non_contradiction": (S.PPM - inside("contradicts", S.PPM)).cast("long"), "preconditions": inside("preconditions", S.PPM), "partial_plan": inside("partial_plan", S.PPM),
+        "intent_fit": F.call_function("div", c("intent_score"), F.lit(4)).cast("long"), "task_coverage": F.call_function("div", c("coverage_score"), F.lit(4)).cast("long"),
+        "non_contradiction": (S.PPM - c("contradicts")).cast("long"), "in_range": F.coalesce(reduce(Column.__and__, inside), F.lit(False)),
     })
 
 
