@@ -3,10 +3,43 @@
 from __future__ import annotations
 
 
-from tracewright.operators import records
+import random
+
+from pyspark.sql import functions as F
+
+from tracewright.operators import compose, records
+from tracewright.plans import catalog
+from tracewright.plans import composition as C
+
+SF = "/root/testdata/sf0.001"
 
 
 def test_a_judgment_out_of_range_does_not_end_the_batch(spark):
     df = spark.createDataFrame([(1, 4_000_003, 7, 5, 0, 0), (2, 9, 6, 1_000_000, 0, 0), (3, None, 1, 1, 1, 1)], "id long, intent_score long, coverage_score long, contradicts long, preconditions long, partial_plan long")
     got = {r.id: (r.intent_fit, r.task_coverage, r.non_contradiction, r.in_range) for r in records.judgment_features(df).collect()}
     assert got == {1: (1_000_000, 1, 999_995, False), 2: (2, 1, 0, True), 3: (None, 0, 999_999, False)}
+
+
+def ports_of(spark, seed):
+    """Versions with one kind or several, on both sides, some of them on both."""
+    r = random.Random(seed)
+    some = lambda: r.sample(["x", "y", "z"], r.randint(0, 2))
+    one = lambda prefix, ids: [(r.choice(ids), f"{prefix}{i}", r.choice(["r1", "r2"]), r.choice(["s1", "s2", "s3", ""]), some() + some()) for i in range(60)]
+    given, asked = one("p", range(25)), one("q", range(15, 45))
+    kinds = lambda name: f"version_id long, {name} string, resource string, schema string, predicates array<string>"
+    rules = [("s1", "s2")]
+    want = {}
+    for v, p, resource, schema, has in given:
+        for w, q, other, needed, asks in asked:
+            if schema and needed and v != w and resource == other and (schema == needed or (schema, needed) in rules) and set(asks) <= set(has):
+                pair = want.setdefault((v, w), (set(), set()))
+                pair[0].add(p)
+                pair[1].add(q)
+    return spark.createDataFrame(given, kinds("provision_id")), spark.createDataFrame(asked, kinds("requirement_id")), spark.createDataFrame(rules, "provided string, required string"), want
+
+
+def test_pairs_of_frequent_kinds_are_dealt_out(spark):
+    p, r, rules, want = ports_of(spark, 1)
+    got = compose.compatibility(p, r, rules)
+    assert {(x.source, x.target): (set(x.provision_ids), set(x.requirement_ids)) for x in got.collect()} == want and got.count() == len(want)
+    assert "__part" in got._jdf.queryExecution().toString()

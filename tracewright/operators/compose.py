@@ -9,26 +9,65 @@ from dataclasses import dataclass
 
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tracewright.functions import canonical
 
 
-def compatibility(provisions: DataFrame, requirements: DataFrame, rules: DataFrame | None = None) -> DataFrame:
-    """source, target, provision_ids, requirement_ids. provisions(version_id, provision_id, resource, schema, predicates);
-    requirements(version_id, requirement_id, resource, schema, predicates); rules(provided, required) name schemas that
-    fit though they differ. A blank schema never fits; what is guaranteed must cover what is asked."""
-    p = provisions.where("schema <> ''").select(F.col("version_id").alias("source"), "provision_id", "resource", F.col("schema").alias("provided"), F.col("predicates").alias("given"))
-    r = requirements.where("schema <> ''").select(F.col("version_id").alias("target"), "requirement_id", "resource", F.col("schema").alias("required"), F.col("predicates").alias("asked"))
-    pairs = p.join(r, "resource").where("source <> target")
+#: Parts that the targets of one kind of requirement are dealt into, so that a frequent kind is no single task.
+PARTS = 16
+
+
+def _sides(provisions: DataFrame, requirements: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(source, provision_id, offer), (target, requirement_id, ask): those that can fit anything."""
+    known = "schema <> '' AND resource IS NOT NULL AND predicates IS NOT NULL"
+    kind = F.struct("resource", "schema", F.array_sort(F.array_distinct("predicates")).alias("predicates"))
+    p = provisions.where(known).select(F.col("version_id").alias("source"), "provision_id", kind.alias("offer"))
+    return p, requirements.where(known).select(F.col("version_id").alias("target"), "requirement_id", kind.alias("ask"))
+
+
+def _fits(p: DataFrame, r: DataFrame, rules: DataFrame | None) -> DataFrame:
+    """offer, ask: kinds that fit, each pair once, however many versions are of a kind."""
+    o = p.select("offer").distinct().select("offer", "offer.resource", F.col("offer.schema").alias("provided"))
+    a = r.select("ask").distinct().select("ask", "ask.resource", F.col("ask.schema").alias("required"))
     if rules is None:
-        pairs = pairs.where("provided = required")
+        pairs = o.withColumn("required", F.col("provided")).join(a, ["resource", "required"])
     else:
         known = rules.select("provided", "required").distinct().withColumn("ruled", F.lit(True))
-        pairs = pairs.join(known, ["provided", "required"], "left").where("provided = required OR ruled")
-    pairs = pairs.where(F.size(F.array_except("asked", "given")) == 0)
-    return pairs.groupBy("source", "target").agg(F.array_sort(F.collect_set("provision_id")).alias("provision_ids"), F.array_sort(F.collect_set("requirement_id")).alias("requirement_ids"))
+        pairs = o.join(a, "resource").join(known, ["provided", "required"], "left").where("provided = required OR ruled")
+    return pairs.where(F.size(F.array_except("ask.predicates", "offer.predicates")) == 0).select("offer", "ask")
+
+
+def _partitions(df: DataFrame) -> int:
+    spark = df.sparkSession
+    return max(int(spark.conf.get("spark.sql.shuffle.partitions")), 4 * spark.sparkContext.defaultParallelism)
+
+
+def compatibility(provisions: DataFrame, requirements: DataFrame, rules: DataFrame | None = None) -> DataFrame:
+    """source, target, provision_ids, requirement_ids. provisions(version_id, provision_id, resource, schema, predicates);
+    requirements(version_id, requirement_id, resource, schema, predicates); rules(provided, required) name schemas that
+    fit though they differ. A blank schema never fits; what is guaranteed must cover what is asked.
+
+    Kinds are matched first, so only pairs that fit are made. A pair whose versions have one kind each is made once and
+    needs no grouping; only pairs of versions with several kinds are gathered."""
+    p, r = _sides(provisions, requirements)
+    several = lambda key: F.count("*").over(Window.partitionBy(key)) > 1
+    s = p.groupBy("source", "offer").agg(F.array_sort(F.collect_set("provision_id")).alias("provision_ids")).withColumn("__many", several("source"))
+    t = r.groupBy("target", "ask").agg(F.array_sort(F.collect_set("requirement_id")).alias("requirement_ids")).withColumn("__some", several("target"))
+    n = _partitions(p)
+    s = s.join(_fits(p, r, rules), "offer").drop("offer").withColumn("__part", F.explode(F.sequence(F.lit(0), F.lit(PARTS - 1))))
+    t = t.withColumn("__part", F.pmod(F.xxhash64("target"), F.lit(PARTS)).cast("int"))
+
+    def pairs(left: DataFrame, right: DataFrame) -> DataFrame:
+        """The number of partitions is given: inputs are small against what they make, so their size must not set it."""
+        met = left.repartition(n, "ask", "__part").join(right.repartition(n, "ask", "__part"), ["ask", "__part"])
+        return met.where("source <> target").select("source", "target", "provision_ids", "requirement_ids")
+
+    one = pairs(s.where("NOT __many"), t.where("NOT __some"))
+    more = pairs(s.where("__many"), t).unionByName(pairs(s.where("NOT __many"), t.where("__some")))
+    whole = lambda name: F.array_sort(F.array_distinct(F.flatten(F.collect_list(name)))).alias(name)
+    return one.unionByName(more.groupBy("source", "target").agg(whole("provision_ids"), whole("requirement_ids")))
 
 
 def over_limit(provisions: DataFrame, most: int = 128) -> DataFrame:
