@@ -43,3 +43,9 @@ def test_pairs_of_frequent_kinds_are_dealt_out(spark):
     got = compose.compatibility(p, r, rules)
     assert {(x.source, x.target): (set(x.provision_ids), set(x.requirement_ids)) for x in got.collect()} == want and got.count() == len(want)
     assert "__part" in got._jdf.queryExecution().toString()
+
+
+def test_targets_are_counted_without_pairs(spark):
+    p, r, rules, want = ports_of(spark, 2)
+    got = {x.source: x.targets for x in compose.target_counts(p, r, rules).collect()}
+    assert got == {v: sum(a == v for a, _ in want) for v in {a for a, _ in want}}

@@ -70,6 +70,20 @@ def compatibility(provisions: DataFrame, requirements: DataFrame, rules: DataFra
     return one.unionByName(more.groupBy("source", "target").agg(whole("provision_ids"), whole("requirement_ids")))
 
 
+def target_counts(provisions: DataFrame, requirements: DataFrame, rules: DataFrame | None = None) -> DataFrame:
+    """source, targets: how many targets `compatibility` gives each source that has any. Versions with the same kinds are
+    counted together, so no pair of versions is made."""
+    p, r = _sides(provisions, requirements)
+    fits = _fits(p, r, rules)
+    kinds = lambda rows, key, kind: rows.groupBy(key).agg(F.array_sort(F.collect_set(kind)).alias(f"{kind}s"))
+    s, t = kinds(p, "source", "offer"), kinds(r, "target", "ask").groupBy("asks").agg(F.count("*").alias("n"))
+    met = s.select("offers").distinct().select("offers", F.explode("offers").alias("offer")).join(fits, "offer").join(t.select("asks", "n", F.explode("asks").alias("ask")), "ask")
+    totals = met.select("offers", "asks", "n").distinct().groupBy("offers").agg(F.sum("n").alias("targets"))
+    own = p.join(r, F.col("source") == F.col("target")).join(fits, ["offer", "ask"]).select("source").distinct().withColumn("__own", F.lit(1))
+    out = s.join(totals, "offers").join(own, "source", "left").withColumn("targets", F.col("targets") - F.coalesce("__own", F.lit(0)))
+    return out.where("targets > 0").select("source", "targets")
+
+
 def over_limit(provisions: DataFrame, most: int = 128) -> DataFrame:
     """Resources with more providers than a graph may have: counted before the join is made."""
     return provisions.groupBy("resource").agg(F.count("*").alias("providers")).where(F.col("providers") > most)
