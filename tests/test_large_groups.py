@@ -49,3 +49,11 @@ def test_targets_are_counted_without_pairs(spark):
     p, r, rules, want = ports_of(spark, 2)
     got = {x.source: x.targets for x in compose.target_counts(p, r, rules).collect()}
     assert got == {v: sum(a == v for a, _ in want) for v in {a for a, _ in want}}
+
+
+def test_neighbours_are_found_without_edges(spark):
+    p, r, rules, want = ports_of(spark, 3)
+    rows = [(plan, v) for plan in (1, 2, 3) for v in random.Random(plan).sample(range(45), 6)]
+    members = spark.createDataFrame(rows, "plan_id long, version_id long")
+    near = {(plan, b) for plan, v in rows for a, b in [*want, *[(b, a) for a, b in want]] if a == v} - set(rows)
+    assert {tuple(x) for x in compose.neighbours(p, r, members, rules).select("plan_id", "version_id").collect()} == near

@@ -84,6 +84,18 @@ def target_counts(provisions: DataFrame, requirements: DataFrame, rules: DataFra
     return out.where("targets > 0").select("source", "targets")
 
 
+def neighbours(provisions: DataFrame, requirements: DataFrame, members: DataFrame, rules: DataFrame | None = None) -> DataFrame:
+    """`adjacent` over the edges of `compatibility`, without making them: a plan's members reach kinds, and kinds reach the
+    versions of them. An edge from a member to itself leads to a member, so it adds nothing."""
+    p, r = _sides(provisions, requirements)
+    fits, c = _fits(p, r, rules), F.col
+    m = members.select("plan_id", "version_id")
+    gives, takes = p.select(c("source").alias("version_id"), "offer").distinct(), r.select(c("target").alias("version_id"), "ask").distinct()
+    reached = lambda near, far, kind, other: m.join(near, "version_id").select("plan_id", kind).distinct().join(fits, kind).select("plan_id", other).distinct().join(far, other).select("plan_id", "version_id")
+    both = reached(gives, takes, "offer", "ask").unionByName(reached(takes, gives, "ask", "offer")).distinct()
+    return both.join(m, ["plan_id", "version_id"], "left_anti")
+
+
 def over_limit(provisions: DataFrame, most: int = 128) -> DataFrame:
     """Resources with more providers than a graph may have: counted before the join is made."""
     return provisions.groupBy("resource").agg(F.count("*").alias("providers")).where(F.col("providers") > most)
