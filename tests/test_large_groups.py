@@ -57,3 +57,19 @@ def test_neighbours_are_found_without_edges(spark):
     members = spark.createDataFrame(rows, "plan_id long, version_id long")
     near = {(plan, b) for plan, v in rows for a, b in [*want, *[(b, a) for a, b in want]] if a == v} - set(rows)
     assert {tuple(x) for x in compose.neighbours(p, r, members, rules).select("plan_id", "version_id").collect()} == near
+
+
+def test_plans_by_what_is_given_are_plans_by_listed_edges(spark):
+    r, rows = random.Random(5), []
+    for plan in (1, 2, 3):
+        for v in range(14):
+            rows.append((plan, v, r.random() < 0.5, r.sample(["g1", "g2", "g3"], 1), ["g1", "g2", "g3"], [f"n{v}"] if v % 2 else [], [], r.randint(100, 2000), r.random() < 0.5, r.randint(1, 4), r.randint(0, 4), r.sample(["a", "b"], r.randint(0, 2)), r.sample(["a", "b"], 1)))
+    c = spark.createDataFrame(rows, "plan_id long, version_id long, seed boolean, goals array<string>, wanted array<string>, requirements array<string>, satisfied array<string>, evidence_strength long, observed boolean, risk_cost long, tool_cost long, gives array<string>, takes array<string>")
+    need = lambda x: F.concat(F.lit("n"), x)
+    told = c.withColumns({"at": F.col("version_id"), "takes": F.transform("takes", lambda t: F.struct(t.alias("resource"), need(F.col("version_id")).alias("requirement_id")))})
+    a, b = c.alias("a"), c.alias("b")
+    met = a.join(b, (F.col("a.plan_id") == F.col("b.plan_id")) & (F.col("a.version_id") < F.col("b.version_id")) & F.arrays_overlap("a.gives", "b.takes"))
+    feeds = met.groupBy("a.plan_id", "a.version_id").agg(F.collect_list(F.struct(F.col("b.version_id").alias("target"), F.array(need(F.col("b.version_id"))).alias("requirement_ids"))).alias("feeds"))
+    listed = c.drop("gives", "takes").join(feeds, ["plan_id", "version_id"], "left").withColumn("feeds", F.coalesce("feeds", F.array()))
+    planner = compose.Planner(beam=4, expansions=60)
+    assert sorted(compose.plan(told, planner).collect()) == sorted(compose.plan(listed, planner).collect())

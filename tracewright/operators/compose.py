@@ -156,8 +156,54 @@ def topological(nodes: set, edges: list[tuple]) -> list | None:
     return out
 
 
-def _state(p: Planner, by_id: dict, edges: list[dict], goals: set, satisfied: set, nodes: frozenset) -> dict | None:
-    inside = [e for e in edges if e["source"] in nodes and e["target"] in nodes]
+class Listed:
+    """Edges that are listed one by one."""
+
+    def __init__(self, edges: list[dict]):
+        self.out: dict = {}
+        self.near: dict = {}
+        for e in edges:
+            self.out.setdefault(e["source"], {}).setdefault(e["target"], []).append(e)
+            self.near.setdefault(e["source"], set()).add(e["target"])
+            self.near.setdefault(e["target"], set()).add(e["source"])
+
+    def beside(self, node) -> set:
+        return self.near.get(node, set())
+
+    def inside(self, nodes: frozenset) -> list[dict]:
+        return [e for a in nodes if (out := self.out.get(a)) for b in nodes if b in out for e in out[b]]
+
+
+class Later:
+    """Edges told by what candidates give and take: a candidate feeds all later ones (by `at`) that take what it gives.
+    They are worked out for the nodes asked about, so their number, which grows with the square, costs nothing."""
+
+    def __init__(self, candidates: list[dict]):
+        self.gives, self.takes, self.at, self.givers, self.takers = {}, {}, {}, {}, {}
+        for c in candidates:
+            v = c["version_id"]
+            self.at[v], self.gives[v], self.takes[v] = c["at"], set(c["gives"]), {}
+            for t in c["takes"]:
+                self.takes[v].setdefault(t["resource"], set()).add(t["requirement_id"])
+            for x in self.gives[v]:
+                self.givers.setdefault(x, set()).add(v)
+            for x in self.takes[v]:
+                self.takers.setdefault(x, set()).add(v)
+
+    def beside(self, node) -> set:
+        if node not in self.at:
+            return set()
+        at = self.at[node]
+        after = {v for x in self.gives[node] for v in self.takers.get(x, ()) if self.at[v] > at}
+        return after | {v for x in self.takes[node] for v in self.givers.get(x, ()) if self.at[v] < at}
+
+    def inside(self, nodes: frozenset) -> list[dict]:
+        found = ((a, b, self.gives[a] & self.takes[b].keys()) for a in nodes for b in nodes if self.at[a] < self.at[b])
+        return [{"source": a, "target": b, "requirement_ids": set().union(*[self.takes[b][x] for x in met])} for a, b, met in found if met]
+
+
+def _state(p: Planner, by_id: dict, edges: Listed | Later, goals: set, satisfied: set, nodes: frozenset) -> dict | None:
+    inside = edges.inside(nodes)
     order = topological(set(nodes), [(e["source"], e["target"]) for e in inside])
     if order is None:
         return None
@@ -178,18 +224,15 @@ def _state(p: Planner, by_id: dict, edges: list[dict], goals: set, satisfied: se
     return plan | {"set": nodes, "rank": rank, "complete": not gaps, "strength": strength, "risk": risk, "tools": tools, "hash": digest}
 
 
-def beam_search(p: Planner, candidates: list[dict], edges: list[dict], goals: set, satisfied: set) -> tuple[dict | None, list[str]]:
+def beam_search(p: Planner, candidates: list[dict], edges: list[dict] | Later, goals: set, satisfied: set) -> tuple[dict | None, list[str]]:
     """(best plan, limits met). Seeds first; each round adds one neighbouring version to every open state."""
+    edges = Listed(edges) if isinstance(edges, list) else edges
     by_id, limits, seen, spent = {c["version_id"]: c for c in candidates}, set(), set(), 0
     states = [s for c in sorted(by_id) if by_id[c]["seed"] and (s := _state(p, by_id, edges, goals, satisfied, frozenset([c])))]
     if not states:
         return None, []
     best = min(states, key=lambda s: s["rank"])
     seen |= {s["hash"] for s in states}
-    near: dict = {}
-    for e in edges:
-        near.setdefault(e["source"], set()).add(e["target"])
-        near.setdefault(e["target"], set()).add(e["source"])
 
     def keep(found: list[dict]) -> list[dict]:
         if len(found) > p.beam:
@@ -202,7 +245,9 @@ def beam_search(p: Planner, candidates: list[dict], edges: list[dict], goals: se
         for s in frontier:
             if s["complete"] or len(s["set"]) >= p.procedures:
                 continue
-            for n in sorted(set().union(*[near.get(x, set()) for x in s["set"]]) - s["set"]):
+            if spent >= p.expansions and "expansion_budget_exhausted" in limits:
+                break
+            for n in sorted(set().union(*[edges.beside(x) for x in s["set"]]) - s["set"]):
                 if spent >= p.expansions:
                     limits.add("expansion_budget_exhausted")
                     break
@@ -221,14 +266,17 @@ def beam_search(p: Planner, candidates: list[dict], edges: list[dict], goals: se
 
 def plan(candidates: DataFrame, planner: Planner = Planner()) -> DataFrame:
     """candidates(plan_id, version_id, seed, goals, wanted, requirements, satisfied, evidence_strength, observed,
-    risk_cost, tool_cost, feeds: array of struct(target, requirement_ids)) -> one row per plan_id."""
+    risk_cost, tool_cost, feeds: array of struct(target, requirement_ids)) -> one row per plan_id. Instead of feeds there
+    may be `at`, `gives` (array of resources) and `takes` (array of struct(resource, requirement_id)), see `Later`: the
+    rows of a plan then grow with its candidates and not with their pairs."""
+    listed = "feeds" in candidates.columns
 
     def run(rows: pd.DataFrame) -> pd.DataFrame:
         found = rows.sort_values("version_id").to_dict("records")
         for c in found:
             c["goals"], c["requirements"] = list(c["goals"]), list(c["requirements"])
         ids = {c["version_id"] for c in found}
-        edges = [{"source": c["version_id"], "target": f["target"], "requirement_ids": set(f["requirement_ids"])} for c in found for f in c["feeds"] if f["target"] in ids]
+        edges = [{"source": c["version_id"], "target": f["target"], "requirement_ids": set(f["requirement_ids"])} for c in found for f in c["feeds"] if f["target"] in ids] if listed else Later(found)
         best, limits = beam_search(planner, found, edges, set(found[0]["wanted"]), set(found[0]["satisfied"]))
         if best is None:
             return pd.DataFrame([], columns=["plan_id", "nodes", "gaps", "complete", "evidence_strength", "risk_cost", "tool_cost", "limits", "plan_hash"])
@@ -236,7 +284,8 @@ def plan(candidates: DataFrame, planner: Planner = Planner()) -> DataFrame:
 
     kind = dict(candidates.dtypes)
     schema = f"plan_id {kind['plan_id']}, nodes array<{kind['version_id']}>, gaps array<string>, complete boolean, evidence_strength long, risk_cost long, tool_cost long, limits array<string>, plan_hash string"
-    return candidates.groupBy("plan_id").applyInPandas(run, schema)
+    # a search is long and its rows are few: the number of partitions is given, so that their size does not join them
+    return candidates.repartition(_partitions(candidates), "plan_id").groupBy("plan_id").applyInPandas(run, schema)
 
 
 def schedule_groups(order: list, before: dict, clash: set) -> list[list]:
