@@ -73,3 +73,19 @@ def test_plans_by_what_is_given_are_plans_by_listed_edges(spark):
     listed = c.drop("gives", "takes").join(feeds, ["plan_id", "version_id"], "left").withColumn("feeds", F.coalesce("feeds", F.array()))
     planner = compose.Planner(beam=4, expansions=60)
     assert sorted(compose.plan(told, planner).collect()) == sorted(compose.plan(listed, planner).collect())
+
+
+def test_requests_with_one_pool_are_planned_once(spark, monkeypatch):
+    interfaces = spark.createDataFrame([("a", "provision", "x", "s"), ("b", "requirement", "x", "s"), ("c", "requirement", "y", "s")], "version_id string, kind string, resource string, schema string")
+    versions = spark.createDataFrame([(v, [f"g{v}"], 1000, True, 1, 2, False) for v in "abc"], "version_id string, goals array<string>, evidence_strength long, observed boolean, risk_cost long, tool_cost long, serial boolean")
+    pools = spark.createDataFrame([(1, "a"), (1, "b"), (2, "b"), (2, "c")], "pool_id int, version_id string")
+    rows = [(i, 1 + i % 3, [f"g{'abc'[i % 2]}"], [] if i % 5 else None, i % 4 == 0) for i in range(24)]  # pool 3 is empty
+    wanted = spark.createDataFrame(rows, "query_id long, pool_id int, goals array<string>, satisfied array<string>, exact boolean")
+    links, planned, plan = C.graph(interfaces), [], compose.plan
+    monkeypatch.setattr(compose, "plan", lambda rows, planner: planned.append(rows.select("plan_id").distinct().count()) or plan(rows, planner))
+    shared = C.composed(pools, wanted, versions, interfaces, links)
+    each = C.composed(wanted.join(pools, "pool_id").select("query_id", "version_id"), wanted.drop("pool_id"), versions, interfaces, links)
+    for part in ("plans", "nodes", "edges"):
+        a, b = getattr(shared, part), getattr(each, part)
+        assert set(a.columns) == set(b.columns) and sorted(map(str, a.select(*sorted(a.columns)).collect())) == sorted(map(str, b.select(*sorted(b.columns)).collect()))
+    assert planned == [len({(p, *g, s is None) for _, p, g, s, _ in rows if p < 3}), 16]

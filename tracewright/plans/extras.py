@@ -226,8 +226,8 @@ def selection_store(spark: SparkSession, sf: str) -> DataFrame:
     goal = lambda key: F.array(F.concat(F.lit("g"), c(key) % 5))
     versions = s.select(name, goal("s_suppkey").alias("goals"), (c("s_suppkey") * 1000 + 100_000).cast("long").alias("evidence_strength"), F.lit(True).alias("observed"), F.lit(1).cast("long").alias("risk_cost"), F.lit(2).cast("long").alias("tool_cost"), F.lit(False).alias("serial"))
     interfaces = s.where("s_suppkey % 4 = 0").select(name, F.lit("requirement").alias("kind"), F.lit("x").alias("resource"), F.lit("s").alias("schema"))
-    ranked = q.join(s, c("c_nationkey") == c("s_nationkey")).select(c("c_custkey").cast("long").alias("query_id"), name)
-    wanted = q.select(c("c_custkey").cast("long").alias("query_id"), goal("c_custkey").alias("goals"), F.array().cast("array<string>").alias("satisfied"), (c("c_custkey") % 2 == 0).alias("exact"))
+    ranked = s.select(c("s_nationkey").alias("pool_id"), name)
+    wanted = q.select(c("c_custkey").cast("long").alias("query_id"), c("c_nationkey").alias("pool_id"), goal("c_custkey").alias("goals"), F.array().cast("array<string>").alias("satisfied"), (c("c_custkey") % 2 == 0).alias("exact"))
     parts = composition.composed(ranked, wanted, versions, interfaces, composition.graph(interfaces))
     store = Catalog(spark, f"{shared_dir(spark)}/selections-{uuid.uuid4().hex}")
     ids = composition.record(store, "acme", parts, 1000)
