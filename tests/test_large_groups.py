@@ -89,3 +89,9 @@ def test_requests_with_one_pool_are_planned_once(spark, monkeypatch):
         a, b = getattr(shared, part), getattr(each, part)
         assert set(a.columns) == set(b.columns) and sorted(map(str, a.select(*sorted(a.columns)).collect())) == sorted(map(str, b.select(*sorted(b.columns)).collect()))
     assert planned == [len({(p, *g, s is None) for _, p, g, s, _ in rows if p < 3}), 16]
+
+
+def test_conflicts_take_one_shuffle_by_plan(spark):
+    for name in ("conflict_matrix", "parallel_schedule"):
+        text = catalog.QUERIES[name](spark, SF)._jdf.queryExecution().executedPlan().toString()
+        assert len({line.split("hashpartitioning(")[1].split(",")[0].split("#")[0] for line in text.splitlines() if "hashpartitioning(" in line}) == 1 and "version_id" not in "".join(line for line in text.splitlines() if "hashpartitioning(" in line)

@@ -109,21 +109,29 @@ def adjacent(edges: DataFrame, members: DataFrame) -> DataFrame:
     return both.join(members, ["plan_id", "version_id"], "left_anti")
 
 
+def _clash(a: str, b: str) -> Column:
+    """Whether two nodes may not run side by side: one is serial, both hold a mutex, or one changes what the other uses."""
+    of = lambda x, *names: F.concat(*[F.coalesce(f"{x}.{name}", F.array()) for name in names])
+    meets = lambda x, y: F.coalesce(F.arrays_overlap(x, y), F.lit(False))
+    changes, uses = ("writes", "exclusive"), ("reads", "writes", "exclusive")
+    serial = F.coalesce(f"{a}.serial", F.lit(False)) | F.coalesce(f"{b}.serial", F.lit(False))
+    return serial | meets(of(a, *changes), of(b, *uses)) | meets(of(b, *changes), of(a, *uses)) | meets(of(a, "mutexes"), of(b, "mutexes"))
+
+
 def conflicts(facts: DataFrame) -> DataFrame:
     """plan_id, left, right: pairs of a plan's nodes that may not run side by side. facts(plan_id, version_id, reads,
-    writes, exclusive, mutexes, serial). A plan has at most a few dozen nodes, so pairs within it are few; pairs come
-    from equality joins on the shared resource, or from a node that is serial."""
-    access = lambda c, kind: facts.select("plan_id", "version_id", F.explode(c).alias("resource"), F.lit(kind).alias("kind"))
-    rows = access("reads", "r").unionByName(access("writes", "w")).unionByName(access("exclusive", "x")).unionByName(access(F.transform("mutexes", lambda m: F.concat(F.lit("mutex:"), m)), "m"))
-    rows = rows.distinct()
-    l, r = rows.alias("l"), rows.alias("r")
-    same = (F.col("l.plan_id") == F.col("r.plan_id")) & (F.col("l.resource") == F.col("r.resource")) & (F.col("l.version_id") < F.col("r.version_id"))
-    clash = l.join(r, same & ~((F.col("l.kind") == "r") & (F.col("r.kind") == "r")))
-    found = clash.select(F.col("l.plan_id").alias("plan_id"), F.col("l.version_id").alias("left"), F.col("r.version_id").alias("right"))
-    s = facts.where("serial").select("plan_id", F.col("version_id").alias("s"))
-    alone = s.join(facts.select("plan_id", "version_id"), "plan_id").where("s <> version_id")
-    alone = alone.select("plan_id", F.least("s", "version_id").alias("left"), F.greatest("s", "version_id").alias("right"))
-    return found.unionByName(alone).distinct()
+    writes, exclusive, mutexes, serial). A plan has at most a few dozen nodes, so its nodes are joined on the plan and
+    compared as they meet: both sides and the last step share one shuffle by plan."""
+    l, r = facts.alias("l"), facts.alias("r")
+    found = l.join(r, (F.col("l.plan_id") == F.col("r.plan_id")) & (F.col("l.version_id") < F.col("r.version_id")) & _clash("l", "r"))
+    return found.select(F.col("l.plan_id").alias("plan_id"), F.col("l.version_id").alias("left"), F.col("r.version_id").alias("right")).distinct()
+
+
+def conflicting(facts: DataFrame) -> DataFrame:
+    """plan_id, version_id, conflicting: every node with the earlier nodes it may not run beside, by the same one shuffle."""
+    l, r = facts.alias("l"), facts.alias("r")
+    met = l.join(r, (F.col("l.plan_id") == F.col("r.plan_id")) & (F.col("r.version_id") < F.col("l.version_id")) & _clash("l", "r"), "left")
+    return met.groupBy(F.col("l.plan_id").alias("plan_id"), F.col("l.version_id").alias("version_id")).agg(F.collect_set("r.version_id").alias("conflicting"))
 
 
 # --- plans -------------------------------------------------------------------------------------------------------
