@@ -7,7 +7,7 @@ import random
 
 from pyspark.sql import functions as F
 
-from tracewright.operators import compose, records
+from tracewright.operators import channels, compose, records
 from tracewright.plans import catalog
 from tracewright.plans import composition as C
 
@@ -95,3 +95,10 @@ def test_conflicts_take_one_shuffle_by_plan(spark):
     for name in ("conflict_matrix", "parallel_schedule"):
         text = catalog.QUERIES[name](spark, SF)._jdf.queryExecution().executedPlan().toString()
         assert len({line.split("hashpartitioning(")[1].split(",")[0].split("#")[0] for line in text.splitlines() if "hashpartitioning(" in line}) == 1 and "version_id" not in "".join(line for line in text.splitlines() if "hashpartitioning(" in line)
+
+
+def test_bm25_shuffles_texts_and_not_words(spark):
+    docs = spark.createDataFrame([(i, f"a b{i % 3} a") for i in range(9)], "version_id long, task string")
+    text = channels.bm25(docs, docs.select(F.col("version_id").alias("query_id"), "task"), 3)._jdf.queryExecution().executedPlan().toString()
+    dealt = {part.split(")")[0] for part in text.split("hashpartitioning(")[1:]}
+    assert not any("len#" in keys or "query_id#" in keys and "version_id#" in keys for keys in dealt)

@@ -63,17 +63,20 @@ def trigram(docs: DataFrame, queries: DataFrame, limit: int) -> DataFrame:
 
 
 def bm25(docs: DataFrame, queries: DataFrame, limit: int, k1: float = 1.2, b: float = 0.75) -> DataFrame:
-    """Full-text score in millionths. The reference's parameters are its database's; 1.2 and 0.75 are the usual ones."""
+    """Full-text score in millionths. The reference's parameters are its database's; 1.2 and 0.75 are the usual ones.
+
+    Texts are shuffled by version once; terms are counted and scores summed where their text lies, so neither words nor
+    hits are shuffled. The requests' weighted terms, a batch, are broadcast to them."""
     tokens = F.filter(F.split(F.lower("task"), r"[^\p{L}\p{N}]+"), lambda w: w != "")
-    d = docs.select("version_id", tokens.alias("t")).withColumn("len", F.size("t"))
+    d = docs.select("version_id", "task").repartition("version_id").select("version_id", tokens.alias("t")).withColumn("len", F.size("t"))
     stats = d.agg(F.count("*").alias("n_docs"), F.avg("len").alias("avg_len"))  # one row
     tf = d.select("version_id", "len", F.explode("t").alias("term")).groupBy("version_id", "len", "term").agg(F.count("*").alias("tf"))
     q = queries.select("query_id", F.explode(S.words(F.col("task"))).alias("term"))
-    df = tf.join(q.select("term").distinct(), "term", "left_semi").groupBy("term").agg(F.count("*").alias("df"))
+    df = tf.join(F.broadcast(q.select("term").distinct()), "term", "left_semi").groupBy("term").agg(F.count("*").alias("df"))
     idf = F.log(1 + (F.col("n_docs") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     weighted = df.crossJoin(F.broadcast(stats)).select("term", idf.alias("idf"), "avg_len")  # stats is one row
     part = F.col("idf") * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("len") / F.col("avg_len")))
-    hits = q.join(weighted, "term").join(tf, "term").groupBy("query_id", "version_id").agg(F.round(F.sum(part) * S.PPM).cast("long").alias("score"))
+    hits = tf.join(F.broadcast(q.join(weighted, "term")), "term").groupBy("query_id", "version_id").agg(F.round(F.sum(part) * S.PPM).cast("long").alias("score"))
     return ranked(hits, "bm25", limit)
 
 
