@@ -7,7 +7,7 @@ import random
 
 from pyspark.sql import functions as F
 
-from tracewright.operators import channels, compose, records
+from tracewright.operators import channels, compose, records, vectorindex
 from tracewright.plans import catalog
 from tracewright.plans import composition as C
 
@@ -107,3 +107,11 @@ def test_bm25_shuffles_texts_and_not_words(spark):
 def test_hash_chain_is_one_pass_over_a_partition(spark):
     text = catalog.QUERIES["epoch_hash_chain"](spark, SF)._jdf.queryExecution().executedPlan().toString()
     assert "FlatMapGroups" not in text and "MapInArrow" in text
+
+
+def test_centroids_take_the_first_vectors_by_hash(spark):
+    rows = spark.range(5000).select(F.col("id").alias("version_id"), F.array("id", F.lit(1).cast("long")).alias("qv"), F.xxhash64("id", F.lit(42)).alias("o"))
+    first = [r.version_id for r in rows.orderBy("o", "version_id").limit(300).collect()]
+    assert [r.version_id for r in vectorindex._sample(rows, 5000, 300)] == first
+    same = rows.withColumn("o", F.lit(7).cast("long"))  # one hash for all
+    assert sorted(r.version_id for r in vectorindex._sample(same, 5000, 300)) == list(range(300))
