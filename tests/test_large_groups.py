@@ -115,3 +115,30 @@ def test_centroids_take_the_first_vectors_by_hash(spark):
     assert [r.version_id for r in vectorindex._sample(rows, 5000, 300)] == first
     same = rows.withColumn("o", F.lit(7).cast("long"))  # one hash for all
     assert sorted(r.version_id for r in vectorindex._sample(same, 5000, 300)) == list(range(300))
+
+
+def test_a_batch_of_requests_is_counted_beside_the_documents(spark, monkeypatch):
+    r = random.Random(8)
+    text = lambda n: " ".join(r.choice(["aa", "ab", "Éx", "b𝒳c", "é", "zz", "q1"]) for _ in range(n))
+    docs = [(i, text(r.randint(0, 12))) for i in range(150)] + [(i, "aa ab zz") for i in range(900, 960)] + [(700, None), (701, "ab"), (None, "aa é"), (7, "aa zz ab q1"), (7, "q1")]
+    asked = [(i, text(r.randint(1, 6))) for i in range(20)] + [(50, ""), (51, None), (52, "ab")]
+    d = spark.createDataFrame(docs, "version_id long, task string").repartition(3)
+    q = spark.createDataFrame(asked, "query_id long, task string")
+    monkeypatch.setattr(channels, "CELLS", 200)  # many blocks of both sides
+    words = lambda t: set((t or "").lower().split())
+    grams = lambda t: {(t or "").lower()[i : i + 3] for i in range(len(t or "") - 2)}
+    for channel, members in ((channels.lexical, words), (channels.trigram, grams)):
+        got = channel(d, q, 5)
+        assert "MapInArrow" in got._jdf.queryExecution().toString()
+        sets, want = {}, []
+        for v, t in docs:
+            sets.setdefault(v, []).append(members(t))
+        for i, t in asked:
+            found = []
+            for v, ms in sets.items():
+                m, n = members(t), sum(len(members(t) & x) for x in ms)
+                size = min(len(x) for x in ms if x & m) + len(m) - n if n else 0
+                if size > 0:
+                    found.append((-(n * 1000000 // size), v is not None, v or 0))
+            want += [(i, v if known else None, -x, k + 1) for k, (x, known, v) in enumerate(sorted(found)[:5])]
+        assert sorted(map(str, want)) == sorted(str((x.query_id, x.version_id, x.score, x.rank)) for x in got.collect())

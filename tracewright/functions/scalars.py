@@ -24,8 +24,9 @@ def trigrams(text: Column) -> Column:
 
 
 def jaccard_ppm(shared: Column, left: Column, right: Column) -> Column:
-    """Integer Jaccard similarity in millionths from the sizes of the intersection and the two sets; 0 if one is empty."""
-    return F.when((left == 0) | (right == 0), F.lit(0)).otherwise(F.call_function("div", shared.cast("long") * PPM, left + right - shared)).cast("long")
+    """Integer Jaccard similarity in millionths from the sizes of the intersection and the two sets; 0 if one is empty. Null
+    where repeated rows share as much as both sides have."""
+    return F.when((left == 0) | (right == 0), F.lit(0)).otherwise(F.call_function("div", shared.cast("long") * PPM, F.nullif(left + right - shared, F.lit(0)))).cast("long")
 
 
 def token(value: Column) -> Column:

@@ -2,15 +2,22 @@
 
 Common shape: `docs` has version_id, `queries` has query_id; a channel returns query_id, channel, version_id, score,
 rank, ordered by score (descending) and version_id. Where few pairs share anything, pairs are found by
-equality joins on what they share; which side is broadcast is left to the optimizer's size check. Ranking is a
-window with a limit, which Spark applies before the shuffle as well."""
+equality joins on what they share; which side is broadcast is left to the optimizer's size check. Where most pairs share
+something, a bounded batch of queries is counted beside the documents. Ranking is a window with a limit, which Spark
+applies before the shuffle as well."""
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import from_arrow_type
 
 from tracewright.functions import scalars as S
 from tracewright.sources.tables import checkpoint
@@ -22,11 +29,18 @@ def ranked(hits: DataFrame, channel: str, limit: int) -> DataFrame:
     return best.select("query_id", F.lit(channel).alias("channel"), "version_id", F.col("score").cast("long").alias("score"), F.col("rank").cast("long").alias("rank"))
 
 
+#: A batch of requests that is counted beside the documents; a larger one is joined on its members.
+BATCH_QUERIES, BATCH_TEXT = 4096, 16 << 20
+#: Cells of a matrix that a task holds at a time.
+CELLS = 1 << 23
+
+
 def set_similarity(docs: DataFrame, queries: DataFrame, members, doc_text: str, query_text: str, limit: int | None = None) -> DataFrame:
     """query_id, version_id, score: integer Jaccard of two sets, of pairs that share a member. Pairs are found by joining
     on the members, so nothing is compared that shares none. With `limit`, only pairs that can be among the best of their
-    query are counted in full: similarity is at most the smaller size over the larger one, so the limit-th best score
-    among sets of nearly equal size bounds the sizes of all others."""
+    query are counted in full: a bounded batch of queries goes to the documents (`counted`). For a larger one, similarity
+    is at most the smaller size over the larger one, so the limit-th best score among sets of nearly equal size bounds the
+    sizes of all others."""
     d = docs.select("version_id", members(F.col(doc_text)).alias("m")).select("version_id", F.size("m").alias("nd"), "m")
     q = queries.select("query_id", members(F.col(query_text)).alias("m")).select("query_id", F.size("m").alias("nq"), F.explode("m").alias("member"))
 
@@ -35,7 +49,7 @@ def set_similarity(docs: DataFrame, queries: DataFrame, members, doc_text: str,
         near = F.least("nd", "nq") >= ratio * F.greatest("nd", "nq")
         pairs = d.join(widest, (F.col("nd") * F.col("__ratio") <= F.col("__nq")) & (F.col("nd") >= F.col("__small"))) if limit else d
         shared = pairs.select("version_id", "nd", F.explode("m").alias("member")).join(asked, "member").where(near)
-        shared = shared.groupBy("query_id", "version_id").agg(F.count("*").alias("shared"), F.first("nd").alias("nd"), F.first("nq").alias("nq"))
+        shared = shared.groupBy("query_id", "version_id").agg(F.count("*").alias("shared"), F.min("nd").alias("nd"), F.min("nq").alias("nq"))
         return shared.select("query_id", "version_id", S.jaccard_ppm(F.col("shared"), F.col("nd"), F.col("nq")).alias("score"))
 
     def extent(asked: DataFrame, ratio: Column) -> DataFrame:
@@ -44,6 +58,17 @@ def set_similarity(docs: DataFrame, queries: DataFrame, members, doc_text: str,
 
     if limit is None:
         return scored(q, F.lit(0.0))
+    size = queries.agg(F.count("*").alias("n"), F.count_distinct("query_id").alias("ids"), F.coalesce(F.sum(F.octet_length(query_text)), F.lit(0)).alias("bytes")).first()  # one row
+    if size.n == size.ids and size.n <= BATCH_QUERIES and size.bytes <= BATCH_TEXT:
+        again = checkpoint(docs.groupBy("version_id").agg(F.count("*").alias("n")).where("n > 1").select(F.col("version_id").alias("__id")))
+        asked = queries.select("query_id", members(F.col(query_text)).alias("m")).where("size(m) > 0").toArrow()  # bounded by the batch
+        if again.isEmpty():
+            return counted(docs.select("version_id", members(F.col(doc_text)).alias("m")), asked, limit)
+        # ids that repeat are one document with the members of all its rows
+        same = F.col("version_id").eqNullSafe(F.col("__id"))
+        once = counted(docs.join(again, same, "left_anti").select("version_id", members(F.col(doc_text)).alias("m")), asked, limit)
+        d, limit = d.join(again, same, "left_semi"), None
+        return once.unionByName(scored(q, F.lit(0.0)))
     widest = extent(q, F.lit(0.5))
     place = Window.partitionBy("query_id").orderBy(F.desc("score"))
     best = scored(q, F.lit(0.5)).withColumn("place", F.row_number().over(place)).where(F.col("place") <= limit)
@@ -54,12 +79,79 @@ def set_similarity(docs: DataFrame, queries: DataFrame, members, doc_text: str,
     return scored(asked, F.col("ratio"))
 
 
+def blocks(queries: pa.Table) -> Iterator[tuple[pa.Array, pa.Array, np.ndarray, np.ndarray]]:
+    """(ids, their members, members x ids as 0 and 1, sizes) of runs of queries whose matrix has about CELLS cells at most."""
+    ids, sets = queries["query_id"].combine_chunks(), queries["m"].combine_chunks()
+    sizes = pc.list_value_length(sets).to_numpy(zero_copy_only=False).astype(np.int64)
+    begin = 0
+    while begin < len(sizes):
+        cells = np.cumsum(sizes[begin:]) * np.arange(1, len(sizes) - begin + 1)
+        end = begin + max(1, int(np.searchsorted(cells, CELLS, "right")))
+        flat = sets.slice(begin, end - begin).flatten()
+        known = flat.unique()
+        has = np.zeros((len(known), end - begin), np.float32)
+        has[pc.index_in(flat, known).to_numpy(), np.repeat(np.arange(end - begin), sizes[begin:end])] = 1
+        yield ids.slice(begin, end - begin), known, has, sizes[begin:end]
+        begin = end
+
+
+def counted(docs: DataFrame, queries: pa.Table, limit: int) -> DataFrame:
+    """docs(version_id, m) with distinct ids -> query_id, version_id, score of pairs that share a member; of each query at
+    least the best `limit`. A batch of documents times the queries' members is one matrix product, whole numbers below
+    2^24 throughout, and what cannot be among its query's best is left where it was counted."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parts = list(blocks(queries))
+        floors = [np.ones(len(ids), np.int64) for ids, *_ in parts]
+        for batch in batches:
+            batch = batch.take(pc.sort_indices(batch.column("version_id"), null_placement="at_start"))
+            versions, sets = batch.column("version_id"), batch.column("m")
+            sizes = pc.fill_null(pc.list_value_length(sets), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+            flat, ends = sets.flatten(), np.cumsum(sizes)
+            for (ids, known, has, asked), floor in zip(parts, floors, strict=True):
+                found = pc.index_in(flat, known)
+                at = np.flatnonzero(found.is_valid().to_numpy(zero_copy_only=False))
+                member, row = found.drop_null().to_numpy(), np.searchsorted(ends, at, "right")
+                step = max(1, min(CELLS // len(known), CELLS // len(ids)))
+                for begin in range(0, len(sizes), step):
+                    end = min(begin + step, len(sizes))
+                    here = slice(*np.searchsorted(row, [begin, end]))
+                    holds = np.zeros((end - begin, len(known)), np.float32)
+                    holds[row[here] - begin, member[here]] = 1
+                    shared = (holds @ has).astype(np.int64)
+                    score = shared * S.PPM // np.maximum(sizes[begin:end, None] + asked - shared, 1)
+                    if end - begin >= limit:
+                        np.maximum(floor, np.partition(score, end - begin - limit, axis=0)[end - begin - limit], out=floor)
+                    level = score == floor  # rows go by version, so the first of those that tie are the best
+                    keep = (score > floor) | (level & (np.cumsum(level, axis=0) <= limit))
+                    v, k = np.nonzero(keep)
+                    yield pa.RecordBatch.from_arrays([ids.take(pa.array(k)), versions.take(pa.array(v + begin)), pa.array(score[keep])], names=["query_id", "version_id", "score"])
+
+    kind = {"query_id": queries.schema.field("query_id").type, "version_id": docs.schema["version_id"].dataType}
+    return docs.mapInArrow(run, T.StructType([T.StructField("query_id", from_arrow_type(kind["query_id"])), T.StructField("version_id", kind["version_id"]), T.StructField("score", T.LongType())]))
+
+
 def lexical(docs: DataFrame, queries: DataFrame, limit: int) -> DataFrame:
     return ranked(set_similarity(docs, queries, S.words, "task", "task", limit), "lexical", limit)
 
 
+def trigram_codes(text: Column) -> Column:
+    """The set of `S.trigrams` as numbers of 21 bits a character."""
+
+    @F.arrow_udf("array<long>")
+    def codes(texts: pa.Array) -> pa.Array:
+        texts = pc.fill_null(texts, "")
+        ends = np.cumsum(pc.utf8_length(texts).to_numpy(zero_copy_only=False).astype(np.int64))
+        c = np.frombuffer("".join(texts.to_pylist()).encode("utf-32-le"), np.uint32).astype(np.int64)
+        windows = c[:-2] << 42 | c[1:-1] << 21 | c[2:]
+        sets = [np.unique(windows[a : max(a, b - 2)]) for a, b in zip([0, *ends[:-1].tolist()], ends.tolist(), strict=False)]
+        return pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, sets)]), pa.int32()), pa.array(np.concatenate([windows[:0], *sets])))
+
+    return codes(F.lower(text))
+
+
 def trigram(docs: DataFrame, queries: DataFrame, limit: int) -> DataFrame:
-    return ranked(set_similarity(docs, queries, S.trigrams, "task", "task", limit), "vector", limit)
+    return ranked(set_similarity(docs, queries, trigram_codes, "task", "task", limit), "vector", limit)
 
 
 def bm25(docs: DataFrame, queries: DataFrame, limit: int, k1: float = 1.2, b: float = 0.75) -> DataFrame:
