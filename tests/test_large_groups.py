@@ -7,7 +7,7 @@ import random
 
 from pyspark.sql import functions as F
 
-from tracewright.operators import channels, compose, records, vectorindex
+from tracewright.operators import channels, compose, postings, records, vectorindex
 from tracewright.plans import catalog
 from tracewright.plans import composition as C
 
@@ -142,3 +142,15 @@ def test_a_batch_of_requests_is_counted_beside_the_documents(spark, monkeypatch)
                     found.append((-(n * 1000000 // size), v is not None, v or 0))
             want += [(i, v if known else None, -x, k + 1) for k, (x, known, v) in enumerate(sorted(found)[:5])]
         assert sorted(map(str, want)) == sorted(str((x.query_id, x.version_id, x.score, x.rank)) for x in got.collect())
+
+
+def test_an_index_shuffles_texts_and_postings_by_their_block(spark):
+    docs = spark.createDataFrame([(i, f"a b{i % 3} c{i} a") for i in range(3000)], "version_id long, task string")
+    keys = lambda df: {part.split(")")[0].split("#")[0] for part in df._jdf.queryExecution().executedPlan().toString().split("hashpartitioning(")[1:]}
+    built = postings.build(docs)
+    assert keys(built) == {"block"}
+    queries = docs.where("version_id % 1000 = 1").select(F.col("version_id").alias("query_id"), "task")
+    _, scored = postings.opened(built, postings.lengths(docs), queries, 3)
+    assert "block" in keys(scored) and "query_id" not in keys(scored)
+    plain = channels.bm25(docs, queries, 3)
+    assert sorted(channels.ranked(scored, "bm25", 3).collect()) == sorted(plain.collect())

@@ -46,10 +46,10 @@ def lengths(docs: DataFrame) -> DataFrame:
 
 def build(docs: DataFrame) -> DataFrame:
     """docs(version_id, task) -> term, block, n, top_tf, least_len, postings: one row per term and block of ids."""
-    d = docs.select("version_id", tokens("task").alias("t")).where("t IS NOT NULL").withColumn("len", F.size("t"))
-    tf = d.select("version_id", "len", F.explode("t").alias("term")).groupBy("version_id", "len", "term").agg(F.count("*").cast("int").alias("tf"))
-    block = F.expr(f"version_id div {BLOCK}")
-    return tf.groupBy("term", block.alias("block")).agg(
+    block = F.expr(f"version_id div {BLOCK}").alias("block")  # texts are shuffled once; all that follows lies in their block
+    d = docs.select("version_id", "task", block).repartition("block").select("block", "version_id", tokens("task").alias("t")).where("t IS NOT NULL").withColumn("len", F.size("t"))
+    tf = d.select("block", "version_id", "len", F.explode("t").alias("term")).groupBy("block", "version_id", "len", "term").agg(F.count("*").cast("int").alias("tf"))
+    return tf.groupBy("term", "block").agg(
         F.count("*").alias("n"), F.max("tf").alias("top_tf"), F.min("len").alias("least_len"), F.array_sort(F.collect_list(F.struct("version_id", "tf", "len"))).alias("postings")
     )
 
@@ -85,28 +85,34 @@ def opened(blocks: DataFrame, sizes: DataFrame, queries: DataFrame, limit: int,
     stats = sizes.agg(F.count("*").alias("n_docs"), F.avg("len").alias("avg_len"))  # one row
     q = queries.select("query_id", F.explode(S.words(F.col("task"))).alias("term"))
     heads = blocks.select("term", "block", "n", "top_tf", "least_len")  # the postings are not read for the bounds
-    df = heads.join(q.select("term").distinct(), "term", "left_semi").groupBy("term").agg(F.sum("n").alias("df"))
+    df = heads.join(F.broadcast(q.select("term").distinct()), "term", "left_semi").groupBy("term").agg(F.sum("n").alias("df"))  # the requests are a batch
     idf = F.log(1 + (F.col("n_docs") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     weighted = df.join(F.broadcast(stats)).select("term", "df", idf.alias("idf"), "avg_len")  # stats is one row
     rare = F.row_number().over(Window.partitionBy("query_id").orderBy("df", "term"))
     terms = checkpoint(q.join(weighted, "term").withColumn("nth", rare))
     bound = weights.part(F.col("idf"), F.col("top_tf"), F.col("least_len"), F.col("avg_len"))
-    bounds = terms.join(heads, "term").groupBy("query_id", "term", "nth", "block").agg(F.max(bound).alias("bound"))  # a block may lie in several epochs
+    bounds = heads.join(F.broadcast(terms), "term").groupBy("query_id", "term", "nth", "block").agg(F.max(bound).alias("bound"))  # a block may lie in several epochs
     bounds = checkpoint(bounds)
 
-    def hits(chosen: DataFrame) -> DataFrame:
-        """Sums over the chosen terms and blocks of each query, unrounded."""
-        named = chosen.select("query_id", "term", "block").join(terms.select("query_id", "term", "idf", "avg_len"), ["query_id", "term"])
-        found = named.join(blocks.select("term", "block", "postings"), ["term", "block"]).select("query_id", "block", "idf", "avg_len", F.explode("postings").alias("p"))
+    def hits(terms: DataFrame, reach: DataFrame | None = None) -> DataFrame:
+        """Sums over the queries' terms, unrounded, in all blocks or in those that a query can reach. Postings are shuffled
+        once, by their block, and not once for each query; what they add up to is not shuffled."""
+        named = blocks.select("term", "block", "postings").join(F.broadcast(terms.select("term").distinct()), "term", "left_semi").repartition("block")
+        if reach is not None:
+            named = named.join(reach.groupBy("block").agg(F.collect_set("query_id").alias("queries")), "block")
+        asked = named.join(F.broadcast(terms.select("query_id", "term", "idf", "avg_len")), "term")
+        if reach is not None:
+            asked = asked.where(F.array_contains("queries", F.col("query_id")))
+        found = asked.select("query_id", "block", "idf", "avg_len", F.explode("postings").alias("p"))
         part = weights.part(F.col("idf"), F.col("p.tf"), F.col("p.len"), F.col("avg_len"))
         return found.groupBy("query_id", F.col("p.version_id").alias("version_id"), "block").agg(F.sum(part).alias("sum"))
 
-    first = bounds.where(F.col("nth") <= OPENED)
     best = Window.partitionBy("query_id").orderBy(F.desc("sum"))
-    top = hits(first).withColumn("place", F.row_number().over(best)).where(F.col("place") <= limit)
+    top = hits(terms.where(F.col("nth") <= OPENED)).withColumn("place", F.row_number().over(best)).where(F.col("place") <= limit)
     floors = checkpoint(top.groupBy("query_id").agg(F.when(F.count("*") == limit, F.min("sum")).otherwise(0.0).alias("floor")))
     # a block can pass the floor only if all its terms' bounds together do; sums may differ in their last bits
     reach = bounds.groupBy("query_id", "block").agg(F.sum("bound").alias("reach")).join(floors, "query_id").where(F.col("reach") * 1.000001 >= F.col("floor"))
-    chosen = checkpoint(bounds.join(reach.select("query_id", "block"), ["query_id", "block"]).select("query_id", "term", "block"))
-    scored = hits(chosen).select("query_id", "version_id", F.round(F.col("sum") * S.PPM).cast("long").alias("score"))
+    reach = checkpoint(reach.select("query_id", "block"))
+    chosen = bounds.join(reach, ["query_id", "block"]).select("query_id", "term", "block")
+    scored = hits(terms, reach).select("query_id", "version_id", F.round(F.col("sum") * S.PPM).cast("long").alias("score"))
     return chosen, scored
