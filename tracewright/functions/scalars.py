@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -64,15 +66,45 @@ ENTROPY_TOKEN = r"[A-Za-z0-9_+/=-]{32,}"
 ENTROPY_BITS = 4.2
 
 
+#: Strings of which one is in every text that a pattern fits, of patterns that ignore case in lower case.
+HINTS = {
+    "private_key": ("-----BEGIN ",), "private_key_material": ("MII",), "jwt": ("eyJ",), "authorization": ("authorization",), "assignment": ("key", "token", "secret", "passw"),
+    "provider_token": ("sk-", "sk_", "api-", "api_", "tok-", "tok_", "key-", "key_"), "aws_access_key": ("AKIA", "ASIA"),
+}
+
+
+def bound(value: Column, then) -> Column:
+    """then(value), with the value worked out once however often it is used."""
+    return F.transform(F.array(value), then)[0]
+
+
 def redact(value: Column) -> tuple[Column, dict[str, Column]]:
-    """(redacted value, matches by reason): each pattern sees what the earlier ones left."""
-    clean, counts = strip_controls(value), {}
-    for reason, pattern, replacement in SECRETS:
-        counts[reason] = F.coalesce(F.regexp_count(clean, F.lit(pattern)), F.lit(0)).cast("long")
-        clean = F.regexp_replace(clean, pattern, replacement)
-    tokens = F.regexp_extract_all(clean, F.lit(f"({ENTROPY_TOKEN})"), 1)
-    counts["high_entropy"] = F.coalesce(F.size(F.filter(tokens, is_high_entropy)), F.lit(0)).cast("long")
-    return redact_entropy(clean), counts
+    """(redacted value, matches by reason): each pattern sees what the earlier ones left, and texts without one of its hints
+    are passed on unread."""
+
+    def step(reason: str, pattern: str, replacement: str):
+        def then(s: Column) -> Column:
+            text = F.lower(s["text"]) if pattern.startswith("(?i)") else s["text"]
+            return bound(F.struct(s["text"].alias("text"), s["n"].alias("n"), bound(text, lambda t: reduce(lambda x, y: x | y, [t.contains(F.lit(h)) for h in HINTS[reason]])).alias("may")), found)
+
+        def found(s: Column) -> Column:
+            n = F.when(s["may"], F.regexp_count(s["text"], F.lit(pattern)).cast("long")).otherwise(F.lit(0).cast("long"))
+            return F.struct(F.when(s["may"], F.regexp_replace(s["text"], pattern, replacement)).otherwise(s["text"]).alias("text"), F.concat(s["n"], F.array(n)).alias("n"))
+
+        return then
+
+    state = F.struct(strip_controls(value).alias("text"), F.array().cast("array<long>").alias("n"))
+    for secret in SECRETS:
+        state = bound(state, step(*secret))
+
+    def last(s: Column) -> Column:
+        high = F.size(F.filter(F.regexp_extract_all(s["text"], F.lit(f"({ENTROPY_TOKEN})"), 1), is_high_entropy)).cast("long")
+        some = s["text"].rlike(ENTROPY_TOKEN)
+        return F.when(some, F.struct(redact_entropy(s["text"]).alias("text"), F.concat(s["n"], F.array(high)).alias("n"))).otherwise(F.struct(s["text"].alias("text"), F.concat(s["n"], F.array(F.lit(0).cast("long"))).alias("n")))
+
+    state = bound(state, last)
+    reasons = [*(reason for reason, _, _ in SECRETS), "high_entropy"]
+    return state["text"], {reason: state["n"][i] for i, reason in enumerate(reasons)}
 
 
 def redact_entropy(value: Column) -> Column:
