@@ -215,3 +215,16 @@ def test_op1_from_votes_to_verdict(spark, tmp_path):
 def seeded_id(i, seed=5):
     first = xxhash.xxh64_intdigest(struct.pack("<q", i), seed=42)
     return struct.unpack("<q", struct.pack("<Q", xxhash.xxh64_intdigest(struct.pack("<i", seed), seed=first)))[0]
+
+
+def test_op8_counts_every_labelled_url(spark):
+    r = random.Random(6)
+    word = lambda letters: "".join(r.choice(letters) for _ in range(4))
+    urls = [f"http://{word('abcdefgh')}.com/en/{i}" for i in range(4600)] + [f"http://{word('fghijklm')}.net/es/{i}" for i in range(300)] + [f"http://{word('abhm')}.org/" for _ in range(40)]
+    got = urlfilter.judge(spark.createDataFrame(list(enumerate(urls)), "page_id long, url string"), RULES).collect()
+    labelled = {v: sorted({u for u in urls if slow_rule(u) == v}, key=seeded) for v in ("allow", "block")}
+    alphabet = len(set("".join(labelled["allow"] + labelled["block"]))) + 2
+    good, bad = (urlfilter.CharModel([u for i, u in enumerate(labelled[v]) if i % 4], 5, alphabet) for v in ("allow", "block"))
+    for row in got:
+        if row.rule is None:
+            assert row.llr == pytest.approx((good.score(row.url) - bad.score(row.url)) / (len(row.url) + 1), abs=1e-9)
