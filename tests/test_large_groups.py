@@ -172,3 +172,15 @@ def test_texts_without_a_hint_are_passed_on_unread(spark):
     want = {v.id: (v.clean, *(v[k] for k in numbers)) for v in df.select("id", S.redact_entropy(plain).alias("clean"), *[v.alias(k) for k, v in numbers.items()]).collect()}
     assert {k: v[:-1] for k, v in got.items()} == want and all(sum(v[i] for v in want.values()) for i in range(1, 8))
     assert "contains(" in df.select(clean)._jdf.queryExecution().toString().lower()
+
+
+def test_a_batch_of_vectors_is_multiplied_beside_the_documents(spark, monkeypatch):
+    r = random.Random(9)
+    rows = [(i, [float(r.randint(-3, 3)) for _ in range(3)] + [1.0]) for i in range(120)] + [(500 + i, [1.0, 1.0, 1.0, 1.0]) for i in range(30)] + [(None, [1.0, 1.0, 1.0, 1.0]), (900, None), (901, [1.0])]
+    d = spark.createDataFrame(rows, "version_id long, vector array<double>").repartition(3)
+    q = spark.createDataFrame([(i, v) for i, v in rows[:9]] + [(70, None)], "query_id long, vector array<double>")
+    monkeypatch.setattr(channels, "CELLS", 64)
+    some = channels.vector(d, q, 4)
+    assert "MapInArrow" in some._jdf.queryExecution().toString()
+    monkeypatch.setattr(channels, "BATCH_QUERIES", 0)
+    assert sorted(map(str, some.collect())) == sorted(map(str, channels.vector(d, q, 4).collect())) != []

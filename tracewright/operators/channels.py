@@ -217,13 +217,47 @@ def exact(docs: DataFrame, queries: DataFrame, limit: int) -> DataFrame:
 
 
 def vector(docs: DataFrame, queries: DataFrame, limit: int, scale: int = S.PPM) -> DataFrame:
-    """Exact integer inner products of quantized vectors: a stated query set against every row. The query side is a batch
-    of requests; Spark broadcasts it below its size threshold and pairs partition by partition above it."""
+    """Exact integer inner products of quantized vectors: a stated query set against every row. A bounded batch of requests
+    of one dimension is multiplied beside the documents; a larger one is paired by Spark, which broadcasts it below its
+    size threshold and pairs partition by partition above it."""
     q = queries.select("query_id", S.quantize(F.col("vector"), scale).alias("qv"))
     d = docs.select("version_id", S.quantize(F.col("vector"), scale).alias("dv"))
+    whole = q.where("qv IS NOT NULL AND size(qv) > 0 AND NOT exists(qv, x -> x IS NULL)")
+    size = whole.agg(F.count("*").alias("n"), F.min(F.size("qv")).alias("least"), F.max(F.size("qv")).alias("most")).first()  # one row
+    if 0 < size.n <= BATCH_QUERIES and size.least == size.most and size.n * size.most <= CELLS and scale <= EXACT:
+        same = d.where((F.size("dv") == size.most) & ~F.exists("dv", lambda x: x.isNull()))  # other lengths have no score
+        return ranked(multiplied(same, whole.toArrow(), limit), "vector", limit)
     return ranked(q.crossJoin(d).select("query_id", "version_id", S.inner_product(F.col("qv"), F.col("dv")).alias("score")), "vector", limit)
 
 
+#: Unit vectors in this scale have products, and partial sums of them, below 2^53: doubles hold them exactly.
+EXACT = 10**7
+
+
+def multiplied(docs: DataFrame, queries: pa.Table, limit: int) -> DataFrame:
+    """docs(version_id, dv), queries(query_id, qv) of one dimension -> query_id, version_id, score above 0; of each query at
+    least the best `limit`."""
+    matrix = lambda column: column.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(column), -1)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ids, asked = queries["query_id"].combine_chunks(), matrix(queries["qv"].combine_chunks()).T
+        floor, step = np.ones(len(ids), np.int64), max(1, CELLS // len(ids))
+        for batch in batches:
+            batch = batch.take(pc.sort_indices(batch.column("version_id"), null_placement="at_start"))
+            for begin in range(0, batch.num_rows, step):
+                part = batch.slice(begin, step)
+                score = (matrix(part.column("dv")) @ asked).astype(np.int64)
+                if len(score) >= limit:
+                    np.maximum(floor, np.partition(score, len(score) - limit, axis=0)[len(score) - limit], out=floor)
+                level = score == floor  # rows go by version, so the first of those that tie are the best
+                keep = (score > floor) | (level & (np.cumsum(level, axis=0) <= limit))
+                v, k = np.nonzero(keep)
+                yield pa.RecordBatch.from_arrays([ids.take(pa.array(k)), part.column("version_id").take(pa.array(v)), pa.array(score[keep])], names=["query_id", "version_id", "score"])
+
+    fields = [T.StructField("query_id", from_arrow_type(queries.schema.field("query_id").type)), T.StructField("version_id", docs.schema["version_id"].dataType), T.StructField("score", T.LongType())]
+    return docs.mapInArrow(run, T.StructType(fields))
+
+
 def union(*channels: DataFrame) -> DataFrame:
     """query_id, version_id, hits (by channel): every candidate with all channels that found it."""
     out = channels[0]
