@@ -117,6 +117,29 @@ def test_from_stored_traces_to_procedures(spark, filled, contracts, monkeypatch)
     assert {(r.version_id, r.reason) for r in learning.tampered(c).collect()} == {(good, "step_hash_mismatch"), (good, "ordinals_not_gapless")}
 
 
+def test_calls_meet_contracts_once_and_a_trace_has_two_outcomes(spark, filled, contracts, monkeypatch):
+    c, ids = filled
+    seen = {}
+    resolve = learning.causal.resolve_contracts
+
+    def resolved(calls, known):
+        seen["calls"] = calls.count()
+        return resolve(calls, known)
+
+    monkeypatch.setattr(learning.causal, "resolve_contracts", resolved)
+    monkeypatch.setattr(learning, "MOST_KINDS", 0, raising=False)  # more kinds than go to the tasks: joined
+    more = spark.createDataFrame([("t", "second", "o_second", ids["good"][0], None, None)], "tenant_id string, idempotency_key string, outcome_id string, trace_id string, injection_id string, supersedes_id string")
+    facts = spark.createDataFrame([("o_second", "tested", CLASSES[0], "satisfied", 1000)], "outcome_id string, predicate string, class string, verdict string, observed_at long")
+    none = spark.createDataFrame([], "injection_id string, version_id string, created_at long, expires_at long, complete boolean")
+    ingest.commit_outcomes(c, more, facts, none, 1000)
+    got = {r.outcome_id: r for r in learning.run(c, learning.pending(c).where("outcome_id IS NOT NULL"), contracts, 2000).collect()}
+    want = {f"o_{k}": WANT[k] for k in TRACES if k not in ("alone", "fold")} | {"o_fold": ("published", None), "o_second": ("published", None)}
+    assert {k: (r.disposition, r.code) for k, r in got.items()} == want
+    assert got["o_second"].version_id == got["o_good"].version_id  # one trace, two outcomes
+    assert len(learning.stored(c, "procedure_steps").where(f"version_id = '{got['o_good'].version_id}'").collect()) == 4
+    assert seen["calls"] == len({(tool, version) for rows in TRACES.values() for tool, _, _, version, *_ in rows})
+
+
 def test_jobs_that_do_not_fit_and_ids_from_contents(spark, filled, contracts):
     c, ids = filled
     held = {r.outcome_id: r.content_hash for r in ingest.stored(c, "outcomes").collect()}

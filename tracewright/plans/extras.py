@@ -12,7 +12,7 @@ from tracewright.operators import records as records_
 from tracewright.plans import adapters as A
 from tracewright.plans import catalog, composition, ingest, learning, records
 from tracewright.plans.catalog import QUERIES, SQL, query, text
-from tracewright.sources.tables import Catalog, read, shared_dir
+from tracewright.sources.tables import Catalog, checkpoint, read, shared_dir
 
 __all__ = ["QUERIES", "SQL", "records"]
 
@@ -188,7 +188,7 @@ def learned_procedures(spark: SparkSession, sf: str) -> DataFrame:
         tenant, user("tr").alias("trace_id"), c("evidence_id").cast("int").alias("position"), c("event_type").alias("tool_name"), F.when(c("evidence_id") % 331 == 0, "9").otherwise("1").alias("tool_version"), (~failed).alias("succeeded"),
         c("k").cast("string").alias("value"), F.when(~failed, "done").when(c("user_id") % 29 != 0, "failed").alias("state"), failed.cast("int").alias("exit_code"), F.array(use).alias("accesses"),
     )
-    users = f.select("user_id").distinct()
+    users = checkpoint(f.select("user_id").distinct())
     traces = users.select(tenant, user("tr").alias("trace_id"), user("user ").alias("task"), F.lit("h").alias("harness"), F.lit("1").alias("harness_version"), F.lit("env").alias("environment"), F.sha2(user("tr"), 256).alias("content_hash"))
     none = F.lit(None).cast("string")
     outcomes = users.select(tenant, user("k").alias("idempotency_key"), user("o").alias("outcome_id"), user("tr").alias("trace_id"), none.alias("injection_id"), none.alias("supersedes_id"))

@@ -16,7 +16,7 @@ from pyspark.sql import types as T
 
 from tracewright.functions import canonical
 from tracewright.functions import scalars as S
-from tracewright.operators import causal, evidence, manifests, records, rules
+from tracewright.operators import causal, evidence, records, rules
 from tracewright.plans import ingest
 from tracewright.sources.tables import Catalog, checkpoint
 
@@ -99,45 +99,64 @@ def evaluate(sources: DataFrame, facts: DataFrame) -> DataFrame:
 # --- build -------------------------------------------------------------------------------------------------------
 
 
+#: Kinds of calls go to the tasks of the events up to these bounds; more are joined.
+MOST_KINDS, MOST_KIND_BYTES = 4_096, 16 << 20
+
+
 @dataclass(frozen=True)
 class Graphs:
-    """Causal graphs, keyed by trace_id (here tenant and trace): nodes, accesses, edges and one row of facts a trace."""
+    """Causal graphs, keyed by trace_id, here the number of a workflow: nodes, edges and one row of facts a workflow. kinds:
+    what is known of each different call (its tool, version and contract), which nodes name by number."""
 
     nodes: DataFrame
-    accesses: DataFrame
     edges: DataFrame
     facts: DataFrame
+    kinds: DataFrame
 
-    def of(self, workflows: DataFrame) -> Graphs:
-        """The same keyed by workflow. workflows(workflow_id, trace): a trace with several outcomes comes once for each."""
-        w = workflows.select("workflow_id", F.col("trace").alias("trace_id"))
-        keyed = lambda rows: rows.join(w, "trace_id").drop("trace_id").withColumnRenamed("workflow_id", "trace_id")
-        return Graphs(*map(keyed, (self.nodes, self.accesses, self.edges, self.facts)))
+    def told(self, nodes: DataFrame) -> DataFrame:
+        """nodes(.., kind) with their tool, version and contract."""
+        return nodes.join(self.kinds, "kind").drop("kind")
 
 
-def build(events: DataFrame, contracts: DataFrame) -> Graphs:
-    """events(tenant_id, trace_id, position, ...) meet their tenant's contracts(tenant_id, contract_id, name, version,
-    minimum, maximum, side_effect, risk, effects, predicates, methods). facts: graph_hash, opaque (a call without a
-    contract), failure: failed_step_without_result, conflicting_resource (one resource described in two ways)."""
+def kinds_of(events: DataFrame, contracts: DataFrame) -> DataFrame:
+    """tenant, kind, tool_name, tool_version, contract_id, opaque, side_effect, risk, effects, predicates, methods: each
+    different call of a tenant meets the contracts once, however many events make it."""
     c, none = F.col, F.array().cast("array<string>")
-    e = events.withColumns({"trace_id": F.struct("tenant_id", "trace_id"), "accesses": F.coalesce("accesses", F.array())})
     name = lambda n: F.concat_ws("\0", "tenant_id", n)
-    calls = e.select(F.struct("trace_id", "position").alias("call_id"), name("tool_name").alias("name"), c("tool_version").alias("version"))
+    calls = events.select("tenant_id", "tool_name", "tool_version").distinct()
+    calls = calls.select(F.struct("tenant_id", "tool_name", "tool_version").alias("call_id"), name("tool_name").alias("name"), c("tool_version").alias("version"))
     found = causal.resolve_contracts(calls, contracts.withColumn("name", name("name"))).select("call_id.*", "contract_id", "opaque")
     told = contracts.select("tenant_id", "contract_id", "side_effect", "risk", "effects", "predicates", "methods")
-    nodes = e.join(found, ["trace_id", "position"]).join(told, ["tenant_id", "contract_id"], "left").drop("tenant_id")
-    nodes = nodes.withColumns({k: F.coalesce(k, none) for k in ("effects", "predicates", "methods")} | {"resources": F.array_sort(F.transform("accesses", lambda a: a["resource"]))})
-    nodes = checkpoint(nodes.select("trace_id", "position", "tool_name", "tool_version", "succeeded", "value", "state", "exit_code", "accesses", "contract_id", "opaque", "side_effect", "risk", "effects", "predicates", "methods", "resources"))
-    accesses = nodes.select("trace_id", "position", "succeeded", F.inline("accesses"))
+    kinds = found.join(told, ["tenant_id", "contract_id"], "left").withColumns({k: F.coalesce(k, none) for k in ("effects", "predicates", "methods")})
+    kinds = checkpoint(kinds.withColumnRenamed("tenant_id", "tenant").withColumn("kind", F.monotonically_increasing_id()))
+    n, size = kinds.agg(F.count("*"), F.sum(F.octet_length(F.to_json(F.struct("*"))))).first()
+    return F.broadcast(kinds) if n <= MOST_KINDS and (size or 0) <= MOST_KIND_BYTES else kinds
+
+
+def build(events: DataFrame, workflows: DataFrame, contracts: DataFrame) -> Graphs:
+    """events(tenant_id, trace_id, position, ...) of the workflows(tenant_id, trace_id, number) meet their tenant's
+    contracts(tenant_id, contract_id, name, version, minimum, maximum, side_effect, risk, effects, predicates, methods). A
+    trace with several outcomes comes once for each. facts: graph_hash, opaque (a call without a contract), failure:
+    failed_step_without_result, conflicting_resource (one resource described in two ways)."""
+    c, kinds = F.col, kinds_of(events, contracts)
+    e = events.where("position IS NOT NULL").withColumn("accesses", F.coalesce("accesses", F.array()))
+    known = kinds.select("tenant", "kind", "opaque", c("tool_name").alias("__name"), c("tool_version").alias("__version"))
+    e = e.join(known, (c("tenant_id") == c("tenant")) & c("tool_name").eqNullSafe(c("__name")) & c("tool_version").eqNullSafe(c("__version")))
+    e = e.join(workflows.select("tenant_id", "trace_id", "number"), ["tenant_id", "trace_id"])
+    nodes = checkpoint(e.select(c("number").alias("trace_id"), "position", "kind", "opaque", "succeeded", "value", "state", "exit_code", "accesses"))
+    kinds = kinds.drop("tenant", "opaque")
+    accesses = nodes.select("trace_id", "position", F.inline("accesses"))
     edges = checkpoint(causal.flow_edges(accesses))
     one = F.struct("position", "tool_name", "tool_version", "contract_id", "succeeded", "accesses")
-    links = edges.groupBy("trace_id").agg(F.to_json(F.array_sort(F.collect_list(F.struct("src", "dst", "resource")))).alias("links"))
-    facts = nodes.groupBy("trace_id").agg(F.to_json(F.array_sort(F.collect_list(one))).alias("told"), F.bool_or("opaque").alias("opaque"), F.bool_or(~c("succeeded") & ~c("opaque") & c("state").isNull()).alias("silent"))
-    two_ways = manifests.conflicting_metadata(accesses.select("trace_id", c("resource").alias("resource_id"), c("resource").alias("name"), F.lit("").alias("kind"), F.coalesce("schema", F.lit("")).alias("schema")))
+    links = edges.groupBy("trace_id").agg(F.to_json(F.sort_array(F.collect_list(F.struct("src", "dst", "resource")))).alias("links"))
+    named = nodes.select("trace_id", "position", "kind", "opaque", "succeeded", "state", "accesses").join(kinds.select("kind", "tool_name", "tool_version", "contract_id"), "kind")
+    facts = named.groupBy("trace_id").agg(F.to_json(F.sort_array(F.collect_list(one))).alias("told"), F.bool_or("opaque").alias("opaque"), F.bool_or(~c("succeeded") & ~c("opaque") & c("state").isNull()).alias("silent"))
+    schema = F.coalesce("schema", F.lit(""))
+    two_ways = accesses.groupBy("trace_id", "resource").agg(F.min(schema).alias("least"), F.max(schema).alias("most")).where("least <> most")
     facts = facts.join(links, "trace_id", "left").join(two_ways.select("trace_id", F.lit(True).alias("clash")).distinct(), "trace_id", "left")
     failure = F.when(c("silent"), "failed_step_without_result").when(c("clash"), "conflicting_resource")
     graph_hash = F.sha2(F.concat_ws("\0", "told", F.coalesce("links", F.lit("[]"))), 256)
-    return Graphs(nodes, accesses, edges, checkpoint(facts.select("trace_id", graph_hash.alias("graph_hash"), "opaque", failure.alias("graph_failure"))))
+    return Graphs(nodes, edges, checkpoint(facts.select("trace_id", graph_hash.alias("graph_hash"), "opaque", failure.alias("graph_failure"))), kinds)
 
 
 # --- synthesize --------------------------------------------------------------------------------------------------
@@ -146,52 +165,52 @@ def build(events: DataFrame, contracts: DataFrame) -> Graphs:
 def synthesize(sources: DataFrame, graphs: Graphs, facts: DataFrame, policy: str) -> dict[str, DataFrame]:
     """Procedures of the workflows among sources (evaluated, graph joined) that have no failure.
 
-    results: workflow_id, abstention (outcome_not_verified, opaque_tool, uncovered_goal, failed_prerequisite), failure
-    (ambiguous_provision), family_id, version_id, synthesis_hash and what the ids are made of; steps, edges, interface and
-    negative: workflow_id and their rows. The goals are the predicates of the outcome's evidence; each must be proven by
-    a step that succeeded, itself or by the verifier. What the goals and the lasting effects need is kept, and what
-    succeeded besides is kept as of uncertain necessity."""
-    c = F.col
-    live = checkpoint(sources.where("failure IS NULL").withColumn("trace", F.struct("tenant_id", "trace_id")))
-    proofs = facts.join(live.select("tenant_id", "outcome_id", "workflow_id"), ["tenant_id", "outcome_id"]).select(c("workflow_id").alias("trace_id"), "predicate", "verifier")
+    results: workflow_id, number, abstention (outcome_not_verified, opaque_tool, uncovered_goal, failed_prerequisite),
+    failure (ambiguous_provision), family_id, version_id, synthesis_hash and what the ids are made of; steps, edges,
+    interface and negative: the workflow's number and their rows. The goals are the predicates of the outcome's evidence;
+    each must be proven by a step that succeeded, itself or by the verifier. What the goals and the lasting effects need
+    is kept, and what succeeded besides is kept as of uncertain necessity."""
+    c, nodes = F.col, graphs.nodes
+    live = checkpoint(sources.where("failure IS NULL"))
+    proofs = facts.join(live.select("tenant_id", "outcome_id", "number"), ["tenant_id", "outcome_id"]).select(c("number").alias("trace_id"), "predicate", "verifier")
     wanted = checkpoint(proofs.select("trace_id", "predicate").distinct())
-    proven = checkpoint(causal.goal_verifiers(proofs, graphs.of(live).nodes))
-    bare = wanted.join(proven.select("trace_id", "predicate"), ["trace_id", "predicate"], "left_anti").select(c("trace_id").alias("workflow_id"), F.lit(True).alias("bare")).distinct()
-    goals = wanted.groupBy(c("trace_id").alias("workflow_id")).agg(F.array_sort(F.collect_set("predicate")).alias("goals"))
-    r = live.join(goals, "workflow_id", "left").join(bare, "workflow_id", "left")
+    good = graphs.told(nodes.where("succeeded").select("trace_id", "position", "succeeded", "kind"))
+    proven = checkpoint(causal.goal_verifiers(proofs, good))
+    bare = wanted.join(proven.select("trace_id", "predicate"), ["trace_id", "predicate"], "left_anti").select(c("trace_id").alias("number"), F.lit(True).alias("bare")).distinct()
+    goals = wanted.groupBy(c("trace_id").alias("number")).agg(F.array_sort(F.collect_set("predicate")).alias("goals"))
+    r = live.join(goals, "number", "left").join(bare, "number", "left")
     first = F.when(c("state") != "verified_success", "outcome_not_verified").when(c("opaque"), "opaque_tool").when(c("bare") | c("goals").isNull(), "uncovered_goal")
     r = checkpoint(r.withColumn("abstention", first).drop("bare"))
 
-    g = graphs.of(r.where("abstention IS NULL"))
-    nodes, edges = checkpoint(g.nodes), checkpoint(g.edges)
-    roots = proven.select("trace_id", F.explode("verifiers").alias("position")).join(g.facts.select("trace_id"), "trace_id", "left_semi")
-    retained = causal.ancestors(edges, roots.unionByName(rules.required_effects(nodes).select("trace_id", "position")))
-    unmet = retained.join(nodes.where("NOT succeeded").select("trace_id", "position"), ["trace_id", "position"], "left_semi").select(c("trace_id").alias("workflow_id"), F.lit("failed_prerequisite").alias("__unmet")).distinct()
-    r = r.join(unmet, "workflow_id", "left").withColumn("abstention", F.coalesce("abstention", "__unmet")).drop("__unmet")
-    unmet = unmet.select(c("workflow_id").alias("trace_id"))
-    branch = nodes.select("trace_id", "position", "succeeded", F.lit(False).alias("irrelevant"), (~c("succeeded") & ~c("opaque")).alias("failed_branch"))
-    steps = causal.slice_steps(branch.join(unmet, "trace_id", "left_anti"), retained).select("trace_id", "position", "ordinal", "uncertain_necessity")
-    mode = lambda kind: F.array_sort(F.transform(F.filter("accesses", lambda a: a[kind]), lambda a: a["resource"]))
-    steps = checkpoint(steps.join(nodes.drop("succeeded", "value", "state", "exit_code", "opaque"), ["trace_id", "position"]).withColumns({"reads": mode("reads"), "writes": mode("writes")}))
-    inner = checkpoint(causal.induced(edges, steps))
+    covered = r.where("abstention IS NULL").select(c("number").alias("trace_id"))
+    edges = checkpoint(graphs.edges.join(covered, "trace_id", "left_semi"))
+    roots = proven.select("trace_id", F.explode("verifiers").alias("position")).unionByName(rules.required_effects(good).select("trace_id", "position"))
+    retained = causal.ancestors(edges, roots.join(covered, "trace_id", "left_semi"))
+    unmet = checkpoint(retained.join(nodes.where("NOT succeeded").select("trace_id", "position"), ["trace_id", "position"], "left_semi").select("trace_id").distinct())
+    r = r.join(unmet.select(c("trace_id").alias("number"), F.lit("failed_prerequisite").alias("__unmet")), "number", "left").withColumn("abstention", F.coalesce("abstention", "__unmet")).drop("__unmet")
+    branch = nodes.select("trace_id", "position", "succeeded", F.lit(False).alias("irrelevant"), (~c("succeeded") & ~c("opaque")).alias("failed_branch"), "kind", "accesses")
+    branch = branch.join(covered.join(unmet, "trace_id", "left_anti"), "trace_id", "left_semi")
+    steps = checkpoint(causal.slice_steps(branch, retained).select("trace_id", "position", "ordinal", "uncertain_necessity", "kind", "accesses"))
     at = lambda end: steps.select("trace_id", c("position").alias(end), c("ordinal").alias(f"__{end}"))
-    links = inner.join(at("src"), ["trace_id", "src"]).join(at("dst"), ["trace_id", "dst"]).select("trace_id", c("__src").alias("src"), c("__dst").alias("dst"), "resource")
+    inner = checkpoint(edges.join(at("src"), ["trace_id", "src"]).join(at("dst"), ["trace_id", "dst"]))
+    links = inner.select("trace_id", c("__src").alias("src"), c("__dst").alias("dst"), "resource")
     used = steps.select("trace_id", "position", F.inline("accesses"))
     schema = used.groupBy("trace_id", "resource").agg(F.max(F.coalesce("schema", F.lit(""))).alias("schema"))
     asked, given = causal.requirements(used, inner), causal.provisions(used, inner)
     interface = asked.withColumn("kind", F.lit("requirement")).unionByName(given.withColumn("kind", F.lit("provision"))).join(schema, ["trace_id", "resource"])
     interface = checkpoint(interface)
-    tried = nodes.select("trace_id", "position", "succeeded", "opaque", c("contract_id").alias("contract"), c("value").alias("inputs"), "resources")
-    failed = rules.failed_branches(tried, nodes.where("state IS NOT NULL"))
 
+    resources = F.transform("accesses", lambda a: a["resource"])
+    mode = lambda kind: F.array_sort(F.transform(F.filter("accesses", lambda a: a[kind]), lambda a: a["resource"]))
+    steps = graphs.told(steps).withColumns({"resources": F.array_sort(resources), "reads": mode("reads"), "writes": mode("writes")}).drop("accesses")
     logical = ["ordinal", "tool_name", "tool_version", "contract_id", "uncertain_necessity", "side_effect", "risk", "effects", "predicates", "methods", "reads", "writes"]
-    gathered = lambda *names: F.array_sort(F.collect_list(F.struct(*names)))
-    s = steps.groupBy(c("trace_id").alias("workflow_id")).agg(gathered(*logical).alias("steps"), F.count_if("uncertain_necessity").alias("n_uncertain"))
-    lasting = rules.required_effects(steps.withColumn("succeeded", F.lit(True)))
-    lasting = lasting.groupBy(c("trace_id").alias("workflow_id")).agg(gathered("ordinal", "contract_id", "writes").alias("__lasting"))
-    l = links.groupBy(c("trace_id").alias("workflow_id")).agg(gathered("src", "dst", "resource").alias("links"))
-    i = interface.groupBy(c("trace_id").alias("workflow_id")).agg(gathered("kind", "resource", "schema").alias("interface"), F.bool_or((c("kind") == "provision") & (c("steps") > 1)).alias("ambiguous"))
-    r = r.join(s, "workflow_id", "left").join(l, "workflow_id", "left").join(i, "workflow_id", "left").join(lasting, "workflow_id", "left")
+    gathered = lambda *names: F.sort_array(F.collect_list(F.struct(*names)))
+    s = steps.groupBy(c("trace_id").alias("number")).agg(gathered(*logical).alias("steps"), F.count_if("uncertain_necessity").alias("n_uncertain"))
+    lasting = rules.required_effects(steps.select("trace_id", "ordinal", "contract_id", "writes", "side_effect", F.lit(True).alias("succeeded")))
+    lasting = lasting.groupBy(c("trace_id").alias("number")).agg(gathered("ordinal", "contract_id", "writes").alias("__lasting"))
+    l = links.groupBy(c("trace_id").alias("number")).agg(gathered("src", "dst", "resource").alias("links"))
+    i = interface.groupBy(c("trace_id").alias("number")).agg(gathered("kind", "resource", "schema").alias("interface"), F.bool_or((c("kind") == "provision") & (c("steps") > 1)).alias("ambiguous"))
+    r = r.join(s, "number", "left").join(l, "number", "left").join(i, "number", "left").join(lasting, "number", "left")
     r = r.withColumn("failure", F.when(c("ambiguous"), "ambiguous_provision"))
     blank = F.lit("")
     json = lambda rows: F.coalesce(F.to_json(rows), F.lit("[]"))
@@ -204,8 +223,13 @@ def synthesize(sources: DataFrame, graphs: Graphs, facts: DataFrame, policy: str
     sound = c("abstention").isNull() & c("failure").isNull()
     r = r.withColumn("version_id", F.when(sound, version)).withColumn("family_id", F.when(sound, c("family_id")))
     synthesis = canonical.struct_hash("", graph_hash=c("graph_hash"), version_id=F.coalesce("version_id", blank), code=F.coalesce("abstention", blank), policy=F.lit(policy))
-    r = checkpoint(r.withColumn("synthesis_hash", F.when(c("failure").isNull(), synthesis)))
-    keyed = lambda rows: rows.withColumnRenamed("trace_id", "workflow_id")
+    # the hashes hold the rest; later stages read these of a step
+    brief = F.transform("steps", lambda x: F.struct(*[x[k].alias(k) for k in ("tool_name", "contract_id", "side_effect")]))
+    r = checkpoint(r.withColumn("synthesis_hash", F.when(c("failure").isNull(), synthesis)).withColumn("steps", brief).drop("links", "interface", "__lasting"))
+    failed = nodes.where("NOT succeeded").join(r.where("version_id IS NOT NULL").select(c("number").alias("trace_id")), "trace_id", "left_semi")
+    tried = graphs.told(failed.where("NOT opaque")).select("trace_id", "position", "succeeded", F.lit(False).alias("opaque"), c("contract_id").alias("contract"), c("value").alias("inputs"), F.array_sort(resources).alias("resources"))
+    failed = rules.failed_branches(tried, failed.where("state IS NOT NULL"))
+    keyed = lambda rows: rows.withColumnRenamed("trace_id", "number")
     return {"results": r, "steps": keyed(steps), "edges": keyed(links), "interface": keyed(interface), "negative": keyed(failed.where("NOT unresolved"))}
 
 
@@ -245,11 +269,9 @@ def run(catalog: Catalog, jobs: DataFrame, contracts: DataFrame, now: int, polic
     heads = catalog.heads(*TABLES)
     facts = ingest.stored(catalog, "evidence")
     sources = load(jobs, stored(catalog, "traces"), ingest.stored(catalog, "outcomes"))
-    sources = checkpoint(evaluate(sources, facts))
-    taken = sources.where("failure IS NULL").select("tenant_id", "trace_id").distinct()
-    graphs = build(stored(catalog, "events").join(taken, ["tenant_id", "trace_id"], "left_semi"), contracts)
-    known = graphs.facts.select("trace_id.*", "graph_hash", "opaque", "graph_failure")
-    sources = checkpoint(sources.join(known, ["tenant_id", "trace_id"], "left").withColumn("graph_failure", F.when(c("failure").isNull() & c("graph_hash").isNull(), "no_events").otherwise(c("graph_failure"))))
+    sources = checkpoint(evaluate(sources, facts).withColumn("number", F.monotonically_increasing_id()))
+    graphs = build(stored(catalog, "events"), sources.where("failure IS NULL"), contracts)
+    sources = checkpoint(sources.join(graphs.facts.withColumnRenamed("trace_id", "number"), "number", "left").withColumn("graph_failure", F.when(c("failure").isNull() & c("graph_hash").isNull(), "no_events").otherwise(c("graph_failure"))))
     parts = synthesize(sources.withColumn("failure", F.coalesce("failure", "graph_failure")), graphs, facts, policy)
     r = parts["results"]
     folds = folded(r, recalled) if recalled is not None else r.select("workflow_id", F.lit(None).cast("string").alias("folded_into")).limit(0)
@@ -287,12 +309,12 @@ def rows_of(catalog: Catalog, fresh: DataFrame, parts: dict[str, DataFrame], sta
     old = stored(catalog, "procedures", heads["procedures"]).select("version_id")
     first = fresh.where("version_id IS NOT NULL").groupBy("version_id").agg(F.min("workflow_id").alias("workflow_id")).join(old, "version_id", "left_anti")
     new = checkpoint(fresh.drop("version_id").join(first, "workflow_id"))
-    ids = new.select("workflow_id", "tenant_id", "version_id", "environment_hash")
-    of = lambda name: parts[name].join(ids, "workflow_id")
-    nodes = parts["steps"].select(c("workflow_id").alias("plan_id"), "resources", "effects", "side_effect", S.risk_ordinal(c("risk")).alias("risk"))
-    serving = records.serving_metadata(nodes).withColumnRenamed("plan_id", "workflow_id")
+    ids = new.select("number", "tenant_id", "version_id", "environment_hash")
+    of = lambda name: parts[name].join(ids, "number")
+    nodes = of("steps").select(c("number").alias("plan_id"), "resources", "effects", "side_effect", S.risk_ordinal(c("risk")).alias("risk"))
+    serving = records.serving_metadata(nodes).withColumnRenamed("plan_id", "number")
     tools = F.concat(F.lit("tools "), F.array_join(F.transform("steps", lambda s: s["tool_name"]), " then "), F.lit(" goals "), F.array_join("goals", " "))
-    docs = new.join(serving, "workflow_id").withColumns({
+    docs = new.join(serving, "number").withColumns({
         "task": F.when(F.trim(F.coalesce("task", F.lit(""))) != "", c("task")).otherwise(tools), "contracts": F.transform("steps", lambda s: s["contract_id"]), "risk": c("risk").cast("int"),
         "verification_strength": c("strength").cast("long"), "lifecycle": F.lit("candidate"), "validated_at": at,
     })
